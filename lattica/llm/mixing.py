@@ -71,7 +71,7 @@ def mix(
     share: float = 1.5,
     max_repeats: int = 2,
     whole_documents: bool = False,
-    rows_per_bucket: int = 20_000,
+    rows_per_bucket: int = 2_000,
     text_col: str = "text",
     id_col: str = "doc_id",
     source_col: str = "source",
