@@ -1,8 +1,60 @@
-"""A pipeline over documents: STAGES, each of which works on all that its predecessor kept."""
+"""A training-corpus pipeline over ``documents``. Each stage works on all that the one before it kept."""
 
-STAGES = []
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from lattica.llm import bpe, exact_dedup, mixing, simhash, toxicity
+from lattica.llm.common import scratch_path, table
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model doesn't reject (score below 0.5), the model fitted on the table's own labels."""
+    labels = table(spark, sf_dir, "labels").filter(~toxicity.held_out("doc_id"))
+    model = toxicity.fit(docs, labels)
+    return docs.withColumn("_score", toxicity.score(docs, model)).filter("_score < 0.5").select(*docs.columns)
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of texts that are equal but for white space."""
+    return exact_dedup.keep_one(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: five-word shingles, similarity 0.8 or more."""
+    return simhash.drop_near_copies(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix of the sources at their target weights, in training order; documents repeat as the targets ask."""
+    return mixing.apply_mix(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of each document of the mix, and of the text decoded again."""
+    return bpe.encode(docs, *bpe.default_vocabulary())
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("exact dedup", drop_copies),
+    ("simhash near-dedup", drop_near_copies),
+    ("mix sources", mix_sources),
+    ("bpe", encode),
+]
+
+#: A fitted classifier and the encoder can't be written in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each written as Parquet in the shared folder and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for i, (_, stage) in enumerate(STAGES):
+        out = stage(spark, docs, sf_dir)
+        if i == len(STAGES) - 1:
+            return out
+        path = scratch_path(spark, f"stage{i}")
+        out.write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs

@@ -132,6 +132,27 @@ def in_training_order(mixed: DataFrame) -> DataFrame:
     return mixed.repartitionByRange(*order).sortWithinPartitions(*order)
 
 
+def apply_mix(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source", **options) -> DataFrame:
+    """The mixed corpus: whole rows of ``docs``, one per taking, range-sorted by training position.
+
+    A document taken twice is there twice; one not taken is not there. Decisions are by (id, source, size), which rows
+    that agree on all three share in turn.
+    """
+    mixed = mix(docs, whole_documents=True, text_col=text_col, id_col=id_col, source_col=source_col, **options)
+    by = mixed.groupBy(F.col(id_col).alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_n")).agg(F.count("*").alias("_rows"), F.sum("copies").alias("_copies"), F.min("position").alias("_at")).filter("_copies > 0")
+    by = materialise(by, "taken")
+    keyed = docs.withColumn("_size", word_count(F.col(text_col)))
+    on = F.col(id_col).eqNullSafe(F.col("_id")) & F.col(source_col).eqNullSafe(F.col("_source")) & (F.col("_size") == F.col("_n"))
+    rows = keyed.join(by, on)
+    each = F.floor(F.col("_copies") / F.col("_rows")).cast("int")
+    # rows that share a key get equal copies; what doesn't divide goes to the first of them
+    left = F.when(F.col("_rows") == 1, F.lit(0)).otherwise(F.when(F.row_number().over(Window.partitionBy("_id", "_source", "_n").orderBy(F.md5(F.coalesce(F.col(text_col), F.lit(""))))) <= F.col("_copies") % F.col("_rows"), F.lit(1)).otherwise(F.lit(0)))
+    shared = rows.filter("_rows > 1").withColumn("_times", each + left)
+    single = rows.filter("_rows = 1").withColumn("_times", each)
+    taken = single.unionByName(shared).filter("_times > 0").withColumn("_pass", F.explode(F.sequence(F.lit(1), F.col("_times"))))
+    return taken.repartitionByRange("_at", "_pass", id_col).sortWithinPartitions("_at", "_pass", id_col).select(*docs.columns)
+
+
 ORACLE_OP2 = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -121,16 +122,32 @@ class Forest:
                 label[:] = flat
 
 
-def _join_sorted(batches: Iterator[pa.RecordBatch], width: int, budget: int) -> Iterator[pa.RecordBatch]:
-    """Rows (turn, block, fp) sorted by (turn, block): links within each (turn, block), as (a, b) with b of a tree."""
+def blocks(count: int) -> list[tuple[int, int]]:
+    """(lowest bit, width) of each of ``count`` blocks that make up 64 bits, widths as equal as can be."""
+    cuts = [64 * i // count for i in range(count + 1)]
+    return [(lo, hi - lo) for lo, hi in zip(cuts, cuts[1:])]
+
+
+def turned(fp: np.ndarray, lead: tuple[int, ...], parts: list[tuple[int, int]]) -> np.ndarray:
+    """The fingerprints with the blocks ``lead`` moved to the top: differing bits stay as many."""
+    out = np.zeros_like(fp)
+    for k in (*lead, *(k for k in range(len(parts)) if k not in lead)):
+        low, width = parts[k]
+        out = (out << np.uint64(width)) | ((fp >> np.uint64(low)) & np.uint64((1 << width) - 1))
+    return out
 
-    def rotated(fp: np.ndarray, turn: int) -> np.ndarray:
-        k = np.uint64(turn * width)
-        return fp if not turn else (fp << k) | (fp >> (np.uint64(64) - k))
+
+def _join_sorted(batches: Iterator[pa.RecordBatch], leads: list[tuple[int, ...]], parts: list[tuple[int, int]], budget: int) -> Iterator[pa.RecordBatch]:
+    """Rows (turn, block, fp) sorted by (turn, block): links within each (turn, block), as (a, b) with b of a tree."""
 
     def solve(turn: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
         for t in np.unique(turn):
-            keys = np.sort(rotated(fp[turn == t], int(t)))
+            lead = leads[int(t)]
+            width = sum(parts[k][1] for k in lead)
+            own = fp[turn == t]
+            keys = turned(own, lead, parts)
+            order = np.argsort(keys)
+            keys, own = keys[order], own[order]
             block = keys >> np.uint64(64 - width)
             starts = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
             stops = np.r_[starts[1:], len(keys)]
@@ -142,39 +159,48 @@ def _join_sorted(batches: Iterator[pa.RecordBatch], width: int, budget: int) ->
                 forest.union(i, j)
             linked = np.flatnonzero(forest.label != np.arange(len(keys)))
             if len(linked):
-                k = (64 - int(t) * width) % 64
-                back = lambda x: ((x << np.uint64(k)) | (x >> np.uint64(64 - k)) if k else x).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(back(keys[linked])), pa.array(back(keys[forest.label[linked]]))], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(own[linked].view(np.int64)), pa.array(own[forest.label[linked]].view(np.int64))], names=["a", "b"])
 
     held: list[np.ndarray] = []
+    size = 0
     for batch in batches:
-        rows = np.stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3)])
-        held.append(rows)
+        held.append(np.stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3)]))
+        size += batch.num_rows
+        if size < 1 << 17:
+            continue
         rows = np.concatenate(held, axis=1)
         last = np.flatnonzero((rows[0] != rows[0, -1]) | (rows[1] != rows[1, -1]))
         done = last[-1] + 1 if len(last) else 0  # the last group may go on in the next batch
-        if done >= 1 << 16:
-            yield from solve(rows[0, :done], rows[2, :done].view(np.uint64))
-            held = [rows[:, done:]]
-        else:
-            held = [rows]
+        if done:
+            yield from solve(rows[0, :done], np.ascontiguousarray(rows[2, :done]).view(np.uint64))
+        held, size = [rows[:, done:]], rows.shape[1] - done
     if held:
         rows = np.concatenate(held, axis=1)
         yield from solve(rows[0], np.ascontiguousarray(rows[2]).view(np.uint64))
 
 
-def link_fingerprints(fps: DataFrame, budget: int = 3) -> DataFrame:
+def link_fingerprints(fps: DataFrame, budget: int = 3, agree: int = 1) -> DataFrame:
     """(a, b): links that connect the same fingerprints as all pairs of ``fps`` (one distinct long column fp) within
     ``budget`` differing bits; never all pairs of a group.
 
-    Fingerprints within the budget agree on one of budget + 1 blocks of bits at least. Each is dealt out by each of its
-    blocks, and one task joins its blocks' tries with themselves: (budget + 1) rows of 20 bytes per fingerprint.
+    Of budget + ``agree`` blocks of bits, fingerprints within the budget agree on ``agree`` at least. Each is dealt out
+    by each choice of so many blocks, 20 bytes a row, and one task joins its groups' tries with themselves. More blocks
+    to agree on make more rows and smaller groups; the links are the same.
     """
-    width = 64 // (budget + 1)
-    turns = F.array(*(F.struct(F.lit(t).alias("turn"), F.expr(f"shiftrightunsigned(shiftleft(fp, {t * width}), {64 - width})").alias("block")) for t in range(budget + 1)))
+    parts = blocks(budget + agree)
+    leads = list(combinations(range(len(parts)), agree))
+
+    def key(lead: tuple[int, ...]):
+        out = F.lit(0).cast("long")
+        for k in lead:
+            low, width = parts[k]
+            out = F.shiftleft(out, width).bitwiseOR(F.shiftrightunsigned("fp", low).bitwiseAND(F.lit((1 << width) - 1)))
+        return out
+
+    turns = F.array(*(F.struct(F.lit(t).alias("turn"), key(lead).alias("block")) for t, lead in enumerate(leads)))
     dealt = fps.select("fp", F.explode(turns).alias("k")).select("k.turn", "k.block", "fp")
     by_block = dealt.repartition("turn", "block").sortWithinPartitions("turn", "block")
-    return by_block.mapInArrow(lambda batches: _join_sorted(batches, width, budget), "a long, b long")
+    return by_block.mapInArrow(lambda batches: _join_sorted(batches, leads, parts, budget), "a long, b long")
 
 
 def near_dups(docs: DataFrame, n: int = 3, budget: int = 3, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -196,3 +222,104 @@ def near_dups(docs: DataFrame, n: int = 3, budget: int = 3, text_col: str = "tex
 def hex16(fp):
     """A long as 16 hex digits of its unsigned value."""
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
+
+
+#: Documents of one block in the exact comparison; a task compares two blocks of one group.
+BLOCK_DOCS = 1_000
+#: Keys of dropped rows are broadcast up to so many (about 24 MB).
+MAX_BROADCAST_KEYS = 500_000
+
+
+def similar_pairs(sets: list[np.ndarray], first: int, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of ``sets`` (sorted distinct integers) with Jaccard of ``least`` or more: all pairs if ``first`` is the
+    number of sets, else pairs of one of the first ``first`` and one of the others. Empty sets are like each other only."""
+    size = np.array([len(s) for s in sets])
+    values, index, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(sets)), size)
+    shared = df[index] > 1
+    columns = np.cumsum(df > 1) - 1
+    owner, column = owner[shared], columns[index[shared]]
+    all_ = first == len(sets)
+    rows, others = np.arange(first), np.arange(len(sets)) if all_ else np.arange(first, len(sets))
+    both = np.zeros((len(rows), len(others)), np.float32)
+    width = int((df > 1).sum())
+    for lo in range(0, width, 4096):  # a slice of the incidence matrix at a time
+        here = (column >= lo) & (column < lo + 4096)
+        part = np.zeros((len(sets), min(4096, width - lo)), np.float32)
+        part[owner[here], column[here] - lo] = 1
+        both += part[rows] @ part[others].T
+    union = size[rows][:, None] + size[others][None, :] - both
+    i, j = np.nonzero((both >= least * union - 1e-6) & ((both > 0) | (union == 0)))
+    i, j = rows[i], others[j]
+    yield i[i < j], j[i < j]
+
+
+def near_copies(docs: DataFrame, similarity: float = 0.8, words: int = 5, bits_words: int = 2, budget: int = 9, agree: int = 2, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """(id, h, group): rows with a near copy, keyed by id and the 128-bit hash of the text; group is the smallest key's number.
+
+    Near copies share ``similarity`` or more (Jaccard) of their distinct ``words``-word shingles. Candidates come from
+    the trie join of SimHash fingerprints over ``bits_words``-word shingles within ``budget`` bits (measured: such pairs
+    of these corpora differ in 10 bits at most, 94 % of them in 9). Fingerprint groups are then compared exactly, in
+    blocks of BLOCK_DOCS documents, and linked by pairs that are similar enough: no pair leaves a task, only a parent.
+    """
+    own = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    own = own.withColumn("fp", fingerprint_column(bits_words)("text")).select("id", F.md5("text").alias("h"), "fp")
+    own = materialise(own.distinct(), "simhash")
+    fps = own.select("fp").distinct()
+    links = connected_components(link_fingerprints(materialise(fps, "fingerprints"), budget, agree))
+    rows = own.join(links, own["fp"] == links["node"], "left").select("id", "h", F.coalesce("component", "fp").alias("coarse"))
+    groups = rows.groupBy("coarse").agg(F.count("*").alias("n")).filter("n > 1").withColumn("blocks", F.ceil(F.col("n") / BLOCK_DOCS).cast("int"))
+    members = rows.join(groups, "coarse").withColumn("node", F.monotonically_increasing_id())
+    members = materialise(members.select("id", "h", "coarse", "blocks", "node"), "members")
+    keys = members.select(F.col("id").alias("k_id"), F.col("h").alias("k_h"), "coarse", "blocks", "node")
+    if members.count() <= MAX_BROADCAST_KEYS:
+        keys = F.broadcast(keys)
+    text = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("h", F.md5("text"))
+    found = text.join(keys, F.col("id").eqNullSafe(F.col("k_id")) & (F.col("h") == F.col("k_h")))
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 500):
+                part = batch.slice(lo, 500)
+                made = [np.unique(np.array(shingle_hashes(t.as_py(), words), np.uint64).view(np.int64)) for t in part.column("text")]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("coarse", "blocks", "node")), pa.array(made, pa.list_(pa.int64()))], names=["coarse", "blocks", "node", "set"])
+
+    shingled = found.select("coarse", "blocks", "node", "text").mapInArrow(sets, "coarse long, blocks int, node long, set array<long>").dropDuplicates(["node"])
+    dealt = (shingled.withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+             .select("coarse", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "set"))
+
+    def compare(group: pa.Table) -> pa.Table:
+        order = np.argsort(group["own"].to_numpy(), kind="stable")
+        node, own_ = group["node"].to_numpy()[order], group["own"].to_numpy()[order]
+        values = group["set"].to_pylist()
+        sets_ = [np.array(values[k], np.int64) for k in order]
+        same = group["i"][0] == group["j"][0]
+        first = len(node) if same else int((own_ == group["i"][0].as_py()).sum())
+        forest = Forest(len(node))
+        if 0 < first and (same or first < len(node)):
+            for i, j in similar_pairs(sets_, first, similarity):
+                forest.union(i, j)
+        hit = np.flatnonzero(forest.label != np.arange(len(node)))
+        return pa.table({"a": node[hit], "b": node[forest.label[hit]]})
+
+    edges = dealt.groupBy("coarse", "i", "j").applyInArrow(compare, "a long, b long")
+    comps = connected_components(edges)
+    return members.join(comps, "node").select("id", "h", F.col("component").alias("group"))
+
+
+def drop_near_copies(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", **options) -> DataFrame:
+    """``docs`` with one row of each group of near copies: the one with the smallest id (null last), then text hash.
+
+    Rows without a near copy stay, all columns too. Rows equal in id and text are one document to this operator: they
+    stay or go together.
+    """
+    grouped = materialise(near_copies(docs, text_col=text_col, id_col=id_col, **options), "near-copies")
+    best = F.min(F.struct(F.col("id").isNull().alias("z"), F.col("id").alias("id"), F.col("h").alias("h"))).alias("best")
+    low = grouped.groupBy("group").agg(best)
+    gone = grouped.join(low, "group").filter(~(F.col("id").eqNullSafe(F.col("best.id")) & (F.col("h") == F.col("best.h")))).select(F.col("id").alias("k_id"), F.col("h").alias("k_h"))
+    gone = materialise(gone, "dropped")
+    if gone.count() <= MAX_BROADCAST_KEYS:
+        gone = F.broadcast(gone)
+    keyed = docs.withColumn("_h", F.md5(F.coalesce(F.col(text_col), F.lit(""))))
+    return keyed.join(gone, F.col(id_col).eqNullSafe(F.col("k_id")) & (F.col("_h") == F.col("k_h")), "left_anti").select(*docs.columns)
