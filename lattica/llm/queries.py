@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embeddings, exact_dedup, licenses, mixing, simhash, suffixes, toxicity, warc
+from . import bpe, embeddings, exact_dedup, licenses, mixing, pii, simhash, suffixes, toxicity, warc
 from .common import scratch_path, table
 
 
@@ -50,6 +50,14 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+#: Stands in for a key that a deployment keeps to itself.
+PII_KEY = "lattica demonstration key"
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(table(spark, sf_dir, "documents"), PII_KEY)
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_dups(table(spark, sf_dir, "documents"))
     return out.select("doc_id", simhash.hex16(F.col("fp")).alias("fingerprint"), "component_id")
@@ -77,6 +85,7 @@ QUERIES = {
     "op2_mix_sources": op2_mix_sources,
     "op3_warc": op3_warc,
     "op4_toxicity": op4_toxicity,
+    "op5_pii": op5_pii,
     "op6_simhash": op6_simhash,
     "op7_repeats": op7_repeats,
     "op8_bpe": op8_bpe,
