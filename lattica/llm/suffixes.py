@@ -14,8 +14,10 @@ from .common import materialise
 
 #: Bytes of the anchors that pick candidates; every string of ``length`` bytes holds one.
 ANCHOR = 72
-#: Texts of a task's suffix array hold about so many bytes.
-ARRAY_BYTES = 1 << 17
+#: Bytes of one symbol of the suffix array. Symbols are cut from a context in step with its anchor, so equal windows hold equal symbols.
+BLOCK = 8
+#: Contexts of a task's suffix array hold about so many bytes.
+ARRAY_BYTES = 1 << 20
 #: A group of one anchor with more contexts than this is resolved by hashes of its windows, spread over all tasks.
 MAX_CONTEXTS = 2_000
 #: Tables of keys or ranges by text are broadcast up to so many rows (about 16 and 32 MB); beyond it texts are shuffled.
@@ -127,15 +129,16 @@ def _powers(n: int, held: dict = {}) -> tuple[np.ndarray, np.ndarray]:  # noqa:
     return held["up"][:n], held["down"][:n]
 
 
-def anchors(data: bytes, length: int, k: int) -> np.ndarray:
-    """Positions of ``k``-byte strings such that every ``length``-byte window holds the one of least hash (the leftmost).
+def anchors(data: bytes, length: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each ``length``-byte window the ``k``-byte string of least hash (the leftmost of equals): its position, and the
+    first and last start of the windows that pick it, which are a run.
 
     Equal windows pick equal anchors at equal offsets, wherever they stand.
     """
     n, w = len(data), length - k + 1
     if n < length:
-        return np.zeros(0, np.int64)
-    step, out = 1 << 22, []
+        return (np.zeros(0, np.int64),) * 3
+    step, picks, firsts = 1 << 22, [], []
     for lo in range(0, n - length + 1, step):
         part = np.frombuffer(data, np.uint8, min(n - lo, step + length - 1), lo)
         up, down = _powers(len(part))
@@ -150,9 +153,13 @@ def anchors(data: bytes, length: int, k: int) -> np.ndarray:
         m = len(part) - length + 1
         least = np.minimum(right[:m], left[w - 1 : w - 1 + m])
         at = (least & np.uint64((1 << 24) - 1)).astype(np.int64)
-        out.append(at[np.r_[True, at[1:] != at[:-1]]] + lo)
-    at = np.concatenate(out)
-    return at[np.r_[True, at[1:] != at[:-1]]]
+        new = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+        picks.append(at[new] + lo)
+        firsts.append(new + lo)
+    pick, first = np.concatenate(picks), np.concatenate(firsts)
+    new = np.r_[True, pick[1:] != pick[:-1]]  # a run may go on in the next part
+    pick, first = pick[new], first[new]
+    return pick, first, np.r_[first[1:] - 1, n - length]
 
 
 def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -170,45 +177,82 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def repeated_windows(groups: list[list[bytes]], offsets: list[list[int]], length: int) -> list[list[list[int]]]:
-    """For each context of each group, the starts (in it) of windows that another context of the group has at the same
-    offset from its anchor. One suffix array over all contexts brings equal windows together."""
-    symbols: list[int] = []
-    owner, start, rel, family = [], [], [], []
-    for g, (texts, offs) in enumerate(zip(groups, offsets)):
-        for c, (text, off) in enumerate(zip(texts, offs)):
-            for s in range(len(text) - length + 1):
-                owner.append((g, c))
-                start.append(s)
-                rel.append(s - off)
-                family.append(g)
-            symbols.extend(b + 2 for b in text)
-            symbols.append(1)
-    found = [[[] for _ in texts] for texts in groups]
-    if len(owner) < 2:
-        return found
-    flat = np.array([s - 2 if s > 1 else 0 for s in symbols], np.uint8)
-    # index of the window that starts at each position, or -1
-    window = np.full(len(symbols), -1, np.int64)
-    at, k = 0, 0
-    for texts in groups:
-        for text in texts:
-            m = max(0, len(text) - length + 1)
-            window[at : at + m] = np.arange(k, k + m)
-            k += m
-            at += len(text) + 1
-    order = np.array(suffix_array(symbols), np.int64)
-    order = order[window[order] >= 0]
-    views = np.lib.stride_tricks.sliding_window_view(flat, length)
-    same = np.concatenate([(views[order[a : a + 20_000]] == views[order[a + 1 : a + 20_001]][: len(order[a : a + 20_000])]).all(axis=1) if a + 20_000 < len(order) else (views[order[a:-1]] == views[order[a + 1 :]]).all(axis=1) for a in range(0, len(order), 20_000)])
-    run = np.concatenate([np.zeros(1, np.int64), np.cumsum(~same[: len(order) - 1])])
-    w = window[order]
-    keys = np.stack([run, np.array(family)[w], np.array(rel)[w]], axis=1)
-    _, back, counts = np.unique(keys, axis=0, return_inverse=True, return_counts=True)
-    for x in w[counts[back.ravel()] > 1]:
-        g, c = owner[x]
-        found[g][c].append(start[x])
-    return found
+def can_share(texts: list[bytes], offsets: list[int], open_: list[bool], length: int, k: int) -> list[int]:
+    """Contexts of one anchor that may hold a window of another, by numbers. None that does is left out.
+
+    A window has l bytes before the anchor and length - k - l behind it. Cut down to eighths that is one of eight pairs
+    of reaches, so contexts that share a window agree on the bytes of one of these pairs.
+    """
+    unit = (length - k) // 8
+    by: dict[tuple[int, bytes], list[int]] = {}
+    for x, (text, off) in enumerate(zip(texts, offsets)):
+        for i in range(8):
+            left, right = off - unit * i, off + k + unit * (7 - i)
+            if left >= 0 and right <= len(text):
+                by.setdefault((i, text[left:right]), []).append(x)
+    return sorted({x for xs in by.values() if len(xs) > 1 and any(open_[x] for x in xs) for x in xs})
+
+
+def _rows_alike(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of rows that brings equal ones together, and in that order the number of each one's class."""
+    order = np.lexsort(columns[::-1])
+    new = np.zeros(len(order), bool)
+    for c in columns:
+        s = c[order]
+        new[1:] |= s[1:] != s[:-1]
+    return order, np.cumsum(new)
+
+
+def repeated_windows(family: np.ndarray, texts: list[bytes], offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(context, start in it) of each window that another context of its family has at the same offset from its anchor.
+
+    One suffix array over all contexts, in symbols of BLOCK bytes that are cut in step with the anchors, brings together
+    the suffixes that agree on as many symbols as any window holds whole. Such windows differ at most in the bytes
+    before the first and behind the last whole symbol; those are compared as they are.
+    """
+    size = np.array([len(t) for t in texts])
+    core = (length - BLOCK + 1) // BLOCK
+    rest = length - core * BLOCK
+    none = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    if len(texts) < 2:
+        return none
+    data, base = np.frombuffer(b"".join(texts), np.uint8), np.r_[0, np.cumsum(size)[:-1]]
+    first = offsets % BLOCK
+    many = np.maximum(0, (size - first) // BLOCK)
+    ctx = np.repeat(np.arange(len(texts)), many)
+    no = np.arange(len(ctx)) - np.repeat(np.cumsum(many) - many, many)
+    start = first[ctx] + BLOCK * no
+    _, name = np.unique(np.ascontiguousarray(data[(base[ctx] + start)[:, None] + np.arange(BLOCK)]).view("<u8").ravel(), return_inverse=True)
+    at = np.arange(len(ctx)) + ctx  # a separator stands behind each context
+    symbols = np.ones(len(ctx) + len(texts), np.int64)
+    symbols[at] = name + 2
+    which = np.full(len(symbols), -1)
+    which[at] = np.where(no + core <= many[ctx], np.arange(len(ctx)), -1)
+    order = np.array(suffix_array(symbols.tolist()), np.int64)
+    order = order[which[order] >= 0]
+    if len(order) < 2:
+        return none
+    views = np.lib.stride_tricks.sliding_window_view(symbols, core)
+    same = np.concatenate([(views[order[a : min(a + 20_000, len(order) - 1)]] == views[order[a + 1 : a + 20_001]]).all(axis=1) for a in range(0, len(order) - 1, 20_000)])
+    run = np.r_[0, np.cumsum(~same)]
+    x = which[order]
+    c = ctx[x]
+    by, alike = _rows_alike(run, family[c], (start[x] - offsets[c]) // BLOCK)
+    keep = np.bincount(alike)[alike] > 1
+    x, alike = x[by][keep], alike[keep]
+    # the windows whose first whole symbol stands here
+    before = np.tile(np.arange(BLOCK), len(x))
+    x, alike = np.repeat(x, BLOCK), np.repeat(alike, BLOCK)
+    c, s = ctx[x], start[x] - before
+    ok = (s >= 0) & (s + length <= size[c])
+    before, alike, c, s = before[ok], alike[ok], c[ok], s[ok]
+    j = np.arange(rest)
+    edge = data[(base[c] + s)[:, None] + j + np.where(j >= before[:, None], core * BLOCK, 0)]
+    wide = np.zeros((len(c), -(-rest // 8) * 8), np.uint8)
+    wide[:, :rest] = edge
+    by, equal = _rows_alike(alike, before, *wide.view("<u8").T)
+    hit = by[np.bincount(equal, minlength=1)[equal] > 1] if len(by) else by
+    return c[hit], s[hit]
 
 
 def _spans(starts: list[int], length: int) -> list[tuple[int, int]]:
@@ -219,63 +263,64 @@ def repeated_spans(docs: DataFrame, length: int = 200, k: int = ANCHOR, max_cont
     """(t, spans): for each text by its MD5 (binary), the byte spans covered by ``length``-byte strings that also start
     anywhere else, in another row or in the same text; merged, sorted. Texts without any are left out.
 
-    1. Each text's anchors are picked so that equal windows have equal anchors at equal offsets. An anchor's context is
-       all bytes of windows that hold it. Only hashes of anchors and contexts are shuffled.
+    1. Each window picks an anchor in it so that equal windows have equal anchors at equal offsets. An anchor's context is
+       all bytes of windows that pick it. Only hashes of anchors and contexts are shuffled.
     2. A context that occurs twice is repeated as a whole. An anchor that occurs once has no repeat.
     3. For the contexts left, of anchors that occur in several contexts, the bytes are read again, grouped by anchor,
-       and a suffix array over each batch of groups shows which windows repeat. Groups of over ``max_contexts`` are
+       and a suffix array over each batch of groups shows which windows repeat (contexts that can't share one stay out). Groups of over ``max_contexts`` are
        exact too: hashes of their windows are counted, spread over all tasks.
     """
-    spread = length - k
+    if not (k + 8 <= length < 1 << 15 and length >= 3 * BLOCK):
+        raise ValueError("windows have from k + 8 to 32767 bytes")
     texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).filter(F.octet_length("text") >= length)
     texts = texts.select(F.unhex(F.md5(F.col("text").cast("binary"))).alias("t"), F.col("text").cast("binary").alias("text"))
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_64_intdigest as h
 
-        cols: list[list] = [[], [], [], [], []]
+        cols: list[list] = [[] for _ in range(6)]
 
         def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(c, ty) for c, ty in zip(cols, kinds)], names=["t", "a", "c", "pos", "own"])
+            out = pa.RecordBatch.from_arrays([pa.array(c, ty) for c, ty in zip(cols, kinds)], names=["t", "a", "c", "s", "shape", "own"])
             for c in cols:
                 c.clear()
             return out
 
-        kinds = [pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int32())]
+        kinds = [pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int32())]
         for batch in batches:
             for t, text in zip(batch.column(0), batch.column(1)):
                 t, data = t.as_py(), text.as_py()
-                n, seen = len(data), {}
-                for p in anchors(data, length, k).tolist():
-                    s, e = max(0, p - spread), min(n, p + length)
-                    key = (_signed(h(data[p : p + k])), _signed(h(data[s:e], p - s)))
-                    seen.setdefault(key, []).append(p)
+                seen: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
+                for p, s, last in zip(*(x.tolist() for x in anchors(data, length, k))):
+                    key = (_signed(h(data[p : p + k])), _signed(h(data[s : last + length], p - s)))
+                    seen.setdefault(key, []).append((s, last + length, p - s))
                 for (a, c), where in seen.items():
                     own = None
                     if len(where) > 1:  # repeats within this text alone
-                        own = [x for span in merge([(max(0, p - spread), min(n, p + length)) for p in where]) for x in span]
-                    for col, v in zip(cols, (t, a, c, where[0], own)):
+                        own = [x for span in merge([w[:2] for w in where]) for x in span]
+                    s, e, off = where[0]
+                    for col, v in zip(cols, (t, a, c, s, off << 16 | e - s, own)):
                         col.append(v)
                 if len(cols[0]) > 50_000:
                     yield flush()
         if cols[0]:
             yield flush()
 
-    picked = materialise(texts.mapInArrow(pick, "t binary, a long, c long, pos int, own array<int>"), "anchors")
+    picked = materialise(texts.mapInArrow(pick, "t binary, a long, c long, s int, shape int, own array<int>"), "anchors")
     # equal (a, c) in one text is one row; ``own`` then counts for two
     occurs = F.when(F.col("own").isNull(), F.lit(1)).otherwise(F.lit(2))
     lead = picked.groupBy("a").agg(F.sum(occurs).alias("n"), F.min("c").alias("c0"), F.max("c").alias("c1"))
     shared = materialise(lead.filter("n > 1").select("a", (F.col("c0") != F.col("c1")).alias("mixed")), "shared")
     live = materialise(picked.join(shared, "a"), "live")
-    counts = live.filter("mixed").groupBy("a", "c").agg(F.sum(occurs).alias("n_c"), F.min(F.struct("t", "pos")).alias("one"))
+    counts = live.filter("mixed").groupBy("a", "c").agg(F.sum(occurs).alias("n_c"), F.min(F.struct("t", "s", "shape")).alias("one"))
     counts = materialise(counts, "contexts")
     # whole contexts
     again = counts.filter("n_c > 1").select("a", "c")
-    whole = live.filter("not mixed").select("t", "pos", "own").unionByName(live.filter("mixed").join(again, ["a", "c"], "left_semi").select("t", "pos", "own"))
-    whole_spans = whole.select("t", F.when(F.col("own").isNull(), F.array(F.greatest(F.col("pos") - spread, F.lit(0)), F.col("pos") + length)).otherwise(F.col("own")).alias("ends")).distinct()
+    whole = live.filter("not mixed").select("t", "s", "shape", "own").unionByName(live.filter("mixed").join(again, ["a", "c"], "left_semi").select("t", "s", "shape", "own"))
+    whole_spans = whole.select("t", F.when(F.col("own").isNull(), F.array(F.col("s"), F.col("s") + F.col("shape").bitwiseAND(0xFFFF))).otherwise(F.col("own")).alias("ends")).distinct()
     # contexts whose bytes must be seen: the single ones, and one of each repeated one to compare them with
-    wanted = counts.select("a", "c", F.col("one.t").alias("t"), F.col("one.pos").alias("pos"), (F.col("n_c") == 1).alias("open"))
-    by_text = materialise(wanted.groupBy("t").agg(F.collect_list(F.struct("a", "c", "pos", "open")).alias("wanted")), "wanted")
+    wanted = counts.select("a", "c", F.col("one.t").alias("t"), F.col("one.s").alias("s"), F.col("one.shape").alias("shape"), (F.col("n_c") == 1).alias("open"))
+    by_text = materialise(wanted.groupBy("t").agg(F.collect_list(F.struct("a", "c", "s", "shape", "open")).alias("wanted")), "wanted")
     open_texts = texts.join(F.broadcast(by_text) if by_text.count() <= MAX_BROADCAST_ROWS else by_text, "t")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -284,8 +329,8 @@ def repeated_spans(docs: DataFrame, length: int = 200, k: int = ANCHOR, max_cont
             for t, text, asked in zip(batch.column("t"), batch.column("text"), batch.column("wanted")):
                 t, data = t.as_py(), text.as_py()
                 for x in asked.as_py():
-                    s = max(0, x["pos"] - spread)
-                    rows.append((x["a"], x["c"], x["open"], t, s, x["pos"] - s, data[s : x["pos"] + length]))
+                    s, shape = x["s"], x["shape"]
+                    rows.append((x["a"], x["c"], x["open"], t, s, shape >> 16, data[s : s + (shape & 0xFFFF)]))
             if rows:
                 kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.int32(), pa.int32(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, ty) for c, ty in zip(zip(*rows), kinds)], names=["a", "c", "open", "t", "s", "off", "bytes"])
@@ -305,9 +350,20 @@ def repeated_spans(docs: DataFrame, length: int = 200, k: int = ANCHOR, max_cont
             groups: dict[int, list[tuple]] = {}
             for r in rows:
                 groups.setdefault(r[0], []).append(r)
-            sets = [g for g in groups.values() if len(g) > 1]
-            found = repeated_windows([[r[5] for r in g] for g in sets], [[r[4] for r in g] for g in sets], length)
-            out = [(r[2], [r[3] + x for span in _spans(starts, length) for x in span]) for g, f in zip(sets, found) for r, starts in zip(g, f) if r[1] and starts]
+            own, family = [], []
+            for no, g in enumerate(groups.values()):
+                if len(g) > 1 and any(r[1] for r in g):
+                    live = can_share([r[5] for r in g], [r[4] for r in g], [r[1] for r in g], length, k)
+                    own += [g[x] for x in live]
+                    family += [no] * len(live)
+            ctx, start = repeated_windows(np.array(family, np.int64), [r[5] for r in own], np.array([r[4] for r in own], np.int64), length)
+            by = np.lexsort((start, ctx))
+            ctx, start = ctx[by], start[by]
+            starts = np.split(start, np.flatnonzero(ctx[1:] != ctx[:-1]) + 1) if len(ctx) else []
+            out = []
+            for r, at in zip((own[x] for x in dict.fromkeys(ctx.tolist())), starts):
+                if r[1]:
+                    out.append((r[2], [r[3] + x for span in _spans(at.tolist(), length) for x in span]))
             return pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.binary()), pa.array([o[1] for o in out], pa.list_(pa.int32()))], names=["t", "ends"]) if out else None
 
         for batch in batches:
