@@ -9,6 +9,8 @@ from .common import SPACE, materialise
 
 #: A table of repeated keys is broadcast up to this many rows (about 24 MB); beyond it the digests are shuffled instead.
 MAX_BROADCAST_KEYS = 500_000
+#: The same for keys of dropped rows, which carry a digest (about 25 MB).
+MAX_BROADCAST_ROWS = 200_000
 
 
 def exact_dedup(
@@ -58,6 +60,8 @@ def exact_dedup(
     best = F.min(F.struct((-F.col("n_code_points")).alias("n"), F.col("id").isNull().alias("no_id"), F.col("id").alias("id")))
     groups = (rows.filter("survives").groupBy("content_hash").agg(F.count("*").alias("group_size"), best.alias("best"))
               .filter("group_size > 1").select("content_hash", "group_size", "best"))
+    # a table of its own: a join straight on the aggregate would share its exchange, and a hot group couldn't be split
+    groups = materialise(groups, "groups")
     out = rows.join(groups, "content_hash", "left").select(
         "id", F.when(F.col("group_size").isNull(), F.col("id")).otherwise(F.col("best.id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
@@ -69,12 +73,21 @@ def exact_dedup(
 def keep_one(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", **options) -> DataFrame:
     """The rows of ``docs`` that exact dedup keeps, all columns; of rows that tie in everything one stays.
 
-    Every row is keyed by (id, code points, digest); the kept keys are joined back, so only texts of rows whose group
-    has copies decide, and rows that tie on the whole key are told apart by a row number within the key.
+    Rows are keyed by (id, code points, digest). Keys of dropped rows are broadcast while they are few, so no text is
+    shuffled; beyond MAX_BROADCAST_ROWS texts are shuffled to them. Rows that share a kept key, if there are any, are
+    taken out and told apart by themselves.
     """
-    verdict = exact_dedup(docs, text_col, id_col, digest_all=True, **options).filter("kept")
-    kept = verdict.groupBy(F.col(id_col).alias("_id"), F.col("n_code_points").alias("_n"), F.col("content_hash").alias("_h")).agg(F.count("*").alias("_c")).drop("_c")
+    verdict = materialise(exact_dedup(docs, text_col, id_col, digest_all=True, **options).select(F.col(id_col).alias("_id"), F.col("n_code_points").alias("_n"), F.col("content_hash").alias("_h"), F.col("kept").alias("_kept")), "verdict")
+    key = ["_id", "_n", "_h"]
+    gone = verdict.filter("not _kept").select(*key)
+    tied = materialise(verdict.filter("_kept").groupBy(*key).agg(F.count("*").alias("_c")).filter("_c > 1").select(*key), "tied")
     text = F.coalesce(F.col(text_col), F.lit(""))
     keyed = docs.withColumns({"_n0": F.length(text), "_h0": F.sha2(F.regexp_replace(text, SPACE + "+", ""), 256)})
-    joined = keyed.join(kept, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_n0") == F.col("_n")) & (F.col("_h0") == F.col("_h")), "left_semi")
-    return joined.dropDuplicates([id_col, "_n0", "_h0"]).select(*docs.columns)
+    on = F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_n0") == F.col("_n")) & (F.col("_h0") == F.col("_h"))
+    few = lambda df: F.broadcast(df) if df.count() <= MAX_BROADCAST_ROWS else df
+    kept = keyed.join(few(gone), on, "left_anti")
+    if not tied.isEmpty():
+        tied = few(tied)
+        once = kept.join(tied, on, "left_semi").dropDuplicates([id_col, "_n0", "_h0"])
+        kept = kept.join(tied, on, "left_anti").unionByName(once)
+    return kept.select(*docs.columns)
