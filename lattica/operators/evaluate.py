@@ -242,6 +242,11 @@ def pathway_baseline(edges: DataFrame, seed_nodes: DataFrame) -> DataFrame:
     return mine.join(p, "pathway").filter("seed <> gene").groupBy("seed", "gene").agg(F.count("*").alias("common"))
 
 
+def pearson(x: str, y: str) -> Column:
+    """Pearson's r, null where one side doesn't vary."""
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def correlations(long: DataFrame, seeds: DataFrame, least: int = 10, zero_fill: bool = False) -> DataFrame:
     """(seed, entity, r): Pearson correlation over samples that both have, ``least`` at least.
 
@@ -251,13 +256,13 @@ def correlations(long: DataFrame, seeds: DataFrame, least: int = 10, zero_fill:
     v = long.filter(F.col("value").isNotNull() & ~F.isnan("value")).groupBy("entity", "sample").agg(F.max("value").alias("value"))
     mine = v.join(seeds.select(F.col("seed").alias("entity")), "entity", "left_semi").select(F.col("entity").alias("seed"), "sample", F.col("value").alias("y"))
     pairs = v.withColumnRenamed("value", "x").join(mine, "sample").filter("entity <> seed")
-    s = pairs.groupBy("seed", "entity").agg(F.count("*").alias("n"), F.corr("x", "y").alias("r"), F.sum("x").alias("sx"), F.sum("y").alias("sy"), F.sum(F.col("x") * F.col("y")).alias("sxy"))
+    s = pairs.groupBy("seed", "entity").agg(F.count("*").alias("n"), pearson("x", "y").alias("r"), F.sum("x").alias("sx"), F.sum("y").alias("sy"), F.sum(F.col("x") * F.col("y")).alias("sxy"))
     if not zero_fill:
         return s.filter((F.col("n") >= least) & F.col("r").isNotNull() & ~F.isnan("r")).select("seed", "entity", "n", "r")
     own = v.groupBy("entity").agg(F.count("*").alias("nx"), F.sum("value").alias("ax"), F.sum(F.col("value") * F.col("value")).alias("axx"))
     j = s.join(own, "entity").join(own.select(F.col("entity").alias("seed"), F.col("nx").alias("ny"), F.col("ax").alias("ay"), F.col("axx").alias("ayy")), "seed")
     n = F.col("nx") + F.col("ny") - F.col("n")
-    r = (F.col("sxy") - F.col("ax") * F.col("ay") / n) / F.sqrt((F.col("axx") - F.col("ax") ** 2 / n) * (F.col("ayy") - F.col("ay") ** 2 / n))
+    r = F.try_divide(F.col("sxy") - F.col("ax") * F.col("ay") / n, F.sqrt((F.col("axx") - F.col("ax") ** 2 / n) * (F.col("ayy") - F.col("ay") ** 2 / n)))
     return j.filter(n >= least).select("seed", "entity", n.alias("n"), r.alias("r")).filter(F.col("r").isNotNull() & ~F.isnan("r"))
 
 
@@ -275,7 +280,7 @@ def mean_ranks(df: DataFrame, column: str, name: str, partition: str | None = No
 
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
-    return mean_ranks(mean_ranks(df, x, "_rx"), y, "_ry").agg(F.corr("_rx", "_ry").alias("rho"), F.count("*").alias("n"))
+    return mean_ranks(mean_ranks(df, x, "_rx"), y, "_ry").agg(pearson("_rx", "_ry").alias("rho"), F.count("*").alias("n"))
 
 
 def mann_whitney(df: DataFrame, value: str, is_first: Column) -> DataFrame:

@@ -85,11 +85,11 @@ def ranked_candidates(edges: DataFrame, origins: DataFrame, max_hops: int = MAX_
     """
     lean = edges.select("head", "tail", signal().alias("s"), sign().alias("d"))
     # parallel edges: only the best of a pair can be on a best walk, which also thins hubs before the joins
-    lean = lean.groupBy("head", "tail").agg(F.max(F.struct("s", "d")).alias("e")).select("head", "tail", "e.s", "e.d")
+    lean = lean.groupBy("head", "tail").agg(F.max(F.struct("s", "d")).alias("e")).select(F.col("head").alias("node"), F.col("tail").alias("next"), "e.s", "e.d")
     state = origins.select("origin", F.col("origin").alias("node"), F.lit(1.0).alias("signal"), F.lit(1.0).alias("direction"))
     hops = None
     for h in range(1, max(1, max_hops) + 1):
-        walked = state.join(lean, state["node"] == lean["head"]).select("origin", lean["tail"].alias("node"), (F.col("signal") * F.col("s")).alias("signal"), (F.col("direction") * F.col("d")).alias("direction"))
+        walked = state.join(lean, "node").select("origin", F.col("next").alias("node"), (F.col("signal") * F.col("s")).alias("signal"), (F.col("direction") * F.col("d")).alias("direction"))
         best = walked.groupBy("origin", "node").agg(F.max(F.struct("signal", "direction")).alias("b"))
         state = best.select("origin", "node", "b.signal", "b.direction")
         level = state.withColumn("hops", F.lit(h))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.rules import canonical_relation
 from ..operators.build import TRIPLE_KEY, dedup_triples
+from ..operators.graph import cut
 from ..sources.sinks import append_edges
 
 
@@ -19,29 +20,32 @@ def stream_dedup(stream: DataFrame, canonical: bool = True) -> DataFrame:
     return keyed.dropDuplicates(["head", "_rel", "tail", "source", "version"]).drop("_rel")
 
 
-def load_batch(batch: DataFrame, path: str, first: bool = False, normalise: Callable[[DataFrame], DataFrame] | None = None) -> None:
-    """One micro-batch: dedup within it, drop keys that the table has, normalise, append (or replace on the first)."""
-    spark = batch.sparkSession
-    own = dedup_triples(batch, ["weight", "confidence", "effect_sign"])
-    if not first:
-        old = spark.read.parquet(f"{path}/keys")
-        own = own.join(old, list(TRIPLE_KEY), "left_anti")
-    own = own.persist()
-    own.select(*TRIPLE_KEY).write.mode("overwrite" if first else "append").parquet(f"{path}/keys")
-    append_edges(normalise(own) if normalise else own, f"{path}/edges", "overwrite" if first else "append")
-    own.unpersist()
+def _clear(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def run_stream(spark: SparkSession, source_dir: str, schema: str, path: str, max_files: int = 1, normalise: Callable[[DataFrame], DataFrame] | None = None) -> None:
-    """Loads all Parquet files of a folder as a stream, ``max_files`` per batch, until none is left.
+def load_batch(batch: DataFrame, path: str, batch_id: int, normalise: Callable[[DataFrame], DataFrame] | None = None) -> None:
+    """One micro-batch: dedup within it, drop keys of earlier batches, normalise, write. Batch 0 replaces the tables.
 
-    A batch that is run again after a failure finds its keys in the table and adds nothing twice.
+    Keys and edges lie below ``batch=<id>``, which a batch that runs again after a failure overwrites: nothing is lost
+    and nothing is there twice. The rows are cut first, since the tables they are compared with then change.
     """
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(source_dir)
-    seen = {"first": True}
+    spark = batch.sparkSession
+    own = dedup_triples(batch, ["weight", "confidence", "effect_sign"])
+    if batch_id == 0:
+        for part in ("keys", "edges"):
+            _clear(spark, f"{path}/{part}")
+    else:
+        old = spark.read.parquet(f"{path}/keys").filter(F.col("batch") < batch_id)
+        own = own.join(old.select(*TRIPLE_KEY), list(TRIPLE_KEY), "left_anti")
+    own = cut(own)
+    append_edges(normalise(own) if normalise else own, f"{path}/edges/batch={batch_id}", "overwrite")
+    own.select(*TRIPLE_KEY).write.mode("overwrite").parquet(f"{path}/keys/batch={batch_id}")
 
-    def each(batch: DataFrame, batch_id: int) -> None:
-        load_batch(batch, path, batch_id == 0 and seen["first"], normalise)
-        seen["first"] = False
 
-    stream.writeStream.foreachBatch(each).option("checkpointLocation", f"{path}/_progress").trigger(availableNow=True).start().awaitTermination()
+def run_stream(spark: SparkSession, source_dir: str, schema: str, path: str, max_files: int = 1, normalise: Callable[[DataFrame], DataFrame] | None = None) -> None:
+    """Loads all Parquet files of a folder as a stream, ``max_files`` per batch, until none is left."""
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(source_dir)
+    load = lambda batch, batch_id: load_batch(batch, path, batch_id, normalise)
+    stream.writeStream.foreachBatch(load).option("checkpointLocation", f"{path}/_progress").trigger(availableNow=True).start().awaitTermination()
