@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -254,19 +256,110 @@ def similar_pairs(sets: list[np.ndarray], first: int, least: float) -> Iterator[
     yield i[i < j], j[i < j]
 
 
+@lru_cache(8)
+def size_classes(similarity: float) -> list[int]:
+    """The least size of each class of set sizes; sets of ``similarity`` are of one class or of two neighbouring ones."""
+    starts = [1]
+    while starts[-1] < 1 << 40:
+        starts.append(int(starts[-1] / similarity + 1e-6) + 1)
+    return starts
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A one-to-one scramble of 64-bit numbers."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+@lru_cache(8)
+def _threes(parts: int) -> np.ndarray:
+    return np.array(list(combinations(range(parts), 3)))
+
+
+def signatures(values: np.ndarray, similarity: float) -> np.ndarray:
+    """64-bit keys of a set (sorted distinct uint64) such that any two sets of Jaccard ``similarity`` or more share one.
+
+    Sets that similar are of neighbouring size classes and differ in at most d elements, so of d + 1 + s ranges of the
+    hash at least 1 + s hold the same elements. A set gives a key for each range that it has elements in, in each of the
+    two pairs of classes it belongs to. Should all ranges that agree be empty, both sets have over s empty ones and
+    share more than s of them; then so do their lists of empty ranges without the last s, which they give keys for too.
+    Small sets (d < 4) give a key for each three ranges instead. About half as many keys as elements.
+    """
+    if not len(values):
+        return np.zeros(1, np.uint64)
+    starts = size_classes(similarity)
+    own = bisect_right(starts, len(values)) - 1
+    out = []
+    for k in range(max(0, own - 1), own + 1):
+        top = starts[k + 1] - 1
+        d = int((1 - similarity) / (1 + similarity) * (top + int(top / similarity + 1e-6)) + 1e-5)
+        spare = 2 if d < 4 else 2 + d // 10
+        parts = d + 1 + spare
+        part = ((values >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+        first = np.searchsorted(part, np.arange(parts, dtype=np.uint64))
+        some = np.diff(np.r_[first, len(values)]) > 0
+        sums = np.zeros(parts, np.uint64)
+        sums[some] = np.add.reduceat(values, first[some])
+        keys = _mixed(_mixed(sums) + np.uint64((k + 1) << 40) + np.arange(parts, dtype=np.uint64))
+        if d < 4:
+            out.append(_mixed(keys[_threes(parts)].sum(axis=1, dtype=np.uint64)))
+        else:
+            bare = np.flatnonzero(~some)
+            out += [keys[some], keys[bare[: max(0, len(bare) - spare)]]]
+    return np.concatenate(out)
+
+
+def _link_equal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, fp) sorted by both: (a, b) for each fp and the first one of its key, where they differ."""
+    last, low = None, 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key, fp = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(2))
+        new = np.r_[True, key[1:] != key[:-1]]
+        lows = fp[new]
+        if key[0] == last:
+            lows[0] = low
+        last, low = key[-1], lows[-1]
+        a = lows[np.cumsum(new) - 1]
+        pairs = np.unique(np.stack([a, fp])[:, a != fp], axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+
+
+def link_similar(docs: DataFrame, similarity: float, words: int, bits_words: int, text_col: str = "text") -> DataFrame:
+    """(a, b): links that connect the fingerprints of any two texts whose ``words``-word shingles have Jaccard ``similarity`` or more.
+
+    Others may be connected too. Each text is dealt out by its ``signatures``, 16 bytes a row; no pairs of a group are made.
+    """
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 500):
+                texts = batch.column(0).slice(lo, 500).to_pylist()
+                keys = [signatures(np.unique(np.array(shingle_hashes(t, words), np.uint64)), similarity) for t in texts]
+                fps = np.array([fingerprint(t, bits_words) for t in texts], np.uint64)
+                made = np.concatenate(keys), np.repeat(fps, [len(k) for k in keys])
+                yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in made], names=["key", "fp"])
+
+    dealt = docs.select(text_col).mapInArrow(deal, "key long, fp long")
+    return dealt.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_link_equal, "a long, b long")
+
+
 def near_copies(docs: DataFrame, similarity: float = 0.8, words: int = 5, bits_words: int = 2, budget: int = 9, agree: int = 2, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(id, h, group): rows with a near copy, keyed by id and the 128-bit hash of the text; group is the smallest key's number.
 
     Near copies share ``similarity`` or more (Jaccard) of their distinct ``words``-word shingles. Candidates come from
-    the trie join of SimHash fingerprints over ``bits_words``-word shingles within ``budget`` bits (measured: such pairs
-    of these corpora differ in 10 bits at most, 94 % of them in 9). Fingerprint groups are then compared exactly, in
+    the trie join of SimHash fingerprints over ``bits_words``-word shingles within ``budget`` bits, which misses pairs
+    that differ in more, and from ``link_similar``, which misses none. Groups of candidates are then compared exactly, in
     blocks of BLOCK_DOCS documents, and linked by pairs that are similar enough: no pair leaves a task, only a parent.
     """
     own = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     own = own.withColumn("fp", fingerprint_column(bits_words)("text")).select("id", F.md5("text").alias("h"), "fp")
     own = materialise(own.distinct(), "simhash")
     fps = own.select("fp").distinct()
-    links = connected_components(link_fingerprints(materialise(fps, "fingerprints"), budget, agree))
+    near = link_fingerprints(materialise(fps, "fingerprints"), budget, agree)
+    links = connected_components(near.unionByName(link_similar(docs, similarity, words, bits_words, text_col)))
     rows = own.join(links, own["fp"] == links["node"], "left").select("id", "h", F.coalesce("component", "fp").alias("coarse"))
     groups = rows.groupBy("coarse").agg(F.count("*").alias("n")).filter("n > 1").withColumn("blocks", F.ceil(F.col("n") / BLOCK_DOCS).cast("int"))
     members = rows.join(groups, "coarse").withColumn("node", F.monotonically_increasing_id())

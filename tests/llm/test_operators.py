@@ -254,6 +254,40 @@ def test_near_copies(spark, docs):
     assert len({(repr(i), t or "") for i, t in rows(kept.select("doc_id", "text"))}) == len(set(root))
 
 
+def test_signatures():
+    rng = np.random.default_rng(7)
+    tried = 0
+    for n in [*range(1, 60), *range(60, 3000, 97)] * 3:
+        for _ in range(4):
+            a = rng.integers(0, 2**64, n, dtype=np.uint64)
+            keep = a[rng.permutation(n)[: n - rng.integers(0, n // 5 + 1)]]
+            b = np.union1d(keep, rng.integers(0, 2**64, rng.integers(0, n // 4 + 1), dtype=np.uint64))
+            a = np.unique(a)
+            if len(keep) >= 0.8 * len(np.union1d(a, b)):
+                tried += 1
+                assert np.isin(simhash.signatures(a, 0.8), simhash.signatures(b, 0.8)).any()
+    assert tried > 300
+
+
+def test_near_copies_of_any_fingerprint(spark):
+    rng = random.Random(11)
+    line = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
+    made = []
+    for n in [3, 5, 8, 9, 12, 14, 20, 30, 50, 80, 150, 300] * 4:
+        base = line(n)
+        swapped = list(base)
+        swapped[rng.randrange(n)] = "other"
+        made += [base, base + line(n * 22 // 100), base[: n - n // 10] + line(n // 10), swapped, base + base[: n // 2], line(n)]
+    src = [(i, " ".join(w)) for i, w in enumerate(made)] + [(1000, ""), (1001, None), (1002, "  ")]
+    sets = [set(simhash.shingle_hashes(t, 5)) for _, t in src]
+    fps = [simhash.fingerprint(t, 2) for _, t in src]
+    pairs = [(i, j) for i in range(len(src)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    assert sum((fps[i] ^ fps[j]).bit_count() > 9 for i, j in pairs) > 20
+    kept = simhash.drop_near_copies(spark.createDataFrame(src, "doc_id long, text string"))
+    root = components(pairs, len(src))
+    assert {r["doc_id"] for r in kept.collect()} == {src[i][0] for i, r in enumerate(root) if r == i}
+
+
 def test_suffix_array():
     rng = random.Random(2)
     for _ in range(500):
