@@ -11,6 +11,8 @@ from .common import WORD, materialise
 
 #: Weights of the sources in order, repeated.
 CYCLE = (3.0, 1.0, 2.0)
+#: Weight schedules of the sources in order, repeated: one that fades, one that grows, one that peaks half-way.
+CURRICULUM = (((0.0, 1.5), (1.0, 0.5)), ((0.0, 0.5), (1.0, 1.5)), ((0.0, 0.5), (0.5, 1.5), (1.0, 0.5)))
 
 
 def word_count(text: Column) -> Column:
@@ -76,13 +78,15 @@ def mix(
     id_col: str = "doc_id",
     source_col: str = "source",
 ) -> DataFrame:
-    """One row per document: id, source, size, source_size, target, taken, copies, position (of its first taking, or null).
+    """One row per document: id, source, size, source_size, target, taken, copies, positions (of its takings, in order),
+    position (of its first taking, or null).
 
     A source's documents stand in the order of md5(id), the stream repeats ``max_repeats`` times, and the source gives
     the first ``target`` words of it (rounded to a word): a document is taken once for each pass in which it lies wholly
     before that mark, and the one document across the mark gives the words before it. With ``whole_documents`` that one
-    is taken whole if its middle lies before the mark, else not at all. Offset over target is the met share of the
-    source's demand; inverting the integral of its weight schedule gives the training position in 0..1.
+    is taken whole if its middle lies before the mark, else not at all. A taking's offset in the stream over target is
+    the met share of the source's demand; inverting the integral of its weight schedule gives the training position in
+    0..1. Sources without a schedule of their own are flat; without ``schedules`` those of CURRICULUM hold.
 
     Running totals are exact and have no hot group: each source is cut into ranges of md5 of about ``rows_per_bucket``
     documents, ranges are summed, and only the sums are accumulated over a source.
@@ -93,15 +97,15 @@ def mix(
     base = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")).withColumn("rank", F.md5(F.coalesce(F.col("id").cast("string"), F.lit("")).cast("binary")))
     base = materialise(base, "sizes")
     by_source = base.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
+    by_source = by_source.withColumn("place", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1)
     if weights is None:
-        place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-        by_source = by_source.withColumn("weight", F.element_at(F.array(*map(F.lit, CYCLE)), (place % len(CYCLE) + 1).cast("int")))
+        by_source = by_source.withColumn("weight", F.element_at(F.array(*map(F.lit, CYCLE)), (F.col("place") % len(CYCLE) + 1).cast("int")))
     else:
         weight = F.lit(0.0)
         for source, value in weights.items():
             weight = F.when(F.col("source").eqNullSafe(F.lit(source)), F.lit(float(value))).otherwise(weight)
         by_source = by_source.withColumn("weight", weight)
-    wanted = targets(by_source, share, max_repeats).withColumn("cuts", F.ceil(F.col("n_docs") / rows_per_bucket)).select("source", "source_size", "target", "cuts")
+    wanted = targets(by_source, share, max_repeats).withColumn("cuts", F.ceil(F.col("n_docs") / rows_per_bucket)).select("source", "source_size", "target", "cuts", "place")
     wanted = materialise(wanted.withColumn("key", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("null"))).drop("source"), "targets")
     # md5 as 32 bits: 0 <= head < 2^32
     head = F.conv(F.substring("rank", 1, 8), 16, 10).cast("long")
@@ -111,19 +115,29 @@ def mix(
     inner = Window.partitionBy("key", "cut").orderBy("rank", F.col("id").asc_nulls_last(), "size").rowsBetween(Window.unboundedPreceding, 0)
     at = cut.withColumn("inside", F.sum("size").over(inner) - F.col("size")).join(starts, ["key", "cut"]).withColumn("at", F.col("start") + F.col("inside"))
     mark = F.floor(F.col("target") + F.lit(0.5)).cast("long")
-    taken, copies = F.lit(0).cast("long"), F.lit(0).cast("int")
+    flat = ((0.0, 1.0), (1.0, 1.0))
+
+    def when(begin: Column) -> Column:
+        met = F.when(F.col("target") > 0, begin / F.col("target"))
+        if schedules is None:
+            choices = [(F.col("place") % len(CURRICULUM) == k, schedule) for k, schedule in enumerate(CURRICULUM)]
+        else:
+            choices = [(F.col("source").eqNullSafe(F.lit(source)), schedule) for source, schedule in schedules.items()]
+        out = position(met, flat)
+        for here, schedule in choices:
+            out = F.when(here, position(met, schedule)).otherwise(out)
+        return out
+
+    taken, copies, takings = F.lit(0).cast("long"), F.lit(0).cast("int"), []
     for again in range(max_repeats):
         begin = F.col("at") + F.lit(again) * F.col("source_size")
         part = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), mark - begin))
         whole = (2 * begin + F.col("size") < 2 * mark) & (F.col("size") > 0)
         taken = taken + (F.when(whole, F.col("size")).otherwise(F.lit(0)) if whole_documents else part)
         copies = copies + (whole if whole_documents else part > 0).cast("int")
-    met = F.when(F.col("target") > 0, F.col("at") / F.col("target"))
-    flat = ((0.0, 1.0), (1.0, 1.0))
-    when = position(met, flat)
-    for source, schedule in (schedules or {}).items():
-        when = F.when(F.col("source").eqNullSafe(F.lit(source)), position(met, schedule)).otherwise(when)
-    return at.select("id", "source", "size", "source_size", "target", taken.alias("taken"), copies.alias("copies"), when.alias("position")).withColumn("position", F.when(F.col("copies") > 0, F.col("position"))).withColumnRenamed("id", id_col)
+        takings.append(F.when(whole if whole_documents else part > 0, when(begin)))
+    out = at.select("id", "source", "size", "source_size", "target", taken.alias("taken"), copies.alias("copies"), F.array_compact(F.array(*takings)).alias("positions"))
+    return out.withColumn("position", F.get("positions", F.lit(0))).withColumnRenamed("id", id_col)
 
 
 def in_training_order(mixed: DataFrame) -> DataFrame:
@@ -133,24 +147,25 @@ def in_training_order(mixed: DataFrame) -> DataFrame:
 
 
 def apply_mix(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source", **options) -> DataFrame:
-    """The mixed corpus: whole rows of ``docs``, one per taking, range-sorted by training position.
+    """The mixed corpus: whole rows of ``docs``, one per taking, range-sorted by the taking's own training position.
 
-    A document taken twice is there twice; one not taken is not there. Decisions are by (id, source, size), which rows
-    that agree on all three share in turn.
+    A document taken twice is there twice, the second time where its source's stream comes round to it again; one not
+    taken is not there. Decisions are by (id, source, size); rows that agree on all three are numbered and get one each.
     """
     mixed = mix(docs, whole_documents=True, text_col=text_col, id_col=id_col, source_col=source_col, **options)
-    by = mixed.groupBy(F.col(id_col).alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_n")).agg(F.count("*").alias("_rows"), F.sum("copies").alias("_copies"), F.min("position").alias("_at")).filter("_copies > 0")
-    by = materialise(by, "taken")
+    key = Window.partitionBy("_id", "_source", "_n")
+    by = mixed.select(F.col(id_col).alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_n"), F.col("positions").alias("_positions"))
+    by = by.withColumn("_nth", F.row_number().over(key.orderBy("_positions"))).withColumn("_rows", F.count("*").over(key))
+    by = materialise(by.filter(F.size("_positions") > 0), "taken")
     keyed = docs.withColumn("_size", word_count(F.col(text_col)))
     on = F.col(id_col).eqNullSafe(F.col("_id")) & F.col(source_col).eqNullSafe(F.col("_source")) & (F.col("_size") == F.col("_n"))
-    rows = keyed.join(by, on)
-    each = F.floor(F.col("_copies") / F.col("_rows")).cast("int")
-    # rows that share a key get equal copies; what doesn't divide goes to the first of them
-    left = F.when(F.col("_rows") == 1, F.lit(0)).otherwise(F.when(F.row_number().over(Window.partitionBy("_id", "_source", "_n").orderBy(F.md5(F.coalesce(F.col(text_col), F.lit(""))))) <= F.col("_copies") % F.col("_rows"), F.lit(1)).otherwise(F.lit(0)))
-    shared = rows.filter("_rows > 1").withColumn("_times", each + left)
-    single = rows.filter("_rows = 1").withColumn("_times", each)
-    taken = single.unionByName(shared).filter("_times > 0").withColumn("_pass", F.explode(F.sequence(F.lit(1), F.col("_times"))))
-    return taken.repartitionByRange("_at", "_pass", id_col).sortWithinPartitions("_at", "_pass", id_col).select(*docs.columns)
+    single = keyed.join(by.filter("_rows = 1"), on)
+    # rows that share a key are numbered by text and meet the decision of their number
+    several = by.filter("_rows > 1").select("_id", "_source", "_n").distinct()
+    own = keyed.join(several, on).withColumn("_own", F.row_number().over(key.orderBy(F.md5(F.coalesce(F.col(text_col), F.lit("")))))).drop("_id", "_source", "_n")
+    shared = own.join(by.filter("_rows > 1"), on & (F.col("_own") == F.col("_nth")))
+    taken = single.select(*docs.columns, "_positions").unionByName(shared.select(*docs.columns, "_positions")).withColumn("_at", F.explode("_positions"))
+    return taken.repartitionByRange("_at", id_col).sortWithinPartitions("_at", id_col).select(*docs.columns)
 
 
 ORACLE_OP2 = r"""

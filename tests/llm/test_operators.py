@@ -100,6 +100,24 @@ def test_schedule_inversion(spark):
     assert np.allclose(np.interp(got, grid, demand) / demand[-1], xs, atol=1e-6)
 
 
+def test_mix_holds_at_all_times(spark):
+    made = [(i, "w " * 10, f"s{i % 6}") for i in range(1800)] + [(None, "w " * 10, "s0")] * 30
+    df = spark.createDataFrame(made, "doc_id long, text string, source string")
+    flat = {f"s{k}": ((0, 1), (1, 1)) for k in range(6)}
+    weights = {f"s{k}": w for k, w in enumerate([3, 1, 2, 3, 1, 2])}
+    order = [r["source"] for r in mixing.apply_mix(df, weights=weights, schedules=flat).collect()]
+    want = {s: order.count(s) / len(order) for s in flat}
+    for q in range(4):
+        part = order[len(order) * q // 4 : len(order) * (q + 1) // 4]
+        assert all(part.count(s) / len(part) == pytest.approx(want[s], abs=0.02) for s in flat)
+    seen = [i for i, r in enumerate(mixing.apply_mix(df, weights=weights, schedules=flat).collect()) if r["doc_id"] == 3]
+    assert len(seen) == 2 and seen[1] - seen[0] == pytest.approx(len(order) / 2, rel=0.05)
+    mixed = mixing.mix(df, whole_documents=True).collect()
+    assert all(len(r["positions"]) == r["copies"] and r["positions"] == sorted(r["positions"]) for r in mixed)
+    early = {s: np.mean([x < 0.5 for r in mixed if r["source"] == s for x in r["positions"]]) for s in flat}
+    assert early["s0"] > 0.6 and early["s1"] < 0.4 and early["s2"] == pytest.approx(0.5, abs=0.03)
+
+
 def test_warc_round_trip(spark, tmp_path):
     big = "<p>é" + "x" * 300_000
     pages = [(i, f"http://h/{i}", h, "junk") for i, h in enumerate(["<a>" * 50, big, None, "", "short", "short", "<a>" * 50, big, "\r\n\r\nWARC/1.1\r\n" * 20, "<a>" * 50])]
