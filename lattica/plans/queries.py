@@ -148,6 +148,12 @@ def g11_components(spark, sf):
     return graph.components(edges(spark, sf).filter(F.col("relation").isin("participates", "has_condition")))
 
 
+@query()
+def g12_all_components(spark, sf):
+    """Of all edges; without SQL, as their components are no stars."""
+    return graph.components(edges(spark, sf))
+
+
 @kg(", arcs AS (SELECT DISTINCT head, tail FROM edges WHERE head <> tail), w AS (SELECT head, tail, count(*) AS w FROM (SELECT head, tail FROM arcs UNION ALL SELECT tail, head FROM arcs) GROUP BY head, tail),"
     " d AS (SELECT head, sum(w) AS d, count(*) FILTER (w = 2) AS r FROM w GROUP BY head),"
     " t AS (SELECT a.head, sum(a.w * b.w * c.w) / 2 AS t FROM w a JOIN w b ON a.tail = b.head JOIN w c ON b.tail = c.tail AND a.head = c.head WHERE a.head <> b.tail GROUP BY a.head)"
