@@ -5,9 +5,10 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 from functools import lru_cache
+from types import MappingProxyType
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -38,6 +39,8 @@ _SSN = re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])")
 _CARD = re.compile(r"(?<![\w-])\d(?:[ -]?\d){12,18}(?![\w-])")
 _PHONE = re.compile(r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\w)|(?<![\w(])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\w)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-])")
 _NAME = re.compile(r"\b(?:(" + "|".join(TITLES) + r")\.? )?((?:[A-ZÀ-ÖØ-ÞА-ЯЁ][^\W\d_]+[ -]){1,3})?([A-ZÀ-ÖØ-ÞА-ЯЁ][^\W\d_]+)\b")
+#: Country codes of one and two digits; all others have three.
+_COUNTRY = re.compile(r"1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3}")
 _WORD = re.compile(r"[^\W\d_]+")
 _GENDER = {name: group for group, names in GIVEN.items() for name in names}
 
@@ -107,8 +110,13 @@ def _digits(text: str, new: list[int]) -> str:
     return "".join(str(next(it)) if c.isdigit() else c for c in text)
 
 
-def surrogate(key: bytes, kind: str, text: str) -> str:
-    """The replacement of one entity; equal entities get equal ones, different ones of a kind different ones."""
+def surrogate(key: bytes, kind: str, text: str, again: int = 0) -> str:
+    """The replacement of one entity; equal entities get equal ones, different ones of a kind different ones.
+
+    ``again`` numbers the further keys that entities take whose first surrogate another one has.
+    """
+    if again:
+        key = hmac.new(key, b"again%d" % again, hashlib.sha256).digest()
     digits = [int(c) for c in text if c.isdigit()] if kind not in ("email", "secret", "iban") and not kind.startswith("given") else []
     if kind == "card":  # as far from a valid check digit as the original, so valid numbers stay valid
         new = permute(key, f"card{len(digits)}", digits[:-1], [10] * (len(digits) - 1))
@@ -117,14 +125,15 @@ def surrogate(key: bytes, kind: str, text: str) -> str:
         return _digits(text, permute(key, "ssn", digits, [10] * 9))
     if kind == "ip":
         return ".".join(map(str, permute(key, "ip", [int(x) for x in text.split(".")], [256] * 4)))
-    if kind == "phone":  # the country code stays
-        code = len(m[1]) if (m := re.match(r"\+(\d{1,3})(?!\d)", text)) else 0
+    if kind == "phone":  # the country code stays, however the number is spaced
+        code = len(m[0]) if text.startswith("+") and (m := _COUNTRY.match("".join(map(str, digits)))) else 0
         rest = digits[code:]
         return _digits(text, digits[:code] + permute(key, f"phone{digits[:code]}", rest, [10] * len(rest)))
     if kind == "iban":
         plain = text.replace(" ", "")
         body = like(key, "iban" + plain[:2], plain[4:])
-        check = 98 - int("".join(str(int(c, 36)) for c in body + plain[:2] + "00")) % 97
+        right = lambda of: 98 - int("".join(str(int(c, 36)) for c in of + plain[:2] + "00")) % 97
+        check = (right(body) + int(plain[2:4]) - right(plain[4:])) % 100  # as far from valid as the original's
         it = iter(f"{plain[:2]}{check:02d}{body}")
         return "".join(c if c == " " else next(it) for c in text)
     if kind == "email":
@@ -197,29 +206,38 @@ def find(text: str) -> list[Entity]:
 
 def canonical(kind: str, text: str) -> str:
     """Forms of one entity that differ in format only are one."""
-    if kind in ("card", "ssn", "phone"):
-        return re.sub(r"\D", "", text)
-    return text.replace(" ", "").upper() if kind == "iban" else text.lower() if kind in ("email", "surname") else text
+    if kind in ("card", "ssn", "phone"):  # a number with a country code is none of the same digits without
+        return "+" * text.startswith("+") * (kind == "phone") + re.sub(r"\D", "", text)
+    if kind == "ip":
+        return ".".join(str(int(x)) for x in text.split("."))
+    if kind in ("email", "surname"):  # what ``like`` takes for one letter
+        return "".join(low if (low := c.lower()) in _CLASS and c == low.upper() else c for c in text)
+    return text.replace(" ", "").upper() if kind == "iban" else text
 
 
-def replace(key: bytes, text: str) -> tuple[str, list[Entity]]:
+Retries = Mapping[tuple[str, str], int]
+
+
+def replace(key: bytes, text: str, retries: Retries = MappingProxyType({})) -> tuple[str, list[Entity]]:
     out, at = [], 0
     found = find(text)
     for e in found:
-        out += [text[at : e.start], surrogate(key, e.kind, e.text)]
+        out += [text[at : e.start], surrogate(key, e.kind, e.text, retries.get((e.kind, canonical(e.kind, e.text)), 0) if retries else 0)]
         at = e.end
     return "".join([*out, text[at:]]), found
 
 
-def entities(docs: DataFrame, key: str, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+def entities(docs: DataFrame, key: str, text_col: str = "text", id_col: str = "doc_id", retries: Retries | None = None) -> DataFrame:
     """One row per entity found: id, kind, original (canonical), surrogate (canonical), start, end (in characters)."""
-    secret, kind_of_id = key.encode(), docs.schema[id_col].dataType.simpleString()
+    secret, kind_of_id, retries = key.encode(), docs.schema[id_col].dataType.simpleString(), dict(retries or {})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for k, text in enumerate(batch.column(1)):
-                rows += [(k, e.kind, canonical(e.kind, e.text), canonical(e.kind, surrogate(secret, e.kind, e.text)), e.start, e.end) for e in find(text.as_py() or "")]
+                for e in find(text.as_py() or ""):
+                    own = canonical(e.kind, e.text)
+                    rows.append((k, e.kind, own, canonical(e.kind, surrogate(secret, e.kind, e.text, retries.get((e.kind, own), 0))), e.start, e.end))
             if rows:
                 which, *cols = zip(*rows)
                 kinds = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32()]
@@ -234,6 +252,34 @@ def collisions(found: DataFrame) -> DataFrame:
     return once.groupBy("kind", "surrogate").agg(F.count("*").alias("originals")).filter("originals > 1")
 
 
+def split(found: DataFrame) -> DataFrame:
+    """(kind, original, surrogates): originals with more than one surrogate, over the whole corpus."""
+    once = found.groupBy("kind", "original", "surrogate").agg(F.count("*").alias("n"))
+    return once.groupBy("kind", "original").agg(F.count("*").alias("surrogates")).filter("surrogates > 1")
+
+
+def settle(docs: DataFrame, key: str, text_col: str = "text", id_col: str = "doc_id", rounds: int = 20) -> dict[tuple[str, str], int]:
+    """Which further key each (kind, original) takes so that no two originals of the corpus share a surrogate.
+
+    Of the originals that share one the first keeps it and the others go on to their next key, until none is shared.
+    """
+    retries: dict[tuple[str, str], int] = {}
+    for _ in range(rounds):
+        found = materialise(entities(docs, key, text_col, id_col, retries).select("kind", "surrogate", "original"), "entities")
+        if (torn := split(found).first()) is not None:
+            raise RuntimeError(f"an original of kind {torn['kind']} has {torn['surrogates']} surrogates")
+        shared = found.join(collisions(found).select("kind", "surrogate"), ["kind", "surrogate"], "left_semi").distinct().collect()
+        if not shared:
+            return retries
+        firsts: dict[tuple[str, str], str] = {}
+        for r in shared:
+            firsts[r["kind"], r["surrogate"]] = min(r["original"], firsts.get((r["kind"], r["surrogate"]), r["original"]))
+        for r in shared:
+            if firsts[r["kind"], r["surrogate"]] != r["original"]:
+                retries[r["kind"], r["original"]] = retries.get((r["kind"], r["original"]), 0) + 1
+    raise RuntimeError(f"surrogates are still shared after {rounds} rounds")
+
+
 def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", id_col: str = "doc_id", check: bool = True) -> DataFrame:
     """One row per input row: id, n_entities, kinds (sorted distinct, comma-joined), text with surrogates.
 
@@ -241,22 +287,20 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", id_col: str
     given name or title. A surrogate comes from a keyed permutation of all entities of its format: equal entities get
     equal surrogates in every document (coreference) and different ones different surrogates (distinctness), without any
     table. Format, length, case, script, a given name's gender, country codes and check digits stay as they were. With
-    ``check`` the whole corpus is searched for surrogates with two originals first; that raises an error.
+    ``check`` the whole corpus is searched first: originals that share a surrogate get others, by further keys (see
+    ``settle``), and an original with two surrogates raises an error.
 
     Null text stays null with no entity; texts without entities come back unchanged. Repeated rows get equal results;
     extra columns are ignored; an empty table gives an empty result.
     """
-    if check:
-        bad = collisions(materialise(entities(docs, key, text_col, id_col).select("kind", "surrogate", "original"), "entities")).first()
-        if bad is not None:
-            raise RuntimeError(f"a surrogate of kind {bad['kind']} stands for {bad['originals']} originals")
+    retries = settle(docs, key, text_col, id_col) if check else {}
     secret, kind_of_id = key.encode(), docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 1000):
                 part = batch.slice(lo, 1000)
-                made = [(None, []) if (t := x.as_py()) is None else replace(secret, t) for x in part.column(1)]
+                made = [(None, []) if (t := x.as_py()) is None else replace(secret, t, retries) for x in part.column(1)]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array([len(e) for _, e in made], pa.int64()), pa.array([",".join(sorted({x.kind for x in e})) for _, e in made], pa.string()), pa.array([t for t, _ in made], pa.string())],
                     names=[id_col, "n_entities", "kinds", "text"])

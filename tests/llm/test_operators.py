@@ -202,6 +202,56 @@ def test_pii_documents(spark, docs):
     assert pii.pseudonymise(docs.limit(0), "k").count() == 0
 
 
+def test_pii_one_to_one(spark):
+    one = lambda kind, text: pii.canonical(kind, pii.surrogate(b"k", kind, text))
+    for forms in (["+19745553436", "+1 974 555 3436", "+1 (974) 555-3436"], ["+491701234567", "+49 170 1234567"], ["+35312345678", "+353 1 234 5678"]):
+        assert len({pii.canonical("phone", f) for f in forms}) == len({one("phone", f) for f in forms}) == 1
+    assert one("phone", "+49 170 1234567").startswith("+49") and one("phone", "+353 1 234 5678").startswith("+353")
+    ibans = [f"DE{c:02d}370400440532013000" for c in range(100)]
+    assert len({one("iban", i) for i in ibans}) == 100
+    new = one("iban", "DE89370400440532013000")
+    assert int("".join(str(int(c, 36)) for c in new[4:] + new[:4])) % 97 == 1
+    assert one("ip", "10.01.2.3") == one("ip", "10.1.2.3") and pii.canonical("ip", "10.01.2.3") == "10.1.2.3"
+    # two kinds of secret with one surrogate: a hex one, and one whose letters and digits map onto the same string
+    made = {}
+    for i in range(60_000):
+        made[pii.surrogate(b"k", "secret", f"{i:08x}")] = f"{i:08x}"
+    hit = next((o for t in made if (o := unlike(b"k", "secret", t)) and not re.fullmatch("[0-9a-f]+", o)), None)
+    other = made[pii.surrogate(b"k", "secret", hit)]
+    df = spark.createDataFrame([(1, f"token={hit}"), (2, f"token={other}"), (3, f"token={hit} token={other}")], "doc_id long, text string")
+    assert pii.collisions(pii.entities(df, "k")).count() == 1
+    got = {r["doc_id"]: r["text"] for r in pii.pseudonymise(df, "k").collect()}
+    assert got[1] != got[2] and got[3] == f"{got[1]} {got[2]}"
+
+
+def unlike(key, tweak, text):
+    """The inverse of pii.like for lower-case text of digits and a-z."""
+    found = [pii._CLASS[c] for c in text]
+    shape = "".join(chr(97 + k) for k, _ in found)
+    sizes = [len(pii.CLASSES[k]) for k, _ in found]
+    half, name = len(text) // 2, ",".join(map(str, sizes))
+
+    def pack(part):
+        v = 0
+        for (_, i), n in part:
+            v = v * n + i
+        return v
+
+    cells = list(zip(found, sizes))
+    a, b, na, nb = pack(cells[:half]), pack(cells[half:]), int(np.prod(sizes[:half])), int(np.prod(sizes[half:]))
+    for r in reversed(range(4)):
+        b = (b - pii._number(key, f"{tweak}/{shape}", name, r, "b", a)) % nb
+        a = (a - pii._number(key, f"{tweak}/{shape}", name, r, "a", b)) % na
+    out = []
+    for v, ns in ((b, sizes[half:]), (a, sizes[:half])):
+        for n in reversed(ns):
+            v, x = divmod(v, n)
+            out.append(x)
+    back = "".join(pii.CLASSES[k][x] for (k, _), x in zip(found, out[::-1]))
+    assert pii.like(key, tweak, back) == text
+    return back
+
+
 def brute_simhash(src, n, budget):
     from xxhash import xxh64
 
