@@ -1,24 +1,31 @@
-"""Byte-level BPE by corpus-level merge replay over distinct words, and decoding."""
+"""Byte-level BPE: each distinct word of the corpus is encoded once by merge replay, then texts are put together again."""
 
 from __future__ import annotations
 
 import base64
 import hashlib
 import heapq
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
-from itertools import chain
 
+import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Words whose ids a worker remembers, about 120 MB; words beyond that are encoded again when they come again.
-MEMORY_WORDS = 300_000
+from .common import materialise
+
+#: A chunk of texts ends when its dictionary holds so many words (about 8 MB), so that a word's number takes two bytes.
+CHUNK_WORDS = 1 << 16
+#: It also ends at so many characters of text.
+CHUNK_CHARS = 32 << 20
+#: Bytes of distinct words, and rows that ask for them, that one replay takes: about 60 MB.
+REPLAY_BYTES, REPLAY_ROWS = 1 << 20, 1 << 20
 
 
 class Vocabulary:
-    """Ranks of byte strings; merges follow from them."""
+    """Ranks of byte strings. A token's id is its rank, and the rank of the merge that makes it."""
 
     def __init__(self, path: str, pattern: str):
         import regex
@@ -27,143 +34,131 @@ class Vocabulary:
             self.rank = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.token = {v: k for k, v in self.rank.items()}
         self.words = regex.compile(pattern).findall
-        self.byte = [self.rank[bytes([b])] for b in range(256)]
-        self.decimal = {v: str(v) for v in self.token}
-        self.pairs: dict[tuple[int, int], int | None] = {}
-        self.known: dict[str, tuple[int, ...]] = {}
-
-    def merged(self, left: int, right: int) -> int | None:
-        """The id that the pair merges to: merges are in rank order, so it is the merge's rank too."""
-        try:
-            return self.pairs[left, right]
-        except KeyError:
-            if len(self.pairs) > 2_000_000:
-                self.pairs.clear()
-            found = self.pairs[left, right] = self.rank.get(self.token[left] + self.token[right])
-            return found
-
-    def alone(self, ids: list[int]) -> list[int]:
+        self.byte = np.array([self.rank[bytes([b])] for b in range(256)], np.int64)
+        made = {}
+        for token, rank in self.rank.items():
+            for i in range(1, len(token)):
+                left, right = self.rank.get(token[:i]), self.rank.get(token[i:])
+                if left is not None and right is not None:
+                    made[left << 32 | right] = rank
+        self.pair = np.array(sorted(made), np.int64)
+        self.made = np.array([made[p] for p in self.pair.tolist()], np.int64)
+
+    def merged(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The id that each pair merges to, -1 for none."""
+        key = left << 32 | right
+        at = np.minimum(np.searchsorted(self.pair, key), len(self.pair) - 1)
+        return np.where(self.pair[at] == key, self.made[at], -1)
+
+    def alone(self, word: bytes) -> list[int]:
         """One word by its definition: merge the leftmost pair of lowest rank until none is left."""
-        ids = list(ids)
-        while len(ids) > 1:
-            ranks = [(r, i) for i in range(len(ids) - 1) if (r := self.merged(ids[i], ids[i + 1])) is not None]
-            if not ranks:
-                break
-            rank, i = min(ranks)
-            ids[i : i + 2] = [rank]
-        return ids
-
-    def replay(self, words: Iterable[bytes]) -> list[tuple[int, ...]]:
-        """Ids of each word. All words stand in one array of symbols; an inverted index leads from each pair to the
-        positions where it may start, and merges are applied to all their positions in rank order, which changes only
-        the neighbours' entries. A stale entry no longer holds its pair and is passed over.
-
-        A merge can make a pair of lower rank than its own (ranks are by bytes, not by a merge list). It then is the
-        word's next merge, before the positions that remain of the current one, so those are put back first.
-        """
-        words = list(words)
-        symbol: list[int] = []
-        ends: list[int] = []
-        for w in words:
-            symbol.extend(map(self.byte.__getitem__, w))
-            ends.append(len(symbol))
-        n = len(symbol)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        start = 0
-        for e in ends:
-            if e > start:
-                after[e - 1], before[start] = -1, -1
-            start = e
-        index: dict[int, list[int]] = {}
-        merged = self.merged
-        start = 0
-        for e in ends:
-            for i in range(start, e - 1):
-                if (r := merged(symbol[i], symbol[i + 1])) is not None:
-                    index.setdefault(r, []).append(i)
-            start = e
-        heap = list(index)
+        symbol = self.byte[np.frombuffer(word, np.uint8)].tolist()
+        after, before = [*range(1, len(word)), -1], list(range(-1, len(word) - 1))
+        rank = lambda i, j: self.rank.get(self.token[symbol[i]] + self.token[symbol[j]])
+        heap = [(r, i) for i in range(len(word) - 1) if (r := rank(i, i + 1)) is not None]
         heapq.heapify(heap)
+        while heap:
+            r, i = heapq.heappop(heap)
+            j = after[i]
+            if symbol[i] < 0 or j < 0 or rank(i, j) != r:
+                continue
+            symbol[i], symbol[j] = r, -1
+            after[i] = after[j]
+            if after[i] >= 0:
+                before[after[i]] = i
+            for a in (i, before[i]):
+                if a >= 0 and after[a] >= 0 and (new := rank(a, after[a])) is not None:
+                    heapq.heappush(heap, (new, a))
+        return [s for s in symbol if s >= 0]
+
+    def replay(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words, one after the other, and how many each has.
+
+        All words stand in one array of symbols. An inverted index leads from each merge to the positions where it may
+        apply. Merges are taken in rank order, each at all its positions at once, which changes only the neighbours'
+        entries; an entry that no longer holds its pair is passed over. Of positions that overlap the first, third, ...
+        of a run merge, as from the left.
+
+        Ranks are by bytes, not by a merge list, so a merge can make a pair of its own or a lower rank. It then is the
+        word's next merge: with one merge of this rank in the word, the heap brings it up next. With several the others
+        came too early, and the word is encoded by itself.
+        """
+        size = np.array([len(w) for w in words], np.int64)
+        symbol = self.byte[np.frombuffer(b"".join(words), np.uint8)]
+        ends = np.cumsum(size)
+        word = np.repeat(np.arange(len(words)), size)
+        after, before = np.arange(1, len(symbol) + 1), np.arange(-1, len(symbol) - 1)
+        after[ends[size > 0] - 1] = -1
+        before[(ends - size)[size > 0]] = -1
+        index: dict[int, list[np.ndarray]] = {}
+        heap: list[int] = []
+
+        def enter(rank: np.ndarray, at: np.ndarray) -> None:
+            some = rank >= 0
+            rank, at = rank[some], at[some]
+            if not len(rank):
+                return
+            order = np.argsort(rank, kind="stable")
+            rank, at = rank[order], at[order]
+            cuts = [0, *(np.flatnonzero(rank[1:] != rank[:-1]) + 1).tolist(), len(rank)]
+            for r, a, b in zip(rank[cuts[:-1]].tolist(), cuts, cuts[1:]):
+                if r not in index:
+                    index[r] = []
+                    heapq.heappush(heap, r)
+                index[r].append(at[a:b])
+
+        start = np.flatnonzero(after >= 0)
+        enter(self.merged(symbol[start], symbol[start + 1]), start)
+        odd: set[int] = set()
         while heap:
             rank = heapq.heappop(heap)
-            places = index.pop(rank, None)
-            if places is None:
+            i = np.unique(np.concatenate(index.pop(rank)))
+            i = i[(symbol[i] >= 0) & (after[i] >= 0)]
+            i = i[self.merged(symbol[i], symbol[after[i]]) == rank]
+            if not len(i):
                 continue
-            places.sort()  # leftmost first within each word
-            for k, i in enumerate(places):
-                j = after[i]
-                if symbol[i] < 0 or j < 0 or merged(symbol[i], symbol[j]) != rank:
-                    continue
-                symbol[i], symbol[j] = rank, -1
-                nxt = after[i] = after[j]
-                lower = False
-                if nxt >= 0:
-                    before[nxt] = i
-                    if (r := merged(rank, symbol[nxt])) is not None:
-                        lower |= r < rank
-                        if r not in index:
-                            index[r] = []
-                            heapq.heappush(heap, r)
-                        index[r].append(i)
-                prev = before[i]
-                if prev >= 0 and (r := merged(symbol[prev], rank)) is not None:
-                    lower |= r < rank
-                    if r not in index:
-                        index[r] = []
-                        heapq.heappush(heap, r)
-                    index[r].append(prev)
-                if lower or rank in index:
-                    if rank not in index:
-                        index[rank] = []
-                        heapq.heappush(heap, rank)
-                    index[rank].extend(places[k + 1 :])
-                    break
-        out, start = [], 0
-        for e in ends:
-            ids = []
-            i = start if e > start else -1
-            while i >= 0:
-                ids.append(symbol[i])
-                i = after[i]
-            out.append(tuple(ids))
-            start = e
-        return out
-
-    def learn(self, words: set[str]) -> dict[str, tuple[int, ...]]:
-        """Ids of the words, of which new ones are encoded together."""
-        known = self.known
-        if len(known) > MEMORY_WORDS:
-            known.clear()
-        new = [w for w in words if w not in known]
-        if len(known) + len(new) <= MEMORY_WORDS:
-            known.update(zip(new, self.replay(w.encode() for w in new)))
-            return known
-        mine = {w: known[w] for w in words if w in known}
-        mine.update(zip(new, self.replay(w.encode() for w in new)))
-        return mine
+            touching = i[1:] == after[i[:-1]]
+            if touching.any():
+                k = np.arange(len(i))
+                i = i[(k - np.maximum.accumulate(np.where(np.r_[True, ~touching], k, 0))) % 2 == 0]
+            j = after[i]
+            beyond = after[j]
+            symbol[i], symbol[j], after[i] = rank, -1, beyond
+            more = beyond >= 0
+            before[beyond[more]] = i[more]
+            ahead = before[i]
+            start = np.concatenate([i[more], ahead[ahead >= 0]])
+            new = self.merged(symbol[start], symbol[after[start]])
+            early = (new >= 0) & (new <= rank)
+            if early.any():
+                own = word[i]
+                odd.update(np.intersect1d(own[1:][own[1:] == own[:-1]], word[start[early]]).tolist())
+            enter(new, start)
+        left = symbol >= 0
+        ids, counts = symbol[left], np.bincount(word[left], minlength=len(words))
+        if odd:
+            parts = np.split(ids, np.cumsum(counts)[:-1])
+            for w in odd:
+                parts[w] = np.array(self.alone(words[w]), np.int64)
+            ids, counts = np.concatenate(parts), np.array([len(p) for p in parts], np.int64)
+        return ids, counts
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.token.__getitem__, ids))
 
 
-@lru_cache(2)
+@lru_cache(1)
 def vocabulary(path: str, pattern: str) -> Vocabulary:
-    """One per worker process."""
+    """One per worker process, about 20 MB; nothing of the texts stays in it."""
     return Vocabulary(path, pattern)
 
 
-def encode_batch(vocab: Vocabulary, texts: list[str | None], chunk_chars: int = 4_000_000) -> Iterator[list[int]]:
-    """The ids of each text; the distinct words of about ``chunk_chars`` characters are encoded together."""
-    at = 0
-    while at < len(texts):
-        held, chars = [], 0
-        while at < len(texts) and (not held or chars < chunk_chars):
-            held.append(vocab.words(texts[at] or ""))
-            chars += len(texts[at] or "")
-            at += 1
-        ids = vocab.learn(set(chain.from_iterable(held))).__getitem__
-        for words in held:
-            yield list(chain.from_iterable(map(ids, words)))
+class Numbers(dict):
+    """Words by the order in which they are first asked for."""
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        return n
 
 
 def default_vocabulary() -> tuple[str, str]:
@@ -172,35 +167,138 @@ def default_vocabulary() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+def _split(batches: Iterator[pa.RecordBatch], vocab: Vocabulary, names: list[str], id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
+    """Rows (id, text): a row for each text (chunk, id, n, numbers) and for each word of a chunk's dictionary (chunk, at, word)."""
+    first, chunk = TaskContext.get().partitionId() << 32, 0
+    numbers, chars = Numbers(), 0
+
+    def pack(n: int, ids: pa.Array | None = None, at=None, words=None, counts=None, packed=None) -> pa.RecordBatch:
+        fill = lambda x, kind: pa.nulls(n, kind) if x is None else x if isinstance(x, pa.Array) else pa.array(x, kind)
+        return pa.RecordBatch.from_arrays(
+            [pa.array([first + chunk] * n, pa.int64()), fill(at, pa.int32()), fill(words, pa.string()), fill(ids, id_type), fill(counts, pa.int32()), fill(packed, pa.binary())], names=names)
+
+    def close() -> Iterator[pa.RecordBatch]:
+        nonlocal numbers, chars, chunk
+        words = list(numbers)
+        for lo in range(0, len(words), 20_000):
+            part = words[lo : lo + 20_000]
+            yield pack(len(part), at=range(lo, lo + len(part)), words=part)
+        numbers, chars, chunk = Numbers(), 0, chunk + 1
+
+    for batch in batches:
+        done, counts, packed, size = 0, [], [], 0
+        for k, text in enumerate(batch.column(1)):
+            text = text.as_py() or ""
+            own = list(map(numbers.__getitem__, vocab.words(text)))
+            counts.append(len(own))
+            packed.append(np.array(own, np.uint16 if len(numbers) <= CHUNK_WORDS else np.uint32).tobytes())
+            chars += len(text)
+            size += len(packed[-1])
+            full = len(numbers) >= CHUNK_WORDS or chars >= CHUNK_CHARS
+            if full or size >= 4 << 20 or k == batch.num_rows - 1:
+                yield pack(len(counts), batch.column(0).slice(done, len(counts)), counts=counts, packed=packed)
+                done, counts, packed, size = k + 1, [], [], 0
+            if full:
+                yield from close()
+    yield from close()
+
+
+def _learn(batches: Iterator[pa.RecordBatch], vocab: Vocabulary) -> Iterator[pa.RecordBatch]:
+    """Rows (chunk, at, word) sorted by word: (chunk, at, ids)."""
+    words: list[bytes] = []
+    held: list[tuple[pa.Array, pa.Array, np.ndarray]] = []
+    last, size, rows = None, 0, 0
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        nonlocal words, held, last, size, rows
+        flat, counts = vocab.replay(words)
+        ids = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), pa.array(flat.astype(np.int32)))
+        for chunk, at, which in held:
+            yield pa.RecordBatch.from_arrays([chunk, at, ids.take(pa.array(which))], names=["chunk", "at", "ids"])
+        words, held, last, size, rows = [], [], None, 0, 0
+
+    for batch in batches:
+        which = np.empty(batch.num_rows, np.int64)
+        for k, word in enumerate(batch.column(2).to_pylist()):
+            if word != last:
+                words.append(word.encode())
+                last, size = word, size + len(words[-1])
+            which[k] = len(words) - 1
+        held.append((batch.column(0), batch.column(1), which))
+        rows += batch.num_rows
+        if size >= REPLAY_BYTES or rows >= REPLAY_ROWS:
+            yield from flush()
+    if held:
+        yield from flush()
+
+
+def _join(batches: Iterator[pa.RecordBatch], vocab: Vocabulary, names: list[str], with_ids: bool) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (chunk, at), a chunk's dictionary before its texts: a row for each text."""
+    chunk, ids, decimal, plain = None, [], [], []
+    for batch in batches:
+        chunks, is_word = batch.column(0).to_numpy(), batch.column(1).is_valid().to_numpy(zero_copy_only=False)
+        cuts = [0, *(np.flatnonzero((chunks[1:] != chunks[:-1]) | (is_word[1:] != is_word[:-1])) + 1).tolist(), len(chunks)]
+        for lo, hi in zip(cuts, cuts[1:]):
+            if lo == hi:
+                continue
+            if chunks[lo] != chunk:
+                chunk, ids, decimal, plain = chunks[lo], [], [], []
+            if is_word[lo]:
+                more = batch.column(2).slice(lo, hi - lo).to_pylist()
+                ids += more
+                decimal += [",".join(map(str, x)) for x in more]
+                plain += [vocab.decode(x) for x in more]
+                continue
+            many = np.array([len(x) for x in ids], np.int64)
+            out: tuple[list, list, list, list] = ([], [], [], [])
+            for n, packed in zip(batch.column(4).slice(lo, hi - lo).to_pylist(), batch.column(5).slice(lo, hi - lo)):
+                packed = packed.as_py()
+                own = np.frombuffer(packed, np.uint16 if len(packed) == 2 * n else np.uint32)
+                listed = own.tolist()
+                out[0].append(int(many[own].sum()) if n else 0)
+                out[1].append(hashlib.sha256(",".join([decimal[x] for x in listed]).encode()).hexdigest())
+                out[2].append(hashlib.sha256(b"".join([plain[x] for x in listed])).hexdigest())
+                if with_ids:
+                    out[3].append([i for x in listed for i in ids[x]])
+            arrays = [batch.column(3).slice(lo, hi - lo), pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.string())]
+            yield pa.RecordBatch.from_arrays(arrays + [pa.array(out[3], pa.list_(pa.int32()))] * with_ids, names=names)
+
+
 def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", id_col: str = "doc_id", with_ids: bool = False) -> DataFrame:
     """One row per input row: id, n_tokens, ids_sha256, decoded_sha256, and ``ids`` (array of int) if ``with_ids``.
 
     ``path`` names a file of ranks that every executor has. Ids are those of the plain rank-by-rank encoding of each
     match of ``pattern``, no special tokens; they are then decoded to bytes again. Null text counts as empty: no id.
-    Batches are encoded as they stream; a batch's distinct words, and a bounded memory of words, are all that is held.
-    Extra columns are ignored, repeated rows are encoded each, an empty table gives an empty result.
+
+    1. Texts are split into words, once. A task cuts its texts into chunks; a text becomes numbers of its chunk's
+       dictionary, two bytes a word.
+    2. The dictionaries' words are dealt out by word, so each distinct word of the corpus comes to one task, which
+       replays the merges over all its words. A frequent word has one row a chunk there, not one an occurrence.
+    3. Dictionaries and texts meet by chunk; a task holds one dictionary at a time and streams the texts through it.
+
+    Texts themselves are never shuffled. Extra columns are ignored, repeated rows are encoded each, an empty table gives
+    an empty result.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
+    names = ["chunk", "at", "word", "id", "n", "numbers"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = vocabulary(path, pattern)
-        decimal = vocab.decimal.__getitem__
-        for whole in batches:
-            for a in range(0, whole.num_rows, 1000):
-                batch = whole.slice(a, 1000)
-                counts, shas, decoded, kept = [], [], [], []
-                for ids in encode_batch(vocab, batch.column(1).to_pylist()):
-                    counts.append(len(ids))
-                    shas.append(hashlib.sha256(",".join(map(decimal, ids)).encode()).hexdigest())
-                    decoded.append(hashlib.sha256(vocab.decode(ids)).hexdigest())
-                    if with_ids:
-                        kept.append(ids)
-                arrays = [batch.column(0), pa.array(counts, pa.int64()), pa.array(shas, pa.string()), pa.array(decoded, pa.string())]
-                names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256"]
-                if with_ids:
-                    arrays.append(pa.array(kept, pa.list_(pa.int32())))
-                    names.append("ids")
-                yield pa.RecordBatch.from_arrays(arrays, names=names)
+    def task(body: Callable[..., Iterator[pa.RecordBatch]], *more) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        return lambda batches: body(batches, vocabulary(path, pattern), *more)
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from itertools import chain
+
+        first = next(batches, None)
+        if first is not None:
+            yield from _split(chain([first], batches), vocabulary(path, pattern), names, first.schema.field(0).type)
 
-    schema = f"`{id_col}` {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else "")
-    return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, schema)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    coded = materialise(rows.mapInArrow(split, f"chunk long, at int, word string, id {id_type}, n int, numbers binary"), "bpe-chunks")
+    words = coded.filter("word is not null").select("chunk", "at", "word").repartition("word").sortWithinPartitions("word")
+    learned = words.mapInArrow(task(_learn), "chunk long, at int, ids array<int>")
+    texts = coded.filter("word is null").select("chunk", "at", F.lit(None).cast("array<int>").alias("ids"), "id", "n", "numbers")
+    both = learned.select("chunk", "at", "ids", F.lit(None).cast(id_type).alias("id"), F.lit(None).cast("int").alias("n"), F.lit(None).cast("binary").alias("numbers")).unionByName(texts)
+    met = both.repartition("chunk").sortWithinPartitions("chunk", F.col("at").asc_nulls_last())
+    out = [id_col, "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids
+    schema = f"`{id_col}` {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
+    return met.mapInArrow(task(_join, out, with_ids), schema)

@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from lattica.llm import bpe, common, embeddings, exact_dedup, licenses, mixing, pii, simhash, suffixes, toxicity, warc
 from pyspark.sql import functions as F
@@ -406,17 +407,46 @@ def test_bpe_words():
     vocab, enc = bpe.Vocabulary(*bpe.default_vocabulary()), tokenizer()
     rng = random.Random(8)
     words = ["a" * 50, "", " ", "aaaa bbbb", "<|endoftext|>"] + ["".join(rng.choice("etaoinshrdlu éЖ中\U0001f600") for _ in range(rng.randint(1, 30))) for _ in range(3000)]
-    single = [w for w in words if len(vocab.words(w)) == 1]
-    assert [list(x) for x in vocab.replay(w.encode() for w in single)] == [enc.encode_ordinary(w) for w in single]
-    assert [vocab.alone([vocab.byte[b] for b in w.encode()]) for w in single[:300]] == [enc.encode_ordinary(w) for w in single[:300]]
-    assert list(bpe.encode_batch(vocab, words)) == [enc.encode_ordinary(w) for w in words]
+    single = [w.encode() for w in words if len(vocab.words(w)) <= 1] + [b"a" * 5000, b" " * 3001, b"ab" * 700]
+    single += [bytes(rng.choice(b"aab ") for _ in range(rng.randint(1, 60))) for _ in range(2000)]
+    want = [enc._core_bpe.encode_single_piece(w) if w else [] for w in single]
+    ids, counts = vocab.replay(single)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == want
+    assert [vocab.alone(w) for w in single] == want
 
 
-def test_bpe_documents(spark, docs):
+def by_id(found):
+    return sorted(map(repr, found))
+
+
+@pytest.mark.parametrize("words, size", [(1 << 16, 1 << 20), (20, 200)])
+def test_bpe_documents(spark, docs, monkeypatch, words, size):
     enc = tokenizer()
+    vocab = bpe.Vocabulary(*bpe.default_vocabulary())
+    monkeypatch.setattr(bpe, "REPLAY_BYTES", size)
     got = bpe.encode(docs, *bpe.default_vocabulary(), with_ids=True)
-    assert sorted(map(repr, rows(got.select("doc_id", "ids", "decoded_sha256")))) == sorted(repr((i, enc.encode_ordinary(t or ""), hashlib.sha256((t or "").encode()).hexdigest())) for i, t in rows(docs.select("doc_id", "text")))
+    src = rows(docs.select("doc_id", "text"))
+    ids = [enc.encode_ordinary(t or "") for _, t in src]
+    sha = lambda x: hashlib.sha256(x).hexdigest()
+    want = [(i, len(x), sha(",".join(map(str, x)).encode()), sha((t or "").encode()), x) for (i, t), x in zip(src, ids)]
+    assert by_id(rows(got)) == by_id(want)
     assert bpe.encode(docs.limit(0), *bpe.default_vocabulary()).count() == 0
+    # the same in this process, where chunks can be made small
+    monkeypatch.setattr(bpe, "CHUNK_WORDS", words)
+    monkeypatch.setattr(bpe.TaskContext, "get", staticmethod(lambda: type("Task", (), {"partitionId": lambda self: 3})()))
+    names = ["chunk", "at", "word", "id", "n", "numbers"]
+    batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in src], pa.int64()), pa.array([t for _, t in src], pa.string())], names=["id", "text"])
+    made = pa.Table.from_batches(bpe._split(iter([batch]), vocab, names, pa.int64())).to_pylist()
+    dictionary = sorted((r for r in made if r["word"] is not None), key=lambda r: r["word"])
+    assert (len({r["chunk"] for r in dictionary}) > 3) == (words == 20)
+    asked = pa.RecordBatch.from_pylist([{k: r[k] for k in ("chunk", "at", "word")} for r in dictionary], pa.schema([("chunk", pa.int64()), ("at", pa.int32()), ("word", pa.string())]))
+    learned = pa.Table.from_batches(bpe._learn(iter([asked]), vocab)).to_pylist()
+    both = [{**r, "id": None, "n": None, "numbers": None} for r in learned] + [{"chunk": r["chunk"], "at": None, "ids": None, "id": r["id"], "n": r["n"], "numbers": r["numbers"]} for r in made if r["word"] is None]
+    both.sort(key=lambda r: (r["chunk"], r["at"] is None, r["at"] or 0))
+    kinds = pa.schema([("chunk", pa.int64()), ("at", pa.int32()), ("ids", pa.list_(pa.int32())), ("id", pa.int64()), ("n", pa.int32()), ("numbers", pa.binary())])
+    parts = [pa.RecordBatch.from_pylist(both[k : k + 7], kinds) for k in range(0, len(both), 7)]
+    out = pa.Table.from_batches(bpe._join(iter(parts), vocab, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"], True)).to_pylist()
+    assert by_id(tuple(r.values()) for r in out) == by_id(want)
 
 
 def test_licenses(spark, docs):
