@@ -7,6 +7,8 @@ import hashlib
 import heapq
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -16,12 +18,12 @@ from pyspark.sql import functions as F
 
 from .common import materialise
 
-#: A chunk of texts ends when its dictionary holds so many words (about 8 MB), so that a word's number takes two bytes.
-CHUNK_WORDS = 1 << 16
-#: It also ends at so many characters of text.
-CHUNK_CHARS = 32 << 20
-#: Bytes of distinct words, and rows that ask for them, that one replay takes: about 60 MB.
-REPLAY_BYTES, REPLAY_ROWS = 1 << 20, 1 << 20
+#: A chunk of texts ends when its dictionary holds so many words (about 20 MB), or at so many characters of text.
+CHUNK_WORDS, CHUNK_CHARS = 1 << 17, 64 << 20
+#: A chunk's words are dealt into so many buckets by a hash.
+BUCKETS = 1024
+#: Bytes of new words that one replay takes, and words of a bucket that are remembered (about 40 MB).
+REPLAY_BYTES, MEMORY_WORDS = 1 << 20, 200_000
 
 
 class Vocabulary:
@@ -167,22 +169,45 @@ def default_vocabulary() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
 
 
-def _split(batches: Iterator[pa.RecordBatch], vocab: Vocabulary, names: list[str], id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
-    """Rows (id, text): a row for each text (chunk, id, n, numbers) and for each word of a chunk's dictionary (chunk, at, word)."""
+def pack(numbers: list[int]) -> bytes:
+    """Two bytes a number, and behind them all a third (or four each) where one needs it."""
+    own = np.array(numbers, np.uint32)
+    top = int(own.max(initial=0))
+    if top >= 1 << 24:
+        return own.tobytes()
+    return own.astype(np.uint16).tobytes() + ((own >> 16).astype(np.uint8).tobytes() if top >= 1 << 16 else b"")
+
+
+def unpack(packed: bytes, n: int) -> np.ndarray:
+    if n and len(packed) == 4 * n:
+        return np.frombuffer(packed, np.uint32)
+    low = np.frombuffer(packed, np.uint16, n).astype(np.uint32)
+    return low if len(packed) == 2 * n else low | np.frombuffer(packed, np.uint8, n, 2 * n).astype(np.uint32) << 16
+
+
+#: Columns of the chunks' table: texts have id, n and numbers; a bucket of a dictionary has bucket, numbers and words.
+CODED = ["chunk", "bucket", "id", "n", "numbers", "words"]
+
+
+def _split(batches: Iterator[pa.RecordBatch], vocab: Vocabulary, id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
+    """Rows (id, text): a row for each text, in the numbers of its chunk's dictionary, and one for each bucket of the dictionary."""
     first, chunk = TaskContext.get().partitionId() << 32, 0
     numbers, chars = Numbers(), 0
 
-    def pack(n: int, ids: pa.Array | None = None, at=None, words=None, counts=None, packed=None) -> pa.RecordBatch:
+    def rows(n: int, bucket=None, ids=None, counts=None, packed=None, words=None) -> pa.RecordBatch:
         fill = lambda x, kind: pa.nulls(n, kind) if x is None else x if isinstance(x, pa.Array) else pa.array(x, kind)
         return pa.RecordBatch.from_arrays(
-            [pa.array([first + chunk] * n, pa.int64()), fill(at, pa.int32()), fill(words, pa.string()), fill(ids, id_type), fill(counts, pa.int32()), fill(packed, pa.binary())], names=names)
+            [pa.array([first + chunk] * n, pa.int64()), fill(bucket, pa.int32()), fill(ids, id_type), fill(counts, pa.int32()), fill(packed, pa.binary()), fill(words, pa.list_(pa.string()))], names=CODED)
 
     def close() -> Iterator[pa.RecordBatch]:
         nonlocal numbers, chars, chunk
-        words = list(numbers)
-        for lo in range(0, len(words), 20_000):
-            part = words[lo : lo + 20_000]
-            yield pack(len(part), at=range(lo, lo + len(part)), words=part)
+        words = np.array([*numbers, None], object)[:-1]
+        bucket = np.array([crc32(w.encode()) for w in words], np.uint32) % BUCKETS
+        order = np.argsort(bucket, kind="stable")
+        at = np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(order) else []
+        for lo in range(0, len(at), 64):
+            part = at[lo : lo + 64]
+            yield rows(len(part), bucket=[int(bucket[x[0]]) for x in part], packed=[pack(x) for x in part], words=[words[x].tolist() for x in part])
         numbers, chars, chunk = Numbers(), 0, chunk + 1
 
     for batch in batches:
@@ -191,12 +216,12 @@ def _split(batches: Iterator[pa.RecordBatch], vocab: Vocabulary, names: list[str
             text = text.as_py() or ""
             own = list(map(numbers.__getitem__, vocab.words(text)))
             counts.append(len(own))
-            packed.append(np.array(own, np.uint16 if len(numbers) <= CHUNK_WORDS else np.uint32).tobytes())
+            packed.append(pack(own))
             chars += len(text)
             size += len(packed[-1])
             full = len(numbers) >= CHUNK_WORDS or chars >= CHUNK_CHARS
             if full or size >= 4 << 20 or k == batch.num_rows - 1:
-                yield pack(len(counts), batch.column(0).slice(done, len(counts)), counts=counts, packed=packed)
+                yield rows(len(counts), ids=batch.column(0).slice(done, len(counts)), counts=counts, packed=packed)
                 done, counts, packed, size = k + 1, [], [], 0
             if full:
                 yield from close()
@@ -204,63 +229,90 @@ def _split(batches: Iterator[pa.RecordBatch], vocab: Vocabulary, names: list[str
 
 
 def _learn(batches: Iterator[pa.RecordBatch], vocab: Vocabulary) -> Iterator[pa.RecordBatch]:
-    """Rows (chunk, at, word) sorted by word: (chunk, at, ids)."""
-    words: list[bytes] = []
-    held: list[tuple[pa.Array, pa.Array, np.ndarray]] = []
-    last, size, rows = None, 0, 0
-
-    def flush() -> Iterator[pa.RecordBatch]:
-        nonlocal words, held, last, size, rows
-        flat, counts = vocab.replay(words)
-        ids = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), pa.array(flat.astype(np.int32)))
-        for chunk, at, which in held:
-            yield pa.RecordBatch.from_arrays([chunk, at, ids.take(pa.array(which))], names=["chunk", "at", "ids"])
-        words, held, last, size, rows = [], [], None, 0, 0
+    """Rows (chunk, bucket, numbers, words) sorted by bucket: (chunk, numbers, counts, ids). A word of a bucket is encoded
+    when it first comes up, together with other new ones."""
+    known: dict[str, np.ndarray] = {}
+    last = None
+    held: list[tuple[int, bytes, list[str]]] = []
+    new: dict[str, None] = {}
+    size = 0
+
+    def flush() -> pa.RecordBatch:
+        nonlocal size
+        words = list(new)
+        ids, counts = vocab.replay([w.encode() for w in words])
+        known.update(zip(words, np.split(ids.astype(np.uint32), np.cumsum(counts)[:-1]) if words else []))
+        out: tuple[list, list, list, list] = ([], [], [], [])
+        for chunk, numbers, own in held:
+            found = [known[w] for w in own]
+            for col, x in zip(out, (chunk, numbers, np.array([len(x) for x in found], np.uint32).tobytes(), np.concatenate(found).tobytes())):
+                col.append(x)
+        held.clear()
+        new.clear()
+        size = 0
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, [pa.int64(), pa.binary(), pa.binary(), pa.binary()])], names=["chunk", "numbers", "counts", "ids"])
 
     for batch in batches:
-        which = np.empty(batch.num_rows, np.int64)
-        for k, word in enumerate(batch.column(2).to_pylist()):
-            if word != last:
-                words.append(word.encode())
-                last, size = word, size + len(words[-1])
-            which[k] = len(words) - 1
-        held.append((batch.column(0), batch.column(1), which))
-        rows += batch.num_rows
-        if size >= REPLAY_BYTES or rows >= REPLAY_ROWS:
-            yield from flush()
+        for chunk, bucket, numbers, words in zip(*(c.to_pylist() for c in batch.columns)):
+            if bucket != last and len(known) > MEMORY_WORDS // 4 or len(known) > MEMORY_WORDS:
+                if held:
+                    yield flush()
+                known.clear()
+            last = bucket
+            held.append((chunk, numbers, words))
+            for w in words:
+                if w not in known and w not in new:
+                    new[w] = None
+                    size += len(w)
+            if size >= REPLAY_BYTES or len(held) >= 4096:
+                yield flush()
     if held:
-        yield from flush()
+        yield flush()
 
 
 def _join(batches: Iterator[pa.RecordBatch], vocab: Vocabulary, names: list[str], with_ids: bool) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (chunk, at), a chunk's dictionary before its texts: a row for each text."""
-    chunk, ids, decimal, plain = None, [], [], []
+    """Rows (chunk, id, n, numbers, counts, ids) sorted by chunk, its dictionary first: a row for each text."""
+    chunk, many, decimal, plain, ids = None, np.zeros(0, np.int64), [], [], []
+    token = vocab.token
     for batch in batches:
-        chunks, is_word = batch.column(0).to_numpy(), batch.column(1).is_valid().to_numpy(zero_copy_only=False)
+        chunks, is_word = batch.column(0).to_numpy(), batch.column(4).is_valid().to_numpy(zero_copy_only=False)
         cuts = [0, *(np.flatnonzero((chunks[1:] != chunks[:-1]) | (is_word[1:] != is_word[:-1])) + 1).tolist(), len(chunks)]
         for lo, hi in zip(cuts, cuts[1:]):
             if lo == hi:
                 continue
             if chunks[lo] != chunk:
-                chunk, ids, decimal, plain = chunks[lo], [], [], []
+                chunk, many, decimal, plain, ids = chunks[lo], np.zeros(0, np.int64), [], [], []
             if is_word[lo]:
-                more = batch.column(2).slice(lo, hi - lo).to_pylist()
-                ids += more
-                decimal += [",".join(map(str, x)) for x in more]
-                plain += [vocab.decode(x) for x in more]
+                for numbers, counts, flat in zip(*(batch.column(c).slice(lo, hi - lo).to_pylist() for c in (3, 4, 5))):
+                    counts = np.frombuffer(counts, np.uint32)
+                    at, flat, ends = unpack(numbers, len(counts)).tolist(), np.frombuffer(flat, np.uint32).tolist(), np.cumsum(counts).tolist()
+                    missing = max(at) + 1 - len(decimal)
+                    if missing > 0:
+                        decimal += [""] * missing
+                        plain += [b""] * missing
+                        many = np.r_[many, np.zeros(missing, np.int64)]
+                        if with_ids:
+                            ids += [None] * missing
+                    many[at] = counts
+                    start = 0
+                    for k, end in zip(at, ends):
+                        own = flat[start:end]
+                        decimal[k] = ",".join(map(str, own))
+                        plain[k] = b"".join([token[x] for x in own])
+                        if with_ids:
+                            ids[k] = own
+                        start = end
                 continue
-            many = np.array([len(x) for x in ids], np.int64)
             out: tuple[list, list, list, list] = ([], [], [], [])
-            for n, packed in zip(batch.column(4).slice(lo, hi - lo).to_pylist(), batch.column(5).slice(lo, hi - lo)):
-                packed = packed.as_py()
-                own = np.frombuffer(packed, np.uint16 if len(packed) == 2 * n else np.uint32)
+            for n, packed in zip(batch.column(2).slice(lo, hi - lo).to_pylist(), batch.column(3).slice(lo, hi - lo)):
+                own = unpack(packed.as_py(), n)
                 listed = own.tolist()
                 out[0].append(int(many[own].sum()) if n else 0)
                 out[1].append(hashlib.sha256(",".join([decimal[x] for x in listed]).encode()).hexdigest())
                 out[2].append(hashlib.sha256(b"".join([plain[x] for x in listed])).hexdigest())
                 if with_ids:
                     out[3].append([i for x in listed for i in ids[x]])
-            arrays = [batch.column(3).slice(lo, hi - lo), pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.string())]
+            arrays = [batch.column(1).slice(lo, hi - lo), pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.string())]
             yield pa.RecordBatch.from_arrays(arrays + [pa.array(out[3], pa.list_(pa.int32()))] * with_ids, names=names)
 
 
@@ -271,34 +323,33 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", id_
     match of ``pattern``, no special tokens; they are then decoded to bytes again. Null text counts as empty: no id.
 
     1. Texts are split into words, once. A task cuts its texts into chunks; a text becomes numbers of its chunk's
-       dictionary, two bytes a word.
-    2. The dictionaries' words are dealt out by word, so each distinct word of the corpus comes to one task, which
-       replays the merges over all its words. A frequent word has one row a chunk there, not one an occurrence.
+       dictionary, two or three bytes a word.
+    2. The dictionaries' words are dealt out by bucket, so each distinct word of the corpus comes to one task, which
+       replays the merges over all its words. A frequent word is there once a chunk, not once an occurrence. A task
+       streams a bucket's rows and remembers MEMORY_WORDS of them; a word beyond that is encoded again.
     3. Dictionaries and texts meet by chunk; a task holds one dictionary at a time and streams the texts through it.
 
     Texts themselves are never shuffled. Extra columns are ignored, repeated rows are encoded each, an empty table gives
     an empty result.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
-    names = ["chunk", "at", "word", "id", "n", "numbers"]
 
     def task(body: Callable[..., Iterator[pa.RecordBatch]], *more) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
         return lambda batches: body(batches, vocabulary(path, pattern), *more)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from itertools import chain
-
         first = next(batches, None)
         if first is not None:
-            yield from _split(chain([first], batches), vocabulary(path, pattern), names, first.schema.field(0).type)
+            yield from _split(chain([first], batches), vocabulary(path, pattern), first.schema.field(0).type)
 
+    none = lambda kind: F.lit(None).cast(kind)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    coded = materialise(rows.mapInArrow(split, f"chunk long, at int, word string, id {id_type}, n int, numbers binary"), "bpe-chunks")
-    words = coded.filter("word is not null").select("chunk", "at", "word").repartition("word").sortWithinPartitions("word")
-    learned = words.mapInArrow(task(_learn), "chunk long, at int, ids array<int>")
-    texts = coded.filter("word is null").select("chunk", "at", F.lit(None).cast("array<int>").alias("ids"), "id", "n", "numbers")
-    both = learned.select("chunk", "at", "ids", F.lit(None).cast(id_type).alias("id"), F.lit(None).cast("int").alias("n"), F.lit(None).cast("binary").alias("numbers")).unionByName(texts)
-    met = both.repartition("chunk").sortWithinPartitions("chunk", F.col("at").asc_nulls_last())
+    coded = materialise(rows.mapInArrow(split, f"chunk long, bucket int, id {id_type}, n int, numbers binary, words array<string>"), "bpe-chunks")
+    words = coded.filter("bucket is not null").select("chunk", "bucket", "numbers", "words").repartition("bucket").sortWithinPartitions("bucket")
+    learned = words.mapInArrow(task(_learn), "chunk long, numbers binary, counts binary, ids binary")
+    texts = coded.filter("bucket is null").select("chunk", "id", "n", "numbers", none("binary").alias("counts"), none("binary").alias("ids"))
+    both = learned.select("chunk", none(id_type).alias("id"), none("int").alias("n"), "numbers", "counts", "ids").unionByName(texts)
+    met = both.repartition("chunk").sortWithinPartitions("chunk", F.col("counts").isNull())
     out = [id_col, "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids
     schema = f"`{id_col}` {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
     return met.mapInArrow(task(_join, out, with_ids), schema)

@@ -44,7 +44,7 @@ def rows(df):
 
 def test_exact_dedup(spark, docs):
     src = rows(docs.select("doc_id", "text"))
-    for options in ({}, {"max_broadcast_keys": 0}, {"digest_all": True}):
+    for options in ({}, {"max_broadcast_keys": 0}, {"digest_all": True}, {"digest_all": True, "max_broadcast_keys": 0}, {"prefix_chars": 1}):
         got = exact_dedup.exact_dedup(docs, **options).collect()
         assert len(got) == len(src)
         norm = lambda t: re.sub(r"[\x20\x09-\x0D]", "", t or "")
@@ -55,8 +55,14 @@ def test_exact_dedup(spark, docs):
         assert sorted((repr(r["doc_id"]), repr(r["keep_id"]), r["group_size"]) for r in got) == sorted(w[:3] for w in want)
         if "digest_all" in options:
             assert sorted(r["content_hash"] for r in got) == sorted(hashlib.sha256(w[3].encode()).hexdigest() for w in want)
-    kept = exact_dedup.keep_one(docs)
-    assert kept.columns == docs.columns and kept.count() == len(groups)
+    for options in ({}, {"max_broadcast_keys": 0, "max_broadcast_rows": 0}):
+        kept = exact_dedup.keep_one(docs, **options)
+        assert kept.columns == docs.columns and sorted(norm(r["text"]) for r in kept.collect()) == sorted(groups)
+    clash = docs.withColumnsRenamed({"fp": "_own_hash", "lang": "_hash", "n_chars": "norm_bytes"}).withColumn("_own_points", F.lit("a"))
+    kept = exact_dedup.keep_one(clash).collect()
+    assert len(kept) == len(groups) and {r["_own_points"] for r in kept} == {"a"} and {r["_own_hash"] for r in kept} <= {0, 1}
+    full = exact_dedup.exact_dedup(docs).filter("group_size = 1 and content_hash is not null").count()
+    assert full < len(src) / 4  # unique texts of a length or prefix of their own are never read in full
     assert exact_dedup.exact_dedup(docs.limit(0)).count() == 0
 
 
@@ -434,39 +440,75 @@ def test_bpe_documents(spark, docs, monkeypatch, words, size):
     # the same in this process, where chunks can be made small
     monkeypatch.setattr(bpe, "CHUNK_WORDS", words)
     monkeypatch.setattr(bpe.TaskContext, "get", staticmethod(lambda: type("Task", (), {"partitionId": lambda self: 3})()))
-    names = ["chunk", "at", "word", "id", "n", "numbers"]
     batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in src], pa.int64()), pa.array([t for _, t in src], pa.string())], names=["id", "text"])
-    made = pa.Table.from_batches(bpe._split(iter([batch]), vocab, names, pa.int64())).to_pylist()
-    dictionary = sorted((r for r in made if r["word"] is not None), key=lambda r: r["word"])
+    made = pa.Table.from_batches(bpe._split(iter([batch]), vocab, pa.int64())).to_pylist()
+    dictionary = sorted((r for r in made if r["bucket"] is not None), key=lambda r: r["bucket"])
     assert (len({r["chunk"] for r in dictionary}) > 3) == (words == 20)
-    asked = pa.RecordBatch.from_pylist([{k: r[k] for k in ("chunk", "at", "word")} for r in dictionary], pa.schema([("chunk", pa.int64()), ("at", pa.int32()), ("word", pa.string())]))
-    learned = pa.Table.from_batches(bpe._learn(iter([asked]), vocab)).to_pylist()
-    both = [{**r, "id": None, "n": None, "numbers": None} for r in learned] + [{"chunk": r["chunk"], "at": None, "ids": None, "id": r["id"], "n": r["n"], "numbers": r["numbers"]} for r in made if r["word"] is None]
-    both.sort(key=lambda r: (r["chunk"], r["at"] is None, r["at"] or 0))
-    kinds = pa.schema([("chunk", pa.int64()), ("at", pa.int32()), ("ids", pa.list_(pa.int32())), ("id", pa.int64()), ("n", pa.int32()), ("numbers", pa.binary())])
+    kinds = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("numbers", pa.binary()), ("words", pa.list_(pa.string()))])
+    learned = pa.Table.from_batches(bpe._learn(iter([pa.RecordBatch.from_pylist([{k: r[k] for k in kinds.names} for r in dictionary], kinds)]), vocab)).to_pylist()
+    both = [{"id": None, "n": None, **r} for r in learned] + [{"counts": None, "ids": None, **{k: r[k] for k in ("chunk", "id", "n", "numbers")}} for r in made if r["bucket"] is None]
+    both.sort(key=lambda r: (r["chunk"], r["counts"] is None))
+    kinds = pa.schema([("chunk", pa.int64()), ("id", pa.int64()), ("n", pa.int32()), ("numbers", pa.binary()), ("counts", pa.binary()), ("ids", pa.binary())])
     parts = [pa.RecordBatch.from_pylist(both[k : k + 7], kinds) for k in range(0, len(both), 7)]
     out = pa.Table.from_batches(bpe._join(iter(parts), vocab, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"], True)).to_pylist()
     assert by_id(tuple(r.values()) for r in out) == by_id(want)
 
 
-def test_licenses(spark, docs):
-    mit = licenses.TEMPLATES["MIT"][2]
-    extra = [(900, "Intro line\nReleased under the MIT License.\nmore"), (901, mit.upper().replace(",", " ,\n")), (902, "Licensed under the Apache License,  version 2.0"), (903, "we licensed a house under the old oak"), (904, None)]
-    df = spark.createDataFrame(extra, "doc_id long, text string").unionByName(docs.select("doc_id", "text"))
-    got = {r["doc_id"]: r for r in licenses.scan(df).collect()}
-    assert got[900]["licenses"] == ["MIT"] and got[901]["best_license"] == "MIT" and got[901]["best_dice"] == 1.0
-    assert got[902]["best_license"] == "Apache-2.0" and got[903]["n_units"] == 0 and got[904]["best_license"] is None
-    assert licenses.scan(df).count() == df.count() and licenses.scan(df.limit(0)).count() == 0
+@pytest.mark.parametrize("top", [0, 65_535, 65_536, (1 << 24) - 1, 1 << 24])
+def test_packing(top):
+    numbers = [top, 0, top // 2, 7]
+    assert bpe.unpack(bpe.pack(numbers), 4).tolist() == numbers and bpe.unpack(bpe.pack([]), 0).tolist() == []
+
+
+def licence_passages(text, threshold=0.8):
+    """Every template against every passage of its sizes, without any pruning."""
+    words = licenses.python_words(text or "")
+    grams, found = licenses.python_bigrams(words), []
+    for name, own in sorted((name, licenses.python_words(t)) for name, ts in licenses.TEMPLATES.items() for t in ts):
+        want, best = set(licenses.python_bigrams(own)), None
+        for size in sorted({len(own) - 1, round(0.8 * (len(own) - 1)), round(1.25 * (len(own) - 1))}):
+            for start in range(len(grams)):
+                have = set(grams[start : start + size])
+                dice = 2 * len(have & want) / (len(have) + len(want))
+                end = min(start + size + 1, len(words))
+                telling = licenses.guard(own)
+                if dice >= threshold and (telling is None or sorted(licenses.TELLING.intersection(words[start:end])) == telling):
+                    best = min(best or (0,), (-dice, name, start, end))
+        found += [best] if best else []
+    kept = []
+    for h in sorted(found):
+        if all(h[2] >= k[3] or h[3] <= k[2] for k in kept):
+            kept.append(h)
+    return [(name, -d, start, end - start) for d, name, start, end in kept]
 
-    def dice(a, b):
-        a, b = set(licenses.python_bigrams(a)), set(licenses.python_bigrams(b))
-        return 2 * len(a & b) / (len(a) + len(b)) if a or b else 0.0
 
+def test_licenses(spark, docs):
+    mit, bsd = licenses.TEMPLATES["MIT"][2], licenses.TEMPLATES["BSD-2-Clause"][1]
+    paragraphs = re.sub(r"(conditions:|Software\.) ", r"\1\n\n", mit)
+    cases = {
+        "Intro line\nReleased under the MIT License.\nmore": ["MIT"], mit.upper().replace(",", " ,\n"): ["MIT"], "Licensed under the Apache License,  version 2.0": ["Apache-2.0"],
+        "we licensed a house under the old oak": [], "": [], "Licensed under CC BY-ND 4.0.": ["CC-BY-ND-4.0"], "x Licensed under CC BY 3.0. y": ["CC-BY-3.0"], "Licensed under CC BY 2.0.": [],
+        "This work is licensed under the GNU Lesser General Public License, version 2.1.": ["LGPL-2.1"], "This project is released under the MIT License by Foo Inc.": ["MIT"],
+        "import x\n\n" + "".join(f"# {line}\n" for line in paragraphs.split("\n")) + "\n\ndef f(): pass\n" * 5: ["MIT"], bsd + " " + mit: ["BSD-2-Clause", "MIT"],
+        " ".join(w for k, w in enumerate(mit.split()) if k % 20): ["MIT"], "version 3 " * 30 + "license": [], "License": [], "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.": ["CC-BY-NC-SA-4.0"],
+        licenses.TEMPLATES["GPL-3.0"][1]: ["GPL-3.0"], licenses.TEMPLATES["GPL-3.0"][1].split(" This program is dist")[0]: None,
+    }
+    made = list(cases) + [None]
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(made)], "doc_id long, text string, passages string")
+    got = {r["doc_id"]: r for r in licenses.scan(df).collect()}
+    for i, t in enumerate(made):
+        want = licence_passages(t)
+        assert [(p["license"], p["dice"], p["start"], p["words"]) for p in got[i]["passages"]] == want, t
+        assert got[i]["n_passages"] == len(want) and got[i]["licenses"] == sorted({w[0] for w in want}) and got[i]["best_license"] == (want[0][0] if want else None)
+        if t is not None and cases[t] is not None:
+            assert got[i]["licenses"] == cases[t], t
+    assert licenses.scan(docs).count() == docs.count() and licenses.scan(docs.limit(0)).count() == 0
     docs_ = spark.read.parquet(f"{SF}/documents.parquet")
-    found = {r["doc_id"]: r["n_units"] for r in licenses.scan(docs_).collect()}
-    known = [t for ts in licenses.TEMPLATES.values() for t in ts]
+    found = {r["doc_id"]: r["n_passages"] for r in licenses.scan(docs_).collect()}
+    known = [set(licenses.python_bigrams(licenses.python_words(t))) for ts in licenses.TEMPLATES.values() for t in ts]
     for i, t in rows(docs_.select("doc_id", "text")):
-        assert (found[i] > 0) == any(max(dice(u, k) for k in known) >= 0.8 for u in t.split("\n") if len(u.split()) > 2), i
+        lines = [g for u in t.split("\n") if len(g := set(licenses.python_bigrams(licenses.python_words(u)))) > 1]
+        assert found[i] > 0 or all(2 * len(g & k) < 0.8 * (len(g) + len(k)) for g in lines for k in known), i
 
 
 @pytest.mark.parametrize("block_rows", [16_384, 7])
