@@ -22,8 +22,8 @@ from .common import materialise
 CHUNK_WORDS, CHUNK_CHARS = 1 << 17, 64 << 20
 #: A chunk's words are dealt into so many buckets by a hash.
 BUCKETS = 1024
-#: Bytes of new words that one replay takes, and words of a bucket that are remembered (about 40 MB).
-REPLAY_BYTES, MEMORY_WORDS = 1 << 20, 200_000
+#: Bytes of new words that one replay takes (about 80 MB), and words of a bucket that are remembered (about 40 MB).
+REPLAY_BYTES, MEMORY_WORDS = 1 << 21, 200_000
 
 
 class Vocabulary:
@@ -48,7 +48,7 @@ class Vocabulary:
 
     def merged(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The id that each pair merges to, -1 for none."""
-        key = left << 32 | right
+        key = left.astype(np.int64) << 32 | right
         at = np.minimum(np.searchsorted(self.pair, key), len(self.pair) - 1)
         return np.where(self.pair[at] == key, self.made[at], -1)
 
@@ -86,10 +86,10 @@ class Vocabulary:
         came too early, and the word is encoded by itself.
         """
         size = np.array([len(w) for w in words], np.int64)
-        symbol = self.byte[np.frombuffer(b"".join(words), np.uint8)]
+        symbol = self.byte.astype(np.int32)[np.frombuffer(b"".join(words), np.uint8)]
         ends = np.cumsum(size)
-        word = np.repeat(np.arange(len(words)), size)
-        after, before = np.arange(1, len(symbol) + 1), np.arange(-1, len(symbol) - 1)
+        word = np.repeat(np.arange(len(words), dtype=np.int32), size)
+        after, before = np.arange(1, len(symbol) + 1, dtype=np.int32), np.arange(-1, len(symbol) - 1, dtype=np.int32)
         after[ends[size > 0] - 1] = -1
         before[(ends - size)[size > 0]] = -1
         index: dict[int, list[np.ndarray]] = {}
@@ -114,8 +114,11 @@ class Vocabulary:
         odd: set[int] = set()
         while heap:
             rank = heapq.heappop(heap)
-            i = np.unique(np.concatenate(index.pop(rank)))
+            i = np.concatenate(index.pop(rank))
             i = i[(symbol[i] >= 0) & (after[i] >= 0)]
+            if len(i) > 1:
+                i.sort()
+                i = i[np.r_[True, i[1:] != i[:-1]]]
             i = i[self.merged(symbol[i], symbol[after[i]]) == rank]
             if not len(i):
                 continue
@@ -231,39 +234,38 @@ def _split(batches: Iterator[pa.RecordBatch], vocab: Vocabulary, id_type: pa.Dat
 def _learn(batches: Iterator[pa.RecordBatch], vocab: Vocabulary) -> Iterator[pa.RecordBatch]:
     """Rows (chunk, bucket, numbers, words) sorted by bucket: (chunk, numbers, counts, ids). A word of a bucket is encoded
     when it first comes up, together with other new ones."""
-    known: dict[str, np.ndarray] = {}
-    last = None
-    held: list[tuple[int, bytes, list[str]]] = []
-    new: dict[str, None] = {}
-    size = 0
+    known, words, last, size = Numbers(), [], None, 0
+    flat, many = np.zeros(0, np.uint32), np.zeros(0, np.int64)  # ids of the known words, and how many each has
+    held: list[tuple[int, bytes, np.ndarray]] = []
 
     def flush() -> pa.RecordBatch:
-        nonlocal size
-        words = list(new)
-        ids, counts = vocab.replay([w.encode() for w in words])
-        known.update(zip(words, np.split(ids.astype(np.uint32), np.cumsum(counts)[:-1]) if words else []))
+        nonlocal flat, many, size
+        ids, counts = vocab.replay(words)
+        flat, many = np.concatenate([flat, ids.astype(np.uint32)]), np.concatenate([many, counts])
+        words.clear()
+        starts = np.cumsum(many) - many
         out: tuple[list, list, list, list] = ([], [], [], [])
         for chunk, numbers, own in held:
-            found = [known[w] for w in own]
-            for col, x in zip(out, (chunk, numbers, np.array([len(x) for x in found], np.uint32).tobytes(), np.concatenate(found).tobytes())):
+            n = many[own]
+            at = np.repeat(starts[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            for col, x in zip(out, (chunk, numbers, n.astype(np.uint32).tobytes(), flat[at].tobytes())):
                 col.append(x)
         held.clear()
-        new.clear()
         size = 0
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, [pa.int64(), pa.binary(), pa.binary(), pa.binary()])], names=["chunk", "numbers", "counts", "ids"])
 
     for batch in batches:
-        for chunk, bucket, numbers, words in zip(*(c.to_pylist() for c in batch.columns)):
+        for chunk, bucket, numbers, own in zip(*(c.to_pylist() for c in batch.columns)):
             if bucket != last and len(known) > MEMORY_WORDS // 4 or len(known) > MEMORY_WORDS:
                 if held:
                     yield flush()
-                known.clear()
-            last = bucket
-            held.append((chunk, numbers, words))
-            for w in words:
-                if w not in known and w not in new:
-                    new[w] = None
-                    size += len(w)
+                known, flat, many = Numbers(), flat[:0], many[:0]
+            last, before = bucket, len(known)
+            held.append((chunk, numbers, np.array(list(map(known.__getitem__, own)), np.int64)))
+            if len(known) > before:  # new words are the last of the dictionary
+                fresh = [w.encode() for w in own if known[w] >= before]
+                words += fresh
+                size += sum(map(len, fresh))
             if size >= REPLAY_BYTES or len(held) >= 4096:
                 yield flush()
     if held:
