@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialise
+from .common import WORD, fresh, materialise
 
 #: Weights of the sources in order, repeated.
 CYCLE = (3.0, 1.0, 2.0)
@@ -151,29 +151,50 @@ def apply_mix(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", s
 
     A document taken twice is there twice, the second time where its source's stream comes round to it again; one not
     taken is not there. Decisions are by (id, source, size); rows that agree on all three are numbered and get one each.
+    Columns of ``docs`` may have any names.
     """
     mixed = mix(docs, whole_documents=True, text_col=text_col, id_col=id_col, source_col=source_col, **options)
-    key = Window.partitionBy("_id", "_source", "_n")
-    by = mixed.select(F.col(id_col).alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_n"), F.col("positions").alias("_positions"))
-    by = by.withColumn("_nth", F.row_number().over(key.orderBy("_positions"))).withColumn("_rows", F.count("*").over(key))
-    by = materialise(by.filter(F.size("_positions") > 0), "taken")
-    keyed = docs.withColumn("_size", word_count(F.col(text_col)))
-    on = F.col(id_col).eqNullSafe(F.col("_id")) & F.col(source_col).eqNullSafe(F.col("_source")) & (F.col("_size") == F.col("_n"))
-    single = keyed.join(by.filter("_rows = 1"), on)
+    id_, source, n, positions, nth, rows = fresh(docs, "_id", "_source", "_n", "_positions", "_nth", "_rows")
+    size, own, at = fresh(docs, "_size", "_own", "_at")
+    key = Window.partitionBy(id_, source, n)
+    by = mixed.select(F.col(id_col).alias(id_), F.col("source").alias(source), F.col("size").alias(n), F.col("positions").alias(positions))
+    by = by.withColumn(nth, F.row_number().over(key.orderBy(positions))).withColumn(rows, F.count("*").over(key))
+    by = materialise(by.filter(F.size(positions) > 0), "taken")
+    keyed = docs.withColumn(size, word_count(F.col(text_col)))
+    on = F.col(id_col).eqNullSafe(F.col(id_)) & F.col(source_col).eqNullSafe(F.col(source)) & (F.col(size) == F.col(n))
+    one, many = by.filter(F.col(rows) == 1), by.filter(F.col(rows) > 1)
+    single = keyed.join(one, on)
     # rows that share a key are numbered by text and meet the decision of their number
-    several = by.filter("_rows > 1").select("_id", "_source", "_n").distinct()
-    own = keyed.join(several, on).withColumn("_own", F.row_number().over(key.orderBy(F.md5(F.coalesce(F.col(text_col), F.lit("")))))).drop("_id", "_source", "_n")
-    shared = own.join(by.filter("_rows > 1"), on & (F.col("_own") == F.col("_nth")))
-    taken = single.select(*docs.columns, "_positions").unionByName(shared.select(*docs.columns, "_positions")).withColumn("_at", F.explode("_positions"))
-    return taken.repartitionByRange("_at", id_col).sortWithinPartitions("_at", id_col).select(*docs.columns)
+    several = many.select(id_, source, n).distinct()
+    numbered = keyed.join(several, on).withColumn(own, F.row_number().over(key.orderBy(F.md5(F.coalesce(F.col(text_col), F.lit("")))))).drop(id_, source, n)
+    shared = numbered.join(many, on & (F.col(own) == F.col(nth)))
+    taken = single.select(*docs.columns, positions).unionByName(shared.select(*docs.columns, positions)).withColumn(at, F.explode(positions))
+    return taken.repartitionByRange(at, id_col).sortWithinPartitions(at, id_col).select(*docs.columns)
 
 
-ORACLE_OP2 = r"""
+def position_sql(fraction: str, schedule: Sequence[tuple[float, float]]) -> str:
+    """``position`` in SQL."""
+    t, w, total = cumulative(schedule)
+    double = lambda x: f"CAST({x!r} AS DOUBLE)"
+    need, cases = f"({fraction} * {double(total[-1])})", []
+    for i in range(len(t) - 1):
+        rest, slope = f"({need} - {double(total[i])})", (w[i + 1] - w[i]) / (t[i + 1] - t[i])
+        root = f"sqrt(greatest(CAST(0 AS DOUBLE), {double(w[i] ** 2)} + {double(2 * slope)} * {rest}))"
+        cases.append(f"WHEN {need} < {double(total[i + 1])} THEN {double(t[i])} + CASE WHEN {rest} <= 0 THEN CAST(0 AS DOUBLE) ELSE 2 * {rest} / ({double(w[i])} + {root}) END")
+    return f"greatest(CAST(0 AS DOUBLE), least(CAST(1 AS DOUBLE), CASE {' '.join(cases)} ELSE CAST(1 AS DOUBLE) END))"
+
+
+def curriculum_sql(fraction: str) -> str:
+    """The position by the schedule of the source's place."""
+    return "CASE place % 3 " + " ".join(f"WHEN {k} THEN {position_sql(fraction, schedule)}" for k, schedule in enumerate(CURRICULUM)) + " END"
+
+
+ORACLE_OP2 = rf"""
 WITH d AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
          md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS k FROM documents),
 s AS (
-  SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place,
          CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 3.0 WHEN 1 THEN 1.0 ELSE 2.0 END AS weight
   FROM d GROUP BY source),
 c AS (SELECT *, CAST(2 * source_size AS DOUBLE) AS cap, CAST(2 * source_size AS DOUBLE) / CAST(weight AS DOUBLE) AS ratio FROM s),
@@ -182,12 +203,16 @@ l AS (
              - coalesce(sum(cap) OVER (ORDER BY ratio, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
             / CAST(sum(weight) OVER (ORDER BY ratio, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS DOUBLE) AS level FROM c),
 w AS (SELECT level FROM l WHERE ratio >= level ORDER BY ratio, source NULLS LAST LIMIT 1),
-t AS (SELECT source, source_size, least(cap, coalesce((SELECT level FROM w) * CAST(weight AS DOUBLE), cap)) AS target FROM l),
+t AS (SELECT source, source_size, place, least(cap, coalesce((SELECT level FROM w) * CAST(weight AS DOUBLE), cap)) AS target FROM l),
 p AS (
-  SELECT d.doc_id, d.size, t.source_size, t.target, CAST(floor(t.target + 0.5) AS BIGINT) AS mark,
+  SELECT d.doc_id, d.size, t.source_size, t.place, t.target, CAST(floor(t.target + 0.5) AS BIGINT) AS mark,
          CAST(sum(d.size) OVER (PARTITION BY d.source ORDER BY k, doc_id, d.size ROWS UNBOUNDED PRECEDING) AS BIGINT) - d.size AS a
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target,
-       CAST(greatest(0, least(size, mark - a)) + greatest(0, least(size, mark - a - source_size)) AS BIGINT) AS taken
-FROM p
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+q AS (
+  SELECT *, greatest(0, least(size, mark - a)) AS once, greatest(0, least(size, mark - a - source_size)) AS twice,
+         CASE WHEN target > 0 THEN CAST(a AS DOUBLE) / target END AS f1, CASE WHEN target > 0 THEN CAST(a + source_size AS DOUBLE) / target END AS f2 FROM p)
+SELECT doc_id, size, source_size, target, CAST(once + twice AS BIGINT) AS taken,
+       CASE WHEN once > 0 THEN round({curriculum_sql("f1")}, 6) END AS position,
+       CASE WHEN twice > 0 THEN round({curriculum_sql("f2")}, 6) WHEN once > 0 THEN round({curriculum_sql("f1")}, 6) END AS last_position
+FROM q
 """

@@ -27,7 +27,8 @@ SELECT doc_id, keep_id, CAST(group_size AS BIGINT) AS group_size, doc_id IS NOT
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
-    return mixing.in_training_order(mixed).select("doc_id", "size", "source_size", "target", "taken")
+    last = F.try_element_at("positions", F.lit(-1))
+    return mixing.in_training_order(mixed).select("doc_id", "size", "source_size", "target", "taken", F.round("position", 6).alias("position"), F.round(last, 6).alias("last_position"))
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,7 +74,7 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = licenses.scan(table(spark, sf_dir, "documents"))
-    return out.withColumn("licenses", F.array_join("licenses", ","))
+    return out.withColumn("licenses", F.array_join("licenses", ",")).drop("passages")
 
 
 def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-from bisect import bisect_right
 from collections.abc import Iterator
-from functools import lru_cache
-from itertools import combinations
+from itertools import chain, combinations
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialise
+from .common import connected_components, fresh, materialise
 
 #: A pair of trie nodes with at most so many leaf pairs is compared leaf by leaf.
 LEAF_PAIRS = 64
@@ -256,58 +255,151 @@ def similar_pairs(sets: list[np.ndarray], first: int, least: float) -> Iterator[
     yield i[i < j], j[i < j]
 
 
-@lru_cache(8)
-def size_classes(similarity: float) -> list[int]:
-    """The least size of each class of set sizes; sets of ``similarity`` are of one class or of two neighbouring ones."""
-    starts = [1]
-    while starts[-1] < 1 << 40:
-        starts.append(int(starts[-1] / similarity + 1e-6) + 1)
-    return starts
+#: Prefix tokens of a chunk of texts (about 60 MB while they are sorted), and of a bucket of all chunks as aimed at.
+CHUNK_TOKENS, BUCKET_TOKENS = 1 << 20, 1 << 20
+#: Share of a set's size by which its prefix is longer than one common token asks for.
+SPARE = 0.2
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    """A one-to-one scramble of 64-bit numbers."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+def prefix_lengths(size: np.ndarray, similarity: float, spare: float = SPARE) -> tuple[np.ndarray, np.ndarray]:
+    """Of sets of so many tokens: how many least ones (by value) make up the prefix, and how many of its rarest are keys.
 
+    Sets x and y of Jaccard t or more share at least t*max(|x|, |y|) tokens. The k least shared ones are among the first
+    |x| - t|x| + k tokens of x, and likewise of y. So prefixes that are k(x) longer than |x| - t|x| share at least
+    min(k(x), k(y)) tokens, and the rarest of those is among the prefix's |x| - t|x| + k(x) - min + 1 rarest.
+    """
+    up = lambda x: np.ceil(x - 1e-9).astype(np.int64)
+    shared = up(similarity * size)
+    k = np.maximum(1, up(spare * size))
+    prefix = size - shared + k
+    return prefix, prefix - np.maximum(1, up(spare * shared)) + 1
 
-@lru_cache(8)
-def _threes(parts: int) -> np.ndarray:
-    return np.array(list(combinations(range(parts), 3)))
 
+#: Columns of the table that texts are cut up into: a text has id, h, fp; a chunk fps, sizes, at; a bucket of its tokens bucket, start, tokens, counts.
+CUT = ["id", "h", "fp", "chunk", "fps", "sizes", "at", "bucket", "start", "tokens", "counts"]
 
-def signatures(values: np.ndarray, similarity: float) -> np.ndarray:
-    """64-bit keys of a set (sorted distinct uint64) such that any two sets of Jaccard ``similarity`` or more share one.
 
-    Sets that similar are of neighbouring size classes and differ in at most d elements, so of d + 1 + s ranges of the
-    hash at least 1 + s hold the same elements. A set gives a key for each range that it has elements in, in each of the
-    two pairs of classes it belongs to. Should all ranges that agree be empty, both sets have over s empty ones and
-    share more than s of them; then so do their lists of empty ranges without the last s, which they give keys for too.
-    Small sets (d < 4) give a key for each three ranges instead. About half as many keys as elements.
-    """
-    if not len(values):
-        return np.zeros(1, np.uint64)
-    starts = size_classes(similarity)
-    own = bisect_right(starts, len(values)) - 1
-    out = []
-    for k in range(max(0, own - 1), own + 1):
-        top = starts[k + 1] - 1
-        d = int((1 - similarity) / (1 + similarity) * (top + int(top / similarity + 1e-6)) + 1e-5)
-        spare = 2 if d < 4 else 2 + d // 10
-        parts = d + 1 + spare
-        part = ((values >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
-        first = np.searchsorted(part, np.arange(parts, dtype=np.uint64))
-        some = np.diff(np.r_[first, len(values)]) > 0
-        sums = np.zeros(parts, np.uint64)
-        sums[some] = np.add.reduceat(values, first[some])
-        keys = _mixed(_mixed(sums) + np.uint64((k + 1) << 40) + np.arange(parts, dtype=np.uint64))
-        if d < 4:
-            out.append(_mixed(keys[_threes(parts)].sum(axis=1, dtype=np.uint64)))
-        else:
-            bare = np.flatnonzero(~some)
-            out += [keys[some], keys[bare[: max(0, len(bare) - spare)]]]
-    return np.concatenate(out)
+def _cut(batches: Iterator[pa.RecordBatch], id_type: pa.DataType, similarity: float, words: int, bits_words: int, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Rows (id, h, text): a row for each text with its fingerprint; for each chunk of texts the places of their prefix
+    tokens in the chunk's sorted tokens; and those tokens by bucket, with the number of texts that have each."""
+    first, chunk = TaskContext.get().partitionId() << 32, 0
+    shift = np.uint64(64 - (buckets.bit_length() - 1))
+    fps: list[int] = []
+    sizes: list[int] = []
+    held: list[np.ndarray] = []
+    total = 0
+
+    def rows(n: int, **columns) -> pa.RecordBatch:
+        kinds = dict(zip(CUT, [id_type, pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]))
+        return pa.RecordBatch.from_arrays([columns[c] if isinstance(columns.get(c), pa.Array) else pa.array(columns[c], t) if c in columns else pa.nulls(n, t) for c, t in kinds.items()], names=CUT)
+
+    def close() -> Iterator[pa.RecordBatch]:
+        nonlocal total, chunk
+        tokens, at, counts = np.unique(np.concatenate(held), return_inverse=True, return_counts=True)
+        yield rows(1, chunk=[first + chunk], fps=[np.array(fps, np.uint64).tobytes()], sizes=[np.array(sizes, np.uint32).tobytes()], at=[at.astype(np.uint32).tobytes()])
+        bucket = tokens >> shift
+        cuts = [0, *(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1).tolist(), len(tokens)]
+        yield rows(
+            len(cuts) - 1, chunk=[first + chunk] * (len(cuts) - 1), bucket=bucket[cuts[:-1]].astype(np.int32), start=np.array(cuts[:-1], np.int32),
+            tokens=[tokens[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], counts=[counts[a:b].astype(np.uint32).tobytes() for a, b in zip(cuts, cuts[1:])])
+        for x in (fps, sizes, held):
+            x.clear()
+        total, chunk = 0, chunk + 1
+
+    for batch in batches:
+        own = []
+        for text in batch.column(2):
+            text = text.as_py()
+            own.append(fingerprint(text, bits_words))
+            tokens = np.unique(np.array(shingle_hashes(text, words), np.uint64))
+            if len(tokens):  # texts without a word have fingerprint 0 all
+                prefix, _ = prefix_lengths(np.array([len(tokens)]), similarity)
+                fps.append(own[-1])
+                sizes.append(len(tokens))
+                held.append(tokens[: prefix[0]])
+                total += len(held[-1])
+            if total >= CHUNK_TOKENS:
+                yield from close()
+        yield rows(len(own), id=batch.column(0), h=batch.column(1), fp=np.array(own, np.uint64).view(np.int64))
+    if total:
+        yield from close()
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (chunk, bucket, start, tokens, counts) sorted by bucket: those tokens of each chunk that several texts of the
+    corpus have in their prefixes, as (chunk, at, tokens, counts)."""
+    held: list[tuple[int, int, bytes, bytes]] = []
+    last = None
+
+    def flush() -> pa.RecordBatch:
+        parts = [np.frombuffer(x[2], np.uint64) for x in held]
+        _, which = np.unique(np.concatenate(parts), return_inverse=True)
+        n = np.bincount(which, np.concatenate([np.frombuffer(x[3], np.uint32) for x in held]))[which].astype(np.uint32)
+        out: tuple[list, list, list, list] = ([], [], [], [])
+        lo = 0
+        for (chunk, start, *_), tokens in zip(held, parts):
+            own = n[lo : lo + len(tokens)]
+            lo += len(tokens)
+            hit = np.flatnonzero(own > 1)
+            if len(hit):
+                for col, x in zip(out, (chunk, (hit + start).astype(np.uint32).tobytes(), tokens[hit].tobytes(), own[hit].tobytes())):
+                    col.append(x)
+        held.clear()
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, [pa.int64(), pa.binary(), pa.binary(), pa.binary()])], names=["chunk", "at", "tokens", "counts"])
+
+    for batch in batches:
+        for chunk, bucket, start, tokens, counts in zip(*(c.to_pylist() for c in batch.columns)):
+            if bucket != last and held:
+                yield flush()
+            last = bucket
+            held.append((chunk, start, tokens, counts))
+    if held:
+        yield flush()
+
+
+def _keys(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """Rows (chunk, fps, sizes, at, tokens, counts) sorted by chunk: (key, a, b), a link of two texts of the chunk with a
+    common key, or (key, a, null) for the first text of each key in the chunk."""
+    last, texts, known = None, None, []
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        if texts is None or not known:
+            return
+        fps, sizes, at = (np.frombuffer(x, t) for x, t in zip(texts, (np.uint64, np.uint32, np.uint32)))
+        prefix, rarest = prefix_lengths(sizes.astype(np.int64), similarity)
+        where, tokens, counts = (np.concatenate([np.frombuffer(x[k], t) for x in known]) for k, t in enumerate((np.uint32, np.uint64, np.uint32)))
+        place = np.full(int(at.max()) + 1, -1)
+        place[where] = np.arange(len(where))
+        of, row = place[at], np.repeat(np.arange(len(prefix)), prefix)
+        of, row = of[of >= 0], row[of >= 0]
+        need = rarest - (prefix - np.bincount(row, minlength=len(prefix)))  # tokens of one text only are the rarest
+        open_ = need[row] > 0
+        of, row = of[open_], row[open_]
+        order = np.lexsort((tokens[of], counts[of], row))
+        of, row = of[order], row[order]
+        rank = np.arange(len(row)) - np.searchsorted(row, row)
+        of, row = of[rank < need[row]], row[rank < need[row]]
+        if not len(of):
+            return
+        key, fp = tokens[of].view(np.int64), fps[row].view(np.int64)
+        order = np.lexsort((fp, key))
+        key, fp = key[order], fp[order]
+        new = np.r_[True, key[1:] != key[:-1]]
+        low = fp[new][np.cumsum(new) - 1]
+        pairs = np.unique(np.stack([low, fp])[:, low != fp], axis=1)
+        for k, a, b in ((key[new], fp[new], None), (None, pairs[0], pairs[1])):
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(a), pa.int64()) if x is None else pa.array(x) for x in (k, a, b)], names=["key", "a", "b"])
+
+    for batch in batches:
+        for chunk, *rest in zip(*(c.to_pylist() for c in batch.columns)):
+            if chunk != last:
+                yield from flush()
+                last, texts, known = chunk, None, []
+            if rest[0] is not None:
+                texts = rest[:3]
+            else:
+                known.append(rest[2:])
+    yield from flush()
 
 
 def _link_equal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -327,66 +419,87 @@ def _link_equal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
 
 
-def link_similar(docs: DataFrame, similarity: float, words: int, bits_words: int, text_col: str = "text") -> DataFrame:
-    """(a, b): links that connect the fingerprints of any two texts whose ``words``-word shingles have Jaccard ``similarity`` or more.
+def cut_up(docs: DataFrame, similarity: float, words: int, bits_words: int) -> DataFrame:
+    """The table of ``CUT`` of ``docs`` (id, h, text), one pass over the texts."""
+    bytes_ = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    # a word has about five bytes, and two of five of its shingles are in the prefix
+    buckets = 256
+    while buckets * BUCKET_TOKENS * 12 < bytes_ and buckets < 1 << 24:
+        buckets *= 2
 
-    Others may be connected too. Each text is dealt out by its ``signatures``, 16 bytes a row; no pairs of a group are made.
-    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one = next(batches, None)
+        if one is not None:
+            yield from _cut(chain([one], batches), one.schema.field(0).type, similarity, words, bits_words, buckets)
+
+    kind = docs.schema["id"].dataType.simpleString()
+    schema = f"id {kind}, h string, fp long, chunk long, fps binary, sizes binary, at binary, bucket int, start int, tokens binary, counts binary"
+    return materialise(docs.select("id", "h", "text").mapInArrow(run, schema), "near-chunks")
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                texts = batch.column(0).slice(lo, 500).to_pylist()
-                keys = [signatures(np.unique(np.array(shingle_hashes(t, words), np.uint64)), similarity) for t in texts]
-                fps = np.array([fingerprint(t, bits_words) for t in texts], np.uint64)
-                made = np.concatenate(keys), np.repeat(fps, [len(k) for k in keys])
-                yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in made], names=["key", "fp"])
 
-    dealt = docs.select(text_col).mapInArrow(deal, "key long, fp long")
-    return dealt.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_link_equal, "a long, b long")
+def link_similar(pieces: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): links that connect the fingerprints of any two texts whose shingle sets have Jaccard ``similarity`` or more.
+
+    Others may be connected too, but only texts of which at least two fifths of the prefix tokens are others' too. Tokens
+    travel in packed rows: to their buckets once a chunk, where they are counted, and those of several texts back to
+    their chunks, which know their texts' rarest ones then. Texts that share one of those are linked to the first of
+    them, in their chunk and over chunks: no pairs of a group are made, and a frequent token has one row a chunk.
+    """
+    tokens = pieces.filter("bucket is not null").select("chunk", "bucket", "start", "tokens", "counts").repartition("bucket").sortWithinPartitions("bucket")
+    counted = tokens.mapInArrow(_count, "chunk long, at binary, tokens binary, counts binary")
+    none = F.lit(None).cast("binary")
+    texts = pieces.filter("fps is not null").select("chunk", "fps", "sizes", "at", none.alias("tokens"), none.alias("counts"))
+    both = texts.unionByName(counted.select("chunk", none.alias("fps"), none.alias("sizes"), "at", "tokens", "counts"))
+    met = both.repartition("chunk").sortWithinPartitions("chunk")
+    keys = materialise(met.mapInArrow(lambda batches: _keys(batches, similarity), "key long, a long, b long"), "near-keys")
+    across = keys.filter("key is not null").select("key", F.col("a").alias("fp")).repartition("key").sortWithinPartitions("key", "fp")
+    return keys.filter("key is null").select("a", "b").unionByName(across.mapInArrow(_link_equal, "a long, b long"))
 
 
-def near_copies(docs: DataFrame, similarity: float = 0.8, words: int = 5, bits_words: int = 2, budget: int = 9, agree: int = 2, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """(id, h, group): rows with a near copy, keyed by id and the 128-bit hash of the text; group is the smallest key's number.
+def near_copies(docs: DataFrame, similarity: float = 0.8, words: int = 5, bits_words: int = 3, budget: int = 3, agree: int = 1, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """(id, h, group): rows with a near copy, keyed by id and the MD5 of the text; group is the smallest key's number.
 
     Near copies share ``similarity`` or more (Jaccard) of their distinct ``words``-word shingles. Candidates come from
-    the trie join of SimHash fingerprints over ``bits_words``-word shingles within ``budget`` bits, which misses pairs
-    that differ in more, and from ``link_similar``, which misses none. Groups of candidates are then compared exactly, in
+    the trie join of SimHash fingerprints (``bits_words``-word shingles) within ``budget`` bits, which finds near copies
+    with few changes, and from ``link_similar``, which misses none. Groups of candidates are then compared exactly, in
     blocks of BLOCK_DOCS documents, and linked by pairs that are similar enough: no pair leaves a task, only a parent.
+    Texts without a word are near copies of each other.
     """
-    own = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    own = own.withColumn("fp", fingerprint_column(bits_words)("text")).select("id", F.md5("text").alias("h"), "fp")
-    own = materialise(own.distinct(), "simhash")
-    fps = own.select("fp").distinct()
-    near = link_fingerprints(materialise(fps, "fingerprints"), budget, agree)
-    links = connected_components(near.unionByName(link_similar(docs, similarity, words, bits_words, text_col)))
-    rows = own.join(links, own["fp"] == links["node"], "left").select("id", "h", F.coalesce("component", "fp").alias("coarse"))
-    groups = rows.groupBy("coarse").agg(F.count("*").alias("n")).filter("n > 1").withColumn("blocks", F.ceil(F.col("n") / BLOCK_DOCS).cast("int"))
+    plain = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("h", F.md5("text"))
+    pieces = cut_up(plain, similarity, words, bits_words)
+    own = pieces.filter("fp is not null").select("id", "h", "fp").distinct()
+    near = link_fingerprints(materialise(own.select("fp").distinct(), "fingerprints"), budget, agree)
+    links = materialise(connected_components(near.unionByName(link_similar(pieces, similarity))), "coarse")
+    rows = materialise(own.join(links, own["fp"] == links["node"], "left").select("id", "h", F.coalesce("component", "fp").alias("coarse")), "grouped")
+    # a table of its own: a join straight on the aggregate would share its exchange, and a large group couldn't be split
+    groups = materialise(rows.groupBy("coarse").agg(F.count("*").alias("n")).filter("n > 1").withColumn("blocks", F.ceil(F.col("n") / BLOCK_DOCS).cast("int")).drop("n"), "groups")
     members = rows.join(groups, "coarse").withColumn("node", F.monotonically_increasing_id())
     members = materialise(members.select("id", "h", "coarse", "blocks", "node"), "members")
     keys = members.select(F.col("id").alias("k_id"), F.col("h").alias("k_h"), "coarse", "blocks", "node")
     if members.count() <= MAX_BROADCAST_KEYS:
         keys = F.broadcast(keys)
-    text = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("h", F.md5("text"))
-    found = text.join(keys, F.col("id").eqNullSafe(F.col("k_id")) & (F.col("h") == F.col("k_h")))
+    found = plain.join(keys, F.col("id").eqNullSafe(F.col("k_id")) & (F.col("h") == F.col("k_h")))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
                 part = batch.slice(lo, 500)
-                made = [np.unique(np.array(shingle_hashes(t.as_py(), words), np.uint64).view(np.int64)) for t in part.column("text")]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("coarse", "blocks", "node")), pa.array(made, pa.list_(pa.int64()))], names=["coarse", "blocks", "node", "set"])
+                made = [np.unique(np.array(shingle_hashes(t.as_py(), words), np.uint64)).tobytes() for t in part.column("text")]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("coarse", "blocks", "node")), pa.array(made, pa.binary())], names=["coarse", "blocks", "node", "set"])
 
-    shingled = found.select("coarse", "blocks", "node", "text").mapInArrow(sets, "coarse long, blocks int, node long, set array<long>").dropDuplicates(["node"])
+    # rows that agree in id and text are one node; the text needn't be hashed twice for them
+    shingled = found.select("coarse", "blocks", "node", "text").mapInArrow(sets, "coarse long, blocks int, node long, set binary")
     dealt = (shingled.withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
              .select("coarse", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "set"))
 
     def compare(group: pa.Table) -> pa.Table:
-        order = np.argsort(group["own"].to_numpy(), kind="stable")
+        order = np.lexsort((group["node"].to_numpy(), group["own"].to_numpy()))
         node, own_ = group["node"].to_numpy()[order], group["own"].to_numpy()[order]
+        once = np.r_[True, node[1:] != node[:-1]]
+        order, node, own_ = order[once], node[once], own_[once]
         values = group["set"].to_pylist()
-        sets_ = [np.array(values[k], np.int64) for k in order]
+        sets_ = [np.frombuffer(values[k], np.uint64) for k in order]
         same = group["i"][0] == group["j"][0]
         first = len(node) if same else int((own_ == group["i"][0].as_py()).sum())
         forest = Forest(len(node))
@@ -409,10 +522,11 @@ def drop_near_copies(docs: DataFrame, text_col: str = "text", id_col: str = "doc
     """
     grouped = materialise(near_copies(docs, text_col=text_col, id_col=id_col, **options), "near-copies")
     best = F.min(F.struct(F.col("id").isNull().alias("z"), F.col("id").alias("id"), F.col("h").alias("h"))).alias("best")
-    low = grouped.groupBy("group").agg(best)
-    gone = grouped.join(low, "group").filter(~(F.col("id").eqNullSafe(F.col("best.id")) & (F.col("h") == F.col("best.h")))).select(F.col("id").alias("k_id"), F.col("h").alias("k_h"))
-    gone = materialise(gone, "dropped")
+    low = materialise(grouped.groupBy("group").agg(best), "lowest")
+    k_id, k_h, h = fresh(docs, "_k_id", "_k_h", "_h")
+    stays = F.col("id").eqNullSafe(F.col("best.id")) & (F.col("h") == F.col("best.h"))
+    gone = materialise(grouped.join(low, "group").filter(~stays).select(F.col("id").alias(k_id), F.col("h").alias(k_h)), "dropped")
     if gone.count() <= MAX_BROADCAST_KEYS:
         gone = F.broadcast(gone)
-    keyed = docs.withColumn("_h", F.md5(F.coalesce(F.col(text_col), F.lit(""))))
-    return keyed.join(gone, F.col(id_col).eqNullSafe(F.col("k_id")) & (F.col("_h") == F.col("k_h")), "left_anti").select(*docs.columns)
+    keyed = docs.withColumn(h, F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    return keyed.join(gone, F.col(id_col).eqNullSafe(F.col(k_id)) & (F.col(h) == F.col(k_h)), "left_anti").select(*docs.columns)

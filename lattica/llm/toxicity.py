@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,44 +31,68 @@ STEM_SIZES, MAX_STEMS = (4, 5, 6, 7, 8), 2_000
 LEET = str.maketrans("013457@$!", "oieastasi")
 
 _WORDS = re.compile(r"[^\W\d_]+")
-_UPPER = re.compile(r"[A-ZÀ-ÖØ-Þ]")
 #: A letter, digits or signs, a letter; or single letters with signs between.
 _ODD = re.compile(r"[^\W\d_][\d@$!*]+[^\W\d_]|[^\W\d_](?:[.\-*_][^\W\d_]){3,}")
+#: What every match of _ODD holds, quicker to look for.
+_MAYBE_ODD = re.compile(r"[\d@$!*]|[.\-*_]\w[.\-*_]")
 _TOKEN = re.compile(r"[\w@$!*.\-]+")
 _REPEATED = re.compile(r"(\w)\1{2,}")
-_MARKS = re.compile(r"[^\w\s]")
+_MARKS = re.compile(r"[^\w\s]+")
 _CAPS = re.compile(r"\b[^\W\d_a-zß-öø-ÿ]{3,}\b")
 
+#: Features in order; those at STEMS depend on the learned lexicon.
 FEATURES = ("insults", "insult_share", "obfuscated_insults", "stems", "stem_share", "near_second_person", "second_person", "capitals", "capital_words", "exclaims", "exclaim_runs", "marks", "obfuscated", "repeated_letters", "log_words", "word_length")
+STEMS = slice(3, 5)
 
 
-def features(text: str | None, stems: frozenset[str]) -> list[float]:
+class Lexicon:
+    """Stems, and their first letters, by which most words are passed over."""
+
+    def __init__(self, stems: frozenset[str]):
+        self.stems, self.heads = stems, frozenset(s[: STEM_SIZES[0]] for s in stems)
+
+    def hits(self, words: Iterable[str]) -> list[str]:
+        size, heads, stems = STEM_SIZES[0], self.heads, self.stems
+        return [w for w in words if w[:size] in heads and any(w[:k] in stems for k in STEM_SIZES if k <= len(w))]
+
+
+def stem_features(counts: Counter, n: int, lexicon: Lexicon) -> list[float]:
+    hits = sum(counts[w] for w in lexicon.hits(counts))
+    return [float(hits), hits / n if n else 0.0]
+
+
+def word_counts(text: str | None) -> Counter:
+    return Counter(_WORDS.findall((text or "").lower()))
+
+
+def features(text: str | None, lexicon: Lexicon) -> list[float]:
     """Dense features of one whole text; null and empty texts give zeros."""
     text = text or ""
     lower = text.lower()
     words = _WORDS.findall(lower)
     n = len(words)
     if not n:
-        return [0.0] * 11 + [float(len(_MARKS.findall(text)) > 0)] + [0.0] * 4
+        return [0.0] * 11 + [float(_MARKS.search(text) is not None)] + [0.0] * 4
     counts = Counter(words)
-    insults = sum(c for w, c in counts.items() if w in INSULTS)
-    stem_hits = 0
-    for w, c in counts.items():
-        if len(w) >= STEM_SIZES[0] and any(w[:k] in stems for k in STEM_SIZES if k <= len(w)):
-            stem_hits += c
+    insults = sum(counts[w] for w in INSULTS & counts.keys())
     near = 0
     if insults:
         for i, w in enumerate(words):
             if w in INSULTS and not SECOND_PERSON.isdisjoint(words[max(0, i - REACH) : i + REACH + 1]):
                 near += 1
-    odd = len(_ODD.findall(text))
+    odd = len(_ODD.findall(text)) if _MAYBE_ODD.search(text) else 0
     hidden = sum(1 for w in _TOKEN.findall(lower) if _ODD.search(w) and re.sub(r"[\W_]", "", w.translate(LEET)) in INSULTS) if odd else 0
     exclaims = text.count("!") + text.count("?")
     letters = max(1, sum(map(len, words)))
+    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    capitals = int(((code - 65 < 26) | (code - 192 < 31) & (code != 215)).sum())
+    low = code if lower == text else np.frombuffer(lower.encode("utf-32-le", "surrogatepass"), np.uint32)
+    same = low[1:] == low[:-1]
+    repeated = len(_REPEATED.findall(lower)) if (same[1:] & same[:-1]).any() else 0
     return [
-        float(insults), insults / n, float(hidden), float(stem_hits), stem_hits / n, near / n,
-        sum(counts[w] for w in SECOND_PERSON if w in counts) / n, len(_UPPER.findall(text)) / letters, len(_CAPS.findall(text)) / n,
-        exclaims / n, (text.count("!!") + text.count("??")) / n, len(_MARKS.findall(text)) / n, odd / n, len(_REPEATED.findall(lower)) / n,
+        float(insults), insults / n, float(hidden), *stem_features(counts, n, lexicon), near / n,
+        sum(counts[w] for w in SECOND_PERSON & counts.keys()) / n, capitals / letters, len(_CAPS.findall(text)) / n if capitals > 2 or not text.isascii() else 0.0,
+        exclaims / n, (text.count("!!") + text.count("??")) / n, sum(map(len, _MARKS.findall(text))) / n, odd / n, repeated / n,
         float(np.log1p(n)), letters / n]
 
 
@@ -159,25 +183,26 @@ class Model:
     at: np.ndarray
     value: np.ndarray
 
-    def score(self, texts: list[str | None]) -> np.ndarray:
+    def score(self, texts: list[str | None], lexicon: Lexicon) -> np.ndarray:
         if not len(texts):
             return np.zeros(0)
-        margin = self.trees.margin(np.array([features(t, self.stems) for t in texts]))
+        margin = self.trees.margin(np.array([features(t, lexicon) for t in texts]))
         # a sliver of the margin itself keeps the order of documents that calibration ties
         return np.clip(np.interp(margin, self.at, self.value) * 0.999 + 0.001 / (1 + np.exp(-margin)), 0.0, 1.0)
 
 
 def _stem_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows (text, toxic, fold): in how many texts of each class and fold a stem is."""
     held: Counter = Counter()
 
     def flush() -> pd.DataFrame:
-        out = pd.DataFrame([(s, c if t else 0, 0 if t else c) for (s, t), c in held.items()], columns=["stem", "pos", "neg"])
+        out = pd.DataFrame([(s, k, c if t else 0, 0 if t else c) for (s, t, k), c in held.items()], columns=["stem", "fold", "pos", "neg"])
         held.clear()
         return out
 
     for batch in batches:
-        for text, toxic in zip(batch["text"], batch["toxic"]):
-            held.update((s, toxic) for s in {w[:k] for w in set(_WORDS.findall((text or "").lower())) for k in STEM_SIZES if k <= len(w)})
+        for text, toxic, fold in zip(batch["text"], batch["toxic"], batch["fold"]):
+            held.update((s, toxic, fold) for s in {w[:k] for w in word_counts(text) for k in STEM_SIZES if k <= len(w)})
             if len(held) > 200_000:
                 yield flush()
     if held:
@@ -188,41 +213,63 @@ def _xlogy(x, y):
     return F.when(x > 0, x * F.log(y)).otherwise(F.lit(0.0))
 
 
+def choose_stems(counted: DataFrame, total: dict[int, tuple[float, float]], leave_out: int | None, least_evidence: float) -> frozenset[str]:
+    """The lexicon of all folds but one. ``counted``: stem, fold, pos, neg; ``total``: (toxic, other) texts by fold."""
+    n1, n0 = (sum(t[k] for fold, t in total.items() if fold != leave_out) for k in (0, 1))
+    if not n1 or not n0:
+        return frozenset()
+    kept = counted if leave_out is None else counted.filter(F.col("fold") != leave_out)
+    sums = kept.groupBy("stem").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    a, b = F.col("pos").cast("double"), F.col("neg").cast("double")
+    both = a + b
+    evidence = 2 * (_xlogy(a, a / (both * n1 / (n1 + n0))) + _xlogy(b, b / (both * n0 / (n1 + n0))))
+    chosen = sums.filter((a / n1 > 4 * b / n0) & (F.col("pos") >= 4)).withColumn("g", evidence).filter(F.col("g") >= least_evidence)
+    return frozenset(r["stem"] for r in chosen.orderBy(F.desc("g"), "stem").limit(MAX_STEMS).collect())
+
+
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS, text_col: str = "text", id_col: str = "doc_id", label_col: str = "toxic", folds: int = 3, least_evidence: float = 28.0) -> Model:
     """Fits on labelled rows, ``max_rows`` at most (the first by a hash of the id), whose ids ``labels`` gives.
 
     A lexicon of stems is learned from them beside the fixed one: stems much more frequent among toxic texts, by a
     likelihood-ratio statistic of at least ``least_evidence``, counted on the executors. Trees are fitted on the driver
-    on one row of numbers per text; out-of-fold margins calibrate them. Null ids and labels are left out; without both
-    classes the score is the rate of the one (0 with no label).
+    on one row of numbers per text. Out-of-fold margins calibrate them: trees and lexicon of a fold's model have seen no
+    text of that fold. Null ids and labels are left out; without both classes the score is the rate of the one (0 with
+    no label).
     """
     rows = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).select(F.col(id_col).alias("id"), (F.col(label_col) > 0).cast("int").alias("toxic"))
     sample = rows.orderBy(F.xxhash64("id"), "id", "toxic").limit(max_rows)  # bounded: 16 bytes a row
-    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    train = materialise(texts.join(F.broadcast(sample), "id").select("id", "text", "toxic").repartition(24, "id"), "toxic-train")
-    total = train.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("p")).first()
-    if not 0 < total["p"] < total["n"]:
-        flat = total["p"] / total["n"] if total["n"] else 0.0
-        return Model(frozenset(), Trees(np.zeros((0, 1), int), np.zeros((0, 1)), np.zeros((0, 2)), 0.0), np.array([0.0]), np.array([flat]))
-    n1, n0 = float(total["p"]), float(total["n"] - total["p"])
-    counted = train.select("text", "toxic").mapInPandas(_stem_counts, "stem string, pos long, neg long").groupBy("stem").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    a, b = F.col("pos").cast("double"), F.col("neg").cast("double")
-    both = a + b
-    evidence = 2 * (_xlogy(a, a / (both * n1 / (n1 + n0))) + _xlogy(b, b / (both * n0 / (n1 + n0))))
-    chosen = counted.filter((a / n1 > 4 * b / n0) & (F.col("pos") >= 4)).withColumn("g", evidence).filter(F.col("g") >= least_evidence)
-    stems = frozenset(r["stem"] for r in chosen.orderBy(F.desc("g"), "stem").limit(MAX_STEMS).collect())
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    # a fold by text, so that copies are in one
+    train = texts.join(F.broadcast(sample), "id").select("id", "text", "toxic", F.pmod(F.xxhash64("text"), F.lit(folds)).cast("int").alias("fold"))
+    train = materialise(train.repartition(24, "id"), "toxic-train")
+    total = {r["fold"]: (float(r["p"]), float(r["n"] - r["p"])) for r in train.groupBy("fold").agg(F.count("*").alias("n"), F.sum("toxic").alias("p")).collect()}
+    n1, n0 = (sum(t[k] for t in total.values()) for k in (0, 1))
+    if not n1 or not n0:
+        return Model(frozenset(), Trees(np.zeros((0, 1), int), np.zeros((0, 1)), np.zeros((0, 2)), 0.0), np.array([0.0]), np.array([n1 / (n1 + n0) if n1 + n0 else 0.0]))
+    counts = train.select("text", "toxic", "fold").mapInPandas(_stem_counts, "stem string, fold int, pos long, neg long")
+    counted = materialise(counts.groupBy("stem", "fold").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")), "toxic-stems")
+    stems = choose_stems(counted, total, None, least_evidence)
+    without = {k: choose_stems(counted, total, k, least_evidence) for k in range(folds)}
 
     def rows_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lexicon, parts = Lexicon(stems), {k: Lexicon(s) for k, s in without.items()}
         for batch in batches:
-            yield pd.DataFrame({"id": batch["id"], "toxic": batch["toxic"], "x": [features(t, stems) for t in batch["text"]]})
+            made = []
+            for text in batch["text"]:
+                seen = word_counts(text)
+                made.append(features(text, lexicon) + [x for k in range(folds) for x in stem_features(seen, seen.total(), parts[k])])
+            yield pd.DataFrame({"id": batch["id"], "toxic": batch["toxic"], "fold": batch["fold"], "x": made})
 
     kind = train.schema["id"].dataType.simpleString()
-    table = train.mapInPandas(rows_of, f"id {kind}, toxic int, x array<double>").toPandas().sort_values(["id", "toxic"], kind="stable")
-    x, y = np.array(table["x"].tolist()), table["toxic"].to_numpy(float)
-    fold = np.arange(len(y)) % folds
-    margin = np.zeros(len(y))
+    table = train.mapInPandas(rows_of, f"id {kind}, toxic int, fold int, x array<double>").toPandas().sort_values(["id", "toxic"], kind="stable")
+    wide, y, fold = np.array(table["x"].tolist()), table["toxic"].to_numpy(float), table["fold"].to_numpy()
+    x, margin = wide[:, : len(FEATURES)], np.zeros(len(y))
     for k in range(folds):
-        margin[fold == k] = fit_trees(x[fold != k], y[fold != k]).margin(x[fold == k]) if len(y) > 2 * folds else 0.0
+        own = fold == k
+        if own.any() and not own.all():
+            mine = x.copy()
+            mine[:, STEMS] = wide[:, len(FEATURES) + 2 * k : len(FEATURES) + 2 * k + 2]
+            margin[own] = fit_trees(mine[~own], y[~own]).margin(mine[own])
     return Model(stems, fit_trees(x, y), *isotonic(margin, y))
 
 
@@ -230,10 +277,12 @@ def score(docs: DataFrame, model: Model, text_col: str = "text"):
     """The score column of ``docs``' texts: 0 to 1, higher is likelier toxic; null counts as empty."""
 
     @F.pandas_udf("double")
-    def toxicity(texts: pd.Series) -> pd.Series:
-        return pd.Series(model.score(texts.tolist()), index=texts.index)
+    def toxicity(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        lexicon = Lexicon(model.stems)
+        for texts in batches:
+            yield pd.Series(model.score(texts.tolist(), lexicon), index=texts.index)
 
-    return toxicity(docs[text_col])
+    return toxicity(docs[text_col].cast("string"))
 
 
 def held_out(id_col: str = "doc_id"):

@@ -320,31 +320,42 @@ def test_near_copies(spark, docs):
     src = sorted({(repr(i), t or "") for i, t in rows(docs.select("doc_id", "text"))})
     sets = [set(simhash.shingle_hashes(t, 5)) for _, t in src]
     like = lambda a, b: len(a & b) >= 0.8 * len(a | b)
-    fps = [simhash.fingerprint(t, 2) for _, t in src]
     pairs = [(i, j) for i in range(len(src)) for j in range(i) if like(sets[i], sets[j])]
-    near = [p for p in pairs if (fps[p[0]] ^ fps[p[1]]).bit_count() <= 9]
-    root = components(near, len(src))
-    kept = simhash.drop_near_copies(docs)
-    assert kept.columns == docs.columns
-    assert len({(repr(i), t or "") for i, t in rows(kept.select("doc_id", "text"))}) == len(set(root))
+    root = components(pairs, len(src))
+    for df in (docs, docs.withColumnsRenamed({"fp": "_k_id", "lang": "_h", "keep_id": "h"})):
+        kept = simhash.drop_near_copies(df)
+        assert kept.columns == df.columns
+        assert len({(repr(i), t or "") for i, t in rows(kept.select("doc_id", "text"))}) == len(set(root))
+    assert simhash.drop_near_copies(docs.limit(0)).count() == 0
 
 
-def test_signatures():
+def test_prefix_keys():
+    """Similar sets have a common key, whatever the rarity of tokens is."""
     rng = np.random.default_rng(7)
     tried = 0
     for n in [*range(1, 60), *range(60, 3000, 97)] * 3:
         for _ in range(4):
-            a = rng.integers(0, 2**64, n, dtype=np.uint64)
-            keep = a[rng.permutation(n)[: n - rng.integers(0, n // 5 + 1)]]
-            b = np.union1d(keep, rng.integers(0, 2**64, rng.integers(0, n // 4 + 1), dtype=np.uint64))
-            a = np.unique(a)
-            if len(keep) >= 0.8 * len(np.union1d(a, b)):
-                tried += 1
-                assert np.isin(simhash.signatures(a, 0.8), simhash.signatures(b, 0.8)).any()
+            a = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+            keep = a[rng.permutation(len(a))[: len(a) - rng.integers(0, len(a) // 5 + 1)]]
+            b = np.union1d(keep, rng.integers(0, 2**63, rng.integers(0, n // 4 + 1), dtype=np.uint64))
+            if len(keep) < 0.8 * len(np.union1d(a, b)):
+                continue
+            tried += 1
+            size = np.array([len(a), len(b)])
+            prefix, rarest = simhash.prefix_lengths(size, 0.8)
+            assert (prefix <= size).all() and (rarest >= 1).all()
+            tokens = [x[:k] for x, k in zip((a, b), prefix)]
+            both = np.intersect1d(*tokens)
+            # the worst order: tokens of one set alone are all rarer than the common ones
+            order = {t: (t in set(both.tolist()), rng.random()) for t in np.union1d(*tokens).tolist()}
+            keys = [sorted(x.tolist(), key=order.get)[:k] for x, k in zip(tokens, rarest)]
+            assert not set(keys[0]).isdisjoint(keys[1])
     assert tried > 300
 
 
-def test_near_copies_of_any_fingerprint(spark):
+@pytest.mark.parametrize("chunk", [1 << 20, 500])
+def test_near_copies_of_any_fingerprint(spark, monkeypatch, chunk):
+    """All pairs of Jaccard 0.8 are found, however their fingerprints differ."""
     rng = random.Random(11)
     line = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
     made = []
@@ -355,12 +366,35 @@ def test_near_copies_of_any_fingerprint(spark):
         made += [base, base + line(n * 22 // 100), base[: n - n // 10] + line(n // 10), swapped, base + base[: n // 2], line(n)]
     src = [(i, " ".join(w)) for i, w in enumerate(made)] + [(1000, ""), (1001, None), (1002, "  ")]
     sets = [set(simhash.shingle_hashes(t, 5)) for _, t in src]
-    fps = [simhash.fingerprint(t, 2) for _, t in src]
+    fps = [simhash.fingerprint(t, 3) for _, t in src]
     pairs = [(i, j) for i in range(len(src)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
     assert sum((fps[i] ^ fps[j]).bit_count() > 9 for i, j in pairs) > 20
-    kept = simhash.drop_near_copies(spark.createDataFrame(src, "doc_id long, text string"))
+    df = spark.createDataFrame(src, "doc_id long, text string")
     root = components(pairs, len(src))
-    assert {r["doc_id"] for r in kept.collect()} == {src[i][0] for i, r in enumerate(root) if r == i}
+    if chunk > 500:
+        kept = simhash.drop_near_copies(df)
+        assert {r["doc_id"] for r in kept.collect()} == {src[i][0] for i, r in enumerate(root) if r == i}
+        return
+    # candidates alone, with small chunks, in this process
+    monkeypatch.setattr(simhash, "CHUNK_TOKENS", chunk)
+    monkeypatch.setattr(simhash.TaskContext, "get", staticmethod(lambda: type("Task", (), {"partitionId": lambda self: 3})()))
+    batch = pa.RecordBatch.from_pylist([{"id": i, "h": str(i), "text": t or ""} for i, t in src], pa.schema([("id", pa.int64()), ("h", pa.string()), ("text", pa.string())]))
+    made = pa.Table.from_batches(simhash._cut(iter([batch]), pa.int64(), 0.8, 5, 3, 256)).to_pylist()
+    texts = [r for r in made if r["fps"] is not None]
+    assert len(texts) > 3
+    kinds = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("start", pa.int32()), ("tokens", pa.binary()), ("counts", pa.binary())])
+    asked = sorted(({k: r[k] for k in kinds.names} for r in made if r["bucket"] is not None), key=lambda r: r["bucket"])
+    counted = pa.Table.from_batches(simhash._count(iter([pa.RecordBatch.from_pylist(asked, kinds)]))).to_pylist()
+    kinds = pa.schema([("chunk", pa.int64()), *((c, pa.binary()) for c in ("fps", "sizes", "at", "tokens", "counts"))])
+    both = [{k: r.get(k) for k in kinds.names} for r in texts + counted]
+    both.sort(key=lambda r: r["chunk"])
+    keys = pa.Table.from_batches(simhash._keys(iter([pa.RecordBatch.from_pylist(both[k : k + 5], kinds) for k in range(0, len(both), 5)]), 0.8)).to_pylist()
+    first, links = {}, []
+    for r in keys:
+        links.append((r["a"], r["b"] if r["key"] is None else first.setdefault(r["key"], r["a"])))
+    own = {np.uint64(f).view(np.int64).item(): k for k, f in enumerate(fps)}
+    root = components([(own[a], own[b]) for a, b in links], len(src))
+    assert all(root[own[np.uint64(fps[i]).view(np.int64).item()]] == root[own[np.uint64(fps[j]).view(np.int64).item()]] for i, j in pairs)
 
 
 def test_suffix_array():
