@@ -5,10 +5,10 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
-from zlib import crc32
+from zlib import compress, crc32, decompress
 
 import numpy as np
 import pyarrow as pa
@@ -16,12 +16,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
-
-#: A chunk of texts ends when its dictionary holds so many words (about 20 MB), or at so many characters of text.
-CHUNK_WORDS, CHUNK_CHARS = 1 << 17, 64 << 20
+#: A chunk of texts ends when its dictionary holds so many words (about 10 MB), or at so many characters of text.
+CHUNK_WORDS, CHUNK_CHARS = 1 << 16, 16 << 20
 #: A chunk's words are dealt into so many buckets by a hash.
-BUCKETS = 1024
+BUCKETS = 512
 #: Bytes of new words that one replay takes (about 80 MB), and words of a bucket that are remembered (about 40 MB).
 REPLAY_BYTES, MEMORY_WORDS = 1 << 21, 200_000
 
@@ -35,6 +33,7 @@ class Vocabulary:
         with open(path, "rb") as f:
             self.rank = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.token = {v: k for k, v in self.rank.items()}
+        self.digits = {v: str(v) for v in self.token}
         self.words = regex.compile(pattern).findall
         self.byte = np.array([self.rank[bytes([b])] for b in range(256)], np.int64)
         made = {}
@@ -172,98 +171,116 @@ def default_vocabulary() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
 
 
-def pack(numbers: list[int]) -> bytes:
+def pack(numbers: np.ndarray) -> bytes:
     """Two bytes a number, and behind them all a third (or four each) where one needs it."""
-    own = np.array(numbers, np.uint32)
-    top = int(own.max(initial=0))
+    top = int(numbers.max(initial=0))
     if top >= 1 << 24:
-        return own.tobytes()
-    return own.astype(np.uint16).tobytes() + ((own >> 16).astype(np.uint8).tobytes() if top >= 1 << 16 else b"")
+        return numbers.astype(np.uint32).tobytes()
+    return numbers.astype(np.uint16).tobytes() + ((numbers >> 16).astype(np.uint8).tobytes() if top >= 1 << 16 else b"")
 
 
 def unpack(packed: bytes, n: int) -> np.ndarray:
     if n and len(packed) == 4 * n:
-        return np.frombuffer(packed, np.uint32)
-    low = np.frombuffer(packed, np.uint16, n).astype(np.uint32)
-    return low if len(packed) == 2 * n else low | np.frombuffer(packed, np.uint8, n, 2 * n).astype(np.uint32) << 16
+        return np.frombuffer(packed, np.uint32).astype(np.int64)
+    low = np.frombuffer(packed, np.uint16, n).astype(np.int64)
+    return low if len(packed) == 2 * n else low | np.frombuffer(packed, np.uint8, n, 2 * n).astype(np.int64) << 16
 
 
-#: Columns of the chunks' table: texts have id, n and numbers; a bucket of a dictionary has bucket, numbers and words.
+#: Columns of what the split gives: texts have id, n and numbers; a bucket of a dictionary has bucket, n, numbers (its words' lengths) and words.
 CODED = ["chunk", "bucket", "id", "n", "numbers", "words"]
 
 
 def _split(batches: Iterator[pa.RecordBatch], vocab: Vocabulary, id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
-    """Rows (id, text): a row for each text, in the numbers of its chunk's dictionary, and one for each bucket of the dictionary."""
+    """Rows (id, text): a row for each text, in the numbers of its chunk's dictionary, and one for each bucket of the
+    dictionary. Its words are numbered bucket by bucket."""
     first, chunk = TaskContext.get().partitionId() << 32, 0
     numbers, chars = Numbers(), 0
+    ids: list[pa.Array] = []
+    texts: list[np.ndarray] = []
 
-    def rows(n: int, bucket=None, ids=None, counts=None, packed=None, words=None) -> pa.RecordBatch:
-        fill = lambda x, kind: pa.nulls(n, kind) if x is None else x if isinstance(x, pa.Array) else pa.array(x, kind)
-        return pa.RecordBatch.from_arrays(
-            [pa.array([first + chunk] * n, pa.int64()), fill(bucket, pa.int32()), fill(ids, id_type), fill(counts, pa.int32()), fill(packed, pa.binary()), fill(words, pa.list_(pa.string()))], names=CODED)
+    def rows(count: int, **columns) -> pa.RecordBatch:
+        kinds = dict(zip(CODED, [pa.int64(), pa.int32(), id_type, pa.int32(), pa.binary(), pa.binary()]))
+        columns["chunk"] = [first + chunk] * count
+        return pa.RecordBatch.from_arrays([columns[c] if isinstance(columns.get(c), pa.Array) else pa.array(columns[c], t) if c in columns else pa.nulls(count, t) for c, t in kinds.items()], names=CODED)
 
     def close() -> Iterator[pa.RecordBatch]:
         nonlocal numbers, chars, chunk
-        words = np.array([*numbers, None], object)[:-1]
-        bucket = np.array([crc32(w.encode()) for w in words], np.uint32) % BUCKETS
+        words = [w.encode() for w in numbers]
+        bucket = np.array([crc32(w) for w in words], np.uint32) % BUCKETS
         order = np.argsort(bucket, kind="stable")
-        at = np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(order) else []
-        for lo in range(0, len(at), 64):
-            part = at[lo : lo + 64]
-            yield rows(len(part), bucket=[int(bucket[x[0]]) for x in part], packed=[pack(x) for x in part], words=[words[x].tolist() for x in part])
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        if len(order):
+            cuts = [0, *(np.flatnonzero(np.diff(bucket[order])) + 1).tolist(), len(order)]
+            parts = [[words[k] for k in order[a:b].tolist()] for a, b in zip(cuts, cuts[1:])]
+            yield rows(
+                len(parts), bucket=bucket[order[cuts[:-1]]].astype(np.int32), n=[len(p) for p in parts],
+                numbers=[compress(pack(np.array([len(w) for w in p])), 1) for p in parts], words=[compress(b"".join(p), 1) for p in parts])
+        at = 0
+        for part in ids:
+            for lo in range(0, len(part), 500):
+                own = texts[at : at + min(500, len(part) - lo)]
+                at += len(own)
+                yield rows(len(own), id=part.slice(lo, len(own)), n=[len(x) for x in own], numbers=[pack(place[x]) for x in own])
+        ids.clear()
+        texts.clear()
         numbers, chars, chunk = Numbers(), 0, chunk + 1
 
     for batch in batches:
-        done, counts, packed, size = 0, [], [], 0
+        done = 0
         for k, text in enumerate(batch.column(1)):
             text = text.as_py() or ""
-            own = list(map(numbers.__getitem__, vocab.words(text)))
-            counts.append(len(own))
-            packed.append(pack(own))
+            texts.append(np.array(list(map(numbers.__getitem__, vocab.words(text))), np.int32))
             chars += len(text)
-            size += len(packed[-1])
-            full = len(numbers) >= CHUNK_WORDS or chars >= CHUNK_CHARS
-            if full or size >= 4 << 20 or k == batch.num_rows - 1:
-                yield rows(len(counts), ids=batch.column(0).slice(done, len(counts)), counts=counts, packed=packed)
-                done, counts, packed, size = k + 1, [], [], 0
-            if full:
+            if len(numbers) >= CHUNK_WORDS or chars >= CHUNK_CHARS:
+                ids.append(batch.column(0).slice(done, k + 1 - done))
+                done = k + 1
                 yield from close()
+        ids.append(batch.column(0).slice(done))
     yield from close()
 
 
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The dictionaries' rows alone. A filter would move below the shuffle that this reads, which then were another one."""
+    for batch in batches:
+        yield batch.filter(batch["bucket"].is_valid()).select(["chunk", "bucket", "n", "numbers", "words"])
+
+
 def _learn(batches: Iterator[pa.RecordBatch], vocab: Vocabulary) -> Iterator[pa.RecordBatch]:
-    """Rows (chunk, bucket, numbers, words) sorted by bucket: (chunk, numbers, counts, ids). A word of a bucket is encoded
-    when it first comes up, together with other new ones."""
+    """Rows (chunk, bucket, n, numbers, words) sorted by bucket: (chunk, bucket, n, counts, ids). A word of a bucket is
+    encoded when it first comes up, together with other new ones."""
     known, words, last, size = Numbers(), [], None, 0
-    flat, many = np.zeros(0, np.uint32), np.zeros(0, np.int64)  # ids of the known words, and how many each has
-    held: list[tuple[int, bytes, np.ndarray]] = []
+    flat, many = np.zeros(0, np.int64), np.zeros(0, np.int64)  # ids of the known words, and how many each has
+    held: list[tuple[int, int, np.ndarray]] = []
 
     def flush() -> pa.RecordBatch:
         nonlocal flat, many, size
         ids, counts = vocab.replay(words)
-        flat, many = np.concatenate([flat, ids.astype(np.uint32)]), np.concatenate([many, counts])
+        flat, many = np.concatenate([flat, ids]), np.concatenate([many, counts])
         words.clear()
         starts = np.cumsum(many) - many
-        out: tuple[list, list, list, list] = ([], [], [], [])
-        for chunk, numbers, own in held:
+        out: tuple[list, ...] = ([], [], [], [], [])
+        for chunk, bucket, own in held:
             n = many[own]
             at = np.repeat(starts[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            for col, x in zip(out, (chunk, numbers, n.astype(np.uint32).tobytes(), flat[at].tobytes())):
+            for col, x in zip(out, (chunk, bucket, len(own), compress(pack(n), 1), compress(pack(flat[at]), 1))):
                 col.append(x)
         held.clear()
         size = 0
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, [pa.int64(), pa.binary(), pa.binary(), pa.binary()])], names=["chunk", "numbers", "counts", "ids"])
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()])], names=["chunk", "bucket", "n", "counts", "ids"])
 
     for batch in batches:
-        for chunk, bucket, numbers, own in zip(*(c.to_pylist() for c in batch.columns)):
+        for chunk, bucket, n, lengths, blob in zip(*(c.to_pylist() for c in batch.columns)):
             if bucket != last and len(known) > MEMORY_WORDS // 4 or len(known) > MEMORY_WORDS:
                 if held:
                     yield flush()
                 known, flat, many = Numbers(), flat[:0], many[:0]
+            blob, ends = decompress(blob), np.cumsum(unpack(decompress(lengths), n)).tolist()
+            own = [blob[a:b] for a, b in zip([0, *ends], ends)]
             last, before = bucket, len(known)
-            held.append((chunk, numbers, np.array(list(map(known.__getitem__, own)), np.int64)))
+            held.append((chunk, bucket, np.array(list(map(known.__getitem__, own)), np.int64)))
             if len(known) > before:  # new words are the last of the dictionary
-                fresh = [w.encode() for w in own if known[w] >= before]
+                fresh = [w for w in own if known[w] >= before]
                 words += fresh
                 size += sum(map(len, fresh))
             if size >= REPLAY_BYTES or len(held) >= 4096:
@@ -272,50 +289,32 @@ def _learn(batches: Iterator[pa.RecordBatch], vocab: Vocabulary) -> Iterator[pa.
         yield flush()
 
 
-def _join(batches: Iterator[pa.RecordBatch], vocab: Vocabulary, names: list[str], with_ids: bool) -> Iterator[pa.RecordBatch]:
-    """Rows (chunk, id, n, numbers, counts, ids) sorted by chunk, its dictionary first: a row for each text."""
-    chunk, many, decimal, plain, ids = None, np.zeros(0, np.int64), [], [], []
-    token = vocab.token
-    for batch in batches:
-        chunks, is_word = batch.column(0).to_numpy(), batch.column(4).is_valid().to_numpy(zero_copy_only=False)
-        cuts = [0, *(np.flatnonzero((chunks[1:] != chunks[:-1]) | (is_word[1:] != is_word[:-1])) + 1).tolist(), len(chunks)]
-        for lo, hi in zip(cuts, cuts[1:]):
-            if lo == hi:
-                continue
-            if chunks[lo] != chunk:
-                chunk, many, decimal, plain, ids = chunks[lo], np.zeros(0, np.int64), [], [], []
-            if is_word[lo]:
-                for numbers, counts, flat in zip(*(batch.column(c).slice(lo, hi - lo).to_pylist() for c in (3, 4, 5))):
-                    counts = np.frombuffer(counts, np.uint32)
-                    at, flat, ends = unpack(numbers, len(counts)).tolist(), np.frombuffer(flat, np.uint32).tolist(), np.cumsum(counts).tolist()
-                    missing = max(at) + 1 - len(decimal)
-                    if missing > 0:
-                        decimal += [""] * missing
-                        plain += [b""] * missing
-                        many = np.r_[many, np.zeros(missing, np.int64)]
-                        if with_ids:
-                            ids += [None] * missing
-                    many[at] = counts
-                    start = 0
-                    for k, end in zip(at, ends):
-                        own = flat[start:end]
-                        decimal[k] = ",".join(map(str, own))
-                        plain[k] = b"".join([token[x] for x in own])
-                        if with_ids:
-                            ids[k] = own
-                        start = end
-                continue
-            out: tuple[list, list, list, list] = ([], [], [], [])
-            for n, packed in zip(batch.column(2).slice(lo, hi - lo).to_pylist(), batch.column(3).slice(lo, hi - lo)):
-                own = unpack(packed.as_py(), n)
-                listed = own.tolist()
-                out[0].append(int(many[own].sum()) if n else 0)
-                out[1].append(hashlib.sha256(",".join([decimal[x] for x in listed]).encode()).hexdigest())
-                out[2].append(hashlib.sha256(b"".join([plain[x] for x in listed])).hexdigest())
-                if with_ids:
-                    out[3].append([i for x in listed for i in ids[x]])
-            arrays = [batch.column(1).slice(lo, hi - lo), pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.string())]
-            yield pa.RecordBatch.from_arrays(arrays + [pa.array(out[3], pa.list_(pa.int32()))] * with_ids, names=names)
+def join(learned: pa.Table, texts: pa.Table, vocab: Vocabulary, names: list[str], with_ids: bool) -> pa.Table:
+    """A chunk's dictionary (bucket, n, counts, ids) and its texts (id, n, numbers; rows with a bucket are none): a row for each text."""
+    texts = texts.filter(texts["bucket"].is_null())
+    many, flat = [np.zeros(0, np.int64)], []
+    learned = learned.sort_by("bucket")
+    for n, counts, ids in zip(*(learned[c].to_pylist() for c in ("n", "counts", "ids"))):
+        many.append(unpack(decompress(counts), n))
+        flat.append(unpack(decompress(ids), int(many[-1].sum())))
+    many = np.concatenate(many)
+    flat = np.concatenate(flat).tolist() if flat else []
+    ends = np.cumsum(many).tolist()
+    token, digits = vocab.token, vocab.digits
+    words = [flat[a:b] for a, b in zip([0, *ends], ends)]
+    decimal = [",".join([digits[x] for x in w]) for w in words]
+    plain = [b"".join([token[x] for x in w]) for w in words]
+    out: tuple[list, ...] = ([], [], [], [])
+    for n, packed in zip(texts["n"].to_pylist(), texts["numbers"].to_pylist()):
+        own = unpack(packed, n)
+        listed = own.tolist()
+        out[0].append(int(many[own].sum()) if n else 0)
+        out[1].append(hashlib.sha256(",".join([decimal[x] for x in listed]).encode()).hexdigest())
+        out[2].append(hashlib.sha256(b"".join([plain[x] for x in listed])).hexdigest())
+        if with_ids:
+            out[3].append([i for x in listed for i in words[x]])
+    arrays = [texts["id"], pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.string())]
+    return pa.table(arrays + [pa.array(out[3], pa.list_(pa.int32()))] * with_ids, names=names)
 
 
 def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", id_col: str = "doc_id", with_ids: bool = False) -> DataFrame:
@@ -325,33 +324,27 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", id_
     match of ``pattern``, no special tokens; they are then decoded to bytes again. Null text counts as empty: no id.
 
     1. Texts are split into words, once. A task cuts its texts into chunks; a text becomes numbers of its chunk's
-       dictionary, two or three bytes a word.
-    2. The dictionaries' words are dealt out by bucket, so each distinct word of the corpus comes to one task, which
-       replays the merges over all its words. A frequent word is there once a chunk, not once an occurrence. A task
+       dictionary, two bytes a word mostly. Both are dealt out by chunk.
+    2. The dictionaries' words are dealt out again by bucket, so each distinct word of the corpus comes to one task,
+       which replays the merges over all its words. A frequent word is there once a chunk, not once an occurrence. A task
        streams a bucket's rows and remembers MEMORY_WORDS of them; a word beyond that is encoded again.
-    3. Dictionaries and texts meet by chunk; a task holds one dictionary at a time and streams the texts through it.
+    3. Dictionaries go back to their chunks, which are of bounded size, and texts are put together.
 
-    Texts themselves are never shuffled. Extra columns are ignored, repeated rows are encoded each, an empty table gives
-    an empty result.
+    Texts themselves are never shuffled; their numbers are, once. Extra columns are ignored, repeated rows are encoded
+    each, an empty table gives an empty result.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
 
-    def task(body: Callable[..., Iterator[pa.RecordBatch]], *more) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-        return lambda batches: body(batches, vocabulary(path, pattern), *more)
-
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = next(batches, None)
         if first is not None:
             yield from _split(chain([first], batches), vocabulary(path, pattern), first.schema.field(0).type)
 
-    none = lambda kind: F.lit(None).cast(kind)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    coded = materialise(rows.mapInArrow(split, f"chunk long, bucket int, id {id_type}, n int, numbers binary, words array<string>"), "bpe-chunks")
-    words = coded.filter("bucket is not null").select("chunk", "bucket", "numbers", "words").repartition("bucket").sortWithinPartitions("bucket")
-    learned = words.mapInArrow(task(_learn), "chunk long, numbers binary, counts binary, ids binary")
-    texts = coded.filter("bucket is null").select("chunk", "id", "n", "numbers", none("binary").alias("counts"), none("binary").alias("ids"))
-    both = learned.select("chunk", none(id_type).alias("id"), none("int").alias("n"), "numbers", "counts", "ids").unionByName(texts)
-    met = both.repartition("chunk").sortWithinPartitions("chunk", F.col("counts").isNull())
-    out = [id_col, "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids
+    names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids
     schema = f"`{id_col}` {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
-    return met.mapInArrow(task(_join, out, with_ids), schema)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    coded = rows.mapInArrow(split, f"chunk long, bucket int, id {id_type}, n int, numbers binary, words binary").repartition("chunk")
+    # both readers take all columns and rows, and so the same shuffle
+    words = coded.mapInArrow(_words, "chunk long, bucket int, n int, numbers binary, words binary")
+    learned = words.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lambda batches: _learn(batches, vocabulary(path, pattern)), "chunk long, bucket int, n int, counts binary, ids binary")
+    return learned.groupBy("chunk").cogroup(coded.groupBy("chunk")).applyInArrow(lambda a, b: join(a, b, vocabulary(path, pattern), names, with_ids), schema)

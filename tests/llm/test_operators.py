@@ -7,6 +7,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from lattica.llm import bpe, common, embeddings, exact_dedup, licenses, mixing, pii, simhash, suffixes, toxicity, warc
 from pyspark.sql import functions as F
@@ -475,23 +476,21 @@ def test_bpe_documents(spark, docs, monkeypatch, words, size):
     monkeypatch.setattr(bpe, "CHUNK_WORDS", words)
     monkeypatch.setattr(bpe.TaskContext, "get", staticmethod(lambda: type("Task", (), {"partitionId": lambda self: 3})()))
     batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in src], pa.int64()), pa.array([t for _, t in src], pa.string())], names=["id", "text"])
-    made = pa.Table.from_batches(bpe._split(iter([batch]), vocab, pa.int64())).to_pylist()
-    dictionary = sorted((r for r in made if r["bucket"] is not None), key=lambda r: r["bucket"])
-    assert (len({r["chunk"] for r in dictionary}) > 3) == (words == 20)
-    kinds = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("numbers", pa.binary()), ("words", pa.list_(pa.string()))])
-    learned = pa.Table.from_batches(bpe._learn(iter([pa.RecordBatch.from_pylist([{k: r[k] for k in kinds.names} for r in dictionary], kinds)]), vocab)).to_pylist()
-    both = [{"id": None, "n": None, **r} for r in learned] + [{"counts": None, "ids": None, **{k: r[k] for k in ("chunk", "id", "n", "numbers")}} for r in made if r["bucket"] is None]
-    both.sort(key=lambda r: (r["chunk"], r["counts"] is None))
-    kinds = pa.schema([("chunk", pa.int64()), ("id", pa.int64()), ("n", pa.int32()), ("numbers", pa.binary()), ("counts", pa.binary()), ("ids", pa.binary())])
-    parts = [pa.RecordBatch.from_pylist(both[k : k + 7], kinds) for k in range(0, len(both), 7)]
-    out = pa.Table.from_batches(bpe._join(iter(parts), vocab, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"], True)).to_pylist()
+    made = pa.Table.from_batches(bpe._split(iter([batch]), vocab, pa.int64()))
+    dictionary = made.filter(pc.is_valid(made["bucket"])).sort_by("bucket").select(["chunk", "bucket", "n", "numbers", "words"])
+    assert (len(set(dictionary["chunk"].to_pylist())) > 3) == (words == 20)
+    learned = pa.Table.from_batches(bpe._learn(iter(dictionary.to_batches(max_chunksize=7)), vocab))
+    texts_ = made.filter(pc.is_null(made["bucket"]))
+    names, out = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"], []
+    for chunk in sorted(set(texts_["chunk"].to_pylist())):
+        out += bpe.join(learned.filter(pc.equal(learned["chunk"], chunk)), texts_.filter(pc.equal(texts_["chunk"], chunk)), vocab, names, True).to_pylist()
     assert by_id(tuple(r.values()) for r in out) == by_id(want)
 
 
 @pytest.mark.parametrize("top", [0, 65_535, 65_536, (1 << 24) - 1, 1 << 24])
 def test_packing(top):
-    numbers = [top, 0, top // 2, 7]
-    assert bpe.unpack(bpe.pack(numbers), 4).tolist() == numbers and bpe.unpack(bpe.pack([]), 0).tolist() == []
+    numbers = np.array([top, 0, top // 2, 7])
+    assert (bpe.unpack(bpe.pack(numbers), 4) == numbers).all() and not len(bpe.unpack(bpe.pack(numbers[:0]), 0))
 
 
 def licence_passages(text, threshold=0.8):
