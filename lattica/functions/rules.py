@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -52,6 +52,12 @@ def or_else(c: Column, default: float | Column) -> Column:
     return F.when(c.isNull() | (c == 0), d).otherwise(c)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is made once a row, however often the body reads it, and outside generated code, which
+    long rules would outgrow."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def contains_any(c: Column, tokens: Sequence[str]) -> Column:
     out = F.lit(False)
     for t in tokens:
@@ -71,48 +77,62 @@ def _starts_any(c: Column, heads: Sequence[str]) -> Column:
     return out
 
 
+def _trimmed(c: Column) -> Column:
+    return F.regexp_replace(F.coalesce(c, F.lit("")), r"^\s+|\s+$", "")
+
+
+def _base(text: Column) -> Column:
+    """What stands behind the first '::', or all of the text if nothing does."""
+    value = F.regexp_replace(text, r"(?s)^.*?::", "")
+    return normalize_entity(F.when(value == "", text).otherwise(value))
+
+
 def canonical_entity(c: Column, is_known_gene: Column | None = None) -> Column:
     """The entity id with one of seven prefixes. ``is_known_gene`` tells whether the upper-cased base is a known symbol."""
-    text = F.regexp_replace(F.coalesce(c, F.lit("")), r"^\s+|\s+$", "")
-    has = F.contains(text, F.lit("::"))
-    prefix = F.when(has, F.lower(F.substring_index(text, "::", 1))).otherwise(F.lit(""))
-    value = F.when(has, F.regexp_replace(text, r"(?s)^.*?::", "")).otherwise(text)
-    base = normalize_entity(F.when(value == "", text).otherwise(value))
-    upper = F.upper(base)
     known = F.lit(False) if is_known_gene is None else F.coalesce(is_known_gene, F.lit(False))
-    gene, protein = F.concat(F.lit("gene::"), upper), F.concat(F.lit("protein::"), base)
-    is_protein = F.startswith(upper, F.lit("ENSP")) | F.startswith(base, F.lit("9606."))
-    out = F.when(text == "", F.lit(""))
-    for names, made in (
-        (("cell", "cell_context"), F.concat(F.lit("Cell::"), base)), (("sample",), F.concat(F.lit("sample::"), base)), (("condition",), F.concat(F.lit("condition::"), base)),
-        (("mirna", "mi_rna", "micro_rna"), F.concat(F.lit("mirna::"), upper)), (("protein",), protein), (("pathway", "term"), F.concat(F.lit("pathway::"), base)),
-        (("gene", "ncbi_gene", "ensembl_gene"), gene),
-    ):
-        out = out.when(prefix.isin(*names), made)
-    out = out.when(known, gene).when(is_protein, protein)
-    return out.when((prefix != "rna_or_protein") & _starts_any(upper, ("R-HSA", "WP", "HSA")), F.concat(F.lit("pathway::"), base)).otherwise(gene)
+
+    def made(x: Column) -> Column:
+        prefix, base, upper = x["prefix"], x["base"], F.upper(x["base"])
+        gene, protein = F.concat(F.lit("gene::"), upper), F.concat(F.lit("protein::"), base)
+        out = F.when(x["text"] == "", F.lit(""))
+        for names, form in (
+            (("cell", "cell_context"), F.concat(F.lit("Cell::"), base)), (("sample",), F.concat(F.lit("sample::"), base)), (("condition",), F.concat(F.lit("condition::"), base)),
+            (("mirna", "mi_rna", "micro_rna"), F.concat(F.lit("mirna::"), upper)), (("protein",), protein), (("pathway", "term"), F.concat(F.lit("pathway::"), base)),
+            (("gene", "ncbi_gene", "ensembl_gene"), gene),
+        ):
+            out = out.when(prefix.isin(*names), form)
+        is_protein = F.startswith(upper, F.lit("ENSP")) | F.startswith(base, F.lit("9606."))
+        out = out.when(x["known"], gene).when(is_protein, protein)
+        return out.when((prefix != "rna_or_protein") & _starts_any(upper, ("R-HSA", "WP", "HSA")), F.concat(F.lit("pathway::"), base)).otherwise(gene)
+
+    def parts(text: Column) -> Column:
+        prefix = F.when(F.contains(text, F.lit("::")), F.lower(F.substring_index(text, "::", 1))).otherwise(F.lit(""))
+        return F.struct(text.alias("text"), prefix.alias("prefix"), _base(text).alias("base"), known.alias("known"))
+
+    return let(let(_trimmed(c), parts), made)
 
 
 def entity_symbol(c: Column) -> Column:
     """The upper-cased base by which ``canonical_entity`` looks an id up among known genes."""
-    text = F.regexp_replace(F.coalesce(c, F.lit("")), r"^\s+|\s+$", "")
-    value = F.regexp_replace(text, r"(?s)^.*?::", "")
-    return F.upper(normalize_entity(F.when(value == "", text).otherwise(value)))
+    return let(_trimmed(c), lambda text: F.upper(_base(text)))
 
 
 def canonical_relation(c: Column) -> Column:
-    raw = F.lower(normalize_entity(c))
-    out = F.when(raw == "", F.lit("associated_with")).when(_starts_any(raw, PASS_THROUGH), raw)
-    for tokens, name in CANONICAL_RELATIONS:
-        out = out.when(contains_any(raw, tokens), F.lit(name))
-    return out.otherwise(F.lit("associated_with"))
+    """The relation's canonical name. Canonical names are their own, so graphs already built skip the rules."""
+
+    def made(raw: Column) -> Column:
+        out = F.when(raw == "", F.lit("associated_with")).when(_starts_any(raw, PASS_THROUGH), raw)
+        for tokens, name in CANONICAL_RELATIONS:
+            out = out.when(contains_any(raw, tokens), F.lit(name))
+        return out.otherwise(F.lit("associated_with"))
+
+    return F.when(c.isin(*RELATIONS), c).otherwise(let(F.lower(normalize_entity(c)), made))
 
 
 def relation_sign(c: Column, vocabulary=SIGN_AT_INGEST) -> Column:
     """-1, 1 or the vocabulary's default; negatives are looked for first."""
     negative, positive, otherwise = vocabulary
-    raw = F.lower(normalize_entity(c))
-    return F.when(contains_any(raw, negative), F.lit(-1.0)).when(contains_any(raw, positive), F.lit(1.0)).otherwise(F.lit(float(otherwise)))
+    return let(F.lower(normalize_entity(c)), lambda raw: F.when(contains_any(raw, negative), F.lit(-1.0)).when(contains_any(raw, positive), F.lit(1.0)).otherwise(F.lit(float(otherwise))))
 
 
 def number(c: Column, default: float) -> Column:

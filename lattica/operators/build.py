@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules
+from . import graph
 
 TRIPLE_KEY = ("head", "relation", "tail", "source", "version")
 
@@ -133,6 +134,31 @@ def cell_graph(long: DataFrame, perturbations: DataFrame, top_genes: int = 20, t
     return a.select("e.*").unionByName(b.select("e.*")).withColumn("effect_sign", F.lit(0.0))
 
 
+def cell_profiles(long: DataFrame, perturbations: DataFrame, top_genes: int = 10) -> DataFrame:
+    """(cell, profile): a text about each cell of an expression table (entity, cell, value): perturbation and first genes."""
+    top = top_per_sample(long, top_genes, by="cell")
+    genes = top.groupBy("cell").agg(F.sort_array(F.collect_list(F.struct("place", "entity"))).alias("g"))  # ``top_genes`` at most
+    named = genes.join(perturbations.select(F.col("cell_id").alias("cell"), "perturbation"), "cell", "left")
+    listed = F.array_join(F.transform("g", lambda x: x["entity"]), ", ")
+    return named.select("cell", F.concat(F.lit("Cell "), "cell", F.lit(" under "), F.coalesce("perturbation", F.lit("unknown")), F.lit(". Most expressed genes: "), listed, F.lit(".")).alias("profile"))
+
+
+def collectors(edges: DataFrame, seeds: DataFrame, max_affected: int = 120) -> tuple[DataFrame, DataFrame]:
+    """What augmentation gathers while edges stream in, as tables that a later batch can be merged with: the seeds'
+    heaviest neighbours (seed, other, relation, weight, confidence) and strengths (gene, pathway, strength)."""
+    seed = seeds.select(F.concat(F.lit("gene::"), F.upper(rules.normalize_entity(F.col("gene")))).alias("seed")).distinct()
+    near = graph.incident(edges).select(F.col("node").alias("seed"), "other", "relation", "weight", "confidence").join(seed, "seed", "left_semi").filter("other <> seed")
+    place = F.row_number().over(Window.partitionBy("seed").orderBy(F.desc("weight"), "other", "relation", F.desc("confidence")))
+    return near.withColumn("place", place).filter(F.col("place") <= max_affected).drop("place"), gene_pathway_strength(edges)
+
+
+def merge_collectors(old: tuple[DataFrame, DataFrame], new: tuple[DataFrame, DataFrame], max_affected: int = 120) -> tuple[DataFrame, DataFrame]:
+    """Both tables of two parts of an input: the heaviest of all neighbours, the best strength of each pair."""
+    near = old[0].unionByName(new[0])
+    place = F.row_number().over(Window.partitionBy("seed").orderBy(F.desc("weight"), "other", "relation", F.desc("confidence")))
+    return near.withColumn("place", place).filter(F.col("place") <= max_affected).drop("place"), old[1].unionByName(new[1]).groupBy("gene", "pathway").agg(F.max("strength").alias("strength"))
+
+
 def text_graph(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", tokens: int = 100) -> DataFrame:
     """Chains of the distinct ones of each text's first ``tokens`` tokens: id, position, head, tail, types, weight, confidence."""
     words = F.filter(F.split(F.coalesce(F.col(text_col), F.lit("")), r"\s+"), lambda w: w != "")
@@ -158,7 +184,7 @@ def shared_pathway(edges: DataFrame, seed_nodes: DataFrame, min_edge: float = 0.
     Strengths below the floor go before the join, and the seed side is semi-joined first, so the pathway join is between
     the seeds' few rows and each pathway's members.
     """
-    strong = gene_pathway_strength(edges).filter(F.col("strength") >= min_edge)
+    strong = graph.cut(gene_pathway_strength(edges).filter(F.col("strength") >= min_edge))
     mine = strong.join(seed_nodes.select(F.col("seed").alias("gene")), "gene", "left_semi").select(F.col("gene").alias("seed"), "pathway", F.col("strength").alias("s1"))
     pairs = mine.join(strong.select(F.col("gene").alias("other"), "pathway", F.col("strength").alias("s2")), "pathway").filter("seed <> other")
     scored = pairs.withColumn("score", F.least(F.lit(1.0), F.sqrt(F.col("s1") * F.col("s2")))).filter(F.col("score") >= min_score)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import time
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -59,6 +60,13 @@ def counts_by(df: DataFrame, column: str) -> DataFrame:
     return df.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
 
 
+def source_counts(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(source, edges, nodes): rows of both tables by source; one of the two may lack it."""
+    e = edges.groupBy("source").agg(F.count("*").alias("edges"))
+    n = nodes.groupBy("source").agg(F.count("*").alias("nodes"))
+    return e.join(n, "source", "full").select("source", F.coalesce("edges", F.lit(0)).alias("edges"), F.coalesce("nodes", F.lit(0)).alias("nodes"))
+
+
 def entities_per_source(edges: DataFrame) -> DataFrame:
     return edges.select("source", F.explode(F.array("head", "tail")).alias("name")).groupBy("source").agg(F.count_distinct("name").alias("entities"), (F.count("*") / 2).cast("long").alias("edges"))
 
@@ -113,6 +121,12 @@ def histogram(edges: DataFrame, column: str = "weight", bins: int = 10) -> DataF
     return edges.filter(v.isNotNull()).groupBy(F.least(F.lit(bins - 1), F.floor(v * bins)).cast("int").alias("bin")).agg(F.count("*").alias("n"), F.min(v).alias("least"), F.max(v).alias("most"))
 
 
+def histogram_summary(edges: DataFrame, column: str = "weight") -> DataFrame:
+    """n, missing, least and most of a column."""
+    v = F.col(column)
+    return edges.agg(F.count("*").alias("n"), F.coalesce(F.sum(v.isNull().cast("long")), F.lit(0)).alias("missing"), F.min(v).alias("least"), F.max(v).alias("most"))
+
+
 def perturbation_coverage(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """seeds, seeds with a perturbation node, perturbation nodes and edges."""
     p = edges.filter(F.startswith("head", F.lit("pathway::perturbation::")))
@@ -200,10 +214,11 @@ def two_hop_paths(edges: DataFrame, origins: DataFrame, via: Sequence[str] = ("p
 
 
 def three_hop_paths(edges: DataFrame, origins: DataFrame) -> DataFrame:
-    """(origin, paths): gene - protein - protein - gene with another gene at the end, edges distinct, counted by join of counts."""
+    """(origin, paths): gene - protein - protein - gene with another gene at the end, edges distinct, counted by join of counts.
+    A protein's edge to itself is a bridge too, once."""
     ends = graph.incident(edges.select("head", "tail"))
     half = ends.filter(F.startswith("node", F.lit("gene::")) & F.startswith("other", F.lit("protein::"))).groupBy(F.col("node").alias("gene"), F.col("other").alias("p")).agg(F.count("*").alias("n"))
-    bridge = ends.filter(F.startswith("node", F.lit("protein::")) & F.startswith("other", F.lit("protein::")) & (F.col("node") != F.col("other"))).groupBy(F.col("node").alias("p"), F.col("other").alias("q")).agg(F.count("*").alias("m"))
+    bridge = ends.filter(F.startswith("node", F.lit("protein::")) & F.startswith("other", F.lit("protein::")) & ((F.col("node") != F.col("other")) | F.col("is_out"))).groupBy(F.col("node").alias("p"), F.col("other").alias("q")).agg(F.count("*").alias("m"))
     all_ = half.groupBy(F.col("p").alias("q")).agg(F.sum("n").alias("all"))
     mine = half.join(origins.select(F.col("name").alias("gene")), "gene", "left_semi")
     walks = mine.join(bridge, "p").groupBy("gene", "q").agg(F.sum(F.col("n") * F.col("m")).alias("w")).join(all_, "q")
@@ -235,6 +250,35 @@ def modality_ablation(edges: DataFrame) -> DataFrame:
     return counts_by(edges, "relation").crossJoin(total).select(F.col("value").alias("relation"), F.col("n").alias("removed"), ((F.col("all") - F.col("n")) / F.col("all")).alias("retained"))
 
 
+def modality_coverage(edges: DataFrame, omics: Sequence[str] = ("expresses", "has_cnv", "has_methylation", "has_protein_abundance", "regulates")) -> DataFrame:
+    """(relation, kind, edges, genes): edges of each relation and the distinct genes they touch; kind is omics or knowledge."""
+    gene = F.when(F.startswith("tail", F.lit("gene::")), F.col("tail")).when(F.startswith("head", F.lit("gene::")), F.col("head"))
+    kind = F.when(F.col("relation").isin(*omics), F.lit("omics")).otherwise(F.lit("knowledge"))
+    return edges.groupBy("relation", kind.alias("kind")).agg(F.count("*").alias("edges"), F.count_distinct(gene).alias("genes"))
+
+
+def coverage_by_kind(edges: DataFrame, omics: Sequence[str] = ("expresses", "has_cnv", "has_methylation", "has_protein_abundance", "regulates")) -> DataFrame:
+    """(kind, genes, share): distinct genes with an edge of either kind, and their share of all genes."""
+    ends = graph.incident(edges.select("head", "tail", "relation")).filter(F.startswith("node", F.lit("gene::")))
+    kind = F.when(F.col("relation").isin(*omics), F.lit("omics")).otherwise(F.lit("knowledge"))
+    each = ends.select("node", kind.alias("kind")).distinct()
+    total = ends.agg(F.count_distinct("node").alias("all"))  # one row
+    return each.groupBy("kind").agg(F.count("*").alias("genes")).crossJoin(total).select("kind", "genes", (F.col("genes") / F.col("all")).alias("share"))
+
+
+def expression_from_edges(edges: DataFrame) -> DataFrame:
+    """(entity, sample, value): the weight of each sample's expresses edge to a gene; of several the last by all edge columns."""
+    e = edges.filter((F.col("relation") == "expresses") & F.startswith("head", F.lit("sample::")) & F.startswith("tail", F.lit("gene::")))
+    last = e.groupBy("tail", "head").agg(F.max_by("weight", F.struct("source", "weight", "confidence")).alias("value"))
+    return last.select(rules.gene_token(F.col("tail")).alias("entity"), F.substring("head", 9, 1 << 30).alias("sample"), "value")
+
+
+def gene_means(long: DataFrame) -> DataFrame:
+    """(entity, score): of a gene-effect table the mean over samples without missing values, then the least of rows of one symbol."""
+    each = long.filter(F.col("value").isNotNull() & ~F.isnan("value")).groupBy("entity").agg(F.avg("value").alias("mean"))
+    return each.groupBy(rules.strip_symbol(F.col("entity")).alias("entity")).agg(F.min("mean").alias("score"))
+
+
 def pathway_baseline(edges: DataFrame, seed_nodes: DataFrame) -> DataFrame:
     """(seed, gene, common): pathways that a gene shares with a seed."""
     p = edges.filter("relation = 'participates'").select(F.col("head").alias("gene"), F.col("tail").alias("pathway")).distinct()
@@ -266,12 +310,26 @@ def correlations(long: DataFrame, seeds: DataFrame, least: int = 10, zero_fill:
     return j.filter(n >= least).select("seed", "entity", n.alias("n"), r.alias("r")).filter(F.col("r").isNotNull() & ~F.isnan("r"))
 
 
-def mean_ranks(df: DataFrame, column: str, name: str, partition: str | None = None) -> DataFrame:
-    """Average ranks, by counting equal values first: the running count is over distinct values."""
+def value_counts(df: DataFrame, column: str, partition: str | None = None) -> DataFrame:
+    """(partition,) _v, _c, _upto: distinct values, how many rows have each, and how many rows have it or less.
+
+    Without ``partition`` the values are dealt out by ranges: each range runs by itself and then adds what the ranges
+    before it hold, a row a range. No task sees all values.
+    """
     keys = [partition] if partition else []
     hist = df.groupBy(*keys, F.col(column).alias("_v")).agg(F.count("*").alias("_c"))
-    w = (Window.partitionBy(*keys) if keys else Window.partitionBy()).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    ranks = hist.withColumn(name, F.sum("_c").over(w) - (F.col("_c") - 1) / 2).drop("_c")
+    if partition:
+        return hist.withColumn("_upto", F.sum("_c").over(Window.partitionBy(*keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)))
+    hist = graph.cut(hist.repartitionByRange("_v").withColumn("_part", F.spark_partition_id()))
+    sums = hist.groupBy("_part").agg(F.sum("_c").alias("_n"))
+    before = sums.select("_part", (F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).alias("_before"))
+    inside = F.sum("_c").over(Window.partitionBy("_part").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    return hist.withColumn("_inside", inside).join(F.broadcast(before), "_part").select("_v", "_c", (F.col("_inside") + F.col("_before")).alias("_upto"))
+
+
+def mean_ranks(df: DataFrame, column: str, name: str, partition: str | None = None) -> DataFrame:
+    """Average ranks, by counting equal values first."""
+    ranks = value_counts(df, column, partition).withColumn(name, F.col("_upto") - (F.col("_c") - 1) / 2).drop("_c", "_upto")
     on = F.col(column) == F.col("_v")
     if not partition:
         return df.join(ranks, on).drop("_v")
@@ -284,17 +342,37 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
 
 
 def mann_whitney(df: DataFrame, value: str, is_first: Column) -> DataFrame:
-    """n1, n2, u (of the first group) and z with tie correction left to the caller's p-value."""
-    r = mean_ranks(df.withColumn("_first", is_first), value, "_r")
-    s = r.agg(F.sum(F.col("_first").cast("long")).alias("n1"), F.sum((~F.col("_first")).cast("long")).alias("n2"), F.sum(F.when(F.col("_first"), F.col("_r")).otherwise(0.0)).alias("s"))
-    u = F.col("s") - F.col("n1") * (F.col("n1") + 1) / 2
-    z = (u - F.col("n1") * F.col("n2") / 2) / F.sqrt(F.col("n1") * F.col("n2") * (F.col("n1") + F.col("n2") + 1) / 12)
-    return s.select("n1", "n2", u.alias("u"), z.alias("z"))
-
+    """n1, n2, u (of the first group), z with tie correction and continuity, p (one-sided: the first group is less).
 
-def normal_below(z: float) -> float:
-    """The one-sided p-value of a z score."""
-    return 0.5 * math.erfc(-z / math.sqrt(2))
+    Equal values are counted per group first, so only a row a value is ranked.
+    """
+    first = is_first.cast("long")
+    per = df.groupBy(F.col(value).alias("v")).agg(F.sum(first).alias("a"), F.sum(1 - first).alias("b"))
+    ranks = value_counts(df, value).select(F.col("_v").alias("v"), "_c", (F.col("_upto") - (F.col("_c") - 1) / 2).alias("r"))
+    c = F.col("_c").cast("double")
+    s = per.join(ranks, "v").agg(F.sum("a").alias("n1"), F.sum("b").alias("n2"), F.sum(F.col("a") * F.col("r")).alias("s"), F.sum(c * c * c - c).alias("t"))
+    n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
+    n = n1 + n2
+    u = F.col("s") - n1 * (n1 + 1) / 2
+    spread = F.sqrt(n1 * n2 / 12 * ((n + 1) - F.col("t") / (n * (n - 1))))
+    out = s.select("n1", "n2", u.alias("u"), F.try_divide(u - n1 * n2 / 2 + 0.5, spread).alias("z"))
+    return out.withColumn("p", normal_below(F.col("z")))
+
+
+def normal_below(z: Column) -> Column:
+    """The share of the standard normal distribution below z, by the continued fraction of its tail (exact to nine decimals)."""
+    x = F.abs(z)
+    tail = x
+    for k in range(40, 0, -1):
+        tail = x + F.lit(float(k)) / tail
+    far = F.exp(-x * x / 2) / (F.lit(math.sqrt(2 * math.pi)) * tail)
+    near, term = F.lit(0.0), x
+    for k in range(30):
+        near = near + term
+        term = term * x * x / (2 * k + 3)
+    near = F.lit(0.5) - near * F.exp(-x * x / 2) / math.sqrt(2 * math.pi)
+    above = F.when(x > 3, far).otherwise(near)
+    return F.when(z > 0, 1 - above).otherwise(above)
 
 
 def top_k_accuracy(ranking: DataFrame, truth: DataFrame, k: int, threshold: float, least_hits: int = 5) -> DataFrame:
@@ -312,3 +390,30 @@ def latency_summary(samples: Sequence[float]) -> dict[str, float]:
     """min, max, mean, p99 (element min(n-1, int(.99 n))) of measured seconds."""
     v = sorted(samples)
     return {"min": v[0], "max": v[-1], "mean": sum(v) / len(v), "p99": v[min(len(v) - 1, int(len(v) * 0.99))]}
+
+
+def subgraph_latencies(edges: DataFrame, queries: Sequence[tuple[str, str]], nodes: Sequence[int] = (50, 100, 200, 500, 1000), most: Sequence[int] = (100, 300, 500, 1000, 2000), repeats: int = 5) -> DataFrame:
+    """(max_nodes, max_edges, node, relation, mean, p99): seconds that keyword sub-graphs take over a grid of sizes."""
+    out = []
+    for n in nodes:
+        for m in most:
+            for node, relation in queries:
+                took = []
+                for _ in range(repeats):
+                    began = time.perf_counter()
+                    graph.keyword_subgraph(edges, node, relation, max_nodes=n, max_edges=m).collect()  # ``m`` rows at most
+                    took.append(time.perf_counter() - began)
+                s = latency_summary(took)
+                out.append((n, m, node, relation, s["mean"], s["p99"]))
+    return edges.sparkSession.createDataFrame(out, "max_nodes int, max_edges int, node string, relation string, mean double, p99 double")
+
+
+def prediction_accuracy(rankings: DataFrame, truth: DataFrame, k: int = 100, threshold: float = -0.5, least_hits: int = 5) -> DataFrame:
+    """(method, seed, hits, precision, recall, mean) of several rankings (method, seed, entity, place) by truth (entity, score)."""
+    known = truth.groupBy("entity").agg(F.min("score").alias("score"))
+    good = F.col("score") < threshold
+    total = known.agg(F.sum(good.cast("long")).alias("all_good"))  # one row
+    top = rankings.filter(F.col("place") <= k).join(known, "entity")
+    s = top.groupBy("method", "seed").agg(F.count("*").alias("hits"), F.sum(good.cast("long")).alias("good"), F.avg("score").alias("m")).crossJoin(total)
+    ok = F.col("hits") >= least_hits
+    return s.select("method", "seed", "hits", F.when(ok, F.col("good") / F.col("hits")).otherwise(0.0).alias("precision"), F.when(ok & (F.col("all_good") > 0), F.col("good") / F.col("all_good")).otherwise(0.0).alias("recall"), F.when(ok, F.col("m")).otherwise(0.0).alias("mean"))

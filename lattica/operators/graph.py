@@ -6,10 +6,12 @@ is_seed. Numbers that are null or 0 read as their defaults (weight 1, confidence
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules
@@ -19,15 +21,29 @@ MAX_HOPS, MIN_SCORE, DECAY, PATHWAY_BOOST = 3, 0.01, 0.78, 1.12
 PREFIXES = ("gene::", "pathway::", "protein::")
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):  # the session may have ended before the interpreter does
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def scratch(spark: SparkSession, label: str) -> str:
+    """A fresh path in the folder that driver and executors share, removed when the driver's interpreter ends."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("on a cluster spark.checkpoint.dir must name a folder that the driver and all executors share")
+        shared = "/tmp/lattica-checkpoints"
+    path = f"{shared.rstrip('/')}/lattica-{label}-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    return path
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Cut lineage through the shared checkpoint folder, for loops of unknown length."""
-    spark = df.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/lattica-checkpoints"
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared)
-    path = f"{shared.rstrip('/')}/lattica-cut-{uuid.uuid4().hex}"
+    """Cut lineage: write to the shared folder and read back, so that what reads it twice makes it once."""
+    path = scratch(df.sparkSession, "cut")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def signal() -> Column:
@@ -85,19 +101,23 @@ def ranked_candidates(edges: DataFrame, origins: DataFrame, max_hops: int = MAX_
     """
     lean = edges.select("head", "tail", signal().alias("s"), sign().alias("d"))
     # parallel edges: only the best of a pair can be on a best walk, which also thins hubs before the joins
-    lean = lean.groupBy("head", "tail").agg(F.max(F.struct("s", "d")).alias("e")).select(F.col("head").alias("node"), F.col("tail").alias("next"), "e.s", "e.d")
+    lean = cut(lean.groupBy("head", "tail").agg(F.max(F.struct("s", "d")).alias("e")).select(F.col("head").alias("node"), F.col("tail").alias("next"), "e.s", "e.d"))
+    most = lean.agg(F.max("s")).first()[0] or 0.0
+    max_hops, decay, lift = max(1, max_hops), max(0.01, decay), max(boost, 1.0)
     state = origins.select("origin", F.col("origin").alias("node"), F.lit(1.0).alias("signal"), F.lit(1.0).alias("direction"))
     hops = None
-    for h in range(1, max(1, max_hops) + 1):
+    for h in range(1, max_hops + 1):
         walked = state.join(lean, "node").select("origin", F.col("next").alias("node"), (F.col("signal") * F.col("s")).alias("signal"), (F.col("direction") * F.col("d")).alias("direction"))
-        best = walked.groupBy("origin", "node").agg(F.max(F.struct("signal", "direction")).alias("b"))
-        state = best.select("origin", "node", "b.signal", "b.direction")
+        # the best score that a walk can still have here or further on; those below the floor end
+        ahead = max(most ** (k - h) * decay ** (k - 1) for k in range(h, max_hops + 1)) * lift
+        best = walked.filter(F.col("signal") * F.lit(ahead * (1 + 1e-9)) >= min_score).groupBy("origin", "node").agg(F.max(F.struct("signal", "direction")).alias("b"))
+        state = cut(best.select("origin", "node", "b.signal", "b.direction"))
         level = state.withColumn("hops", F.lit(h))
         hops = level if hops is None else hops.unionByName(level)
     keep = F.lit(not prefixes)
     for p in prefixes:
         keep = keep | F.startswith("node", F.lit(p))
-    decayed = F.col("signal") * F.pow(F.lit(max(0.01, decay)), F.col("hops") - 1)
+    decayed = F.col("signal") * F.pow(F.lit(decay), F.col("hops") - 1)
     scored = hops.filter(keep & (F.col("node") != F.col("origin"))).withColumn("score", F.when(F.startswith("node", F.lit("pathway::")), decayed * boost).otherwise(decayed)).filter(F.col("score") >= min_score)
     top = scored.groupBy("origin", "node").agg(F.max(F.struct("score", (-F.col("hops")).alias("h"), "signal", "direction")).alias("t"))
     return top.select("origin", "node", (-F.col("t.h")).alias("hops"), F.col("t.signal").alias("raw_signal"), "t.score", F.col("t.direction").alias("direction_sign"))
@@ -139,7 +159,7 @@ def keyword_subgraph(edges: DataFrame, node: str = "", relation: str = "", mode:
     """The first ``max_edges`` matching edges in the order of all edge columns, of which both ends are among the first
     ``max_nodes`` nodes to appear. Only a top-k leaves the scan; all after it is on ``max_edges`` rows."""
     max_nodes, max_edges = max(10, max_nodes), max(10, max_edges)
-    first = keyword_match(edges, node, relation, mode).orderBy(*EDGE_ORDER).limit(max_edges)
+    first = cut(keyword_match(edges, node, relation, mode).orderBy(*EDGE_ORDER).limit(max_edges))
     seq = first.withColumn("seq", F.row_number().over(Window.orderBy(*EDGE_ORDER)))
     ends = seq.select(F.posexplode(F.array("head", "tail")).alias("side", "name"), "seq").groupBy("name").agg(F.min(F.struct("seq", "side")).alias("at"))
     admitted = ends.orderBy("at").limit(max_nodes).select("name")
@@ -207,6 +227,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if state == before:
             break
         before = state
+    else:
+        raise RuntimeError("connected components did not converge")
     return everyone.join(current.select(F.col("v").alias("name"), F.col("u").alias("component")), "name", "left").select("name", F.coalesce("component", "name").alias("component"))
 
 
@@ -221,21 +243,38 @@ def simple(edges: DataFrame) -> DataFrame:
 
 
 def clustering(edges: DataFrame) -> DataFrame:
-    """(name, clustering) of the directed simple graph: directed triangles over 2 (d (d-1) - 2 r), d the total degree, r the reciprocal edges."""
+    """(name, clustering) of the directed simple graph: directed triangles over 2 (d (d-1) - 2 r), d the total degree, r the reciprocal edges.
+
+    Each undirected triangle is found once, from its two edges that leave its node of lowest degree, so a hub's many
+    neighbours are never paired; it then counts for its three corners.
+    """
     arcs = simple(edges)
     both = arcs.unionByName(arcs.select(F.col("tail").alias("head"), F.col("head").alias("tail")))
-    weight = both.groupBy("head", "tail").agg(F.count("*").alias("w"))  # 2 for reciprocal pairs
-    degree = weight.groupBy("head").agg(F.sum("w").alias("d"), F.sum((F.col("w") == 2).cast("long")).alias("r"))
-    a, b, c = (weight.alias(x) for x in "abc")
-    closed = a.join(b, F.col("a.tail") == F.col("b.head")).filter("a.head <> b.tail").join(c, (F.col("b.tail") == F.col("c.tail")) & (F.col("a.head") == F.col("c.head")))
-    triangles = closed.groupBy(F.col("a.head").alias("head")).agg((F.sum(F.col("a.w") * F.col("b.w") * F.col("c.w")) / 2).alias("t"))
+    weight = cut(both.groupBy("head", "tail").agg(F.count("*").alias("w")))  # 2 for reciprocal pairs
+    degree = cut(weight.groupBy("head").agg(F.sum("w").alias("d"), F.sum((F.col("w") == 2).cast("long")).alias("r"), F.count("*").alias("n")))
+    rank = degree.select(F.col("head").alias("name"), F.struct("n", F.col("head").alias("name")).alias("rank"))
+    ranked = weight.join(rank.withColumnsRenamed({"name": "head", "rank": "a"}), "head").join(rank.withColumnsRenamed({"name": "tail", "rank": "b"}), "tail")
+    up = cut(ranked.filter("a < b").select("head", "tail", "w", F.col("b").alias("rank")))
+    x, y, z = up.alias("x"), up.alias("y"), up.alias("z")
+    wedges = x.join(y, F.col("x.head") == F.col("y.head")).filter("x.rank < y.rank")
+    closed = wedges.join(z, (F.col("x.tail") == F.col("z.head")) & (F.col("y.tail") == F.col("z.tail")))
+    found = closed.select(F.col("x.w") * F.col("y.w") * F.col("z.w").alias("t"), F.array("x.head", "x.tail", "y.tail").alias("corners")).toDF("t", "corners")
+    triangles = found.select(F.explode("corners").alias("head"), "t").groupBy("head").agg(F.sum("t").cast("double").alias("t"))
     room = 2 * (F.col("d") * (F.col("d") - 1) - 2 * F.col("r"))
     return degree.join(triangles, "head", "left").select(F.col("head").alias("name"), F.when(F.coalesce("t", F.lit(0.0)) > 0, F.col("t") / room).otherwise(F.lit(0.0)).alias("clustering"))
 
 
+def giant_component(edges: DataFrame) -> DataFrame:
+    """The edges of the largest weakly connected component; of equal ones the first by its least name."""
+    comps = cut(components(edges))
+    giant = comps.groupBy("component").agg(F.count("*").alias("size")).orderBy(F.desc("size"), "component").limit(1)
+    return edges.join(comps.join(F.broadcast(giant), "component").select(F.col("name").alias("head")), "head", "left_semi")
+
+
 def shortest_paths(edges: DataFrame, max_nodes: int = 5_000) -> DataFrame:
-    """(average, diameter) over directed shortest paths; -1 and -1 unless the graph is strongly connected and of ``max_nodes`` at most."""
-    arcs = cut(simple(edges))
+    """(average, diameter) over directed shortest paths of the giant component; -1 and -1 unless that is strongly
+    connected and of ``max_nodes`` at most."""
+    arcs = cut(simple(giant_component(edges)))
     names = arcs.select(F.explode(F.array("head", "tail")).alias("name")).distinct()
     n = names.count()
     spark = edges.sparkSession

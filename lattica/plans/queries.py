@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules
@@ -141,17 +141,33 @@ def g09_stats(spark, sf):
     return graph.stats(edges(spark, sf))
 
 
-@kg(", s AS (SELECT * FROM edges WHERE relation IN ('participates', 'has_condition')), c AS (SELECT tail, least(min(head), tail) AS component FROM s GROUP BY tail)"
-    " SELECT head AS name, component FROM s JOIN c USING (tail) UNION SELECT tail, component FROM c")
+#: Least names travel along edges for so many rounds; the tables' graph is far less deep.
+_ROUNDS = 12
+_LEAST = "".join(
+    f", l{k} AS (SELECT node, least(any_value(own), min(near)) AS low FROM (SELECT i.node, a.low AS own, b.low AS near FROM inc i JOIN l{k - 1} a ON a.node = i.node JOIN l{k - 1} b ON b.node = i.other) GROUP BY node)" for k in range(1, _ROUNDS + 1))
+COMPONENTS = f", inc AS (SELECT DISTINCT node, other FROM {INCIDENT}), l0 AS (SELECT name AS node, name AS low FROM nodes){_LEAST} SELECT node AS name, low AS component FROM l{_ROUNDS}"
+
+
+@kg(COMPONENTS)
 def g11_components(spark, sf):
-    """Of the two relations whose components are stars, which SQL can name without recursion."""
-    return graph.components(edges(spark, sf).filter(F.col("relation").isin("participates", "has_condition")))
+    return graph.components(edges(spark, sf))
 
 
-@query()
+@kg(COMPONENTS.replace(" SELECT node AS name", ", comps AS (SELECT node AS name") + ") SELECT component, count(*) AS size FROM comps GROUP BY component ORDER BY size DESC, component LIMIT 5")
+def g11_component_sizes(spark, sf):
+    return graph.component_sizes(edges(spark, sf))
+
+
+@kg(COMPONENTS)
 def g12_all_components(spark, sf):
-    """Of all edges; without SQL, as their components are no stars."""
-    return graph.components(edges(spark, sf))
+    """The components once more, from edges that lost their order."""
+    return graph.components(edges(spark, sf).select("tail", "head").toDF("head", "tail"))
+
+
+@query("SELECT -1.0::DOUBLE AS average, -1 AS diameter")
+def g12_shortest_paths(spark, sf):
+    """Edges lead from samples to genes and on to cells and never back, so the giant component isn't strongly connected."""
+    return graph.shortest_paths(edges(spark, sf), max_nodes=400)
 
 
 @kg(", arcs AS (SELECT DISTINCT head, tail FROM edges WHERE head <> tail), w AS (SELECT head, tail, count(*) AS w FROM (SELECT head, tail FROM arcs UNION ALL SELECT tail, head FROM arcs) GROUP BY head, tail),"
@@ -162,10 +178,11 @@ def g13_clustering(spark, sf):
     return graph.clustering(edges(spark, sf))
 
 
-@kg("SELECT name, type, is_seed FROM nodes WHERE name NOT IN (SELECT head FROM edges WHERE relation = 'activates' UNION SELECT tail FROM edges WHERE relation = 'activates')")
+@kg("SELECT 'condition::' || n_name AS name, 'condition' AS type, false AS is_seed FROM nation")
 def g14_isolated(spark, sf):
-    """Nodes that no activates edge touches."""
-    return graph.isolated(nodes(spark, sf), edges(spark, sf).filter("relation = 'activates'"))
+    """The whole graph's nodes and the nations as conditions, which no edge touches."""
+    more = table(spark, sf, "nation").select(F.concat(F.lit("condition::"), "n_name").alias("name"), F.lit("condition").alias("type"), F.lit(False).alias("is_seed"))
+    return graph.isolated(nodes(spark, sf).unionByName(more), edges(spark, sf))
 
 
 # --- building
@@ -264,12 +281,15 @@ def g20_omics_triples(spark, sf):
     return build.omics_triples(bought(spark, sf).withColumn("name", F.lit("orders")), spec, who)
 
 
-@kg(", a AS (SELECT head, tail, relation, weight, confidence, row_number() OVER (PARTITION BY head, tail ORDER BY relation, weight, confidence) AS k FROM edges WHERE relation = 'activates'),"
-    " b AS (SELECT head, tail, relation, weight, confidence, row_number() OVER (PARTITION BY head, tail ORDER BY relation, weight, confidence) AS k FROM edges WHERE relation = 'inhibits')"
-    " SELECT head, tail, coalesce(b.relation, a.relation) AS relation, coalesce(b.weight, a.weight) AS weight, coalesce(b.confidence, a.confidence) AS confidence FROM a FULL JOIN b USING (head, tail, k)")
+@kg(", n AS (SELECT head, tail, relation, weight, confidence, row_number() OVER (PARTITION BY head, tail ORDER BY relation, weight, confidence) AS k FROM edges),"
+    " b AS (SELECT head, tail, relation, weight / 2 AS weight, confidence, row_number() OVER (PARTITION BY head, tail ORDER BY relation, weight / 2, confidence) AS k FROM edges WHERE relation <> 'expresses' UNION ALL SELECT head, 'gene::new', 'x', 1.0, 1.0, row_number() OVER (PARTITION BY head) FROM edges WHERE relation = 'has_condition')"
+    " SELECT head, tail, coalesce(b.relation, n.relation) AS relation, coalesce(b.weight, n.weight) AS weight, coalesce(b.confidence, n.confidence) AS confidence FROM n FULL JOIN b USING (head, tail, k)")
 def k06_compose(spark, sf):
+    """All edges, over which newer ones with half the weight come, and some between other ends."""
     lean = edges(spark, sf).select("head", "tail", "relation", "weight", "confidence")
-    return graph.compose(lean.filter("relation = 'activates'"), lean.filter("relation = 'inhibits'"))
+    newer = lean.filter("relation <> 'expresses'").withColumn("weight", F.col("weight") / 2)
+    other = lean.filter("relation = 'has_condition'").select("head", F.lit("gene::new").alias("tail"), F.lit("x").alias("relation"), F.lit(1.0).alias("weight"), F.lit(1.0).alias("confidence"))
+    return graph.compose(lean, newer.unionByName(other))
 
 
 @kg("SELECT name, type, is_seed, CASE WHEN type = 'pathway' THEN substr(name, 10) END AS pathway_name FROM nodes")
@@ -446,10 +466,90 @@ def a25_spearman(spark, sf):
     return rounded(evaluate.spearman(table(spark, sf, "lineitem").select("l_quantity", "l_extendedprice"), "l_quantity", "l_extendedprice"), "rho")
 
 
-@query(f"WITH r AS (SELECT c_mktsegment = 'BUILDING' AS f, {_mean_rank('c_acctbal')} AS r FROM customer), s AS (SELECT count(*) FILTER (f) AS n1, count(*) FILTER (NOT f) AS n2, sum(r) FILTER (f) AS s FROM r), u AS (SELECT n1, n2, s - n1 * (n1 + 1) / 2.0::DOUBLE AS u FROM s)"
-       " SELECT n1, n2, round(u, 6) AS u, round((u - n1 * n2 / 2.0::DOUBLE) / sqrt(n1 * n2 * (n1 + n2 + 1) / 12.0::DOUBLE), 6) AS z FROM u")
+@query(f"WITH r AS (SELECT c_mktsegment = 'BUILDING' AS f, {_mean_rank('c_acctbal')} AS r, count(*) OVER (PARTITION BY c_acctbal) AS c FROM (SELECT c_mktsegment, round(c_acctbal / 100) AS c_acctbal FROM customer)),"
+       " s AS (SELECT CAST(count(*) FILTER (f) AS DOUBLE) AS n1, CAST(count(*) FILTER (NOT f) AS DOUBLE) AS n2, sum(r) FILTER (f) AS s, sum(CAST(c AS DOUBLE) * c - 1) AS t FROM r),"
+       " u AS (SELECT n1, n2, s - n1 * (n1 + 1) / 2 AS u, t, n1 + n2 AS n FROM s)"
+       " SELECT CAST(n1 AS BIGINT) AS n1, CAST(n2 AS BIGINT) AS n2, round(u, 6) AS u, round((u - n1 * n2 / 2 + 0.5::DOUBLE) / sqrt(n1 * n2 / 12 * ((n + 1) - t / (n * (n - 1)))), 6) AS z FROM u")
 def a26_mann_whitney(spark, sf):
-    return rounded(evaluate.mann_whitney(table(spark, sf, "customer").select("c_acctbal", "c_mktsegment"), "c_acctbal", F.col("c_mktsegment") == "BUILDING"), "u", "z")
+    rows = table(spark, sf, "customer").select(F.round(F.col("c_acctbal") / 100).alias("c_acctbal"), "c_mktsegment")
+    return rounded(evaluate.mann_whitney(rows, "c_acctbal", F.col("c_mktsegment") == "BUILDING").drop("p"), "u", "z")
+
+
+@kg(", m AS (SELECT tail AS node, relation, count(*) AS n, round(avg(coalesce(weight, 0.5::DOUBLE)), 6) AS avg_weight FROM edges WHERE head LIKE 'sample::%' AND relation = 'expresses' GROUP BY tail, relation) SELECT * FROM m")
+def a11_by_modality(spark, sf):
+    return rounded(predict.omics_by_modality(edges(spark, sf), nodes(spark, sf).filter("type = 'gene'").withColumnRenamed("name", "node")), "avg_weight")
+
+
+@kg(", s AS (SELECT DISTINCT tail AS node, head FROM edges WHERE relation = 'expresses'), k AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY head) AS k FROM s) SELECT node, string_agg(head, ',' ORDER BY head) AS samples FROM k WHERE k <= 10 GROUP BY node")
+def a12_omics_samples(spark, sf):
+    found = predict.omics_samples(edges(spark, sf), nodes(spark, sf).filter("type = 'gene'").withColumnRenamed("name", "node"))
+    return found.withColumn("samples", F.array_join("samples", ","))
+
+
+@kg("SELECT relation, CASE WHEN relation = 'expresses' THEN 'omics' ELSE 'knowledge' END AS kind, count(*) AS edges, count(DISTINCT CASE WHEN tail LIKE 'gene::%' THEN tail WHEN head LIKE 'gene::%' THEN head END) AS genes FROM edges GROUP BY relation")
+def a18_modality_coverage(spark, sf):
+    return evaluate.modality_coverage(edges(spark, sf))
+
+
+@kg(f", g AS (SELECT DISTINCT node, CASE WHEN relation = 'expresses' THEN 'omics' ELSE 'knowledge' END AS kind FROM {INCIDENT} WHERE node LIKE 'gene::%') SELECT kind, count(*) AS genes, round(CAST(count(*) AS DOUBLE) / (SELECT count(DISTINCT node) FROM g), 6) AS share FROM g GROUP BY kind")
+def a18_coverage_by_kind(spark, sf):
+    return rounded(evaluate.coverage_by_kind(edges(spark, sf)), "share")
+
+
+@kg(", e AS (SELECT CASE WHEN relation = 'participates' THEN NULL ELSE weight END AS weight FROM edges) SELECT count(*) AS n, count(*) FILTER (weight IS NULL) AS missing, min(weight) AS least, max(weight) AS most FROM e")
+def a19_histogram_summary(spark, sf):
+    return evaluate.histogram_summary(edges(spark, sf).withColumn("weight", F.when(F.col("relation") != "participates", F.col("weight"))))
+
+
+@kg(", e AS (SELECT CASE WHEN relation = 'expresses' THEN NULL WHEN relation = 'activates' THEN 'plain ' || head ELSE '{\"structured\": 1}' END AS v, relation FROM edges) SELECT count(*) AS edges, count(v) AS with_evidence, round(avg(length(v)), 6) AS mean_length, round(count(*) FILTER (v LIKE '{%') / CAST(count(*) AS DOUBLE), 6) AS structured FROM e")
+def a20_evidence(spark, sf):
+    proof = F.when(F.col("relation") == "expresses", F.lit(None).cast("string")).when(F.col("relation") == "activates", F.concat(F.lit("plain "), "head")).otherwise(F.lit('{"structured": 1}'))
+    return rounded(evaluate.evidence_coverage(edges(spark, sf).withColumn("evidence", proof)), "mean_length", "structured")
+
+
+@query("WITH m AS (SELECT l_partkey, avg(CASE WHEN l_linenumber = 2 THEN NULL ELSE l_quantity END) AS m FROM lineitem GROUP BY l_partkey) SELECT 'P' || (l_partkey % 50) AS entity, round(min(m), 6) AS score FROM m WHERE m IS NOT NULL GROUP BY 1")
+def a22_gene_means(spark, sf):
+    name = F.concat(F.lit("p"), (F.col("l_partkey") % 50).cast("string"), F.lit(" ("), F.col("l_partkey").cast("string"), F.lit(")"))
+    long = table(spark, sf, "lineitem").select(name.alias("entity"), F.col("l_orderkey").alias("sample"), F.when(F.col("l_linenumber") == 2, F.lit(float("nan"))).otherwise(F.col("l_quantity")).alias("value"))
+    return rounded(evaluate.gene_means(long), "score")
+
+
+@query(f"WITH {BOUGHT}, s AS (SELECT gene AS seed FROM ({SEEDS_SQL})), y AS (SELECT b.* FROM bought b JOIN s ON b.entity = s.seed),"
+       " p AS (SELECT y.entity AS seed, x.entity, sum(x.value * y.value) AS sxy, count(*) AS both FROM bought x JOIN y ON x.sample = y.sample AND x.entity <> y.entity GROUP BY 1, 2),"
+       " o AS (SELECT entity, count(*) AS n, sum(value) AS a, sum(value * value) AS aa FROM bought GROUP BY entity),"
+       " j AS (SELECT p.seed, p.entity, x.n + y.n - p.both AS n, p.sxy, x.a AS ax, x.aa AS axx, y.a AS ay, y.aa AS ayy FROM p JOIN o x ON x.entity = p.entity JOIN o y ON y.entity = p.seed)"
+       " SELECT seed, entity, n, round((sxy - ax * ay / n) / sqrt((axx - ax * ax / n) * (ayy - ay * ay / n)), 6) AS r FROM j WHERE n >= 5")
+def a24_zero_filled(spark, sf):
+    return rounded(evaluate.correlations(bought(spark, sf), seeds(spark, sf).withColumnRenamed("gene", "seed"), 5, zero_fill=True), "r")
+
+
+@kg(", e AS (SELECT substr(tail, 7) AS entity, substr(head, 9) AS sample, weight, row_number() OVER (PARTITION BY head, tail ORDER BY source DESC, weight DESC, confidence DESC) AS k FROM edges WHERE relation = 'expresses') SELECT entity, sample, weight AS value FROM e WHERE k = 1")
+def a29_expression(spark, sf):
+    return evaluate.expression_from_edges(edges(spark, sf))
+
+
+@query("WITH r AS (SELECT source AS method, lang AS seed, doc_id, row_number() OVER (PARTITION BY source, lang ORDER BY n_chars DESC, doc_id) AS place FROM documents), t AS (SELECT doc_id, CAST(quality AS DOUBLE) AS score FROM labels),"
+       " x AS (SELECT method, seed, score FROM r JOIN t USING (doc_id) WHERE place <= 20), g AS (SELECT count(*) FILTER (score < 0.5) AS n FROM t)"
+       " SELECT method, seed, count(*) AS hits, round(CASE WHEN count(*) >= 5 THEN count(*) FILTER (score < 0.5) / CAST(count(*) AS DOUBLE) ELSE 0 END, 6) AS precision, round(CASE WHEN count(*) >= 5 AND any_value(n) > 0 THEN count(*) FILTER (score < 0.5) / CAST(any_value(n) AS DOUBLE) ELSE 0 END, 6) AS recall, round(CASE WHEN count(*) >= 5 THEN avg(score) ELSE 0 END, 6) AS mean FROM x, g GROUP BY method, seed")
+def e08_accuracy(spark, sf):
+    place = F.row_number().over(Window.partitionBy("source", "lang").orderBy(F.desc("n_chars"), "doc_id"))
+    ranked = table(spark, sf, "documents").select(F.col("source").alias("method"), F.col("lang").alias("seed"), F.col("doc_id").alias("entity"), place.alias("place"))
+    truth = table(spark, sf, "labels").select(F.col("doc_id").alias("entity"), F.col("quality").cast("double").alias("score"))
+    return rounded(evaluate.prediction_accuracy(ranked, truth, 20, 0.5), "precision", "recall", "mean")
+
+
+BRIDGES = "bridges AS (SELECT 'protein::S' || s_suppkey AS head, 'protein::S' || min(s_suppkey) OVER (PARTITION BY s_nationkey) AS tail FROM supplier)"
+
+
+@kg(f", {BRIDGES}, h AS (SELECT head AS gene, tail AS p, count(*) AS n FROM edges WHERE head LIKE 'gene::%' AND tail LIKE 'protein::%' GROUP BY ALL), b AS (SELECT p, q, count(*) AS m FROM (SELECT head AS p, tail AS q FROM bridges UNION ALL SELECT tail, head FROM bridges WHERE head <> tail) GROUP BY ALL),"
+    " t AS (SELECT p AS q, sum(n) AS t FROM h GROUP BY p), w AS (SELECT gene, q, sum(n * m) AS w FROM h JOIN b USING (p) GROUP BY gene, q)"
+    " SELECT w.gene AS origin, CAST(sum(w * (t - coalesce(h.n, 0))) AS BIGINT) AS paths FROM w JOIN t USING (q) LEFT JOIN h ON h.gene = w.gene AND h.p = w.q GROUP BY w.gene")
+def j15_three_hop_paths(spark, sf):
+    """Suppliers of a nation are bridged through its first one, which is bridged to itself."""
+    first = F.min("s_suppkey").over(Window.partitionBy("s_nationkey"))
+    bridges = table(spark, sf, "supplier").select(F.concat(F.lit("protein::S"), F.col("s_suppkey").cast("string")).alias("head"), F.concat(F.lit("protein::S"), first.cast("string")).alias("tail"))
+    every = edges(spark, sf).select("head", "tail").unionByName(bridges)
+    return evaluate.three_hop_paths(every, nodes(spark, sf).filter("type = 'gene'"))
 
 
 @kg("SELECT 'relations' AS \"check\", count(*) FILTER (relation NOT IN (" + ", ".join(f"'{r}'" for r in rules.RELATIONS) + ")) AS problems FROM edges"

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import json
+import re
 import tarfile
 import zipfile
 from collections.abc import Iterator
@@ -272,6 +273,32 @@ def manifest_triples(spark: SparkSession, entries: list[dict], **options) -> Dat
 
 def kegg_ids(lines_: DataFrame, symbol: str) -> DataFrame:
     """(id): hsa ids whose description has the symbol as a token, distinct."""
-    token: Column = F.lit(rf"(?i)(^|[^A-Za-z0-9]){symbol}([^A-Za-z0-9]|$)")
+    token: Column = F.lit(rf"(?i)(^|[^A-Za-z0-9]){re.escape(symbol)}([^A-Za-z0-9]|$)")
     f = F.split("value", "\t")
     return lines_.select(f[0].alias("id"), F.coalesce(F.get(f, F.lit(1)), F.lit("")).alias("text")).filter(F.startswith("id", F.lit("hsa:")) & F.col("text").rlike(token)).select("id").distinct()
+
+
+def with_catalog(results: DataFrame, catalog: DataFrame, order: str) -> DataFrame:
+    """Manifest rows with what the catalog knows of their name, the first entry by ``order``; unknown names stay."""
+    rest = [c for c in catalog.columns if c != "name"]
+    first = catalog.groupBy("name").agg(F.min_by(F.struct(*rest), order).alias("c")).select("name", *(F.col(f"c.{c}").alias(c) for c in rest))
+    return results.join(first, "name", "left")
+
+
+def datasets(entries: DataFrame) -> DataFrame:
+    """(source, version, files, categories): manifest entries by data set."""
+    return entries.groupBy("source", "version").agg(F.count("*").alias("files"), F.sort_array(F.collect_set("category")).alias("categories"))
+
+
+def omics_chunks(long: DataFrame, spec: DataFrame, chunk_rows: int = 0, **options) -> Iterator[DataFrame]:
+    """Omics triples spec by spec, in parts of about ``chunk_rows`` matrix cells (0: a spec at a time).
+
+    A part holds whole samples, so that each sample's top genes are chosen from all of its cells.
+    """
+    from ..operators.build import omics_triples
+
+    for name in sorted(r["name"] for r in spec.select("name").distinct().collect()):  # a row a data set
+        own, mine = long.filter(F.col("name") == name), spec.filter(F.col("name") == name)
+        parts = max(1, -(-own.count() // chunk_rows)) if chunk_rows > 0 else 1
+        for k in range(parts):
+            yield omics_triples(own if parts == 1 else own.filter(F.pmod(F.xxhash64("sample"), F.lit(parts)) == k), mine, **options)
