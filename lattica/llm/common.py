@@ -55,13 +55,37 @@ def _quietly_delete(spark: SparkSession, path: str) -> None:
         pass
 
 
+#: Scratch paths that haven't been deleted, in order.
+_HELD: list[str] = []
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path in the shared folder, removed when the driver's interpreter ends."""
+    """A fresh path in the shared folder, removed when the driver's interpreter ends, or before by ``release``."""
     path = f"{shared_dir(spark)}/lattica-{label}-{uuid.uuid4().hex}"
+    _HELD.append(path)
     atexit.register(_quietly_delete, spark, path)
     return path
 
 
+def held() -> list[str]:
+    """The scratch paths that haven't been deleted, oldest first."""
+    return list(_HELD)
+
+
+def release(spark: SparkSession, paths: list[str]) -> None:
+    """Delete these scratch paths, once nothing that will still be computed reads them."""
+    for path in paths:
+        _quietly_delete(spark, path)
+        if path in _HELD:
+            _HELD.remove(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``materialise`` gave, once what was made of them is materialised too."""
+    for df in tables:
+        release(df.sparkSession, [df._lattica_path])
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Cut lineage: write ``df`` as Parquet in the shared folder and read it back.
 
@@ -69,7 +93,9 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     """
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._lattica_path = path
+    return out
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -89,9 +115,12 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         # small star: u is the smaller end here, so every v looks at its smaller neighbours
         low = large.groupBy("v").agg(F.min("u").alias("m"))
         small = large.join(low, "v").select(F.col("m").alias("c"), "u", "v")
+        old = current if seen is not None else None
         current = materialise(
             small.select(F.explode(F.array(F.struct(F.col("c").alias("u"), F.col("u").alias("v")), F.struct(F.col("c").alias("u"), F.col("v"))))
                          .alias("e")).select("e.u", "e.v").filter("u <> v").distinct(), "star")
+        if old is not None:
+            discard(old)
         # a star forest: no node is both a root and a leaf, and every leaf has one root
         state = current.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if state == seen:

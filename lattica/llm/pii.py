@@ -16,14 +16,15 @@ from pyspark.sql import functions as F
 
 from .common import materialise
 
-# Common given names by script and gender.
+# Common given names by script and gender, titles, and words that a name follows.
 GIVEN = {
-    "latin female": "Mary Patricia Jennifer Linda Elizabeth Barbara Susan Jessica Sarah Karen Nancy Lisa Margaret Sandra Ashley Emily Anna Laura Julia Sophie Marie Camille Claire Louise Katharina Sabine Heike Ursula Petra Lucia Carmen Pilar Elena Isabel Rosa".split(),
-    "latin male": "James Robert John Michael David William Richard Joseph Thomas Charles Daniel Matthew Anthony Steven Paul Andrew Peter Hans Klaus Jürgen Wolfgang Dieter Stefan Pierre Jean Philippe Nicolas Antoine Carlos José Miguel Javier Pedro Luis Diego".split(),
+    "latin female": "Mary Patricia Jennifer Linda Elizabeth Barbara Susan Jessica Sarah Karen Nancy Lisa Margaret Sandra Ashley Emily Anna Laura Julia Sophie Marie Camille Claire Louise Katharina Sabine Heike Ursula Petra Lucia Carmen Pilar Elena Isabel Rosa Olga Natalia Irina Tatiana Svetlana Katarzyna Agnieszka Zofia Fatima Aisha Layla Zainab Priya Anjali Sunita Lakshmi Mei Xiu Ling".split(),
+    "latin male": "James Robert John Michael David William Richard Joseph Thomas Charles Daniel Matthew Anthony Steven Paul Andrew Peter Hans Klaus Jürgen Wolfgang Dieter Stefan Pierre Jean Philippe Nicolas Antoine Carlos José Miguel Javier Pedro Luis Diego Ivan Dmitri Sergei Vladimir Piotr Tomasz Krzysztof Ahmed Mohammed Omar Hassan Khalid Yusuf Rahul Amit Sanjay Vijay Wei Jun Ming Hao Jian".split(),
     "cyrillic female": "Анна Мария Елена Ольга Наталья Ирина Татьяна Светлана Екатерина Юлия Людмила Галина".split(),
     "cyrillic male": "Иван Дмитрий Сергей Алексей Андрей Николай Михаил Владимир Александр Павел Олег Виктор".split(),
 }
-TITLES = "Mr Mrs Ms Miss Dr Prof Herr Frau Monsieur Madame Señor Señora".split()
+TITLES = frozenset("Mr Mrs Ms Miss Dr Prof Herr Frau Monsieur Madame Señor Señora".split())
+CUES = "name is|name was|named|call me|dear|hello|hi|signed|sincerely|regards|contact|name:|patient|ich heiße|hallo|liebe|lieber|je m'appelle|cher|chère|me llamo|estimado|estimada|querido|querida|меня зовут"
 
 #: Characters that stand for each other; a surrogate keeps the class of each character, and case apart.
 CLASSES = (
@@ -38,11 +39,16 @@ _IP = re.compile(r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0
 _SSN = re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])")
 _CARD = re.compile(r"(?<![\w-])\d(?:[ -]?\d){12,18}(?![\w-])")
 _PHONE = re.compile(r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\w)|(?<![\w(])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\w)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-])")
-_NAME = re.compile(r"\b(?:(" + "|".join(TITLES) + r")\.? )?((?:[A-ZÀ-ÖØ-ÞА-ЯЁ][^\W\d_]+[ -]){1,3})?([A-ZÀ-ÖØ-ÞА-ЯЁ][^\W\d_]+)\b")
+_CAP = r"[A-ZÀ-ÖØ-ÞА-ЯЁ][^\W\d_]+"
+_RUN = re.compile(rf"\b{_CAP}(?:(?:\. |[ -]){_CAP})*\b")
+_CUE = re.compile(rf"(?i:\b(?:{CUES}))[,:]? ({_CAP})(?: ({_CAP}))?\b")
+_CUE_WORD = re.compile(rf"(?i)\b(?:{CUES})")
 #: Country codes of one and two digits; all others have three.
 _COUNTRY = re.compile(r"1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3}")
 _WORD = re.compile(r"[^\W\d_]+")
 _GENDER = {name: group for group, names in GIVEN.items() for name in names}
+#: The same names in capitals too.
+_CASED = {form: group for name, group in _GENDER.items() for form in (name, name.upper())}
 
 
 def _number(key: bytes, *parts: object) -> int:
@@ -144,7 +150,8 @@ def surrogate(key: bytes, kind: str, text: str, again: int = 0) -> str:
         return "".join("0123456789abcdef"[v] for v in permute(key, f"hex{len(text)}", [int(c, 16) for c in text], [16] * len(text)))
     if kind.startswith("given "):  # the next name on the keyed circle of names of its script and gender
         names = _circle(key, kind[6:])
-        return names[(names.index(text) + 1) % len(names)]
+        new = names[(names.index(text.capitalize()) + 1) % len(names)]
+        return new.upper() if text.isupper() else new
     return like(key, kind, text)
 
 
@@ -180,27 +187,51 @@ def find(text: str) -> list[Entity]:
             for m in pattern.finditer(text):
                 add(kind, *m.span())
     words = set(_WORD.findall(text))
-    if not _GENDER.keys().isdisjoint(words) or not words.isdisjoint(TITLES):
-        surnames = set()
-        for m in _NAME.finditer(text):
-            given = (m[2] or "").split()
-            if given and given[0] in _GENDER:
-                at = m.start(2)
-                for g in given:
-                    add(f"given {_GENDER[g]}" if g in _GENDER else "surname", at, at + len(g))
-                    if g not in _GENDER:
-                        surnames.add(g)
-                    at += len(g) + 1
-                add("surname", *m.span(3))
-                surnames.add(m[3])
-            elif m[1] and not given:
-                add("surname", *m.span(3))
-                surnames.add(m[3])
-            elif m[3] in _GENDER and not given:
-                add(f"given {_GENDER[m[3]]}", *m.span(3))
-        if surnames:  # later mentions by surname alone
-            for m in re.finditer(r"\b(?:" + "|".join(sorted(map(re.escape, surnames), key=len, reverse=True)) + r")\b", text):
-                add("surname", *m.span())
+    listed = not words.isdisjoint(_CASED) or not words.isdisjoint(TITLES)
+    if listed or _CUE_WORD.search(text):
+        givens: dict[str, str] = {}
+        surnames: set[str] = set()
+
+        def person(given: list[tuple[str, int]], family: list[tuple[str, int]]) -> None:
+            for into, parts in ((givens, given), (surnames, family)):
+                for word, at in parts:
+                    kind = _CASED.get(word, "name") if into is givens else "surname"
+                    kind = f"given {kind}" if kind not in ("name", "surname") else kind
+                    add(kind, at, at + len(word))
+                    givens.setdefault(word, kind) if into is givens else surnames.add(word)
+
+        for m in _RUN.finditer(text) if listed else ():
+            run = [(w[0], m.start() + w.start()) for w in _WORD.finditer(m[0])]
+            k = 0
+            while k < len(run):
+                word = run[k][0]
+                if word in TITLES and k + 1 < len(run) and run[k + 1][0] in TITLES:
+                    k += 1
+                elif word in TITLES and k + 1 < len(run):  # a title, perhaps given names, and a surname
+                    rest = run[k + 1 : k + 4]
+                    n = 0
+                    while n < len(rest) - 1 and rest[n][0] in _CASED:
+                        n += 1
+                    person(rest[:n], rest[n : n + 1])
+                    k += n + 2
+                elif word in _CASED and k + 1 < len(run):  # given names, perhaps a middle one, and a surname
+                    n = 1
+                    while k + n + 1 < len(run) and run[k + n][0] in _CASED:
+                        n += 1
+                    person(run[k : k + n], run[k + n : k + n + 1])
+                    k += n + 1
+                else:
+                    k += 1
+        for m in _CUE.finditer(text):
+            if m[1] not in TITLES:
+                if m[2]:
+                    person([(m[1], m.start(1))], [(m[2], m.start(2))])
+                elif m[1] in _CASED:
+                    person([(m[1], m.start(1))], [])
+        again = {**dict.fromkeys(surnames, "surname"), **givens}
+        if again:  # later mentions by one name alone
+            for m in re.finditer(r"\b(?:" + "|".join(sorted(map(re.escape, again), key=len, reverse=True)) + r")\b", text):
+                add(again[m[0]], *m.span())
     return sorted(taken, key=lambda e: e.start)
 
 
@@ -210,19 +241,30 @@ def canonical(kind: str, text: str) -> str:
         return "+" * text.startswith("+") * (kind == "phone") + re.sub(r"\D", "", text)
     if kind == "ip":
         return ".".join(str(int(x)) for x in text.split("."))
-    if kind in ("email", "surname"):  # what ``like`` takes for one letter
+    if kind.startswith("given "):
+        return text.capitalize()
+    if kind in ("email", "surname", "name"):  # what ``like`` takes for one letter
         return "".join(low if (low := c.lower()) in _CLASS and c == low.upper() else c for c in text)
     return text.replace(" ", "").upper() if kind == "iban" else text
 
 
+#: By kind and keyed digest of the canonical original: which further key it takes.
 Retries = Mapping[tuple[str, str], int]
 
 
+def digest(key: bytes, kind: str, original: str) -> str:
+    return hashlib.sha256(b"|".join([key, kind.encode(), original.encode("utf-8", "surrogatepass")])).hexdigest()
+
+
+def _again(key: bytes, kind: str, original: str, retries: Retries) -> int:
+    return retries.get((kind, digest(key, kind, original)), 0) if retries else 0
+
+
 def replace(key: bytes, text: str, retries: Retries = MappingProxyType({})) -> tuple[str, list[Entity]]:
     out, at = [], 0
     found = find(text)
     for e in found:
-        out += [text[at : e.start], surrogate(key, e.kind, e.text, retries.get((e.kind, canonical(e.kind, e.text)), 0) if retries else 0)]
+        out += [text[at : e.start], surrogate(key, e.kind, e.text, _again(key, e.kind, canonical(e.kind, e.text), retries))]
         at = e.end
     return "".join([*out, text[at:]]), found
 
@@ -237,7 +279,7 @@ def entities(docs: DataFrame, key: str, text_col: str = "text", id_col: str = "d
             for k, text in enumerate(batch.column(1)):
                 for e in find(text.as_py() or ""):
                     own = canonical(e.kind, e.text)
-                    rows.append((k, e.kind, own, canonical(e.kind, surrogate(secret, e.kind, e.text, retries.get((e.kind, own), 0))), e.start, e.end))
+                    rows.append((k, e.kind, own, canonical(e.kind, surrogate(secret, e.kind, e.text, _again(secret, e.kind, own, retries))), e.start, e.end))
             if rows:
                 which, *cols = zip(*rows)
                 kinds = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32()]
@@ -259,13 +301,15 @@ def split(found: DataFrame) -> DataFrame:
 
 
 def settle(docs: DataFrame, key: str, text_col: str = "text", id_col: str = "doc_id", rounds: int = 20) -> dict[tuple[str, str], int]:
-    """Which further key each (kind, original) takes so that no two originals of the corpus share a surrogate.
+    """Which further key each (kind, digest of the original) takes so that no two originals of the corpus share a surrogate.
 
     Of the originals that share one the first keeps it and the others go on to their next key, until none is shared.
     """
     retries: dict[tuple[str, str], int] = {}
     for _ in range(rounds):
-        found = materialise(entities(docs, key, text_col, id_col, retries).select("kind", "surrogate", "original"), "entities")
+        # keyed digests, so that no original is written anywhere
+        hidden = lambda c: F.sha2(F.concat_ws("|", F.lit(key), "kind", c).cast("binary"), 256).alias(c)  # noqa: E731  as ``digest``
+        found = materialise(entities(docs, key, text_col, id_col, retries).select("kind", hidden("surrogate"), hidden("original")), "entities")
         if (torn := split(found).first()) is not None:
             raise RuntimeError(f"an original of kind {torn['kind']} has {torn['surrogates']} surrogates")
         shared = found.join(collisions(found).select("kind", "surrogate"), ["kind", "surrogate"], "left_semi").distinct().collect()
@@ -283,10 +327,11 @@ def settle(docs: DataFrame, key: str, text_col: str = "text", id_col: str = "doc
 def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", id_col: str = "doc_id", check: bool = True) -> DataFrame:
     """One row per input row: id, n_entities, kinds (sorted distinct, comma-joined), text with surrogates.
 
-    Found are e-mail and IP addresses, phone, card, social-security and bank account numbers, secrets, and names by
-    given name or title. A surrogate comes from a keyed permutation of all entities of its format: equal entities get
-    equal surrogates in every document (coreference) and different ones different surrogates (distinctness), without any
-    table. Format, length, case, script, a given name's gender, country codes and check digits stay as they were. With
+    Found are e-mail and IP addresses, phone, card, social-security and bank account numbers, secrets, and names: a known
+    given name before another capitalised word, what follows a title, what follows words that introduce a name, and
+    later mentions of either part in the same text. A given name that stands alone is none of these
+    (Jean jackets). A surrogate comes from a keyed permutation of all entities of its format: equal entities get equal
+    surrogates in every document (coreference) and different ones different surrogates (distinctness), without any table. Format, length, case, script, a given name's gender, country codes and check digits stay as they were. With
     ``check`` the whole corpus is searched first: originals that share a surrogate get others, by further keys (see
     ``settle``), and an original with two surrogates raises an error.
 

@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, fresh, materialise
+from .common import connected_components, discard, fresh, materialise
 
 #: A pair of trie nodes with at most so many leaf pairs is compared leaf by leaf.
 LEAF_PAIRS = 64
@@ -471,6 +471,7 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, words: int = 5, bits_w
     near = link_fingerprints(materialise(own.select("fp").distinct(), "fingerprints"), budget, agree)
     links = materialise(connected_components(near.unionByName(link_similar(pieces, similarity))), "coarse")
     rows = materialise(own.join(links, own["fp"] == links["node"], "left").select("id", "h", F.coalesce("component", "fp").alias("coarse")), "grouped")
+    discard(pieces, links)
     # a table of its own: a join straight on the aggregate would share its exchange, and a large group couldn't be split
     groups = materialise(rows.groupBy("coarse").agg(F.count("*").alias("n")).filter("n > 1").withColumn("blocks", F.ceil(F.col("n") / BLOCK_DOCS).cast("int")).drop("n"), "groups")
     members = rows.join(groups, "coarse").withColumn("node", F.monotonically_increasing_id())

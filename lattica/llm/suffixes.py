@@ -20,8 +20,8 @@ BLOCK = 8
 ARRAY_BYTES = 1 << 20
 #: A group of one anchor with more contexts than this is resolved by hashes of its windows, spread over all tasks.
 MAX_CONTEXTS = 2_000
-#: Tables of keys or ranges by text are broadcast up to so many rows (about 16 and 32 MB); beyond it texts are shuffled.
-MAX_BROADCAST_ROWS = 200_000
+#: Tables of contexts or ranges by text are broadcast up to so many entries (about 24 MB), whatever rows they are in; beyond it texts are shuffled.
+MAX_BROADCAST_ENTRIES = 500_000
 
 
 def suffix_array(symbols: list[int]) -> list[int]:
@@ -32,6 +32,7 @@ def suffix_array(symbols: list[int]) -> list[int]:
     common prefix by the group's as many times as pointers arrive, so they leave their group for a new one just above
     it, more pointers higher. Afterwards suffixes are grouped by Lyndon prefix. Phase 2 walks the array being filled
     from the left: the suffix before each entry, and all along its pointers, take the next free place of their groups.
+    Groups are walked in any order, and each position gets its pointer once, so neither phase sorts.
     """
     n = len(symbols) + 1
     text = [*symbols, 0]
@@ -49,19 +50,22 @@ def suffix_array(symbols: list[int]) -> list[int]:
     while g >= 0:
         hits: dict[int, int] = {}
         many = False
-        for i in sorted(members[g]):
-            if group[i] != g:
-                continue  # it has moved to a higher group
-            j = i - 1
-            while j >= 0 and before[j] != -2:
-                j = before[j]
-            before[i] = j
+        for i in members[g]:
+            if group[i] != g or before[i] != -2:
+                continue  # it has moved to a higher group, or one of its group to the right has met it
+            own, j = [i], i - 1
+            while True:
+                while j >= 0 and before[j] != -2:
+                    j = before[j]
+                if j < 0 or group[j] != g:
+                    break
+                own.append(j)  # of the same group: it has the same smaller one to the left
+                j -= 1
+            for x in own:
+                before[x] = j
             if j >= 0:
-                if j in hits:
-                    hits[j] += 1
-                    many = True
-                else:
-                    hits[j] = 1
+                many |= j in hits or len(own) > 1
+                hits[j] = hits.get(j, 0) + len(own)
         if many:
             by_count: dict[int, list[int]] = {}
             for j, k in hits.items():
@@ -255,6 +259,12 @@ def repeated_windows(family: np.ndarray, texts: list[bytes], offsets: np.ndarray
     return c[hit], s[hit]
 
 
+def _few(df: DataFrame, column: str) -> DataFrame:
+    """``df``, to be broadcast if its arrays hold few entries and it has few rows."""
+    n = df.agg(F.sum(F.size(column) + 4)).first()[0] or 0
+    return F.broadcast(df) if n <= MAX_BROADCAST_ENTRIES else df
+
+
 def _spans(starts: list[int], length: int) -> list[tuple[int, int]]:
     return merge([(s, s + length) for s in starts])
 
@@ -321,7 +331,7 @@ def repeated_spans(docs: DataFrame, length: int = 200, k: int = ANCHOR, max_cont
     # contexts whose bytes must be seen: the single ones, and one of each repeated one to compare them with
     wanted = counts.select("a", "c", F.col("one.t").alias("t"), F.col("one.s").alias("s"), F.col("one.shape").alias("shape"), (F.col("n_c") == 1).alias("open"))
     by_text = materialise(wanted.groupBy("t").agg(F.collect_list(F.struct("a", "c", "s", "shape", "open")).alias("wanted")), "wanted")
-    open_texts = texts.join(F.broadcast(by_text) if by_text.count() <= MAX_BROADCAST_ROWS else by_text, "t")
+    open_texts = texts.join(_few(by_text, "wanted"), "t")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -408,7 +418,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, text_col: str = "text", i
     spans = materialise(repeated_spans(docs, length, text_col=text_col, **options), "spans")
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text")).withColumn("t", F.unhex(F.md5("text")))
-    joined = rows.join(F.broadcast(spans) if spans.count() <= MAX_BROADCAST_ROWS else spans, "t", "left").select("id", "text", "ends")
+    joined = rows.join(_few(spans, "ends"), "t", "left").select("id", "text", "ends")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -210,6 +210,45 @@ def test_pii_documents(spark, docs):
     assert pii.pseudonymise(docs.limit(0), "k").count() == 0
 
 
+NAMES = {
+    "I met Olga Petrova and Ahmed Khan yesterday.": "Olga Petrova Ahmed Khan", "Ask MARY SMITH, not Bob.": "MARY SMITH", "Yesterday Prof Smith spoke. Smith left.": "Smith Smith",
+    "Jean jackets, Claire de lune and Rosa parks are things.": "", "Wei Zhang wrote it.": "Wei Zhang", "my name is Kwame Osei, call me Kwame": "Kwame Osei Kwame",
+    "Dear Anna, thank you.": "Anna", "Frau Dr. Sabine Müller und Herr Weber": "Sabine Müller Weber", "The River Station In The North opened.": "", "Contact Ngozi Adeyemi at the desk.": "Ngozi Adeyemi",
+    "Der Hund und die Katze spielen im Garten.": "", "Иван Петров пришёл, Петров ушёл": "Иван Петров Петров", "Mrs. Baker and John Paul Jones": "Baker John Paul Jones",
+    "Dear Sir, nothing here": "", "Thomas said so": "", "Monsieur Dupont, bonjour": "Dupont"}
+
+
+def test_pii_names():
+    """Precision and recall of names, word by word."""
+    hit = found = wanted = 0
+    for text, names in NAMES.items():
+        got = [e.text for e in pii.find(text)]
+        want = names.split()
+        hit += sum(min(got.count(w), want.count(w)) for w in set(want))
+        found, wanted = found + len(got), wanted + len(want)
+    assert hit / wanted >= 0.95 and hit / found >= 0.95
+    out, _ = pii.replace(b"k", "Mary Smith met MARY SMITH. Mary left.")
+    a, b, c, d = (out.split()[k].strip(".") for k in (0, 1, 3, 4))
+    assert c == a.upper() and d == b.upper() and out.split()[5] == a and a != "Mary" and b != "Smith"
+
+
+def test_pii_over_a_table(spark):
+    """Coreference and distinctness of everything found in a table, by brute force."""
+    df = spark.read.parquet(f"{SF}/documents.parquet")
+    by, back, n = {}, {}, {}
+    for i, t in rows(df.select("doc_id", "text")):
+        for e in pii.find(t or ""):
+            own = e.kind, pii.canonical(e.kind, e.text)
+            new = e.kind, pii.canonical(e.kind, pii.surrogate(b"k", e.kind, e.text))
+            assert by.setdefault(own, new) == new and back.setdefault(new, own) == own
+            n[i] = n.get(i, 0) + 1
+    assert len(by) > 20
+    got = pii.pseudonymise(df, "k").collect()
+    src = dict(rows(df.select("doc_id", "text")))
+    assert {r["doc_id"]: r["n_entities"] for r in got if r["n_entities"]} == n
+    assert all(r["text"] == pii.replace(b"k", src[r["doc_id"]])[0] for r in got)
+
+
 def test_pii_one_to_one(spark):
     one = lambda kind, text: pii.canonical(kind, pii.surrogate(b"k", kind, text))
     for forms in (["+19745553436", "+1 974 555 3436", "+1 (974) 555-3436"], ["+491701234567", "+49 170 1234567"], ["+35312345678", "+353 1 234 5678"]):
