@@ -3,9 +3,11 @@
 import random
 from itertools import product
 
-from lattica.operators import evaluate, graph
+from lattica.operators import build, evaluate, graph, predict, retrieval
 from lattica.plans.queries import QUERIES
 from lattica.plans.views import edges as all_edges
+from lattica.sources import files
+from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
 
@@ -74,3 +76,90 @@ def test_three_hop_paths(spark):
 def test_evidence_coverage(spark):
     df = spark.createDataFrame([("",), (None,), ("abcd",), ('{"structured": 1}',)], "evidence string")
     assert tuple(evaluate.evidence_coverage(df).first()) == (4, 2, 10.5, 0.25)
+
+
+KNOCKED = "pathway::perturbation::KO_TP53"
+
+
+def small_graph(spark, more=()):
+    rows = [
+        ("Cell::A549", "associated_with", "gene::TP53", 0.9, 0.9, 1.0), (KNOCKED, "targets_gene", "gene::TP53", 1.0, 0.9, -1.0), ("gene::TP53", "activates", "gene::MDM2", 0.8, 0.9, 1.0),
+        ("gene::TP53", "inhibits", "gene::EGFR", 0.7, 0.8, -1.0), ("gene::TP53", "activates", "protein::P21", 0.9, 0.9, 1.0), ("gene::MDM2", "associated_with", "gene::1234", 0.9, 0.9, 1.0),
+        ("sample::S1", "expresses", "gene::EGFR", 0.5, 0.7, 0.0), *more]
+    return spark.createDataFrame([(h, r, t, "s", "v", w, c, e) for h, r, t, w, c, e in rows], "head string, relation string, tail string, source string, version string, weight double, confidence double, effect_sign double")
+
+
+def no_seeds(spark):
+    return spark.createDataFrame([("TP53",)], "gene string")
+
+
+def test_prediction_steps(spark):
+    e = small_graph(spark)
+    made = predict.predict(e, no_seeds(spark), "Cell::A549", "KO_TP53", top_k=3)
+    genes = [tuple(r) for r in made.genes.orderBy("place").select("label", "hops", "from_perturbation", "effect").collect()]
+    assert genes[0] == ("TP53", 1, True, "增强") and {g[0] for g in genes} == {"TP53", "MDM2", "EGFR"}  # the numbered gene is hidden
+    assert all(r["delta"] == round(r["delta"], 4) for r in made.genes.collect())
+    assert made.pathways.count() == 0 and [r["node"] for r in made.proteins.collect()] == ["protein::P21"]
+    # pathways of the genes, or two hops from them
+    linked = small_graph(spark, [("gene::EGFR", "participates", "pathway::growth", 0.9, 0.9, 1.0)])
+    assert [r["node"] for r in predict.predict(linked, no_seeds(spark), "Cell::A549", "KO_TP53").pathways.collect()] == ["pathway::growth"]
+    genes = spark.createDataFrame([("gene::A", 0.5, 1, -1.0, False)], "node string, score double, hops int, direction_sign double, from_perturbation boolean")
+    far = spark.createDataFrame([("gene::A", "x", "protein::B", 1.0, 0.8, -1.0), ("protein::B", "x", "pathway::C", 1.0, 0.5, 1.0)], "head string, relation string, tail string, weight double, confidence double, effect_sign double")
+    walked = predict.pathways_from_walks(far, genes, 5).first()
+    assert (walked["node"], walked["hops"], walked["direction_sign"]) == ("pathway::C", 3, 1.0) and abs(walked["score"] - 0.5 * 0.4 * 0.78 * 1.12 * 0.85) < 1e-6
+    # an answer of numbers alone is shown
+    ids = spark.createDataFrame([("gene::12", "12", 0.5), ("gene::13", "13", 0.4)], "node string, label string, score double")
+    assert predict.hide_ids(ids).count() == 2 and predict.hide_ids(ids.union(spark.createDataFrame([("gene::A", "AB", 0.1)]))).count() == 1
+    # many direct hits leave no room for others
+    rows = spark.createDataFrame([(f"gene::G{i}", f"G{i}", 0.5, False) for i in range(12)], "node string, label string, score double, from_perturbation boolean")
+    few, many = (spark.createDataFrame([(f"G{i}",) for i in range(n)], "direct_label string") for n in (7, 8))
+    assert predict.lift_direct(rows, few, 5).count() == 12 and predict.lift_direct(rows, many, 5).count() == 8
+    assert predict.lift_direct(rows, many, 5).filter("from_perturbation and score = 0.675").count() == 8
+
+
+def test_answers(spark):
+    e = small_graph(spark, [("gene::EGFR", "participates", "pathway::growth", 0.9, 0.9, 1.0)])
+    docs = spark.createDataFrame([(0, "TP53 controls MDM2. Rain fell."), (1, "The harbour opened in spring. The tide table names the hours.")], "doc_id long, text string")
+    made = predict.answer(e, no_seeds(spark), docs, "A549: what does knockout of TP53 do?")
+    assert made.kind == "prediction" and made.text.startswith("KO_TP53 in A549: 3 genes, 1 pathways.") and "TP53" in made.text and "growth" in made.text
+    assert made.documents.first()["doc_id"] == 0 and made.evidence == 6 and abs(made.confidence - (0.4 + 0.04 * 3 + 0.02 * 1)) < 1e-9
+    assert predict.answer(e, no_seeds(spark), docs, "knockout of TP53?", cells=("none", "A549")).kind == "prediction"
+    plain = predict.answer(e, no_seeds(spark), docs, "Which tide table names hours?")
+    assert plain.kind == "sentences" and plain.text == "The tide table names the hours."
+
+
+def test_collectors_merge(spark):
+    e = all_edges(spark, SF)
+    seeds = e.filter(F.startswith("head", F.lit("gene::"))).select(F.expr("substr(head, 7)").alias("gene")).distinct().orderBy("gene").limit(5)
+    half = F.pmod(F.xxhash64("head", "tail"), F.lit(2)) == 0
+    merged = build.merge_collectors(build.collectors(e.filter(half), seeds, 20), build.collectors(e.filter(~half), seeds, 20), 20)
+    for a, b in zip(merged, build.collectors(e, seeds, 20)):
+        assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+
+
+def test_omics_chunks(spark):
+    long = spark.createDataFrame([("d", f"G{i}", f"s{j}", float(i * j % 7)) for i in range(9) for j in range(6)], "name string, entity string, sample string, value double")
+    spec = spark.createDataFrame([("d", "expression", "d", "v", 3, 0.1, 0.7)], "name string, modality string, source string, version string, top_k int, min_value double, confidence double")
+    whole = build.omics_triples(long, spec)
+    parts = list(files.omics_chunks(long, spec, 20))
+    assert len(parts) == 3 and sorted(map(repr, whole.collect())) == sorted(repr(r) for p in parts for r in p.collect())
+
+
+def test_quality_latency_and_store(spark):
+    q = evaluate.quality_score(1_000_000, 9_000_000, 7, 11, 5, 60_000, 13, 1.0, 1.0, 1.0, 0.0, 1e-5, 1.0, 70, 1.0, 0.0)
+    assert q["total"] == 95.0 or q["total"] <= 100.0
+    assert q["omics"] == 20.0 and q["perturbation"] == 15.0 and q["consistency"] == 5.0
+    grid = evaluate.subgraph_latencies(small_graph(spark), [("tp53", ""), ("", "activ")], nodes=(10,), most=(10, 20), repeats=2).collect()
+    assert len(grid) == 4 and all(0 < r["mean"] <= r["p99"] for r in grid)
+    assert evaluate.latency_summary([3.0, 1.0, 2.0]) == {"min": 1.0, "max": 3.0, "mean": 2.0, "p99": 3.0}
+    store = spark.createDataFrame([(4, "old", None)], "doc_id long, text string, metadata map<string,string>")
+    got = retrieval.add_documents(store, spark.createDataFrame([("b",), ("a",), (" ",), (None,)], "text string"), {"k": "v"}).orderBy("doc_id").collect()
+    assert [(r["doc_id"], r["text"]) for r in got] == [(4, "old"), (5, "a"), (6, "b")] and got[2]["metadata"] == {"k": "v"}
+
+
+def test_normal_below(spark):
+    import math
+
+    zs = [-8.0, -3.5, -3.0, -1.0, -0.1, 0.0, 0.5, 2.9, 3.1, 6.0]
+    got = [r[0] for r in spark.createDataFrame([(z,) for z in zs], "z double").select(evaluate.normal_below(F.col("z"))).collect()]
+    assert all(abs(p - 0.5 * math.erfc(-z / math.sqrt(2))) < 1e-9 for z, p in zip(zs, got))
