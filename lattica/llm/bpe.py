@@ -16,8 +16,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: A chunk of texts ends when its dictionary holds so many words (about 10 MB), or at so many characters of text.
-CHUNK_WORDS, CHUNK_CHARS = 1 << 16, 16 << 20
+#: A chunk of texts ends when its dictionary holds so many words (about 40 MB), or at so many characters of text.
+CHUNK_WORDS, CHUNK_CHARS = 1 << 18, 32 << 20
 #: A chunk's words are dealt into so many buckets by a hash.
 BUCKETS = 512
 #: Bytes of new words that one replay takes (about 80 MB), and words of a bucket that are remembered (about 40 MB).
@@ -172,18 +172,17 @@ def default_vocabulary() -> tuple[str, str]:
 
 
 def pack(numbers: np.ndarray) -> bytes:
-    """Two bytes a number, and behind them all a third (or four each) where one needs it."""
-    top = int(numbers.max(initial=0))
-    if top >= 1 << 24:
-        return numbers.astype(np.uint32).tobytes()
-    return numbers.astype(np.uint16).tobytes() + ((numbers >> 16).astype(np.uint8).tobytes() if top >= 1 << 16 else b"")
+    """The numbers' lowest bytes, then their next ones, as far as they go: like stands by like, which compresses."""
+    top, shift, planes = int(numbers.max(initial=0)), 0, []
+    while not planes or top >> shift:
+        planes.append((numbers >> shift).astype(np.uint8).tobytes())
+        shift += 8
+    return compress(b"".join(planes), 1)
 
 
 def unpack(packed: bytes, n: int) -> np.ndarray:
-    if n and len(packed) == 4 * n:
-        return np.frombuffer(packed, np.uint32).astype(np.int64)
-    low = np.frombuffer(packed, np.uint16, n).astype(np.int64)
-    return low if len(packed) == 2 * n else low | np.frombuffer(packed, np.uint8, n, 2 * n).astype(np.int64) << 16
+    planes = np.frombuffer(decompress(packed), np.uint8).reshape(-1, n) if n else ()
+    return sum((p.astype(np.int64) << 8 * k for k, p in enumerate(planes)), np.zeros(n, np.int64))
 
 
 #: Columns of what the split gives: texts have id, n and numbers; a bucket of a dictionary has bucket, n, numbers (its words' lengths) and words.
@@ -215,7 +214,7 @@ def _split(batches: Iterator[pa.RecordBatch], vocab: Vocabulary, id_type: pa.Dat
             parts = [[words[k] for k in order[a:b].tolist()] for a, b in zip(cuts, cuts[1:])]
             yield rows(
                 len(parts), bucket=bucket[order[cuts[:-1]]].astype(np.int32), n=[len(p) for p in parts],
-                numbers=[compress(pack(np.array([len(w) for w in p])), 1) for p in parts], words=[compress(b"".join(p), 1) for p in parts])
+                numbers=[pack(np.array([len(w) for w in p])) for p in parts], words=[compress(b"".join(p), 1) for p in parts])
         at = 0
         for part in ids:
             for lo in range(0, len(part), 500):
@@ -263,7 +262,7 @@ def _learn(batches: Iterator[pa.RecordBatch], vocab: Vocabulary) -> Iterator[pa.
         for chunk, bucket, own in held:
             n = many[own]
             at = np.repeat(starts[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            for col, x in zip(out, (chunk, bucket, len(own), compress(pack(n), 1), compress(pack(flat[at]), 1))):
+            for col, x in zip(out, (chunk, bucket, len(own), pack(n), pack(flat[at]))):
                 col.append(x)
         held.clear()
         size = 0
@@ -275,7 +274,7 @@ def _learn(batches: Iterator[pa.RecordBatch], vocab: Vocabulary) -> Iterator[pa.
                 if held:
                     yield flush()
                 known, flat, many = Numbers(), flat[:0], many[:0]
-            blob, ends = decompress(blob), np.cumsum(unpack(decompress(lengths), n)).tolist()
+            blob, ends = decompress(blob), np.cumsum(unpack(lengths, n)).tolist()
             own = [blob[a:b] for a, b in zip([0, *ends], ends)]
             last, before = bucket, len(known)
             held.append((chunk, bucket, np.array(list(map(known.__getitem__, own)), np.int64)))
@@ -295,15 +294,15 @@ def join(learned: pa.Table, texts: pa.Table, vocab: Vocabulary, names: list[str]
     many, flat = [np.zeros(0, np.int64)], []
     learned = learned.sort_by("bucket")
     for n, counts, ids in zip(*(learned[c].to_pylist() for c in ("n", "counts", "ids"))):
-        many.append(unpack(decompress(counts), n))
-        flat.append(unpack(decompress(ids), int(many[-1].sum())))
+        many.append(unpack(counts, n))
+        flat.append(unpack(ids, int(many[-1].sum())))
     many = np.concatenate(many)
     flat = np.concatenate(flat).tolist() if flat else []
     ends = np.cumsum(many).tolist()
     token, digits = vocab.token, vocab.digits
-    words = [flat[a:b] for a, b in zip([0, *ends], ends)]
-    decimal = [",".join([digits[x] for x in w]) for w in words]
-    plain = [b"".join([token[x] for x in w]) for w in words]
+    starts = [0, *ends]
+    decimal = [",".join([digits[x] for x in flat[a:b]]) for a, b in zip(starts, ends)]
+    plain = [b"".join([token[x] for x in flat[a:b]]) for a, b in zip(starts, ends)]
     out: tuple[list, ...] = ([], [], [], [])
     for n, packed in zip(texts["n"].to_pylist(), texts["numbers"].to_pylist()):
         own = unpack(packed, n)
@@ -312,7 +311,7 @@ def join(learned: pa.Table, texts: pa.Table, vocab: Vocabulary, names: list[str]
         out[1].append(hashlib.sha256(",".join([decimal[x] for x in listed]).encode()).hexdigest())
         out[2].append(hashlib.sha256(b"".join([plain[x] for x in listed])).hexdigest())
         if with_ids:
-            out[3].append([i for x in listed for i in words[x]])
+            out[3].append([i for x in listed for i in flat[starts[x] : ends[x]]])
     arrays = [texts["id"], pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.string())]
     return pa.table(arrays + [pa.array(out[3], pa.list_(pa.int32()))] * with_ids, names=names)
 
@@ -324,7 +323,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", id_
     match of ``pattern``, no special tokens; they are then decoded to bytes again. Null text counts as empty: no id.
 
     1. Texts are split into words, once. A task cuts its texts into chunks; a text becomes numbers of its chunk's
-       dictionary, two bytes a word mostly. Both are dealt out by chunk.
+       dictionary, two bytes a word about. Both are dealt out by chunk.
     2. The dictionaries' words are dealt out again by bucket, so each distinct word of the corpus comes to one task,
        which replays the merges over all its words. A frequent word is there once a chunk, not once an occurrence. A task
        streams a bucket's rows and remembers MEMORY_WORDS of them; a word beyond that is encoded again.

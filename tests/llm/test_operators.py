@@ -526,7 +526,7 @@ def test_bpe_documents(spark, docs, monkeypatch, words, size):
     assert by_id(tuple(r.values()) for r in out) == by_id(want)
 
 
-@pytest.mark.parametrize("top", [0, 65_535, 65_536, (1 << 24) - 1, 1 << 24])
+@pytest.mark.parametrize("top", [0, 255, 256, 65_535, 65_536, (1 << 24) - 1, 1 << 24])
 def test_packing(top):
     numbers = np.array([top, 0, top // 2, 7])
     assert (bpe.unpack(bpe.pack(numbers), 4) == numbers).all() and not len(bpe.unpack(bpe.pack(numbers[:0]), 0))
