@@ -7,11 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.rules import canonical_relation
-from ..operators.build import TRIPLE_KEY, dedup_triples
+from ..functions.rules import canonical_relation, node_type
+from ..operators.build import dedup_triples, node_updates, upsert_nodes
 from ..operators.graph import cut
 from ..sources.sinks import append_edges
 
+#: Keys lie in so many folders by a hash; a batch reads those that its own keys fall in.
+KEY_BUCKETS = 32
+
 
 def stream_dedup(stream: DataFrame, canonical: bool = True) -> DataFrame:
     """A stream without keys seen before; its state holds the keys (there is no event time to forget them by)."""
@@ -25,27 +28,55 @@ def _clear(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def load_batch(batch: DataFrame, path: str, batch_id: int, normalise: Callable[[DataFrame], DataFrame] | None = None) -> None:
+def _keys(rows: DataFrame, canonical: bool) -> DataFrame:
+    rel = canonical_relation(F.col("relation")) if canonical else F.col("relation")
+    own = rows.withColumn("key_relation", rel)
+    return own.withColumn("bucket", F.pmod(F.xxhash64("head", "key_relation", "tail"), F.lit(KEY_BUCKETS)).cast("int"))
+
+
+def load_batch(batch: DataFrame, path: str, batch_id: int, normalise: Callable[[DataFrame], DataFrame] | None = None, canonical: bool = True) -> None:
     """One micro-batch: dedup within it, drop keys of earlier batches, normalise, write. Batch 0 replaces the tables.
 
-    Keys and edges lie below ``batch=<id>``, which a batch that runs again after a failure overwrites: nothing is lost
-    and nothing is there twice. The rows are cut first, since the tables they are compared with then change.
+    A key is (head, relation, tail, source, version), the relation in its canonical form if ``canonical``. Edges go to
+    ``edges``, nodes to ``nodes``: first the ends with their types, then the rows that name pathways, which so come last
+    in ``read_nodes``. Keys, edges and nodes lie below ``batch=<id>``, which a batch that runs again after a failure
+    overwrites: nothing is lost and nothing is there twice. The rows are cut first, since the tables they are compared
+    with then change.
     """
     spark = batch.sparkSession
-    own = dedup_triples(batch, ["weight", "confidence", "effect_sign"])
+    own = _keys(dedup_triples(batch, ["weight", "confidence", "effect_sign"], canonical), canonical)
+    key = ["head", "key_relation", "tail", "source", "version"]
     if batch_id == 0:
-        for part in ("keys", "edges"):
+        for part in ("keys", "edges", "nodes"):
             _clear(spark, f"{path}/{part}")
     else:
-        old = spark.read.parquet(f"{path}/keys").filter(F.col("batch") < batch_id)
-        own = own.join(old.select(*TRIPLE_KEY), list(TRIPLE_KEY), "left_anti")
+        own = cut(own)
+        touched = [r["bucket"] for r in own.select("bucket").distinct().collect()]  # KEY_BUCKETS at most
+        old = spark.read.parquet(f"{path}/keys").filter((F.col("batch") < batch_id) & F.col("bucket").isin(touched))
+        own = own.join(old.select(*key), key, "left_anti")
     own = cut(own)
-    append_edges(normalise(own) if normalise else own, f"{path}/edges/batch={batch_id}", "overwrite")
-    own.select(*TRIPLE_KEY).write.mode("overwrite").parquet(f"{path}/keys/batch={batch_id}")
+    rows = own.select(*batch.columns)
+    made = cut(normalise(rows)) if normalise else rows
+    is_edge = F.col("kind") == "edge" if "kind" in made.columns else F.lit(True)
+    edges = made.filter(is_edge)
+    append_edges(edges, f"{path}/edges/batch={batch_id}", "overwrite")
+    ends = edges.select(F.explode(F.array("head", "tail")).alias("name")).distinct()
+    nodes = ends.select("name", node_type(F.col("name")).alias("type"), F.lit(False).alias("is_seed"), F.lit(None).cast("string").alias("pathway_name"), F.lit(2 * batch_id).alias("seq"))
+    if "kind" in made.columns:
+        named = node_updates(made)
+        nodes = nodes.unionByName(named.select("name", node_type(F.col("name")).alias("type"), F.lit(False).alias("is_seed"), "pathway_name", F.lit(2 * batch_id + 1).alias("seq")))
+    nodes.write.mode("overwrite").parquet(f"{path}/nodes/batch={batch_id}")
+    own.select(*key, "bucket").repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/keys/batch={batch_id}")
+
+
+def read_nodes(spark: SparkSession, path: str) -> DataFrame:
+    """name, type, is_seed, pathway_name of all batches loaded so far: the last type, the last pathway name that isn't empty."""
+    rows = spark.read.parquet(f"{path}/nodes").drop("batch")
+    return upsert_nodes(rows.limit(0), rows)
 
 
-def run_stream(spark: SparkSession, source_dir: str, schema: str, path: str, max_files: int = 1, normalise: Callable[[DataFrame], DataFrame] | None = None) -> None:
+def run_stream(spark: SparkSession, source_dir: str, schema: str, path: str, max_files: int = 1, normalise: Callable[[DataFrame], DataFrame] | None = None, canonical: bool = True) -> None:
     """Loads all Parquet files of a folder as a stream, ``max_files`` per batch, until none is left."""
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(source_dir)
-    load = lambda batch, batch_id: load_batch(batch, path, batch_id, normalise)
+    load = lambda batch, batch_id: load_batch(batch, path, batch_id, normalise, canonical)
     stream.writeStream.foreachBatch(load).option("checkpointLocation", f"{path}/_progress").trigger(availableNow=True).start().awaitTermination()
