@@ -592,9 +592,22 @@ def t04_best_sentences(spark, sf):
     return retrieval.best_sentences(table(spark, sf, "documents"), QUESTION)
 
 
-@query()
+#: The oracle has no look-arounds: what bounds a gene is matched instead, doubled so that two genes never want the same one.
+QUESTIONS = r"""
+WITH q AS (SELECT conv_id, turn, coalesce(text, '') AS t FROM conversations),
+c AS (SELECT *, regexp_extract(t, '(?:^|[^A-Za-z0-9_])([A-Za-z]+[0-9]{2,}|cell[A-Za-z0-9_-]+)(?:$|[^A-Za-z0-9_])', 1) AS cell,
+  regexp_extract_all(regexp_replace(t, '([^A-Za-z0-9_])', '\1\1', 'g'), '(?:^|[^A-Za-z0-9_])([A-Z]{2,}[A-Z0-9]{0,8})(?:$|[^A-Za-z0-9_])', 1) AS genes FROM q),
+g AS (SELECT *, coalesce(list_filter(genes, lambda x: cell = '' OR upper(x) <> upper(cell))[1], '') AS gene FROM c)
+SELECT conv_id, turn, CASE WHEN gene = '' THEN '' ELSE cell END AS cell,
+  CASE WHEN gene = '' THEN '' WHEN contains(lower(t), '抑制') OR contains(lower(t), '敲除') OR contains(lower(t), 'ko') OR contains(lower(t), 'inhibit') OR contains(lower(t), 'knockout') OR contains(lower(t), 'kd') THEN 'KO_' || gene
+       WHEN contains(lower(t), '过表达') OR contains(lower(t), '激活') OR contains(lower(t), 'oe') OR contains(lower(t), 'activate') OR contains(lower(t), 'overexpression') THEN 'OE_' || gene ELSE 'Perturb_' || gene END AS perturbation,
+  CAST(len(list_distinct(list_transform(regexp_extract_all(t, '[A-Za-z0-9_]{2,}|[\x{4e00}-\x{9fff}]{2,}'), lambda x: lower(x)))) AS INTEGER) AS tokens FROM g
+"""
+
+
+@query(QUESTIONS)
 def p24_questions(spark, sf):
-    """Every turn as a question; its look-arounds have no form in the oracle's regular expressions."""
+    """Every turn as a question."""
     asked = table(spark, sf, "conversations").select("conv_id", "turn", tx.parse_question(F.col("text")).alias("q"), tx.question_tokens(F.col("text")).alias("t"))
     return asked.select("conv_id", "turn", "q.cell", "q.perturbation", F.size("t").alias("tokens"))
 
