@@ -286,3 +286,13 @@ def strip_symbol(c: Column) -> Column:
 
 def delta_label(delta: Column) -> Column:
     return F.when(delta > 0, F.lit("增强")).when(delta < 0, F.lit("抑制")).otherwise(F.lit("不确定"))
+
+
+def percent(c: Column, digits: int = 2) -> Column:
+    """A share as text with a percent sign."""
+    return F.concat(F.format_number(c * 100, digits), F.lit("%"))
+
+
+def suffix(c: Column) -> Column:
+    """What stands behind the last '::' of an id."""
+    return F.substring_index(c, "::", -1)

@@ -54,6 +54,12 @@ def validate(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, required: Seq
     return out
 
 
+def exit_code(checks: DataFrame) -> int:
+    """0 if all checks pass, 1 if one doesn't, 2 without any check."""
+    one = checks.agg(F.count("*").alias("n"), F.coalesce(F.sum((F.col("problems") > 0).cast("int")), F.lit(0)).alias("bad")).first()
+    return 2 if not one["n"] else int(one["bad"] > 0)
+
+
 # --- structure
 
 def counts_by(df: DataFrame, column: str) -> DataFrame:

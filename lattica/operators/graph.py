@@ -180,6 +180,20 @@ def visual_sample(edges: DataFrame, nodes: DataFrame, max_nodes: int = 80, max_e
     return both.orderBy(*EDGE_ORDER).limit(max_edges).select("head", "relation", "tail", "weight", "confidence")
 
 
+def visualise(edges: DataFrame, nodes: DataFrame, max_nodes: int = 80, max_edges: int = 200) -> DataFrame:
+    """``visual_sample``, or if that is empty the first edges as ``keyword_subgraph`` gives them."""
+    first = cut(visual_sample(edges, nodes, max_nodes, max_edges))
+    if not first.isEmpty():
+        return first
+    return keyword_subgraph(edges, max_nodes=max_nodes, max_edges=max_edges).select("head", "relation", "tail", "weight", "confidence")
+
+
+def with_evidence_flags(edges: DataFrame) -> DataFrame:
+    """Adds has_evidence and is_structured from column evidence."""
+    e = F.coalesce(F.col("evidence"), F.lit(""))
+    return edges.withColumns({"has_evidence": e != "", "is_structured": F.get_json_object(e, "$.structured").isNotNull()})
+
+
 def linked(edges: DataFrame, nodes: DataFrame, prefix: str, limit: int, min_signal: float = 0.02) -> DataFrame:
     """For each of ``nodes`` (column node) the best linked nodes with ``prefix`` either way: node, other, signal, place."""
     keep = rules.is_biological_pathway(F.col("other")) if prefix == "pathway::" else F.startswith("other", F.lit(prefix))

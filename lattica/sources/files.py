@@ -59,13 +59,25 @@ def geo_series_matrix(spark: SparkSession, path: str) -> DataFrame:
     return text.crossJoin(marks).filter("n > a and n < b and trim(value) <> ''").select("value", "n")  # marks are one row
 
 
-def tar_member(path: str, name: str) -> bytes | None:
-    """A member of a tar.gz by its base name."""
-    with tarfile.open(path, "r:*") as t:
-        for m in t:
-            if m.isfile() and m.name.rsplit("/", 1)[-1] == name:
-                return t.extractfile(m).read()
-    return None
+def tar_lines(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """(value): lines of the members of .tar or .tar.gz archives with that base name, streamed out of the archive by a task."""
+
+    def lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for content in batch["content"]:
+                with tarfile.open(fileobj=io.BytesIO(content), mode="r:*") as t:
+                    for m in t:
+                        if not m.isfile() or m.name.rsplit("/", 1)[-1] != name:
+                            continue
+                        held: list[str] = []
+                        for line in io.TextIOWrapper(t.extractfile(m), "utf-8", "ignore"):
+                            held.append(line.rstrip("\r\n"))
+                            if len(held) == 20_000:
+                                yield pd.DataFrame({"value": held})
+                                held = []
+                        yield pd.DataFrame({"value": pd.Series(held, dtype="object")})
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(lines, "value string")
 
 
 def sha256(spark: SparkSession, path: str) -> DataFrame:
@@ -193,7 +205,7 @@ def seed_genes(spark: SparkSession, path: str) -> DataFrame:
 
 def calibration(spark: SparkSession, path: str) -> DataFrame:
     """(protein, log2_fc, source): the largest change of each protein, the first of equals; columns by alias, bad numbers 0."""
-    own = spark.read.option("header", True).csv(path)
+    own = spark.read.option("header", True).option("escape", '"').csv(path)
     pick = lambda *names: next((F.col(f"`{c}`") for n in names for c in own.columns if c.lower() == n), None)
     name, change, source = pick("protein", "protein_symbol", "gene", "symbol", "target"), pick("log2_fc", "log2fc", "fold_change_log2", "delta"), pick("source")
     if name is None or change is None:
@@ -241,7 +253,12 @@ def choose_parser(entry: dict) -> str | None:
 
 
 def source_triples(spark: SparkSession, entries: list[dict], min_score: int = 700, max_rows: int | None = None, strict: bool = False) -> Iterator[tuple[str, DataFrame]]:
-    """(name, triples) of each usable entry, one at a time; unknown parsers are passed over, failing sources too unless ``strict``."""
+    """(name, triples) of each usable entry, one at a time; unknown parsers are passed over, failing sources too unless ``strict``.
+
+    A source is read and written to the scratch folder before the next one begins, so that one with a broken file fails
+    by itself and not the job that reads them all.
+    """
+    from ..operators.graph import cut
     from .parsers import REGISTRY
 
     for e in entries:
@@ -251,6 +268,7 @@ def source_triples(spark: SparkSession, entries: list[dict], min_score: int = 70
         more = {"min_score": min_score} if parser == "string_ppi" else {"query_gene": e.get("query_gene") or ""} if parser in ("kegg_gene_pathway", "wikipathways_query") else {}
         try:
             df = REGISTRY[parser](spark, e["path"], e.get("source") or e.get("name"), e.get("version") or "v1", max_rows=max_rows, **more)
+            df = cut(df)
         except Exception as x:
             if strict:
                 raise

@@ -120,3 +120,42 @@ def test_components_and_text_graph(spark):
     assert got == {f"n{i}": min(f"n{j}" for j in (range(21) if i <= 20 else range(21, 41))) for i in range(41)}
     docs = spark.createDataFrame([(1, "a b a c"), (2, None)], "doc_id long, text string")
     assert [tuple(r) for r in build.text_graph(docs).orderBy("position").select("head", "tail").collect()] == [("a", "b"), ("b", "c")]
+
+
+def test_tar_lines(spark, tmp_path):
+    import io
+    import tarfile
+
+    with tarfile.open(tmp_path / "a.tar.gz", "w:gz") as t:
+        for name, text in (("x/wanted.txt", "a\r\nb\n"), ("other.txt", "no"), ("y/wanted.txt", "c")):
+            info = tarfile.TarInfo(name)
+            info.size = len(text)
+            t.addfile(info, io.BytesIO(text.encode()))
+    assert [r["value"] for r in files.tar_lines(spark, str(tmp_path / "a.tar.gz"), "wanted.txt").collect()] == ["a", "b", "c"]
+
+
+def test_a_broken_source_is_left_out(spark, tmp_path):
+    (tmp_path / "good.txt").write_text("A\tB\n")
+    (tmp_path / "bad.txt.gz").write_bytes(b"\x1f\x8bnot gzip at all")
+    entries = [{"name": n, "parser": "reactome_pathway_relations", "path": str(tmp_path / p), "status": "ok"} for n, p in (("bad", "bad.txt.gz"), ("good", "good.txt"))]
+    assert files.manifest_triples(spark, entries).count() == 1
+    with pytest.raises(Exception):  # noqa: B017  whatever the reader raises
+        list(files.source_triples(spark, entries, strict=True))
+
+
+def test_small_ends(spark, tmp_path):
+    from lattica.operators import evaluate
+
+    table = spark.createDataFrame([("TP53", 1.5, 'a "b", c')], "protein string, log2_fc double, source string")
+    sinks.write_calibration(table, str(tmp_path / "c"))
+    assert files.calibration(spark, str(tmp_path / "c")).collect() == table.collect()
+    specs = spark.createDataFrame([("a", "methylation", "m.csv"), ("b", "rna", "r.csv")], "name string, modality string, matrix_path string")
+    assert [r["postprocess"] for r in sinks.omics_entries(specs, "t.csv").orderBy("name").collect()] == ["gene_means", "none"]
+    assert value(spark, rules.percent(F.lit(0.12345))) == "12.35%" and value(spark, rules.suffix(F.lit("a::b::c"))) == "c"
+    checks = spark.createDataFrame([("x", 0), ("y", 2)], "check string, problems int")
+    assert [evaluate.exit_code(c) for c in (checks, checks.filter("problems = 0"), checks.limit(0))] == [1, 0, 2]
+    e = triples(spark, [("gene::A", "activates", "gene::B", 1.0, 0.5)])
+    flags = graph.with_evidence_flags(e.withColumn("evidence", F.lit('{"structured": 1}'))).first()
+    assert flags["has_evidence"] and flags["is_structured"]
+    nodes = graph.node_table(e)
+    assert graph.visualise(e, nodes).count() == 1 and graph.visualise(e, nodes.limit(0)).count() == 1
