@@ -7,7 +7,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Ordered (substrings, name) rules for relation names; the first that matches wins.
+# Ordered (substrings, name) rules for relation names; the first that matches wins. Words that hold one of
+# these are left out, since it finds them too.
 CANONICAL_RELATIONS = (
     (("activate", "upreg", "induce", "promote", "enhance", "positive"), "activates"),
     (("inhibit", "suppres", "repress", "downreg", "decrease", "negative", "knockdown", "knockout"), "inhibits"),

@@ -144,6 +144,7 @@ def perturbation_coverage(edges: DataFrame, seeds: DataFrame) -> DataFrame:
 def quality_score(nodes: int, edges: int, types: int, relations: int, modalities: int, omics_edges: int, sources: int, structured: float, direction: float, evidence: float, isolated: float, density_: float, seed_coverage: float, perturbations: int, consistent: float, orphan: float) -> dict[str, float]:
     """The six parts and their sum, each at one decimal and under its cap."""
     log = lambda n: math.log10(max(1, n))
+    # Points, caps and the sizes that earn them.
     parts = {
         "structure": min(25.0, 8 * log(nodes) / 5 + 8 * log(edges) / 6 + 5 * types / 8 + 4 * relations / 15),
         "omics": min(20.0, 10 * modalities / 5 + 10 * min(1, omics_edges / 50_000)),
