@@ -20,8 +20,8 @@ BLOCK = 8
 ARRAY_BYTES = 1 << 20
 #: A group of one anchor with more contexts than this is resolved by hashes of its windows, spread over all tasks.
 MAX_CONTEXTS = 2_000
-#: Tables of contexts or ranges by text are broadcast up to so many entries (about 24 MB), whatever rows they are in; beyond it texts are shuffled.
-MAX_BROADCAST_ENTRIES = 500_000
+#: Tables of contexts or ranges by text are broadcast up to so many entries and rows (about 60 MB); beyond it texts are shuffled.
+MAX_BROADCAST_ENTRIES = 1_500_000
 
 
 def suffix_array(symbols: list[int]) -> list[int]:
@@ -261,7 +261,7 @@ def repeated_windows(family: np.ndarray, texts: list[bytes], offsets: np.ndarray
 
 def _few(df: DataFrame, column: str) -> DataFrame:
     """``df``, to be broadcast if its arrays hold few entries and it has few rows."""
-    n = df.agg(F.sum(F.size(column) + 4)).first()[0] or 0
+    n = df.agg(F.sum(F.size(column) + 1)).first()[0] or 0
     return F.broadcast(df) if n <= MAX_BROADCAST_ENTRIES else df
 
 
