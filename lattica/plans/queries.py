@@ -442,7 +442,7 @@ def j20_pathway_baseline(spark, sf):
     return evaluate.pathway_baseline(edges(spark, sf), seed_nodes(spark, sf))
 
 
-@query(f"WITH {BOUGHT}, s AS (SELECT gene AS seed FROM ({SEEDS_SQL})) SELECT a.entity AS seed, b.entity, count(*) AS n, round(corr(b.value, a.value), 6) AS r FROM bought a JOIN s ON a.entity = s.seed JOIN bought b ON a.sample = b.sample AND a.entity <> b.entity GROUP BY a.entity, b.entity HAVING count(*) >= 3 AND r IS NOT NULL AND NOT isnan(r)")
+@query(f"WITH {BOUGHT}, s AS (SELECT gene AS seed FROM ({SEEDS_SQL})) SELECT a.entity AS seed, b.entity, count(*) AS n, round(corr(b.value, a.value), 6) + 0.0::DOUBLE AS r FROM bought a JOIN s ON a.entity = s.seed JOIN bought b ON a.sample = b.sample AND a.entity <> b.entity GROUP BY a.entity, b.entity HAVING count(*) >= 3 AND r IS NOT NULL AND NOT isnan(r)")
 def j22_correlations(spark, sf):
     return rounded(evaluate.correlations(bought(spark, sf), seeds(spark, sf).withColumnRenamed("gene", "seed"), 3), "r")
 
@@ -518,7 +518,7 @@ def a22_gene_means(spark, sf):
        " p AS (SELECT y.entity AS seed, x.entity, sum(x.value * y.value) AS sxy, count(*) AS both FROM bought x JOIN y ON x.sample = y.sample AND x.entity <> y.entity GROUP BY 1, 2),"
        " o AS (SELECT entity, count(*) AS n, sum(value) AS a, sum(value * value) AS aa FROM bought GROUP BY entity),"
        " j AS (SELECT p.seed, p.entity, x.n + y.n - p.both AS n, p.sxy, x.a AS ax, x.aa AS axx, y.a AS ay, y.aa AS ayy FROM p JOIN o x ON x.entity = p.entity JOIN o y ON y.entity = p.seed)"
-       " SELECT seed, entity, n, round((sxy - ax * ay / n) / sqrt((axx - ax * ax / n) * (ayy - ay * ay / n)), 6) AS r FROM j WHERE n >= 5")
+       " SELECT seed, entity, n, round((sxy - ax * ay / n) / sqrt((axx - ax * ax / n) * (ayy - ay * ay / n)), 6) + 0.0::DOUBLE AS r FROM j WHERE n >= 5")
 def a24_zero_filled(spark, sf):
     return rounded(evaluate.correlations(bought(spark, sf), seeds(spark, sf).withColumnRenamed("gene", "seed"), 5, zero_fill=True), "r")
 
