@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embeddings, exact_dedup, licenses, mixing, pii, simhash, suffixes, toxicity, warc
+from . import bpe, divergence, embeddings, exact_dedup, licenses, mixing, pii, resampling, simhash, suffixes, toxicity, warc, word_bpe
 from .common import scratch_path, table
 
 
@@ -109,6 +109,19 @@ SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(c, vec_id) AS component_id, c
 """
 
 
+def op11_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return word_bpe.encode(table(spark, sf_dir, "documents"), word_bpe.default_vocabulary())
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_mix_sources": op2_mix_sources,
@@ -120,5 +133,16 @@ QUERIES = {
     "op8_bpe": op8_bpe,
     "op9_licenses": op9_licenses,
     "op10_embeddings": op10_embeddings,
+    "op11_word_bpe": op11_word_bpe,
+    "op12_divergence": op12_divergence,
+    "op13_resampling": op13_resampling,
+}
+ORACLE_SQL = {
+    "op1_exact_dedup": ORACLE_OP1,
+    "op2_mix_sources": mixing.ORACLE_OP2,
+    "op3_warc": ORACLE_OP3,
+    "op7_repeats": ORACLE_OP7,
+    "op10_embeddings": ORACLE_OP10,
+    "op12_divergence": divergence.ORACLE_OP12,
+    "op13_resampling": resampling.ORACLE_OP13,
 }
-ORACLE_SQL = {"op1_exact_dedup": ORACLE_OP1, "op2_mix_sources": mixing.ORACLE_OP2, "op3_warc": ORACLE_OP3, "op7_repeats": ORACLE_OP7, "op10_embeddings": ORACLE_OP10}
