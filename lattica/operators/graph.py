@@ -91,6 +91,18 @@ def neighbours(edges: DataFrame, node: str, depth: int = 1) -> DataFrame:
     return out
 
 
+def evidence_counts(edges: DataFrame, origins: DataFrame, depth: int = 3) -> DataFrame:
+    """(origin, evidence): how many rows ``neighbours`` gives for each origin, without making them."""
+    lean = edges.select("head", "tail").distinct()
+    seen = frontier = origins.select("origin", F.col("origin").alias("node")).distinct()
+    for _ in range(1, depth):
+        step = frontier.join(lean, F.col("node") == F.col("head")).select("origin", F.col("tail").alias("node")).distinct()
+        frontier = cut(step.join(seen, ["origin", "node"], "left_anti"))
+        seen = seen.unionByName(frontier)
+    degree = edges.groupBy(F.col("head").alias("node")).agg(F.count("*").alias("n"))
+    return seen.join(degree, "node").groupBy("origin").agg(F.sum("n").alias("evidence"))
+
+
 def ranked_candidates(edges: DataFrame, origins: DataFrame, max_hops: int = MAX_HOPS, min_score: float = MIN_SCORE, prefixes: Sequence[str] = PREFIXES, decay: float = DECAY, boost: float = PATHWAY_BOOST) -> DataFrame:
     """(origin, node, hops, raw_signal, score, direction_sign): the best walk from each origin (column ``origin``) to each node.
 

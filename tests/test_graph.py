@@ -122,10 +122,62 @@ def test_answers(spark):
     docs = spark.createDataFrame([(0, "TP53 controls MDM2. Rain fell."), (1, "The harbour opened in spring. The tide table names the hours.")], "doc_id long, text string")
     made = predict.answer(e, no_seeds(spark), docs, "A549: what does knockout of TP53 do?")
     assert made.kind == "prediction" and made.text.startswith("KO_TP53 in A549: 3 genes, 1 pathways.") and "TP53" in made.text and "growth" in made.text
-    assert made.documents.first()["doc_id"] == 0 and made.evidence == 6 and abs(made.confidence - (0.4 + 0.04 * 3 + 0.02 * 1)) < 1e-9
-    assert predict.answer(e, no_seeds(spark), docs, "knockout of TP53?", cells=("none", "A549")).kind == "prediction"
+    assert made.documents.first()["doc_id"] == 0 and made.evidence == 6 + 1 and abs(made.confidence - (0.4 + 0.04 * 3 + 0.02 * 1)) < 1e-9 and not made.assumed
     plain = predict.answer(e, no_seeds(spark), docs, "Which tide table names hours?")
-    assert plain.kind == "sentences" and plain.text == "The tide table names the hours."
+    assert plain.kind == "sentences" and plain.text == "The harbour opened in spring. The tide table names the hours."
+
+
+def test_answers_fall_through(spark):
+    """Which cell an answer is for, and when there is none: all questions at once and one by one."""
+    rows = [
+        ("Cell::A549", "associated_with", "gene::TP53", 0.9, 0.9, 1.0), ("Cell::LONE77", "associated_with", "protein::P21", 0.9, 0.9, 1.0), ("Cell::PATH88", "associated_with", "pathway::growth", 0.9, 0.9, 1.0),
+        ("gene::TP53", "activates", "gene::MDM2", 0.8, 0.9, 1.0), ("Cell::WEAK99", "associated_with", "gene::FAINT", 0.1, 0.03, 1.0)]
+    e = spark.createDataFrame([(h, r, t, "s", "v", w, c, s) for h, r, t, w, c, s in rows], "head string, relation string, tail string, source string, version string, weight double, confidence double, effect_sign double")
+    docs = spark.createDataFrame([(0, "Rain fell.\nEGFR was inhibited."), (1, "The tide table names the hours.")], "doc_id long, text string")
+    asked = [
+        (1, "knockout of EGFR?"),  # no cell: the first default has no node, the second one answers
+        (2, "LONE77: inhibit EGFR"),  # proteins alone are an answer
+        (3, "PATH88: inhibit EGFR"),  # and so are pathways
+        (4, "NOWHERE11: inhibit EGFR"),  # a named cell without rows: sentences
+        (5, "knockout of TP53?"),  # TP53 reads as a cell line, as letters before two digits do: no gene is left
+        (6, "what rains, tide or table?"),  # no gene
+        (7, "EGFR oe in WEAK99"),  # a score between a quarter of the floor and the floor
+        (8, None), (9, "zzz qqq")]
+    questions = spark.createDataFrame(asked, "query_id long, question string")
+    got = {r["query_id"]: r for r in predict.answer_all(e, no_seeds(spark), docs, questions).answers.collect()}
+    assert {k: (r["kind"], r["cell"], r["assumed"], r["genes"], r["pathways"], r["proteins"]) for k, r in got.items()} == {
+        1: ("prediction", "Cell::A549", True, 2, 0, 0), 2: ("prediction", "Cell::LONE77", False, 0, 0, 1), 3: ("prediction", "Cell::PATH88", False, 0, 1, 0), 4: ("sentences", None, False, 0, 0, 0),
+        5: ("none", None, False, 0, 0, 0), 6: ("sentences", None, False, 0, 0, 0), 7: ("prediction", "Cell::WEAK99", False, 1, 0, 0), 8: ("none", None, False, 0, 0, 0), 9: ("none", None, False, 0, 0, 0)}
+    assert got[1]["text"].startswith("KO_EGFR in A549 (no cell was named): 2 genes, 0 pathways.\n1. ") and got[4]["text"] == "EGFR was inhibited." and got[6]["text"] == "The tide table names the hours."
+    assert got[7]["perturbation"] == "OE_EGFR" and got[1]["evidence"] == 2 + got[1]["documents"]
+    for k in (1,):
+        one = predict.answer(e, no_seeds(spark), docs, dict(asked)[k])
+        assert (one.kind, one.text, one.confidence, one.evidence, one.assumed) == tuple(got[k][c] for c in ("kind", "text", "confidence", "evidence", "assumed"))
+    assert predict.answer(e, no_seeds(spark), docs, "knockout of EGFR?", cells=("none1", "none2")).kind == "sentences"
+    assert predict.answer_all(e, no_seeds(spark), docs, questions.limit(0)).answers.count() == 0
+
+
+def test_predict_many_pairs(spark):
+    """A table of pairs gives each pair what it gets alone."""
+    rng = random.Random(8)
+    names = [f"gene::G{i}" for i in range(30)] + [f"gene::{i}" for i in range(6)] + [f"protein::P{i}" for i in range(8)] + [f"pathway::w{i}" for i in range(5)]
+    cells, perts = [f"Cell::C{i}" for i in range(4)], [f"pathway::perturbation::KO_{i}" for i in range(4)]
+    pick = lambda of: of[int(len(of) * rng.random() ** 1.5)]
+    rows = [(pick(cells[:3] + perts[:3] + names[:44]), rng.choice(["activates", "inhibits"]), pick(names), round(rng.random(), 3), round(rng.random(), 3), rng.choice([1.0, -1.0, 0.0])) for _ in range(260)]
+    rows += [(f"sample::S{i}", "expresses", pick(names[:36]), 0.5, 0.5, 0.0) for i in range(40)] + [("Cell::C2", "x", names[0], 1.0, 1.0, 1.0)]
+    e = small_graph(spark, rows)
+    pairs = [(c, f"KO_{i}") for c in cells for i in range(4)] + [("Cell::C0", "pathway::perturbation::KO_1"), ("Cell::C0", "KO_1"), (None, "KO_1")]
+    seeds = spark.createDataFrame([("G1",), ("G2",), ("G5",)], "gene string")
+    prior = spark.createDataFrame([("P1", -0.4), ("P2", 2.0)], "protein string, log2_fc double")
+    shown = lambda rows: sorted(repr(sorted((k, v) for k, v in r.asDict().items() if k not in predict.KEY)) for r in rows)
+    for options, alone in (({}, [pairs[0], pairs[6], pairs[16]]), ({"top_k": 3, "min_score": 0.2}, [pairs[1]]), ({"target_genes": ["g3", "G4"], "calibration": prior}, [pairs[12]])):
+        made = predict.predict_all(e, seeds, spark.createDataFrame(pairs, "cell string, perturbation string"), **options)
+        whole = {name: getattr(made, name).collect() for name in ("genes", "pathways", "proteins")}
+        assert all(whole.values()) and len({(r["cell"], r["perturbation"]) for r in whole["proteins"]}) > 10
+        for c, p in alone:
+            one = predict.predict(e, seeds, c, p, **options)
+            for name, rows in whole.items():
+                assert shown(getattr(one, name).collect()) == shown(r for r in rows if (r["cell"], r["perturbation"]) == (c, p))
 
 
 def test_collectors_merge(spark):
