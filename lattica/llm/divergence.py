@@ -18,7 +18,7 @@ MAX_BROADCAST_GROUPS, SALTS = 100_000, 64
 
 def terms(text: Column) -> Column:
     """The terms of a text, A-Z lower-cased, in order and with repeats."""
-    return F.filter(F.split(F.translate(text, CAPITALS, SMALL), BETWEEN), lambda t: t != "")
+    return F.array_remove(F.split(F.translate(text, CAPITALS, SMALL), BETWEEN), "")
 
 
 def part(count: Column, total: Column, kept: Column) -> Column:
@@ -37,7 +37,7 @@ def vectors(docs: DataFrame, min_docs: int = 3, text_col: str = "text", lang_col
     A text's terms are sorted, so each distinct one leaves the text once, as (term, occurrences). Both sums are taken
     before rows are shuffled: a task sends a (lang, source, term) once however often it occurs.
     """
-    own = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"), F.array_sort(terms(F.coalesce(F.col(text_col), F.lit("")))).alias("terms"))
+    own = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"), F.sort_array(terms(F.coalesce(F.col(text_col), F.lit("")))).alias("terms"))
     first = F.transform("terms", lambda t, i: F.when((i == 0) | (F.get(F.col("terms"), i - 1) != t), i))
     starts = own.withColumn("starts", F.array_compact(first))
     runs = F.transform("starts", lambda at, k: F.struct(F.get(F.col("terms"), at).alias("term"), (F.coalesce(F.get(F.col("starts"), k + 1), F.size("terms")) - at).cast("long").alias("n")))
