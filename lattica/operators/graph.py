@@ -169,18 +169,28 @@ def matched_by() -> Column:
 
 def keyword_subgraph(edges: DataFrame, node: str = "", relation: str = "", mode: str = "and", max_nodes: int = 200, max_edges: int = 500) -> DataFrame:
     """The first ``max_edges`` matching edges in the order of all edge columns, of which both ends are among the first
-    ``max_nodes`` nodes to appear. Only a top-k leaves the scan; all after it is on ``max_edges`` rows."""
+    ``max_nodes`` nodes to appear."""
+    return first_subgraph(keyword_match(edges, node, relation, mode), max_nodes, max_edges)
+
+
+def first_subgraph(matched: DataFrame, max_nodes: int = 200, max_edges: int = 500) -> DataFrame:
+    """``keyword_subgraph`` of edges that ``keyword_match`` or an index has found. Only a top-k leaves the scan; all after it
+    is one pass over twice ``max_edges`` rows: each end's first place, the nodes' order by it, the edges both of whose ends
+    are early enough."""
     max_nodes, max_edges = max(10, max_nodes), max(10, max_edges)
-    first = cut(keyword_match(edges, node, relation, mode).orderBy(*EDGE_ORDER).limit(max_edges))
-    seq = first.withColumn("seq", F.row_number().over(Window.orderBy(*EDGE_ORDER)))
-    ends = seq.select(F.posexplode(F.array("head", "tail")).alias("side", "name"), "seq").groupBy("name").agg(F.min(F.struct("seq", "side")).alias("at"))
-    admitted = ends.orderBy("at").limit(max_nodes).select("name")
-    kept = seq.join(admitted.withColumnRenamed("name", "head"), "head", "left_semi").join(admitted.withColumnRenamed("name", "tail"), "tail", "left_semi")
-    return kept.select("seq", "head", "relation", "tail", "weight", "confidence", matched_by().alias("matched_by"))
+    first = matched.orderBy(*EDGE_ORDER).limit(max_edges).withColumn("seq", F.row_number().over(Window.orderBy(*EDGE_ORDER)))
+    ends = first.select("*", F.posexplode(F.array("head", "tail")).alias("side", "name"))
+    ends = ends.withColumn("at", F.min(F.col("seq") * 2 + F.col("side")).over(Window.partitionBy("name")))
+    ends = ends.withColumn("nth", F.dense_rank().over(Window.orderBy("at")))
+    both = ends.groupBy("seq").agg(F.max("nth").alias("nth"), *(F.first(c).alias(c) for c in ("head", "relation", "tail", "weight", "confidence", "node_hit", "relation_hit")))
+    return both.filter(F.col("nth") <= max_nodes).select("seq", "head", "relation", "tail", "weight", "confidence", matched_by().alias("matched_by"))
 
 
 def match_stats(edges: DataFrame, node: str = "", relation: str = "", mode: str = "and") -> DataFrame:
-    hits = keyword_match(edges, node, relation, mode)
+    return hit_counts(keyword_match(edges, node, relation, mode))
+
+
+def hit_counts(hits: DataFrame) -> DataFrame:
     one = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0))
     return hits.agg(F.count("*").alias("matched"), one(F.col("node_hit")).alias("node_hits"), one(F.col("relation_hit")).alias("relation_hits"), one(F.col("node_hit") & F.col("relation_hit")).alias("both_hits"))
 

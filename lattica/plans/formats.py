@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import rules
 from ..functions import text as tx
 from ..operators import build, graph, retrieval
-from ..sources import files, parsers, sinks
+from ..sources import files, parsers, sinks, snapshots
 from ..streaming import micro
 from .queries import BOUGHT, bought, query, rounded
 from .views import EDGES_SQL, SEEDS_SQL, edges, seeds, table
@@ -335,7 +335,7 @@ def m02_stream_load(spark, sf):
     e = edges(spark, sf)
     e.repartition(4, "head").sortWithinPartitions("head").write.parquet(source)
     micro.run_stream(spark, source, e._jdf.schema().toDDL(), path, max_files=2)
-    loaded = spark.read.parquet(f"{path}/edges")
+    loaded = micro.read_edges(spark, path)
     return loaded.groupBy("relation").agg(F.count("*").alias("n"), F.count_distinct("head").alias("heads"), F.round(F.sum("weight"), 4).alias("weight"))
 
 
@@ -367,7 +367,28 @@ def k04_stream_nodes(spark, sf):
 @query(f"WITH {LOADED}, d AS (SELECT DISTINCT rh, r, rt, rr = 'pathway_name' AS named FROM n) SELECT count(*) AS edges FROM d WHERE NOT named")
 def a02_canonical_dedup(spark, sf):
     """How many edges a streamed load keeps of relations that differ in words only."""
-    return spark.read.parquet(f"{loaded(spark, sf)}/edges").agg(F.count("*").alias("edges"))
+    return micro.read_edges(spark, loaded(spark, sf)).agg(F.count("*").alias("edges"))
+
+
+@query(f"WITH edges AS ({EDGES_SQL}), once AS (SELECT DISTINCT head, relation, tail, source, version FROM edges) SELECT relation, count(*) AS n, count(DISTINCT head) AS heads, count(DISTINCT tail) AS tails FROM once GROUP BY relation")
+def j10_across_batches(spark, sf):
+    """Every edge twice, its copies dealt to batches by all its columns and the copy: keys meet earlier batches all the time."""
+    source, path = graph.scratch(spark, "stream"), graph.scratch(spark, "graph")
+    twice = edges(spark, sf).withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1))))
+    twice.withColumn("file", F.pmod(F.xxhash64(*twice.columns), F.lit(6))).repartition(6, "file").drop("copy", "file").write.parquet(source)
+    micro.run_stream(spark, source, edges(spark, sf)._jdf.schema().toDDL(), path, max_files=1)
+    return micro.read_edges(spark, path).groupBy("relation").agg(F.count("*").alias("n"), F.count_distinct("head").alias("heads"), F.count_distinct("tail").alias("tails"))
+
+
+@query(f"WITH edges AS ({EDGES_SQL}), e AS (SELECT * FROM edges WHERE relation <> 'expresses'), n AS (SELECT head AS name FROM e UNION SELECT tail FROM e) SELECT (SELECT count(*) FROM e) AS edges, (SELECT count(*) FROM n) AS nodes")
+def k05_replace(spark, sf):
+    """A graph replaced by a part of itself, read from the very tables that it replaces."""
+    path = graph.scratch(spark, "graph")
+    e = edges(spark, sf)
+    sinks.replace_graph(graph.node_table(e), e, path)
+    part = snapshots.read(spark, path, "edges").filter("relation <> 'expresses'").select(*e.columns)
+    sinks.replace_graph(graph.node_table(part), part, path)
+    return snapshots.read(spark, path, "edges").agg(F.count("*").alias("edges")).crossJoin(snapshots.read(spark, path, "nodes").agg(F.count("*").alias("nodes")))  # one row each
 
 
 # --- the document store

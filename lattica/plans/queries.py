@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..functions import text as tx
-from ..operators import build, evaluate, graph, predict, retrieval
+from ..operators import build, evaluate, graph, predict, retrieval, search
 from ..sources import files
 from .views import SEEDS_SQL, edges, nodes, seeds, table, with_edges
 
@@ -106,6 +106,29 @@ def a28_match_stats(spark, sf):
     return graph.match_stats(edges(spark, sf), "S1", "activ", "or")
 
 
+def _index(spark: SparkSession, sf: str) -> search.NameIndex:
+    return search.NameIndex.build(edges(spark, sf), graph.scratch(spark, "names"))
+
+
+def _named_sql(text: str) -> str:
+    hit = f"(contains(lower(head), '{text}') OR contains(lower(tail), '{text}'))"
+    return (f", f AS (SELECT *, row_number() OVER (ORDER BY {ORDER}) AS seq FROM (SELECT * FROM edges WHERE {hit} ORDER BY {ORDER} LIMIT 500)),"
+            " ends AS (SELECT name, min(2 * seq + side) AS pos FROM (SELECT head AS name, seq, 0 AS side FROM f UNION ALL SELECT tail, seq, 1 FROM f) GROUP BY name), adm AS (SELECT name FROM ends ORDER BY pos LIMIT 200)"
+            " SELECT CAST(seq AS INTEGER) AS seq, head, relation, tail, weight, confidence, 'node' AS matched_by FROM f WHERE head IN (SELECT name FROM adm) AND tail IN (SELECT name FROM adm)")
+
+
+@kg(_named_sql("ein::s1"))
+def g04_indexed_subgraph(spark, sf):
+    """The index built and read: a text across the type and the name, of suppliers S1, S10, ..., whose edges meet both their ends."""
+    return _index(spark, sf).subgraph("Ein::S1")
+
+
+@kg(", h AS (SELECT contains(lower(head), 'e::p19') OR contains(lower(tail), 'e::p19') AS n, contains(lower(relation), 'inhib') AS r FROM edges)"
+    " SELECT count(*) AS matched, count(*) AS node_hits, count(*) AS relation_hits, count(*) AS both_hits FROM h WHERE n AND r")
+def a28_indexed_stats(spark, sf):
+    return _index(spark, sf).stats("e::P19", "INHIB")
+
+
 @kg(f", f AS (SELECT name FROM nodes ORDER BY name LIMIT 2100) SELECT head, relation, tail, weight, confidence FROM edges WHERE head IN (SELECT name FROM f) AND tail IN (SELECT name FROM f) ORDER BY {ORDER} LIMIT 200")
 def g05_visual_sample(spark, sf):
     return graph.visual_sample(edges(spark, sf), nodes(spark, sf), 2100, 200)
@@ -612,10 +635,137 @@ def p24_questions(spark, sf):
     return asked.select("conv_id", "turn", "q.cell", "q.perturbation", F.size("t").alias("tokens"))
 
 
-@query()
+# --- predictions for tables of pairs
+
+def prediction_edges(spark: SparkSession, sf: str) -> DataFrame:
+    """The graph with its derived perturbation edges."""
+    derived = augmented(spark, sf).select("head", "relation", "tail", F.lit("Derived").alias("source"), F.lit("v1").alias("version"), "weight", "confidence", F.lit(0.0).alias("effect_sign"))
+    return edges(spark, sf).unionByName(derived)
+
+
+def asked_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """(cell, perturbation): each user's turn asks of its conversation's sample what one of the seeds does."""
+    turns = table(spark, sf, "conversations").filter("role = 'user'")
+    numbered = seeds(spark, sf).distinct().agg(F.array_sort(F.collect_list("gene")).alias("genes"))  # the seeds of one brand
+    gene = F.element_at("genes", (F.pmod(F.col("conv_id") + F.col("turn"), F.size("genes")) + 1).cast("int"))
+    method = F.when(F.col("conv_id") % 3 == 0, F.lit("OE_")).otherwise(F.lit("KO_"))
+    return turns.crossJoin(F.broadcast(numbered)).filter(F.size("genes") > 0).select(F.concat(F.lit("sample::C"), F.col("conv_id").cast("string")).alias("cell"), F.concat(method, gene).alias("perturbation")).distinct()
+
+
+ASKED = ("SELECT DISTINCT 'sample::C' || conv_id AS cell, (CASE WHEN conv_id % 3 = 0 THEN 'OE_' ELSE 'KO_' END) || g AS perturbation FROM conversations"
+         " JOIN (SELECT g, row_number() OVER (ORDER BY g) - 1 AS k, count(*) OVER () AS n FROM seed) ON k = (conv_id + turn) % n WHERE role = 'user'")
+
+
+def _prediction_sql(asked: str, k: int) -> str:
+    """CTEs q_genes, q_paths and q_prots: the whole prediction for the pairs of ``asked`` (cell, perturbation). On these
+    tables every pair with a gene has a pathway, labels are names, and the last fallback has no row; it isn't here."""
+    floor = predict.graph.MIN_SCORE
+    key = "cell, perturbation"
+    first = "ORDER BY score DESC, hops, node"
+
+    def hop(h: int, source: str) -> str:
+        return (f", w{h} AS (SELECT s.origin, l.tail AS node, s.signal * l.s AS signal, s.direction * l.d AS direction FROM {source} s JOIN lean l ON s.node = l.head)"
+                f", h{h} AS (SELECT origin, node, signal, direction, {h} AS hops FROM w{h} QUALIFY row_number() OVER (PARTITION BY origin, node ORDER BY signal DESC, direction DESC) = 1)")
+
+    def links(own: str, other: str, limit: int) -> str:
+        near = "(SELECT head AS node, tail AS other, weight, confidence FROM net UNION ALL SELECT tail, head, weight, confidence FROM net)"
+        return (f"(SELECT node, other, signal FROM (SELECT node, other, max({SIGNAL}) AS signal FROM {near} WHERE node LIKE '{own}::%' AND other LIKE '{other}::%' AND NOT regexp_matches(other, '^pathway::(perturbation|perturb_method)::') AND {SIGNAL} >= {floor / 2} GROUP BY node, other)"
+                f" QUALIFY row_number() OVER (PARTITION BY node ORDER BY signal DESC, other) <= {limit})")
+
+    bio = "node LIKE 'pathway::%' AND NOT regexp_matches(node, '^pathway::(perturbation|perturb_method)::')"
+    columns = f"{key}, node, hops, raw_signal, score, direction_sign, from_perturbation"
+    delta = lambda scale: f"round((CASE WHEN regexp_matches(lower(perturbation), 'ko|inhibit|kd') THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END) * direction_sign * score * {scale}::DOUBLE, 4) + 0.0::DOUBLE"
+    return (
+        f"{AUGMENTED}, net AS (SELECT head, relation, tail, weight, confidence, effect_sign FROM edges UNION ALL SELECT head, relation, tail, weight, confidence, 0.0::DOUBLE FROM aug)"
+        f", asked AS (SELECT cell, perturbation, 'pathway::perturbation::' || upper(perturbation) AS anchor FROM ({asked}))"
+        f", lean AS (SELECT head, tail, {SIGNAL} AS s, {SIGN} AS d FROM net QUALIFY row_number() OVER (PARTITION BY head, tail ORDER BY s DESC, d DESC) = 1)"
+        ", h0 AS (SELECT o AS origin, o AS node, 1.0::DOUBLE AS signal, 1.0::DOUBLE AS direction FROM (SELECT cell AS o FROM asked UNION SELECT anchor FROM asked))"
+        + hop(1, "h0") + hop(2, "h1") + hop(3, "h2")
+        + ", scored AS (SELECT *, (CASE WHEN node LIKE 'pathway::%' THEN signal * pow(0.78::DOUBLE, hops - 1) * 1.12::DOUBLE ELSE signal * pow(0.78::DOUBLE, hops - 1) END) AS score FROM (SELECT * FROM h1 UNION ALL SELECT * FROM h2 UNION ALL SELECT * FROM h3) WHERE regexp_matches(node, '^(gene|pathway|protein)::') AND node <> origin)"
+        ", walks AS (SELECT origin, node, hops, signal AS raw_signal, score, direction AS direction_sign FROM scored QUALIFY row_number() OVER (PARTITION BY origin, node ORDER BY score DESC, hops, signal DESC, direction DESC) = 1)"
+        ", q_near AS (SELECT origin, node, hops, signal AS raw_signal, score, direction AS direction_sign FROM scored WHERE hops = 1)"
+        f", q_both AS (SELECT {key}, node, hops, raw_signal, score, direction_sign, false AS from_perturbation FROM asked JOIN walks ON origin = cell WHERE score >= {floor}"
+        f" UNION ALL SELECT {key}, node, hops, raw_signal, score * (CASE WHEN hops <= 1 THEN 1.6::DOUBLE ELSE 1.35::DOUBLE END), direction_sign, true FROM asked JOIN walks ON origin = anchor WHERE score >= {0.6 * floor})"
+        f", q_merged AS (SELECT * FROM q_both QUALIFY row_number() OVER (PARTITION BY {key}, node ORDER BY score DESC, from_perturbation, hops) = 1)"
+        f", q_ranked AS (SELECT {columns} FROM q_merged UNION ALL SELECT {key}, node, hops, raw_signal, greatest(score, raw_signal, 0.005::DOUBLE), direction_sign, true FROM asked JOIN q_near ON origin = anchor WHERE ({key}) NOT IN (SELECT {key} FROM q_merged))"
+        f", q_gene0 AS (SELECT * FROM q_ranked WHERE node LIKE 'gene::%'), q_path0 AS (SELECT *, CAST(NULL AS VARCHAR) AS from_gene FROM q_ranked WHERE {bio})"
+        f", q_path1 AS (SELECT * FROM q_path0 UNION ALL (SELECT {key}, other, hops + 1, signal, round(score * signal * 0.95::DOUBLE, 6) AS s, direction_sign, from_perturbation, t.node AS from_gene"
+        f" FROM (SELECT * FROM q_gene0 WHERE ({key}) NOT IN (SELECT {key} FROM q_path0) QUALIFY row_number() OVER (PARTITION BY {key} {first}) <= {min(12, max(4, k))}) t JOIN {links('gene', 'pathway', 20)} l ON l.node = t.node"
+        f" QUALIFY row_number() OVER (PARTITION BY {key}, other ORDER BY s DESC, hops, t.node DESC) = 1))"
+        f", q_mark AS (SELECT *, ({key}, node) IN (SELECT {key}, node FROM asked JOIN q_near ON origin = anchor) AS direct FROM q_gene0)"
+        f", q_gene1 AS (SELECT {key}, node, hops, raw_signal, (CASE WHEN direct THEN score * 1.35::DOUBLE ELSE score END) AS score, direction_sign, from_perturbation OR direct AS from_perturbation FROM q_mark QUALIFY direct OR sum(direct::INT) OVER (PARTITION BY {key}) < {max(8, k)})"
+        ", q_seen AS (SELECT tail AS node, count(*) AS n FROM net WHERE head LIKE 'sample::%' AND relation = 'expresses' GROUP BY tail)"
+        f", q_boost AS (SELECT {key}, node, least(1.0::DOUBLE, 0.4::DOUBLE * (n / CAST(max(n) OVER (PARTITION BY {key}) AS DOUBLE))) AS boost FROM q_gene1 JOIN q_seen USING (node))"
+        f", q_fallen AS (SELECT g.* REPLACE (score * (1 + 0.35::DOUBLE * coalesce(boost, 0.0::DOUBLE)) AS score) FROM q_gene1 g LEFT JOIN q_boost b USING (cell, perturbation, node))"
+        f", q_poor AS (SELECT * FROM q_path1 WHERE ({key}) NOT IN (SELECT {key} FROM q_fallen GROUP BY {key} HAVING count(*) >= {max(k, min(25, 2 * k))}) QUALIFY row_number() OVER (PARTITION BY {key} {first}) <= {max(3, k)})"
+        f", q_more AS (SELECT {key}, other AS node, hops + 1 AS hops, signal AS raw_signal, round(score * signal * 0.9::DOUBLE, 6) AS score, direction_sign, from_perturbation FROM q_poor t JOIN {links('pathway', 'gene', 40)} l ON l.node = t.node"
+        f" QUALIFY row_number() OVER (PARTITION BY {key}, other ORDER BY round(t.score * signal * 0.9::DOUBLE, 6) DESC, t.hops, t.node DESC) = 1)"
+        f", q_gene2 AS (SELECT * FROM q_fallen UNION ALL SELECT * FROM q_more WHERE ({key}, node) NOT IN (SELECT {key}, node FROM q_gene1))"
+        f", q_order AS (SELECT *, node IN (SELECT seed FROM seed) AS is_seed, row_number() OVER (PARTITION BY {key} {first}) AS r FROM q_gene2)"
+        f", q_kind AS (SELECT *, NOT is_seed AND row_number() OVER (PARTITION BY {key}, is_seed ORDER BY r) <= {max(1, k // 3)} AND {k} >= 4 AS reserved FROM q_order)"
+        f", q_genes AS (SELECT *, CAST(row_number() OVER (PARTITION BY {key} ORDER BY reserved DESC, r) AS INTEGER) AS place, {delta(0.2)} AS delta FROM q_kind QUALIFY place <= {k})"
+        f", q_paths AS (SELECT *, CAST(row_number() OVER (PARTITION BY {key} {first}) AS INTEGER) AS place FROM q_path1 QUALIFY place <= {k})"
+        f", q_prots AS (SELECT *, CAST(row_number() OVER (PARTITION BY {key} {first}) AS INTEGER) AS place, {delta(0.15)} AS delta FROM q_ranked WHERE node LIKE 'protein::%' QUALIFY place <= {k})")
+
+
+EFFECT = "CASE WHEN delta > 0 THEN '增强' WHEN delta < 0 THEN '抑制' ELSE '不确定' END"
+SHOWN = "cell, perturbation, node, hops, round(score, 6) AS score, direction_sign, from_perturbation, place"
+
+
+@kg(f", {_prediction_sql(ASKED, 10)} SELECT 'gene' AS part, {SHOWN}, delta, {EFFECT} AS effect FROM q_genes UNION ALL SELECT 'pathway', {SHOWN}, NULL, NULL FROM q_paths UNION ALL SELECT 'protein', {SHOWN}, delta, {EFFECT} FROM q_prots")
+def r_predictions(spark, sf):
+    """Genes, pathways and proteins of every pair that a conversation asks for, all pairs in one plan."""
+    made = predict.predict_all(graph.cut(prediction_edges(spark, sf)), seeds(spark, sf), asked_pairs(spark, sf))
+    place = F.row_number().over(Window.partitionBy("cell", "perturbation").orderBy(F.desc("score"), "hops", "node"))
+    none = {"delta": F.lit(None).cast("double"), "effect": F.lit(None).cast("string")}
+    parts = {"gene": made.genes, "pathway": made.pathways.withColumns({"place": place} | none), "protein": made.proteins.withColumn("place", place)}
+    out = None
+    for part, rows in parts.items():
+        rows = rows.select(F.lit(part).alias("part"), "cell", "perturbation", "node", "hops", "score", "direction_sign", "from_perturbation", "place", (F.col("delta") + F.lit(0.0)).alias("delta"), "effect")
+        out = rows if out is None else out.unionByName(rows)
+    return rounded(out, "score")
+
+
+TRUTH = "t AS (SELECT 'P' || CAST(p_partkey AS VARCHAR) AS entity, (p_size - 25) / 25.0::DOUBLE AS score FROM part)"
+#: Genes by the correlation of their expression with a seed's, zero where a sample has none.
+ALIKE = (f"{BOUGHT}, c_y AS (SELECT b.* FROM bought b JOIN (SELECT DISTINCT g FROM seed) ON b.entity = g),"
+         " c_p AS (SELECT y.entity AS seed, x.entity, sum(x.value * y.value) AS sxy, count(*) AS both FROM bought x JOIN c_y y ON x.sample = y.sample AND x.entity <> y.entity GROUP BY 1, 2),"
+         " c_o AS (SELECT entity, count(*) AS n, sum(value) AS a, sum(value * value) AS aa FROM bought GROUP BY entity),"
+         " c_j AS (SELECT p.seed, p.entity, x.n + y.n - p.both AS n, p.sxy, x.a AS ax, x.aa AS axx, y.a AS ay, y.aa AS ayy FROM c_p p JOIN c_o x ON x.entity = p.entity JOIN c_o y ON y.entity = p.seed),"
+         " alike AS (SELECT seed, entity, round((sxy - ax * ay / n) / sqrt((axx - ax * ax / n) * (ayy - ay * ay / n)), 6) + 0.0::DOUBLE AS r FROM c_j WHERE n >= 5)")
+
+
+@kg(f", {_prediction_sql("SELECT 'sample::C10' AS cell, 'KO_' || g AS perturbation FROM seed", 100)}, {TRUTH}, {ALIKE}"
+    ", r AS (SELECT 'graph' AS method, substr(perturbation, 4) AS seed, substr(node, 7) AS entity, place FROM q_genes"
+    " UNION ALL SELECT 'expression', seed, entity, row_number() OVER (PARTITION BY seed ORDER BY r DESC, entity) FROM alike)"
+    ", x AS (SELECT method, seed, score FROM r JOIN t USING (entity) WHERE place <= 100), n AS (SELECT count(*) FILTER (score < -0.5) AS n FROM t)"
+    " SELECT method, seed, count(*) AS hits, round(CASE WHEN count(*) >= 5 THEN count(*) FILTER (score < -0.5) / CAST(count(*) AS DOUBLE) ELSE 0 END, 6) AS precision, round(CASE WHEN count(*) >= 5 AND any_value(n) > 0 THEN count(*) FILTER (score < -0.5) / CAST(any_value(n) AS DOUBLE) ELSE 0 END, 6) AS recall, round(CASE WHEN count(*) >= 5 THEN avg(score) ELSE 0 END, 6) + 0.0::DOUBLE AS mean FROM x, n GROUP BY method, seed")
+def e08_predictions(spark, sf):
+    """The predictor over all seeds in one plan, 100 genes each, against the genes whose expression is most like the seed's;
+    the truth is the parts' sizes."""
+    pairs = seeds(spark, sf).distinct().select(F.lit("sample::C10").alias("cell"), F.concat(F.lit("KO_"), "gene").alias("perturbation"))
+    made = predict.predict_all(graph.cut(prediction_edges(spark, sf)), seeds(spark, sf), pairs, top_k=100)
+    ranked = made.genes.select(F.lit("graph").alias("method"), F.substring("perturbation", 4, 1 << 30).alias("seed"), F.substring("node", 7, 1 << 30).alias("entity"), "place")
+    alike = rounded(evaluate.correlations(bought(spark, sf), seeds(spark, sf).withColumnRenamed("gene", "seed"), 5, zero_fill=True), "r")
+    place = F.row_number().over(Window.partitionBy("seed").orderBy(F.desc("r"), "entity"))
+    alike = alike.select(F.lit("expression").alias("method"), "seed", "entity", place.alias("place")).filter(F.col("place") <= 100)
+    truth = table(spark, sf, "part").select(F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("entity"), ((F.col("p_size") - 25) / F.lit(25.0)).alias("score"))
+    made = rounded(evaluate.prediction_accuracy(ranked.unionByName(alike), truth, 100, -0.5), "precision", "recall", "mean")
+    return made.withColumn("mean", F.col("mean") + F.lit(0.0))
+
+
+@kg(f", {_prediction_sql("SELECT 'sample::C10' AS cell, 'KO_' || min(g) AS perturbation FROM seed", 10)} SELECT node, substr(node, 7) AS label, hops, round(score, 6) AS score, delta, {EFFECT} AS effect, place FROM q_genes")
 def r_prediction(spark, sf):
-    """The genes of a whole prediction: ranks, merges, boosts, backfill, diversity, deltas. The oracle of its parts is above."""
-    e = edges(spark, sf)
-    both = e.unionByName(augmented(spark, sf).select("head", "relation", "tail", F.lit("Derived").alias("source"), F.lit("v1").alias("version"), "weight", "confidence", F.lit(0.0).alias("effect_sign")))
+    """The genes of one pair."""
     first = seeds(spark, sf).agg(F.min("gene")).first()[0]
-    return rounded(predict.predict(graph.cut(both), seeds(spark, sf), "sample::C10", f"KO_{first}").genes.select("node", "label", "hops", "score", "delta", "effect", "place"), "score", "delta")
+    made = predict.predict(graph.cut(prediction_edges(spark, sf)), seeds(spark, sf), "sample::C10", f"KO_{first}")
+    return rounded(made.genes.select("node", "label", "hops", "score", (F.col("delta") + F.lit(0.0)).alias("delta"), "effect", "place"), "score")
+
+
+@kg(", arc AS (SELECT DISTINCT head, tail FROM edges), origin AS (SELECT DISTINCT head AS o FROM edges WHERE head LIKE 'sample::%'), one AS (SELECT o, tail FROM origin JOIN arc ON head = o),"
+    " seen AS (SELECT o, o AS node FROM origin UNION SELECT o, tail FROM one UNION SELECT o, arc.tail FROM one JOIN arc ON arc.head = one.tail), d AS (SELECT head AS node, count(*) AS n FROM edges GROUP BY head)"
+    " SELECT o AS origin, CAST(sum(n) AS BIGINT) AS evidence FROM seen JOIN d USING (node) GROUP BY o")
+def r02_evidence(spark, sf):
+    """What each sample's prediction could rest on: the edges within three hops."""
+    e = edges(spark, sf)
+    return graph.evidence_counts(e, e.filter(F.startswith("head", F.lit("sample::"))).select(F.col("head").alias("origin")).distinct())

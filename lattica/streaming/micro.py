@@ -8,75 +8,84 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.rules import canonical_relation, node_type
-from ..operators.build import dedup_triples, node_updates, upsert_nodes
+from ..operators.build import TRIPLE_KEY, node_updates, upsert_nodes
 from ..operators.graph import cut
+from ..sources import snapshots
 from ..sources.sinks import append_edges
 
-#: Keys lie in so many folders by a hash; a batch reads those that its own keys fall in.
-KEY_BUCKETS = 32
+#: State lies in RocksDB on the executors' disks; a batch sends its own changes to the checkpoint, not the whole state.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
 
 
-def stream_dedup(stream: DataFrame, canonical: bool = True) -> DataFrame:
-    """A stream without keys seen before; its state holds the keys (there is no event time to forget them by)."""
-    rel = canonical_relation(F.col("relation")) if canonical else F.col("relation")
-    keyed = stream.withColumn("_rel", rel)
-    return keyed.dropDuplicates(["head", "_rel", "tail", "source", "version"]).drop("_rel")
-
-
-def _clear(spark: SparkSession, path: str) -> None:
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+def first_rows(stream: DataFrame, canonical: bool = True) -> DataFrame:
+    """The rows of a stream whose key (head, relation, tail, source, version) no earlier batch had, one a key.
 
-
-def _keys(rows: DataFrame, canonical: bool) -> DataFrame:
+    The relation counts in its canonical form if ``canonical``. Of a batch's rows of a new key that of least weight,
+    confidence and sign is given. The state knows when each key came first and last; a key is new while these agree, as
+    a batch's time is one for all its rows and is the same when the batch runs again. So a batch looks up its own keys
+    and no others, however many came before. The state grows with the distinct keys and lies in ranges of their hash
+    over all executors; there is no event time after which a key could be forgotten. Use it in update mode.
+    """
     rel = canonical_relation(F.col("relation")) if canonical else F.col("relation")
-    own = rows.withColumn("key_relation", rel)
-    return own.withColumn("bucket", F.pmod(F.xxhash64("head", "key_relation", "tail"), F.lit(KEY_BUCKETS)).cast("int"))
+    key = [(rel if c == "relation" else F.col(c)).alias(f"_{c}") for c in TRIPLE_KEY]
+    rows = stream.select(*key, F.struct("weight", "confidence", "effect_sign").alias("_o"), F.struct(*stream.columns).alias("_r"), F.current_timestamp().alias("_at"))
+    seen = rows.groupBy(*(f"_{c}" for c in TRIPLE_KEY)).agg(F.min_by("_r", "_o").alias("r"), F.min("_at").alias("first"), F.max("_at").alias("last"))
+    return seen.filter("first = last").select("r.*")
 
 
-def load_batch(batch: DataFrame, path: str, batch_id: int, normalise: Callable[[DataFrame], DataFrame] | None = None, canonical: bool = True) -> None:
-    """One micro-batch: dedup within it, drop keys of earlier batches, normalise, write. Batch 0 replaces the tables.
+def write_batch(rows: DataFrame, path: str, load: str, batch_id: int, normalise: Callable[[DataFrame], DataFrame] | None = None) -> None:
+    """One batch of new rows: normalise, write, commit.
 
-    A key is (head, relation, tail, source, version), the relation in its canonical form if ``canonical``. Edges go to
-    ``edges``, nodes to ``nodes``: first the ends with their types, then the rows that name pathways, which so come last
-    in ``read_nodes``. Keys, edges and nodes lie below ``batch=<id>``, which a batch that runs again after a failure
-    overwrites: nothing is lost and nothing is there twice. The rows are cut first, since the tables they are compared
-    with then change.
+    Edges go to ``edges``, nodes to ``nodes``: first the ends with their types, then the rows that name pathways, which so
+    come last in ``read_nodes``. A batch that runs again overwrites its own folders; until its commit no reader sees them.
     """
-    spark = batch.sparkSession
-    own = _keys(dedup_triples(batch, ["weight", "confidence", "effect_sign"], canonical), canonical)
-    key = ["head", "key_relation", "tail", "source", "version"]
-    if batch_id == 0:
-        for part in ("keys", "edges", "nodes"):
-            _clear(spark, f"{path}/{part}")
-    else:
-        own = cut(own)
-        touched = [r["bucket"] for r in own.select("bucket").distinct().collect()]  # KEY_BUCKETS at most
-        old = spark.read.parquet(f"{path}/keys").filter((F.col("batch") < batch_id) & F.col("bucket").isin(touched))
-        own = own.join(old.select(*key), key, "left_anti")
-    own = cut(own)
-    rows = own.select(*batch.columns)
-    made = cut(normalise(rows)) if normalise else rows
-    is_edge = F.col("kind") == "edge" if "kind" in made.columns else F.lit(True)
-    edges = made.filter(is_edge)
-    append_edges(edges, f"{path}/edges/batch={batch_id}", "overwrite")
+    spark = rows.sparkSession
+    own = cut(rows)
+    made = cut(normalise(own)) if normalise else own
+    edges = made.filter("kind = 'edge'") if "kind" in made.columns else made
+    append_edges(edges, f"{path}/{load}/edges/batch={batch_id}", "overwrite")
     ends = edges.select(F.explode(F.array("head", "tail")).alias("name")).distinct()
     nodes = ends.select("name", node_type(F.col("name")).alias("type"), F.lit(False).alias("is_seed"), F.lit(None).cast("string").alias("pathway_name"), F.lit(2 * batch_id).alias("seq"))
     if "kind" in made.columns:
         named = node_updates(made)
         nodes = nodes.unionByName(named.select("name", node_type(F.col("name")).alias("type"), F.lit(False).alias("is_seed"), "pathway_name", F.lit(2 * batch_id + 1).alias("seq")))
-    nodes.write.mode("overwrite").parquet(f"{path}/nodes/batch={batch_id}")
-    own.select(*key, "bucket").repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/keys/batch={batch_id}")
+    nodes.write.mode("overwrite").parquet(f"{path}/{load}/nodes/batch={batch_id}")
+    snapshots.commit(spark, path, load, batch_id + 1)
+
+
+def read_edges(spark: SparkSession, path: str) -> DataFrame:
+    """The edges of all batches committed so far."""
+    return snapshots.read(spark, path, "edges")
 
 
 def read_nodes(spark: SparkSession, path: str) -> DataFrame:
-    """name, type, is_seed, pathway_name of all batches loaded so far: the last type, the last pathway name that isn't empty."""
-    rows = spark.read.parquet(f"{path}/nodes").drop("batch")
+    """name, type, is_seed, pathway_name of all batches committed so far: the last type, the last pathway name that isn't empty."""
+    rows = snapshots.read(spark, path, "nodes").drop("batch")
     return upsert_nodes(rows.limit(0), rows)
 
 
-def run_stream(spark: SparkSession, source_dir: str, schema: str, path: str, max_files: int = 1, normalise: Callable[[DataFrame], DataFrame] | None = None, canonical: bool = True) -> None:
-    """Loads all Parquet files of a folder as a stream, ``max_files`` per batch, until none is left."""
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(source_dir)
-    load = lambda batch, batch_id: load_batch(batch, path, batch_id, normalise, canonical)
-    stream.writeStream.foreachBatch(load).option("checkpointLocation", f"{path}/_progress").trigger(availableNow=True).start().awaitTermination()
+def run_stream(spark: SparkSession, source_dir: str, schema: str, path: str, max_files: int = 1, normalise: Callable[[DataFrame], DataFrame] | None = None, canonical: bool = True, replace: bool = False) -> list[dict]:
+    """Loads all Parquet files of a folder as a stream, ``max_files`` per batch, until none is left; what each batch did.
+
+    A load that has committed is gone on with: files it has seen are passed over, keys it has seen are dropped. With
+    ``replace``, or before any commit, a new load begins; the tables of the one before hold until its first batch is
+    whole. One that ended before its first commit is begun anew.
+    """
+    now = None if replace else snapshots.current(spark, path)
+    load = now[0] if now else snapshots.new_load()
+    before = {k: spark.conf.get(k, None) for k in STATE}
+    for k, v in STATE.items():
+        spark.conf.set(k, v)
+    try:
+        stream = first_rows(spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(source_dir), canonical)
+        write = lambda batch, batch_id: write_batch(batch, path, load, batch_id, normalise)
+        query = stream.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{path}/{load}/_progress").trigger(availableNow=True).start()
+        query.awaitTermination()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    snapshots.clean(spark, path)
+    return [p if isinstance(p, dict) else p.__dict__ for p in query.recentProgress]

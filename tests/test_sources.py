@@ -88,7 +88,7 @@ def test_stream_adds_each_key_once(spark, tmp_path):
     for i, rows in enumerate(([("gene::A", "activates", "gene::B", 1.0, 0.5)] * 2, [("gene::A", "activates", "gene::B", 0.5, 0.5), ("gene::A", "inhibits", "gene::C", 1.0, 0.5)])):
         triples(spark, rows).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     micro.run_stream(spark, str(tmp_path / "in"), TRIPLE, str(tmp_path / "out"))
-    got = spark.read.parquet(str(tmp_path / "out/edges"))
+    got = micro.read_edges(spark, str(tmp_path / "out"))
     assert sorted(map(tuple, got.select("head", "relation", "tail", "rel_type").collect())) == [("gene::A", "activates", "gene::B", "ACTIVATES"), ("gene::A", "inhibits", "gene::C", "INHIBITS")]
 
 
