@@ -103,6 +103,33 @@ def evidence_counts(edges: DataFrame, origins: DataFrame, depth: int = 3) -> Dat
     return seen.join(degree, "node").groupBy("origin").agg(F.sum("n").alias("evidence"))
 
 
+def wanted(prefixes: Sequence[str], node: str = "node") -> Column:
+    keep = F.lit(not prefixes)
+    for p in prefixes:
+        keep = keep | F.startswith(node, F.lit(p))
+    return keep
+
+
+def lift(boost: float, node: str = "node") -> Column:
+    return F.when(F.startswith(node, F.lit("pathway::")), F.lit(boost)).otherwise(F.lit(1.0))
+
+
+def walk_bounds(lean: DataFrame, max_hops: int, prefixes: Sequence[str], decay: float, boost: float) -> DataFrame:
+    """(node, b1, b2, ...): the most by which a walk that stands at a node can still be multiplied, decay and boost included,
+    to end at a wanted node after one hop, after one or two, and so on; null where none is so near.
+
+    Made backwards from the wanted ends, once for all origins; a level is one join and one aggregate over the edges.
+    """
+    ends = lean.select(F.col("next").alias("node")).distinct()
+    here = F.when(wanted(prefixes), lift(max(boost, 1.0))).otherwise(F.lit(0.0))
+    known, best = None, ends.select("node", here.alias("ahead"))
+    for k in range(1, max_hops):
+        step = lean.join(best.select(F.col("node").alias("next"), "ahead"), "next").groupBy("node").agg(F.max(F.col("s") * F.col("ahead") * decay).alias(f"b{k}")).filter(F.col(f"b{k}") > 0)
+        known = cut(step if known is None else step.join(known, "node", "left"))
+        best = ends.join(known.select("node", f"b{k}"), "node", "left").select("node", F.greatest(here, F.coalesce(f"b{k}", F.lit(0.0))).alias("ahead"))
+    return known
+
+
 def ranked_candidates(edges: DataFrame, origins: DataFrame, max_hops: int = MAX_HOPS, min_score: float = MIN_SCORE, prefixes: Sequence[str] = PREFIXES, decay: float = DECAY, boost: float = PATHWAY_BOOST) -> DataFrame:
     """(origin, node, hops, raw_signal, score, direction_sign): the best walk from each origin (column ``origin``) to each node.
 
@@ -110,27 +137,35 @@ def ranked_candidates(edges: DataFrame, origins: DataFrame, max_hops: int = MAX_
     ``signal * decay^(hops-1)``, times ``boost`` for pathways. Signals aren't negative, so the best walk of h hops
     extends the best one of h-1 hops to the node before: one row per (origin, node) and hop is enough, where the walks
     themselves grow exponentially. Ties prefer the positive direction, then fewer hops. Walks may come back to a node.
+
+    A walk ends where neither its own node nor any within the hops left can reach ``min_score``, by the bounds that
+    ``walk_bounds`` gives each node; only rows that can still come to a wanted node are shuffled for the next hop.
     """
     lean = edges.select("head", "tail", signal().alias("s"), sign().alias("d"))
     # parallel edges: only the best of a pair can be on a best walk, which also thins hubs before the joins
     lean = cut(lean.groupBy("head", "tail").agg(F.max(F.struct("s", "d")).alias("e")).select(F.col("head").alias("node"), F.col("tail").alias("next"), "e.s", "e.d"))
-    most = lean.agg(F.max("s")).first()[0] or 0.0
-    max_hops, decay, lift = max(1, max_hops), max(0.01, decay), max(boost, 1.0)
+    max_hops, decay = max(1, max_hops), max(0.01, decay)
+    bounds = [f"b{k}" for k in range(1, max_hops)]
+    if bounds:
+        ahead = walk_bounds(lean, max_hops, prefixes, decay, boost).select(F.col("node").alias("next"), *bounds)
+        lean = cut(lean.join(ahead, "next", "left"))
+    floor = F.lit(min_score * (1 - 1e-9))
     state = origins.select("origin", F.col("origin").alias("node"), F.lit(1.0).alias("signal"), F.lit(1.0).alias("direction"))
     hops = None
     for h in range(1, max_hops + 1):
-        walked = state.join(lean, "node").select("origin", F.col("next").alias("node"), (F.col("signal") * F.col("s")).alias("signal"), (F.col("direction") * F.col("d")).alias("direction"))
-        # the best score that a walk can still have here or further on; those below the floor end
-        ahead = max(most ** (k - h) * decay ** (k - 1) for k in range(h, max_hops + 1)) * lift
-        best = walked.filter(F.col("signal") * F.lit(ahead * (1 + 1e-9)) >= min_score).groupBy("origin", "node").agg(F.max(F.struct("signal", "direction")).alias("b"))
-        state = cut(best.select("origin", "node", "b.signal", "b.direction"))
-        level = state.withColumn("hops", F.lit(h))
+        left = max_hops - h
+        far = [F.coalesce(f"b{left}", F.lit(0.0)).alias("far")] if left else [F.lit(0.0).alias("far")]
+        walked = state.join(lean, "node").select("origin", F.col("next").alias("node"), (F.col("signal") * F.col("s")).alias("signal"), (F.col("direction") * F.col("d")).alias("direction"), *far)
+        decayed = F.col("signal") * F.lit(decay ** (h - 1))
+        here = F.when(wanted(prefixes), lift(max(boost, 1.0))).otherwise(F.lit(0.0))
+        kept = walked.filter(((decayed * here >= floor) & wanted(prefixes)) | ((decayed * F.col("far") >= floor) & (F.col("far") > 0)))
+        best = kept.groupBy("origin", "node").agg(F.max(F.struct("signal", "direction")).alias("b"), F.max("far").alias("far"))
+        level = cut(best.select("origin", "node", "b.signal", "b.direction", "far"))
+        state = level.filter((decayed * F.col("far") >= floor) & (F.col("far") > 0)).drop("far")
+        level = level.drop("far").withColumn("hops", F.lit(h))
         hops = level if hops is None else hops.unionByName(level)
-    keep = F.lit(not prefixes)
-    for p in prefixes:
-        keep = keep | F.startswith("node", F.lit(p))
     decayed = F.col("signal") * F.pow(F.lit(decay), F.col("hops") - 1)
-    scored = hops.filter(keep & (F.col("node") != F.col("origin"))).withColumn("score", F.when(F.startswith("node", F.lit("pathway::")), decayed * boost).otherwise(decayed)).filter(F.col("score") >= min_score)
+    scored = hops.filter(wanted(prefixes) & (F.col("node") != F.col("origin"))).withColumn("score", F.when(F.startswith("node", F.lit("pathway::")), decayed * boost).otherwise(decayed)).filter(F.col("score") >= min_score)
     top = scored.groupBy("origin", "node").agg(F.max(F.struct("score", (-F.col("hops")).alias("h"), "signal", "direction")).alias("t"))
     return top.select("origin", "node", (-F.col("t.h")).alias("hops"), F.col("t.signal").alias("raw_signal"), "t.score", F.col("t.direction").alias("direction_sign"))
 
@@ -310,25 +345,39 @@ def giant_component(edges: DataFrame) -> DataFrame:
 def shortest_paths(edges: DataFrame, max_nodes: int = 5_000) -> DataFrame:
     """(average, diameter) over directed shortest paths of the giant component; -1 and -1 unless that is strongly
     connected and of ``max_nodes`` at most."""
-    arcs = cut(simple(giant_component(edges)))
-    names = arcs.select(F.explode(F.array("head", "tail")).alias("name")).distinct()
-    n = names.count()
-    spark = edges.sparkSession
+    return path_lengths(simple(giant_component(edges)), max_nodes)
+
+
+def path_lengths(arcs: DataFrame, max_nodes: int = 5_000) -> DataFrame:
+    """``shortest_paths`` of the whole graph of ``arcs`` (head, tail).
+
+    64 origins are the bits of one number: a row (node, word, bits) says which of them have come to the node. A level
+    joins the newly set bits with the arcs and takes their OR by (tail, word), so it shuffles nodes times n / 64 rows at
+    most and no table of pairs is ever made. The average is the sum of level times new bits.
+    """
+    arcs = cut(arcs)
+    names = arcs.select(F.explode(F.array("head", "tail")).alias("node")).distinct()
+    n, spark = names.count(), arcs.sparkSession
+    none = spark.createDataFrame([(-1.0, -1)], "average double, diameter int")
     if not 1 < n <= max_nodes:
-        return spark.createDataFrame([(-1.0, -1)], "average double, diameter int")
-    reached = cut(names.select(F.col("name").alias("origin"), F.col("name").alias("node"), F.lit(0).alias("hops")))
+        return none
+    numbered = names.withColumn("nth", F.row_number().over(Window.orderBy("node")) - 1)  # max_nodes rows at most
+    reached = cut(numbered.select("node", F.expr("nth div 64").alias("word"), F.expr("shiftleft(1L, cast(nth % 64 as int))").alias("bits")))
     frontier, pairs, total, longest = reached, n, 0, 0
     while True:
-        step = frontier.join(arcs, F.col("node") == F.col("head")).select("origin", F.col("tail").alias("node"), (F.col("hops") + 1).alias("hops")).distinct()
-        frontier = cut(step.join(reached, ["origin", "node"], "left_anti"))
-        new = frontier.count()
+        step = frontier.join(arcs, F.col("node") == F.col("head")).groupBy(F.col("tail").alias("node"), "word").agg(F.bit_or("bits").alias("bits"))
+        known = reached.select("node", "word", F.col("bits").alias("known"))
+        fresh = step.join(known, ["node", "word"], "left").withColumn("bits", F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("known", F.lit(0).cast("long"))))).drop("known")
+        frontier = cut(fresh.filter("bits <> 0"))
+        new = frontier.agg(F.coalesce(F.sum(F.bit_count("bits")), F.lit(0))).first()[0]
         if not new:
             break
         longest += 1
         pairs, total = pairs + new, total + new * longest
-        reached = reached.unionByName(frontier)
-    whole = pairs == n * n
-    return spark.createDataFrame([(total / (n * (n - 1)) if whole else -1.0, longest if whole else -1)], "average double, diameter int")
+        reached = cut(reached.unionByName(frontier).groupBy("node", "word").agg(F.bit_or("bits").alias("bits")))
+    if pairs != n * n:
+        return none
+    return spark.createDataFrame([(total / (n * (n - 1)), longest)], "average double, diameter int")
 
 
 def isolated(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -635,6 +635,19 @@ def p24_questions(spark, sf):
     return asked.select("conv_id", "turn", "q.cell", "q.perturbation", F.size("t").alias("tokens"))
 
 
+@query("WITH RECURSIVE n AS (SELECT count(*) AS n FROM supplier), s AS (SELECT CAST(row_number() OVER (ORDER BY s_suppkey) - 1 AS BIGINT) AS i FROM supplier),"
+       " arc AS (SELECT DISTINCT i AS a, (2 * i + k) % n AS b FROM s, n, (SELECT unnest([0, 1]) AS k) WHERE i <> (2 * i + k) % n),"
+       " walk(o, v, d) AS (SELECT i, i, 0 FROM s UNION SELECT o, b, d + 1 FROM walk JOIN arc ON a = v WHERE d < 14), best AS (SELECT o, v, min(d) AS d FROM walk GROUP BY o, v)"
+       " SELECT round(sum(d) / CAST(count(*) FILTER (o <> v) AS DOUBLE), 6) AS average, CAST(max(d) AS INTEGER) AS diameter FROM best")
+def g12_path_lengths(spark, sf):
+    """Suppliers in order of their keys, each linked to those at twice its place and one on: a strongly connected graph full of cycles."""
+    keys = table(spark, sf, "supplier").select("s_suppkey")
+    n = keys.count()
+    places = keys.withColumn("i", F.row_number().over(Window.orderBy("s_suppkey")) - 1)
+    arcs = places.select(F.col("i").cast("string").alias("head"), F.explode(F.array(*((2 * F.col("i") + k) % n for k in (0, 1)))).cast("string").alias("tail"))
+    return rounded(graph.shortest_paths(arcs), "average")
+
+
 # --- predictions for tables of pairs
 
 def prediction_edges(spark: SparkSession, sf: str) -> DataFrame:

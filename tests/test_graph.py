@@ -60,6 +60,42 @@ def test_shortest_paths(spark):
     assert tuple(graph.shortest_paths(arcs(spark, pairs[1:])).first()) == (-1.0, -1)
 
 
+def test_path_lengths_of_many_words(spark):
+    """150 origins are three words of bits; a ring with chords, by search from each node."""
+    n = 150
+    near = {i: {(i + 1) % n, i * 7 % n} - {i} for i in range(n)}
+    total, longest = 0, 0
+    for start in range(n):
+        far, todo = {start: 0}, [start]
+        for v in todo:
+            for w in near[v] - far.keys():
+                far[w] = far[v] + 1
+                todo.append(w)
+        total, longest = total + sum(far.values()), max(longest, *far.values())
+    got = graph.path_lengths(arcs(spark, [(str(i), str(j)) for i in near for j in near[i]])).first()
+    assert abs(got["average"] - total / (n * (n - 1))) < 1e-9 and got["diameter"] == longest
+    assert graph.path_lengths(arcs(spark, [("a", "b")]), 1).first()["diameter"] == -1
+
+
+def test_walks(spark):
+    """The best walks by enumeration of all of them, with bounds that prune and prefixes that few nodes have."""
+    rng = random.Random(12)
+    names = [f"gene::{i}" for i in range(5)] + ["pathway::a", "protein::p", "x::1", "x::2"]
+    rows = [(rng.choice(names), rng.choice(names), round(rng.random(), 2), rng.choice([1.0, -1.0])) for _ in range(40)]
+    e = spark.createDataFrame(rows, "head string, tail string, weight double, effect_sign double").withColumn("confidence", F.lit(1.0))
+    origins = spark.createDataFrame([(n,) for n in [*names[:3], "x::1", "nowhere"]], "origin string")
+    for hops, floor, prefixes in ((3, 0.01, graph.PREFIXES), (3, 0.3, ("pathway::",)), (2, 0.05, ()), (1, 0.0, ("gene::",)), (4, 0.2, ("gene::", "x::"))):
+        want, level = {}, [(o, o, 1.0, 1.0) for o in [*names[:3], "x::1"]]
+        for h in range(1, hops + 1):
+            level = [(o, t, s * (w or 1.0), d * g) for o, v, s, d in level for a, t, w, g in rows if a == v]
+            for o, v, s, d in level:
+                score = s * 0.78 ** (h - 1) * (1.12 if v.startswith("pathway::") else 1.0)
+                if v != o and score >= floor and (not prefixes or v.startswith(prefixes)):
+                    want[o, v] = max(want.get((o, v), (0.0,)), (round(score, 9), -h, d))
+        got = {(r["origin"], r["node"]): (round(r["score"], 9), -r["hops"], r["direction_sign"]) for r in graph.ranked_candidates(e, origins, hops, floor, prefixes).collect()}
+        assert got == want
+
+
 def test_three_hop_paths(spark):
     rng = random.Random(4)
     name = lambda: rng.choice(["gene::", "protein::", "protein::"]) + rng.choice("abcd")
