@@ -94,6 +94,42 @@ def top_per_sample(long: DataFrame, k: int, threshold: float | None = None, by:
     return out
 
 
+def top_of_sparse(stored: DataFrame, entities: DataFrame, samples: DataFrame, k: int, threshold: float | None = None, strict: bool = False) -> DataFrame:
+    """What ``top_per_sample`` gives for the dense table: (entity, sample, value, place), of which cells that are not stored
+    are 0. ``entities`` and ``samples`` have column label, each once.
+
+    Entities are numbered in their order. Of each sample the numbers of its stored values other than 0 leave gaps, and
+    the zeros in them come in the entities' order: the first k zeros are cut out of the gaps from the left, k numbers a
+    sample at most. Places follow: values above 0, then zeros, then those below, then NaN and null. So as many rows as
+    are stored, and k a sample, are all there is.
+    """
+    if k <= 0:
+        raise ValueError("all values of a dense table are as many as its cells: k must be above 0")
+    numbered = graph.in_order(entities.select(F.col("label").alias("entity")), "entity")
+    n = numbered.count()
+    value = F.nanvl("value", F.lit(None).cast("double"))
+    own = stored.select("entity", "sample", "value").filter(F.col("value").isNull() | (F.col("value") != 0)).join(numbered, "entity")
+    by = Window.partitionBy("sample")
+    ranked = own.withColumn("place", F.row_number().over(by.orderBy(value.desc_nulls_last(), "entity")))
+    ranked = ranked.withColumns({"above": F.sum((value > 0).cast("int")).over(by), "all": F.count("*").over(by), "before": F.lag("i", 1, 0).over(by.orderBy("i")), "nth": F.row_number().over(by.orderBy("i"))})
+    zeros = F.lit(n) - F.col("all")
+    place = F.col("place") + F.when(value > 0, F.lit(0)).otherwise(zeros)
+    held = ranked.filter(place <= k).select("entity", "sample", "value", place.cast("int").alias("place"))
+    # gaps before each stored value and after the last one; of a gap the zeros before it are its number less the stored ones
+    gaps = ranked.select("sample", "above", (F.col("before") + 1).alias("a"), (F.col("i") - 1).alias("b"), (F.col("before") - F.col("nth") + 1).alias("passed"))
+    last = ranked.groupBy("sample").agg(F.max("i").alias("i"), F.max("all").alias("all"), F.max("above").alias("above"))
+    ends = samples.select(F.col("label").alias("sample")).join(last, "sample", "left").na.fill(0, ["i", "all", "above"])
+    gaps = gaps.unionByName(ends.select("sample", F.coalesce("above", F.lit(0)).alias("above"), (F.col("i") + 1).alias("a"), F.lit(n).alias("b"), (F.col("i") - F.col("all")).alias("passed")))
+    room = F.lit(k) - F.coalesce("above", F.lit(0)) - F.col("passed")
+    some = gaps.withColumn("b", F.least("b", F.col("a") + room - 1)).filter(F.col("b") >= F.col("a"))
+    filled = some.select("sample", F.coalesce("above", F.lit(0)).alias("above"), "passed", F.posexplode(F.sequence("a", "b")).alias("at", "i"))
+    filled = filled.join(numbered, "i").select("entity", "sample", F.lit(0.0).alias("value"), (F.col("above") + F.col("passed") + F.col("at") + 1).cast("int").alias("place"))
+    out = held.unionByName(filled)
+    if threshold is not None:
+        out = out.filter(F.col("value") > threshold if strict else ~(F.col("value") < threshold))
+    return out
+
+
 def omics_triples(long: DataFrame, spec: DataFrame, metadata: DataFrame | None = None, targets: DataFrame | None = None, strict_nan: bool = False) -> DataFrame:
     """Triples of a long omics table (name, entity, sample, value) by its specs: value edges, sample -> cell line and condition, targets.
 

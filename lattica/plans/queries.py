@@ -644,7 +644,8 @@ def g12_path_lengths(spark, sf):
     keys = table(spark, sf, "supplier").select("s_suppkey")
     n = keys.count()
     places = keys.withColumn("i", F.row_number().over(Window.orderBy("s_suppkey")) - 1)
-    arcs = places.select(F.col("i").cast("string").alias("head"), F.explode(F.array(*((2 * F.col("i") + k) % n for k in (0, 1)))).cast("string").alias("tail"))
+    ends = F.array(*(((2 * F.col("i") + k) % n).cast("string") for k in (0, 1)))
+    arcs = places.select(F.col("i").cast("string").alias("head"), F.explode(ends).alias("tail"))
     return rounded(graph.shortest_paths(arcs), "average")
 
 

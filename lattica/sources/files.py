@@ -99,18 +99,22 @@ def sample_ids(spark: SparkSession, path: str, sep: str = ",") -> list[str]:
 
 def labels(spark: SparkSession, path: str) -> DataFrame:
     """(i, label): the first column of each line, numbered from 1."""
-    own = numbered(read_lines(spark, path).filter(F.trim("value") != ""))
-    return own.select((F.row_number().over(Window.orderBy("n"))).alias("i"), F.trim(F.split("value", r"[\t,]")[0]).alias("label"))
+    from ..operators.graph import in_order
 
+    own = read_lines(spark, path).filter(F.trim("value") != "").select(F.trim(F.split("value", r"[\t,]")[0]).alias("label"))
+    return in_order(own).select(F.col("i").cast("int").alias("i"), "label")
 
-def matrix_market(spark: SparkSession, path: str, rows_path: str | None = None, columns_path: str | None = None, dense: bool = True) -> DataFrame:
-    """A .mtx file; ``dense`` gives absent cells as 0. Labels default to gene_0.., cell_0..; their number must fit."""
+
+def market_cells(spark: SparkSession, path: str, rows_path: str | None = None, columns_path: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The stored cells (entity, sample, value) of a .mtx file, all entities and all samples (i, label).
+
+    Labels default to gene_0.., cell_0..; their number must fit.
+    """
     text = numbered(read_lines(spark, path)).filter(~F.startswith("value", F.lit("%")) & (F.trim("value") != ""))
     cells = text.select("n", F.split(F.trim("value"), r"\s+").alias("f"))
-    size = cells.orderBy("n").first()["f"]
-    n_rows, n_columns = int(size[0]), int(size[1])
-    first = cells.agg(F.min("n")).first()[0]
-    values = cells.filter(F.col("n") > first).select(F.col("f")[0].cast("int").alias("r"), F.col("f")[1].cast("int").alias("c"), F.coalesce(F.get("f", F.lit(2)).try_cast("double"), F.lit(1.0)).alias("value"))
+    head = cells.orderBy("n").first()
+    n_rows, n_columns = int(head["f"][0]), int(head["f"][1])
+    values = cells.filter(F.col("n") > head["n"]).select(F.col("f")[0].cast("int").alias("r"), F.col("f")[1].cast("int").alias("c"), F.coalesce(F.get("f", F.lit(2)).try_cast("double"), F.lit(1.0)).alias("value"))
 
     def named(p: str | None, n: int, prefix: str) -> DataFrame:
         if p is None:
@@ -121,10 +125,18 @@ def matrix_market(spark: SparkSession, path: str, rows_path: str | None = None,
         return own
 
     rows, columns = named(rows_path, n_rows, "gene_"), named(columns_path, n_columns, "cell_")
-    if dense:  # a dense result has this many rows by definition
-        grid = rows.select(F.col("i").alias("r"), F.col("label").alias("entity")).crossJoin(columns.select(F.col("i").alias("c"), F.col("label").alias("sample")))
-        return grid.join(values, ["r", "c"], "left").select("entity", "sample", F.coalesce("value", F.lit(0.0)).alias("value"))
-    return values.join(rows.select(F.col("i").alias("r"), F.col("label").alias("entity")), "r").join(columns.select(F.col("i").alias("c"), F.col("label").alias("sample")), "c").select("entity", "sample", "value")
+    stored = values.join(rows.select(F.col("i").alias("r"), F.col("label").alias("entity")), "r").join(columns.select(F.col("i").alias("c"), F.col("label").alias("sample")), "c")
+    return stored.select("entity", "sample", "value"), rows, columns
+
+
+def matrix_market(spark: SparkSession, path: str, rows_path: str | None = None, columns_path: str | None = None, dense: bool = True) -> DataFrame:
+    """A .mtx file; ``dense`` gives absent cells as 0, and so as many rows as the matrix has cells. For the largest values
+    of each sample ``build.top_of_sparse`` needs no such table."""
+    stored, rows, columns = market_cells(spark, path, rows_path, columns_path)
+    if not dense:
+        return stored
+    grid = rows.select(F.col("label").alias("entity")).crossJoin(columns.select(F.col("label").alias("sample")))
+    return grid.join(stored, ["entity", "sample"], "left").select("entity", "sample", F.coalesce("value", F.lit(0.0)).alias("value"))
 
 
 def perturbations(spark: SparkSession, path: str, cells: DataFrame | None = None) -> DataFrame:
@@ -308,15 +320,36 @@ def datasets(entries: DataFrame) -> DataFrame:
     return entries.groupBy("source", "version").agg(F.count("*").alias("files"), F.sort_array(F.collect_set("category")).alias("categories"))
 
 
-def omics_chunks(long: DataFrame, spec: DataFrame, chunk_rows: int = 0, **options) -> Iterator[DataFrame]:
+#: Folders that a data set's samples are dealt to; a chunk is a run of them.
+SLOTS = 64
+
+
+def omics_chunks(long: DataFrame, spec: DataFrame, chunk_rows: int = 0, slots: int = SLOTS, **options) -> Iterator[DataFrame]:
     """Omics triples spec by spec, in parts of about ``chunk_rows`` matrix cells (0: a spec at a time).
 
-    A part holds whole samples, so that each sample's top genes are chosen from all of its cells.
+    A part holds whole samples, so that each sample's top genes are chosen from all of its cells. The input is read once:
+    it is written by data set and slot, a hash of the sample, and a part reads the folders of its slots alone. A slot is
+    never cut, so a part has the cells of one slot at least.
     """
     from ..operators.build import omics_triples
-
-    for name in sorted(r["name"] for r in spec.select("name").distinct().collect()):  # a row a data set
-        own, mine = long.filter(F.col("name") == name), spec.filter(F.col("name") == name)
-        parts = max(1, -(-own.count() // chunk_rows)) if chunk_rows > 0 else 1
-        for k in range(parts):
-            yield omics_triples(own if parts == 1 else own.filter(F.pmod(F.xxhash64("sample"), F.lit(parts)) == k), mine, **options)
+    from ..operators.graph import scratch
+
+    spark = long.sparkSession
+    path = scratch(spark, "chunks")
+    known = long.join(F.broadcast(spec.select("name").distinct()), "name", "left_semi")  # a row a data set
+    dealt = known.withColumn("slot", F.pmod(F.xxhash64("sample"), F.lit(slots)).cast("int"))
+    dealt.repartition("name", "slot").write.partitionBy("name", "slot").parquet(path)
+    written = spark.read.schema(dealt.schema).parquet(path)
+    cells = {(r["name"], r["slot"]): r["n"] for r in written.groupBy("name", "slot").agg(F.count("*").alias("n")).collect()}  # a row a folder
+    for name in sorted({n for n, _ in cells}):
+        parts: list[list[int]] = [[]]
+        size = 0
+        for slot in sorted(s for n, s in cells if n == name):
+            if parts[-1] and chunk_rows > 0 and size + cells[name, slot] > chunk_rows:
+                parts.append([])
+                size = 0
+            parts[-1].append(slot)
+            size += cells[name, slot]
+        for part in parts:
+            own = written.filter((F.col("name") == name) & F.col("slot").between(part[0], part[-1])).drop("slot")
+            yield omics_triples(own, spec.filter(F.col("name") == name), **options)
