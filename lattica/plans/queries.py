@@ -649,6 +649,29 @@ def g12_path_lengths(spark, sf):
     return rounded(graph.shortest_paths(arcs), "average")
 
 
+# the dense table: every gene of every sample, 0 where it bought none
+@query(f"WITH {BOUGHT}, g AS (SELECT DISTINCT entity FROM bought), s AS (SELECT DISTINCT sample FROM bought), d AS (SELECT entity, sample, coalesce(value, 0.0::DOUBLE) AS value FROM g CROSS JOIN s LEFT JOIN bought USING (entity, sample))"
+       " SELECT sample, entity, round(value, 6) AS value, CAST(row_number() OVER (PARTITION BY sample ORDER BY value DESC, entity) AS INTEGER) AS place FROM d QUALIFY place <= 60")
+def w02_sparse_top(spark, sf):
+    """The 60 first genes of each sample out of its stored cells, zeros filled in where it has fewer."""
+    stored = graph.cut(bought(spark, sf))
+    label = lambda c: stored.select(F.col(c).alias("label")).distinct()
+    return rounded(build.top_of_sparse(stored, label("entity"), label("sample"), 60).select("sample", "entity", "value", "place"), "value")
+
+
+@query(f"WITH {BOUGHT}, top AS (SELECT * FROM bought QUALIFY row_number() OVER (PARTITION BY sample ORDER BY value DESC, entity) <= 30)"
+       " SELECT 'sample::' || sample AS head, 'expresses' AS relation, 'gene::' || upper(entity) AS tail, round(least(1.0::DOUBLE, value), 6) AS weight FROM top WHERE value >= 0.1"
+       " UNION ALL SELECT 'sample::' || sample, 'has_cnv', 'gene::' || upper(entity), round(least(1.0::DOUBLE, value), 6) FROM bought WHERE value >= 0.5")
+def m01_omics_chunks(spark, sf):
+    """Two modalities in chunks of about 5,000 cells, the input written once and each chunk read from its own folders."""
+    spec = spark.createDataFrame([("orders", "expression", "orders", "v1", 30, 0.1, 0.7), ("copies", "cnv", "orders", "v1", 0, 0.5, 0.7)], "name string, modality string, source string, version string, top_k int, min_value double, confidence double")
+    long = bought(spark, sf).select(F.explode(F.array(F.lit("orders"), F.lit("copies"))).alias("name"), "entity", "sample", "value")
+    out = None
+    for part in files.omics_chunks(long, spec, 5_000):
+        out = part if out is None else out.unionByName(part)
+    return rounded(out.select("head", "relation", "tail", "weight"), "weight")
+
+
 # --- predictions for tables of pairs
 
 def prediction_edges(spark: SparkSession, sf: str) -> DataFrame:
