@@ -33,15 +33,21 @@ def gene_dictionary(triples: DataFrame, seeds: DataFrame, from_ids: bool = True)
 
 
 def canonicalise(triples: DataFrame, symbols: DataFrame | None) -> DataFrame:
-    """Ends and relation in canonical form; raw_relation keeps the original. One join per end with the symbols."""
+    """Ends and relation in canonical form; raw_relation keeps the original.
+
+    The rules of ends are many patterns, and an end stands in many triples: they are evaluated once for each distinct id,
+    which meets the symbols there, and the forms are joined back. An id has one form, so a hub's triples can be split.
+    """
+    ids = triples.select(F.explode(F.array("head", "tail")).alias("_id")).filter(F.col("_id").isNotNull()).distinct()
+    known = None
+    if symbols is not None:
+        marks = symbols.select(F.col("symbol").alias("_s"), F.lit(True).alias("_known"))
+        ids = ids.withColumn("_u", rules.entity_symbol(F.col("_id"))).join(marks, F.col("_u") == F.col("_s"), "left")
+        known = F.col("_known")
+    forms = ids.select("_id", rules.canonical_entity(F.col("_id"), known).alias("_form"))
     out = triples
     for end in ("head", "tail"):
-        known = None
-        if symbols is not None:
-            marks = symbols.select(F.col("symbol").alias("_s"), F.lit(True).alias("_known"))
-            out = out.withColumn("_u", rules.entity_symbol(F.col(end))).join(marks, F.col("_u") == F.col("_s"), "left")
-            known = F.col("_known")
-        out = out.withColumn(end, rules.canonical_entity(F.col(end), known)).drop("_u", "_s", "_known")
+        out = out.join(forms, F.col(end) == F.col("_id"), "left").withColumn(end, F.coalesce("_form", F.lit(""))).drop("_id", "_form")
     return out.withColumn("raw_relation", F.col("relation")).withColumn("relation", rules.canonical_relation(F.col("relation")))
 
 
