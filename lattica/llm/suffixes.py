@@ -20,8 +20,6 @@ BLOCK = 8
 ARRAY_BYTES = 1 << 20
 #: A group of one anchor with more contexts than this is resolved by hashes of its windows, spread over all tasks.
 MAX_CONTEXTS = 2_000
-#: Tables of contexts or ranges by text are broadcast up to so many entries and rows (about 60 MB); beyond it texts are shuffled.
-MAX_BROADCAST_ENTRIES = 1_500_000
 
 
 def suffix_array(symbols: list[int]) -> list[int]:
@@ -259,12 +257,6 @@ def repeated_windows(family: np.ndarray, texts: list[bytes], offsets: np.ndarray
     return c[hit], s[hit]
 
 
-def _few(df: DataFrame, column: str) -> DataFrame:
-    """``df``, to be broadcast if its arrays hold few entries and it has few rows."""
-    n = df.agg(F.sum(F.size(column) + 1)).first()[0] or 0
-    return F.broadcast(df) if n <= MAX_BROADCAST_ENTRIES else df
-
-
 def _spans(starts: list[int], length: int) -> list[tuple[int, int]]:
     return merge([(s, s + length) for s in starts])
 
@@ -331,7 +323,7 @@ def repeated_spans(docs: DataFrame, length: int = 200, k: int = ANCHOR, max_cont
     # contexts whose bytes must be seen: the single ones, and one of each repeated one to compare them with
     wanted = counts.select("a", "c", F.col("one.t").alias("t"), F.col("one.s").alias("s"), F.col("one.shape").alias("shape"), (F.col("n_c") == 1).alias("open"))
     by_text = materialise(wanted.groupBy("t").agg(F.collect_list(F.struct("a", "c", "s", "shape", "open")).alias("wanted")), "wanted")
-    open_texts = texts.join(_few(by_text, "wanted"), "t")
+    open_texts = texts.join(by_text, "t")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -411,14 +403,16 @@ def repeated_spans(docs: DataFrame, length: int = 200, k: int = ANCHOR, max_cont
 def remove_repeats(docs: DataFrame, length: int = 200, text_col: str = "text", id_col: str = "doc_id", with_text: bool = False, **options) -> DataFrame:
     """One row per input row: id, n_bytes, n_removed, n_spans, kept_sha256, and kept (binary) if ``with_text``.
 
-    Each byte covered by a ``length``-byte string that also starts elsewhere goes. Null text counts as empty. Copies of
+    Each byte covered by a ``length``-byte string that also starts elsewhere goes. Texts meet what was found in them by
+    their MD5; nothing is broadcast, so memory and shuffle grow alike at every size, and a text of many copies is one row
+    on the other side of a join whose hot partitions can be split. Null text counts as empty. Copies of
     a text of at least ``length`` bytes lose it wholly. Repeated rows count as different places; extra columns are
     ignored; an empty table gives an empty result.
     """
     spans = materialise(repeated_spans(docs, length, text_col=text_col, **options), "spans")
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text")).withColumn("t", F.unhex(F.md5("text")))
-    joined = rows.join(_few(spans, "ends"), "t", "left").select("id", "text", "ends")
+    joined = rows.join(spans, "t", "left").select("id", "text", "ends")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
