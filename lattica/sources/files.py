@@ -2,48 +2,25 @@
 
 from __future__ import annotations
 
-import io
 import json
 import re
-import tarfile
-import zipfile
 from collections.abc import Iterator
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.rules import clamp01, node_type, normalize_entity, number
 from ..schemas import OMICS_SPEC, TRIPLE_CSV
+from . import archives
 
 
 # --- text
 
-def _zip_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        for content in batch["content"]:
-            with zipfile.ZipFile(io.BytesIO(content)) as z:
-                names = sorted(n for n in z.namelist() if not n.endswith("/"))
-                human = [n for n in names if "homo_sapiens" in n.lower() or "9606" in n]
-                text = [n for n in names if n.lower().endswith((".txt", ".tsv", ".csv", ".tab"))]
-                pick = next((n for n in human if n in text), None) or (human or text or names or [None])[0]
-                if pick is None:
-                    continue
-                with z.open(pick) as f:
-                    held: list[str] = []
-                    for line in io.TextIOWrapper(f, "utf-8", "ignore"):
-                        held.append(line.rstrip("\r\n"))
-                        if len(held) == 20_000:
-                            yield pd.DataFrame({"value": held})
-                            held = []
-                    yield pd.DataFrame({"value": held})
-
-
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """(value): lines of a plain, .gz or .zip text; of a zip the human member first, then a text member, then any."""
     if path.lower().endswith(".zip"):
-        return spark.read.format("binaryFile").load(path).select("content").mapInPandas(_zip_lines, "value string")
+        return archives.read(spark, path).select("value")
     return spark.read.text(path).select(F.regexp_replace("value", "\r$", "").alias("value"))
 
 
@@ -60,24 +37,8 @@ def geo_series_matrix(spark: SparkSession, path: str) -> DataFrame:
 
 
 def tar_lines(spark: SparkSession, path: str, name: str) -> DataFrame:
-    """(value): lines of the members of .tar or .tar.gz archives with that base name, streamed out of the archive by a task."""
-
-    def lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for content in batch["content"]:
-                with tarfile.open(fileobj=io.BytesIO(content), mode="r:*") as t:
-                    for m in t:
-                        if not m.isfile() or m.name.rsplit("/", 1)[-1] != name:
-                            continue
-                        held: list[str] = []
-                        for line in io.TextIOWrapper(t.extractfile(m), "utf-8", "ignore"):
-                            held.append(line.rstrip("\r\n"))
-                            if len(held) == 20_000:
-                                yield pd.DataFrame({"value": held})
-                                held = []
-                        yield pd.DataFrame({"value": pd.Series(held, dtype="object")})
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(lines, "value string")
+    """(value): lines of the members of .tar or .tar.gz archives with that base name."""
+    return archives.read(spark, path, name).select("value")
 
 
 def sha256(spark: SparkSession, path: str) -> DataFrame:
