@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+import io
+import itertools
+import tarfile
+import zipfile
+
+import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..functions import text as tx
 from ..operators import build, graph, retrieval
-from ..sources import files, parsers, sinks, snapshots
+from ..sources import archives, files, parsers, sinks, snapshots
 from ..streaming import micro
 from .queries import BOUGHT, bought, query, rounded
 from .views import EDGES_SQL, SEEDS_SQL, edges, seeds, table
@@ -36,6 +43,37 @@ def csv(df: DataFrame) -> str:
     return path
 
 
+def archived(df: DataFrame, kind: str) -> str:
+    """Writes an archive a task of (member, value), a member of a tar for each row, of a zip for each run of rows of a name;
+    gives the folder. A task that runs again writes the same name anew."""
+    path = graph.scratch(df.sparkSession, "archives")
+
+    def write(batches):
+        where, inner = archives.located(path)
+        where.create_dir(inner)
+        part = TaskContext.get().partitionId()
+        target = f"{inner}/_{part}-{TaskContext.get().taskAttemptId()}"
+        rows = (row for batch in batches for row in zip(batch["member"], batch["value"]))
+        with where.open_output_stream(target) as f:
+            if kind == "tar":
+                with tarfile.open(fileobj=f, mode="w|") as t:
+                    for name, value in rows:
+                        info, content = tarfile.TarInfo(name), value.encode()
+                        info.size = len(content)
+                        t.addfile(info, io.BytesIO(content))
+            else:
+                with zipfile.ZipFile(f, "w", zipfile.ZIP_DEFLATED) as z:
+                    for name, run in itertools.groupby(rows, lambda r: r[0]):
+                        with z.open(name, "w", force_zip64=True) as m:
+                            for _, value in run:
+                                m.write(value.encode() + b"\n")
+        where.move(target, f"{inner}/{part}.{kind}")
+        yield pd.DataFrame({"part": [part]})
+
+    df.mapInPandas(write, "part int").write.format("noop").mode("overwrite").save()
+    return path
+
+
 def on(prefix: str, c: str, *, but: int = 0) -> Column:
     """prefix and number; every ``but``-th is empty."""
     made = F.concat(F.lit(prefix), F.col(c).cast("string"))
@@ -67,6 +105,34 @@ def s02_reactome_pathways(spark, sf):
     return triples(parsers.reactome_pathways(spark, text(table(spark, sf, "part"), on("R-HSA-", "p_partkey"), F.col("p_type"), species)))
 
 
+ONE_LINE = r"regexp_replace(coalesce(text, ''), '[\r\n]+', ' ', 'g')"
+
+
+def one_line() -> Column:
+    return F.regexp_replace(F.coalesce("text", F.lit("")), r"[\r\n]+", " ")
+
+
+def line_facts(fields: Column) -> list[Column]:
+    return [fields[0].cast("long").alias("doc_id"), F.length(fields[1]).cast("long").alias("chars"), F.md5(fields[1]).alias("digest")]
+
+
+@query(f"SELECT doc_id, length(t) AS chars, md5(t) AS digest FROM (SELECT doc_id, {ONE_LINE} AS t FROM documents)")
+def s17_zip_lines(spark, sf):
+    """Texts are the human member of their zip; what stands beside them is not read."""
+    docs = table(spark, sf, "documents").select(F.explode(F.array(F.lit("a.txt"), F.lit("homo_sapiens/b.tsv"))).alias("member"), F.concat_ws("\t", F.col("doc_id").cast("string"), one_line()).alias("value"))
+    path = archived(docs.sortWithinPartitions("member"), "zip")
+    return archives.read(spark, path).select(*line_facts(F.split("value", "\t", 2)))
+
+
+@query(f"SELECT doc_id, lang, length(t) AS chars, md5(t) AS digest FROM (SELECT doc_id, coalesce(lang, '') AS lang, {ONE_LINE} AS t FROM documents)")
+def s36_tar_members(spark, sf):
+    """A member a text, its language in its path."""
+    docs = table(spark, sf, "documents").select(F.concat(F.coalesce("lang", F.lit("")), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("member"), F.concat(F.col("doc_id").cast("string"), F.lit("\t"), one_line(), F.lit("\n")).alias("value"))
+    got = archives.read(spark, archived(docs, "tar"), stretch=32 << 20)
+    fields = F.split("value", "\t", 2)
+    return got.select(F.substring_index("member", "/", 1).alias("lang"), *line_facts(fields))
+
+
 @query("WITH h AS (SELECT *, 'Step ' || (l_partkey % 10) AS n FROM lineitem WHERE l_linenumber <> 2 AND l_suppkey % 5 <> 0)"
        " SELECT 'protein::P' || l_suppkey AS head, 'participates_in_pathway' AS relation, 'pathway::R-' || l_partkey AS tail, 0.74::DOUBLE AS weight, 0.82::DOUBLE AS confidence FROM h"
        " UNION ALL SELECT 'pathway::R-' || l_partkey, 'pathway_name', 'term::' || replace(n, ' ', '_'), 0.45, 0.7 FROM h WHERE l_partkey % 4 <> 0")

@@ -1,9 +1,9 @@
-"""Lines of the members of .zip and .tar archives, as a data source with a partition for each member.
+"""Lines of the members of .zip and .tar archives, as a data source whose partitions are members.
 
 Only directories are read to plan: a zip's central directory, a tar's headers. Members that lie uncompressed in their
-archive are cut into stretches of ``stretch`` bytes, so one large member takes many tasks. A compressed member is one
-partition and a compressed tar one for all it holds, both streamed: memory is bounded by blocks and the longest line, and
-archives may be of any size.
+archive are cut into stretches of ``stretch`` bytes, so one large member takes many tasks; small members are read together,
+up to as many bytes a task. A compressed member goes to one task and a compressed tar with all it holds, both streamed:
+memory is bounded by blocks and the longest line, and archives may be of any size.
 """
 
 from __future__ import annotations
@@ -14,8 +14,9 @@ import tarfile
 import zipfile
 from collections.abc import Iterable, Iterator
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import ExitStack
 from dataclasses import dataclass
-from itertools import islice
+from itertools import groupby, islice
 
 import pyarrow as pa
 from pyarrow import fs
@@ -28,20 +29,29 @@ BATCH_LINES = 20_000
 NAME = "archive_lines"
 
 
-@dataclass
-class Part(InputPartition):
-    """What a task reads: the lines that begin in [start, stop) of a member whose bytes are [begin, end) of the archive, or,
-    without a stretch, a whole member (all members of the wanted name in a compressed tar)."""
+@dataclass(frozen=True)
+class Part:
+    """The lines that begin in [start, stop) of a member whose bytes are [begin, end) of the archive, or, without a stretch,
+    a whole member (all members of the wanted name in a compressed tar)."""
 
     archive: str
     member: str | None
+    size: int
     begin: int = 0
     end: int = 0
     start: int | None = None
-    stop: int = 0
+
+    @property
+    def stop(self) -> int:
+        return self.start + self.size
+
+
+@dataclass
+class Task(InputPartition):
+    parts: list[Part]
 
 
-def _at(path: str) -> tuple[fs.FileSystem, str]:
+def located(path: str) -> tuple[fs.FileSystem, str]:
     if path.startswith("file:"):
         path = "/" + path.removeprefix("file:").lstrip("/")
     if "://" in path:
@@ -79,13 +89,13 @@ class _File(io.RawIOBase):
 
 
 def _open(path: str) -> io.BufferedReader:
-    where, inner = _at(path)
+    where, inner = located(path)
     return io.BufferedReader(_File(where.open_input_file(inner)))
 
 
 def _found(path: str) -> list[str]:
     """The archives a path means: a file, a folder's files, or a pattern in its last part."""
-    where, inner = _at(path)
+    where, inner = located(path)
     head, _, last = inner.rpartition("/")
     prefix = path[: len(path) - len(inner)] if path.endswith(inner) else ""
     if any(c in last for c in "*?["):
@@ -108,7 +118,7 @@ def _preferred(names: Iterable[str]) -> str | None:
 
 def _stretches(archive: str, member: str, begin: int, size: int, stretch: int) -> list[Part]:
     end = begin + size
-    return [Part(archive, member, begin, end, at, min(at + stretch, end)) for at in range(begin, end, stretch)]
+    return [Part(archive, member, min(stretch, end - at), begin, end, at) for at in range(begin, end, stretch)]
 
 
 def _zip_parts(archive: str, name: str | None, stretch: int) -> list[Part]:
@@ -122,19 +132,21 @@ def _zip_parts(archive: str, name: str | None, stretch: int) -> list[Part]:
                 begin = i.header_offset + 30 + int.from_bytes(lengths[:2], "little") + int.from_bytes(lengths[2:], "little")
                 out += _stretches(archive, i.filename, begin, i.file_size, stretch)
             else:
-                out.append(Part(archive, i.filename))
+                out.append(Part(archive, i.filename, i.compress_size))
         return out
 
 
 def _tar_parts(archive: str, name: str | None, stretch: int) -> list[Part]:
     with _open(archive) as f:
+        whole = [Part(archive, name, f.seek(0, io.SEEK_END))]
+        f.seek(0)
         try:
             t = tarfile.open(fileobj=f, mode="r:")
         except tarfile.ReadError:  # compressed, or no archive, which the task that reads it will say
-            return [Part(archive, name)]
+            return whole
         wanted = [m for m in t if m.isfile() and (not name or m.name.rsplit("/", 1)[-1] == name)]
         if any(m.issparse() for m in wanted):
-            return [Part(archive, name)]
+            return whole
         return [p for m in wanted for p in _stretches(archive, m.name, m.offset_data, m.size, stretch)]
 
 
@@ -182,36 +194,51 @@ def _stretch_lines(f, part: Part) -> Iterator[bytes]:
         yield line
 
 
-def _read(part: Part) -> Iterator[tuple[str, Iterator[str]]]:
-    """(member, lines)"""
-    with _open(part.archive) as f:
-        if part.start is not None:
-            yield part.member, _texts(_stretch_lines(f, part))
-        elif part.archive.lower().endswith(".zip"):
-            with zipfile.ZipFile(f) as z, z.open(part.member) as m:
-                yield part.member, _texts(line for _, line in _lines(_blocks(m)))
-        else:
-            with tarfile.open(fileobj=f, mode="r|*") as t:
-                for m in t:
-                    if m.isfile() and (not part.member or m.name.rsplit("/", 1)[-1] == part.member):
-                        yield m.name, _texts(line for _, line in _lines(_blocks(t.extractfile(m))))
+def _packed(parts: Iterable[Part], size: int) -> list[Task]:
+    """Neighbours together, while they have no more bytes than ``size``."""
+    out, held = [], 0
+    for part in parts:
+        if not out or held + part.size > size:
+            out.append(Task([]))
+            held = 0
+        out[-1].parts.append(part)
+        held += part.size
+    return out
+
+
+def _read(archive: str, parts: Iterable[Part]) -> Iterator[tuple[str, Iterator[str]]]:
+    """(member, lines); each member's lines are taken before the next member is."""
+    with ExitStack() as held:
+        f = held.enter_context(_open(archive))
+        z = held.enter_context(zipfile.ZipFile(f)) if archive.lower().endswith(".zip") else None
+        for part in parts:
+            if part.start is not None:
+                yield part.member, _texts(_stretch_lines(f, part))
+            elif z is not None:
+                with z.open(part.member) as m:
+                    yield part.member, _texts(line for _, line in _lines(_blocks(m)))
+            else:
+                with tarfile.open(fileobj=f, mode="r|*") as t:
+                    for m in t:
+                        if m.isfile() and (not part.member or m.name.rsplit("/", 1)[-1] == part.member):
+                            yield m.name, _texts(line for _, line in _lines(_blocks(t.extractfile(m))))
 
 
 class _Reader(DataSourceReader):
     def __init__(self, options) -> None:
         self.path, self.member, self.stretch = options["path"], options.get("member"), int(options.get("stretch", STRETCH))
 
-    def partitions(self) -> list[Part]:
+    def partitions(self) -> list[Task]:
         plan = lambda a: (_zip_parts if a.lower().endswith(".zip") else _tar_parts)(a, self.member, self.stretch)
         with ThreadPoolExecutor(16) as pool:  # waits for storage, a directory each
-            return [p for parts in pool.map(plan, _found(self.path)) for p in parts]
-
-    def read(self, part) -> Iterator[pa.RecordBatch]:
-        if not isinstance(part, Part):  # no member at all
-            return
-        for member, lines in _read(part):
-            while held := list(islice(lines, BATCH_LINES)):
-                yield pa.RecordBatch.from_arrays([pa.array([x] * len(held), pa.string()) for x in (part.archive, member)] + [pa.array(held, pa.string())], names=["archive", "member", "value"])
+            return _packed((p for parts in pool.map(plan, _found(self.path)) for p in parts), self.stretch)
+
+    def read(self, task) -> Iterator[pa.RecordBatch]:
+        """Rows of small members share batches."""
+        names = ["archive", "member", "value"]
+        rows = ((archive, member, line) for archive, parts in groupby(task.parts, lambda p: p.archive) for member, lines in _read(archive, parts) for line in lines) if isinstance(task, Task) else iter(())
+        while held := list(islice(rows, BATCH_LINES)):
+            yield pa.RecordBatch.from_arrays([pa.array(column, pa.string()) for column in zip(*held)], names=names)
 
 
 class ArchiveLines(DataSource):

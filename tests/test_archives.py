@@ -47,6 +47,16 @@ def test_tar(spark, tmp_path, kind, stretch):
         assert (archives.read(spark, str(path), None, stretch).rdd.getNumPartitions() > 4) == (kind == "tar")
 
 
+def test_small_members_share_tasks(spark, tmp_path):
+    for archive in ("a.tar", "b.tar"):
+        with tarfile.open(tmp_path / archive, "w") as t:
+            for i in range(500):
+                add(t, f"{i}.txt", f"{archive} {i}\n")
+    got = archives.read(spark, str(tmp_path), stretch=1000)
+    assert got.rdd.getNumPartitions() == 10  # 9,780 bytes
+    assert [r["value"] for r in got.collect()] == [f"{a} {i}" for a in ("a.tar", "b.tar") for i in range(500)]
+
+
 @pytest.mark.parametrize("how", [zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED])
 def test_zip(spark, tmp_path, how):
     for name in ("a.zip", "b.zip"):
