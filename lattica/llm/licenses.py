@@ -15,31 +15,38 @@ from pyspark.sql import functions as F
 # The notices and texts by which these licences are known.
 TEMPLATES: dict[str, tuple[str, ...]] = {
     "Apache-2.0": (
+        "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION",
         "Licensed under the Apache License, Version 2.0.",
         'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
     ),
     "MIT": (
         "Released under the MIT License.",
+        "This project is MIT licensed.",
         "Licensed under the MIT License.",
         'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
     ),
     "GPL-3.0": (
+        "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc.",
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
     ),
     "GPL-2.0": (
+        "GNU GENERAL PUBLIC LICENSE Version 2, June 1991 Copyright (C) 1989, 1991 Free Software Foundation, Inc.",
         "This work is licensed under the GNU General Public License, version 2.",
         "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
     ),
     "LGPL-3.0": (
+        "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc.",
         "This work is licensed under the GNU Lesser General Public License, version 3.",
         "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     ),
     "LGPL-2.1": (
+        "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999 Copyright (C) 1991, 1999 Free Software Foundation, Inc.",
         "This work is licensed under the GNU Lesser General Public License, version 2.1.",
         "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
     ),
     "AGPL-3.0": (
+        "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007 Copyright (C) 2007 Free Software Foundation, Inc.",
         "This work is licensed under the GNU Affero General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     ),
@@ -47,6 +54,9 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "Released under the BSD 3-Clause License.",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
     ),
+    "BSD-4-Clause": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. All advertising materials mentioning features or use of this software must display the following acknowledgement: This product includes software developed by the organization. 4. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    ),
     "MPL-2.0": (
         "Licensed under the Mozilla Public License, Version 2.0.",
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
@@ -75,6 +85,10 @@ for _version, (_words, _suffix) in CC_VERSIONS.items():
         _short = "-".join(["BY", *filter(None, _clauses)])
         _long = "-".join(["Attribution", *(_words[c] for c in _clauses if c)])
         TEMPLATES[f"CC-{_short}-{_version}"] = (f"Licensed under CC {_short} {_version}.", f"This work is licensed under a Creative Commons {_long} {_version} {_suffix} License.")
+for _name in TEMPLATES:
+    TEMPLATES[_name] += (f"SPDX-License-Identifier: {_name}",)
+# Pairs of words that deny what a notice says.
+DENIALS = frozenset(f"{no} {verb}" for no in ("not", "never", "t") for verb in ("licensed", "released", "distributed", "under"))
 TELLING = frozenset("0 1 2 3 4 5 lesser library affero sa nc nd sharealike noncommercial noderivatives noderivs".split())
 
 
@@ -110,6 +124,17 @@ def guard(words: list[str]) -> list[str] | None:
     return own if own and len(words) < 100 and re.search(r"license|cc0?", " ".join(words)) else None
 
 
+def required(words: list[str]) -> list[str]:
+    """The words that a passage must have: of an SPDX line those of the licence's identifier."""
+    return sorted(set(words[3:])) if words[:3] == ["spdx", "license", "identifier"] else []
+
+
+def deniable(words: list[str]) -> bool:
+    """Whether a denial within a passage, or that began up to two words before it, makes it none: for short templates
+    without such words of their own."""
+    return len(words) < 100 and not DENIALS.intersection(python_bigrams(words))
+
+
 def scan(docs: DataFrame, templates: Mapping[str, tuple[str, ...]] = TEMPLATES, threshold: float = 0.8, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """One row per input row: id, n_passages, best_license, best_dice, licenses (sorted distinct), passages (license, dice, first word from 0, words).
 
@@ -117,6 +142,8 @@ def scan(docs: DataFrame, templates: Mapping[str, tuple[str, ...]] = TEMPLATES,
     words of the template's length, or of 0.8 or 1.25 times it, anywhere: within a line, or over any number of lines. Its
     Dice coefficient is 2|A and B| / (|A| + |B|) over distinct word bigrams; a licence is found where that is at least
     ``threshold`` and, for templates that name a version or a clause, passage and template have the same TELLING words.
+    Of an SPDX line all words of the identifier must be there (of an expression the first identifier counts), and no passage
+    of a short template may be denied ("not licensed under").
     Each template gives its best passage (the first of equals); of passages that overlap the better one counts, then the
     first licence by name.
 
@@ -140,7 +167,7 @@ def scan(docs: DataFrame, templates: Mapping[str, tuple[str, ...]] = TEMPLATES,
         anchors |= anchor_words(words, low)
         literal.append(F.struct(
             F.lit(name).alias("name"), strings(grams).alias("grams"), F.lit(float(len(grams))).alias("n"), F.lit(math.ceil(low * len(grams) - 1e-9)).alias("need"),
-            F.array(*map(F.lit, sorted({long, round(0.8 * long), round(1.25 * long)}))).alias("sizes"), F.lit(telling is not None).alias("guarded"), strings(telling).alias("telling")))
+            F.array(*map(F.lit, sorted({long, round(0.8 * long), round(1.25 * long)}))).alias("sizes"), F.lit(telling is not None).alias("guarded"), strings(telling).alias("telling"), strings(required(words)).alias("required"), F.lit(deniable(words)).alias("deniable")))
     words = F.split(normalised(F.coalesce(F.col(text_col).cast("string"), F.lit(""))), " ")
     rows = docs.select(F.col(id_col).alias("id"), words.alias("w"))
     # texts without an anchor word are empty from here on
@@ -157,8 +184,11 @@ def scan(docs: DataFrame, templates: Mapping[str, tuple[str, ...]] = TEMPLATES,
         a = F.array_distinct(F.slice(g, start, size))
         end = F.least(start + size, F.size(w))  # the passage's last word
         same = ~t["guarded"] | (F.array_sort(F.array_intersect(F.slice(w, start, end - start + 1), strings(sorted(TELLING)))) == t["telling"])
+        whole = F.size(F.array_except(t["required"], F.slice(w, start, end - start + 1))) == 0
+        before = F.greatest(start - 2, F.lit(1))
+        denied = t["deniable"] & F.arrays_overlap(F.slice(g, before, start + size - before), strings(sorted(DENIALS)))
         dice = 2.0 * F.size(F.array_intersect(a, t["grams"])) / (F.size(a) + t["n"])
-        good = F.size(a).between(t["n"] * F.lit(low), t["n"] * F.lit(high)) & (dice >= threshold) & same
+        good = F.size(a).between(t["n"] * F.lit(low), t["n"] * F.lit(high)) & (dice >= threshold) & same & whole & ~denied
         return F.when(good, F.struct((-dice).alias("d"), t["name"].alias("name"), (start - 1).alias("start"), end.alias("end")))
 
     def best(t: Column) -> Column:

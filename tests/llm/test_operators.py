@@ -544,6 +544,8 @@ def licence_passages(text, threshold=0.8):
                 dice = 2 * len(have & want) / (len(have) + len(want))
                 end = min(start + size + 1, len(words))
                 telling = licenses.guard(own)
+                if licenses.deniable(own) and licenses.DENIALS.intersection(grams[max(0, start - 2) : start + size]) or not set(licenses.required(own)) <= set(words[start:end]):
+                    continue
                 if dice >= threshold and (telling is None or sorted(licenses.TELLING.intersection(words[start:end])) == telling):
                     best = min(best or (0,), (-dice, name, start, end))
         found += [best] if best else []
@@ -555,7 +557,7 @@ def licence_passages(text, threshold=0.8):
 
 
 def test_licenses(spark, docs):
-    mit, bsd = licenses.TEMPLATES["MIT"][2], licenses.TEMPLATES["BSD-2-Clause"][1]
+    mit, bsd = licenses.TEMPLATES["MIT"][3], licenses.TEMPLATES["BSD-2-Clause"][1]
     paragraphs = re.sub(r"(conditions:|Software\.) ", r"\1\n\n", mit)
     cases = {
         "Intro line\nReleased under the MIT License.\nmore": ["MIT"], mit.upper().replace(",", " ,\n"): ["MIT"], "Licensed under the Apache License,  version 2.0": ["Apache-2.0"],
@@ -563,7 +565,16 @@ def test_licenses(spark, docs):
         "This work is licensed under the GNU Lesser General Public License, version 2.1.": ["LGPL-2.1"], "This project is released under the MIT License by Foo Inc.": ["MIT"],
         "import x\n\n" + "".join(f"# {line}\n" for line in paragraphs.split("\n")) + "\n\ndef f(): pass\n" * 5: ["MIT"], bsd + " " + mit: ["BSD-2-Clause", "MIT"],
         " ".join(w for k, w in enumerate(mit.split()) if k % 20): ["MIT"], "version 3 " * 30 + "license": [], "License": [], "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.": ["CC-BY-NC-SA-4.0"],
-        licenses.TEMPLATES["GPL-3.0"][1]: ["GPL-3.0"], licenses.TEMPLATES["GPL-3.0"][1].split(" This program is dist")[0]: None,
+        licenses.TEMPLATES["GPL-3.0"][2]: ["GPL-3.0"], licenses.TEMPLATES["GPL-3.0"][2].split(" This program is dist")[0]: None,
+    }
+    advertising = "3. All advertising materials mentioning features or use of this software must display the following acknowledgement: This product includes software developed by the Example Project. 4. Neither"
+    cases |= {
+        licenses.TEMPLATES["BSD-3-Clause"][1].replace("3. Neither", advertising): ["BSD-4-Clause"], licenses.TEMPLATES["BSD-3-Clause"][1]: ["BSD-3-Clause"],
+        "This is not licensed under the GNU General Public License, version 3.": [], "It isn't licensed under the MIT License.": [], "not released under the MIT License": [],
+        "DO NOT EDIT. Licensed under the MIT License.": ["MIT"], "This project is MIT licensed.": ["MIT"], "// SPDX-License-Identifier: MIT\nint x;": ["MIT"],
+        "SPDX-License-Identifier: GPL-3.0-or-later": ["GPL-3.0"], "SPDX-License-Identifier: LicenseRef-Own": [], "SPDX-License-Identifier: CC-BY-SA-4.0": ["CC-BY-SA-4.0"],
+        "GNU GENERAL PUBLIC LICENSE\n Version 2, June 1991\n\n Copyright (C) 1989, 1991 Free Software Foundation, Inc.,": ["GPL-2.0"], licenses.TEMPLATES["MPL-2.0"][1]: ["MPL-2.0"],
+        "Apache License\nVersion 2.0, January 2004\nhttp://www.apache.org/licenses/\n\nTERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION": ["Apache-2.0"],
     }
     made = list(cases) + [None]
     df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(made)], "doc_id long, text string, passages string")
