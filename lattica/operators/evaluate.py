@@ -157,6 +157,45 @@ def quality_score(nodes: int, edges: int, types: int, relations: int, modalities
     return parts | {"total": round(sum(parts.values()), 1)}
 
 
+def quality_measures(edges: DataFrame, nodes: DataFrame, seeds: DataFrame) -> DataFrame:
+    """One row with what ``quality_score`` takes, from the tables: one pass over the edges, one over the nodes, and joins for
+    isolated nodes and seeds. ``edges`` may lack evidence, which then counts as absent."""
+    own = edges if "evidence" in edges.columns else edges.withColumn("evidence", F.lit(None).cast("string"))
+    own = graph.with_evidence_flags(own)
+    n = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0))
+    blank = lambda c: F.trim(F.coalesce(c, F.lit(""))) == ""
+    of_edges = own.agg(
+        F.count("*").alias("edges"), F.count_distinct("relation").alias("relations"), F.count_distinct("source").alias("sources"),
+        n(F.col("is_structured")).alias("structured"), n(F.abs("effect_sign") > 0.1).alias("signed"), n(F.length(F.coalesce("evidence", F.lit(""))) > 2).alias("told"),
+        (n(blank(F.col("relation"))) + n(blank(F.col("source")))).alias("missing"))
+    perturbation = F.startswith("name", F.lit("pathway::perturbation::"))
+    of_nodes = nodes.agg(F.count("*").alias("nodes"), F.count_distinct("type").alias("types"), n(perturbation).alias("perturbations"))
+    want = seeds.select(F.upper("gene").alias("gene")).distinct()
+    have = nodes.filter("type = 'gene'").select(F.upper(rules.gene_token(F.col("name"))).alias("gene")).distinct()
+    of_seeds = want.agg(F.count("*").alias("seeds")).crossJoin(want.join(have, "gene", "left_semi").agg(F.count("*").alias("found")))
+    alone = graph.isolated(nodes, edges).agg(F.count("*").alias("alone"))
+    one = of_edges.crossJoin(of_nodes).crossJoin(of_seeds).crossJoin(alone).crossJoin(multi_omics(edges).select("modalities", "omics_edges"))  # one row each
+    share = lambda part, whole, digits=4: F.round(part / F.greatest(F.lit(1), whole), digits)
+    edge, node = F.col("edges"), F.col("nodes")
+    return one.select(
+        "nodes", "edges", "types", "relations", "modalities", "omics_edges", "sources", share(F.col("structured"), edge).alias("structured"),
+        share(F.col("signed"), edge).alias("direction"), share(F.col("told"), edge).alias("evidence"), share(F.col("alone"), node).alias("isolated"),
+        share(edge, node * (node - 1), 8).alias("density_"), share(F.col("found"), F.col("seeds")).alias("seed_coverage"), "perturbations",
+        ((edge - F.col("missing")) / F.greatest(F.lit(1), edge)).alias("consistent"), share(F.col("alone"), node).alias("orphan"))
+
+
+def quality(edges: DataFrame, nodes: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(part, score): the quality score of a graph. Only the one row of measures comes to the driver."""
+    measures = quality_measures(edges, nodes, seeds).first().asDict()
+    return edges.sparkSession.createDataFrame(list(quality_score(**measures).items()), "part string, score double")
+
+
+def unexpected_keys(rows: DataFrame, properties: str, allowed: Sequence[str]) -> DataFrame:
+    """(key, n) of keys in a column of JSON objects that aren't allowed; what is no object has none."""
+    keys = rows.select(F.explode(F.json_object_keys(properties)).alias("key"))
+    return keys.filter(~F.col("key").isin(*allowed)).groupBy("key").agg(F.count("*").alias("n"))
+
+
 # --- experiments
 
 def hop_breakdown(edges: DataFrame) -> DataFrame:

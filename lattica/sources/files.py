@@ -7,7 +7,7 @@ import re
 from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.rules import clamp01, node_type, normalize_entity, number
@@ -264,7 +264,7 @@ def manifest_triples(spark: SparkSession, entries: list[dict], **options) -> Dat
 
 def kegg_ids(lines_: DataFrame, symbol: str) -> DataFrame:
     """(id): hsa ids whose description has the symbol as a token, distinct."""
-    token: Column = F.lit(rf"(?i)(^|[^A-Za-z0-9]){re.escape(symbol)}([^A-Za-z0-9]|$)")
+    token = rf"(?i)(^|[^A-Za-z0-9]){re.escape(symbol)}([^A-Za-z0-9]|$)"
     f = F.split("value", "\t")
     return lines_.select(f[0].alias("id"), F.coalesce(F.get(f, F.lit(1)), F.lit("")).alias("text")).filter(F.startswith("id", F.lit("hsa:")) & F.col("text").rlike(token)).select("id").distinct()
 

@@ -5,7 +5,7 @@ from pathlib import Path
 
 import duckdb
 import pytest
-from lattica.plans import formats  # noqa: F401  adds its queries
+from lattica.plans import formats, loads  # noqa: F401  add their queries
 from lattica.plans.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
