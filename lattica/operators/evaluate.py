@@ -174,7 +174,7 @@ def quality_measures(edges: DataFrame, nodes: DataFrame, seeds: DataFrame) -> Da
     have = nodes.filter("type = 'gene'").select(F.upper(rules.gene_token(F.col("name"))).alias("gene")).distinct()
     of_seeds = want.agg(F.count("*").alias("seeds")).crossJoin(want.join(have, "gene", "left_semi").agg(F.count("*").alias("found")))
     alone = graph.isolated(nodes, edges).agg(F.count("*").alias("alone"))
-    one = of_edges.crossJoin(of_nodes).crossJoin(of_seeds).crossJoin(alone).crossJoin(multi_omics(edges).select("modalities", "omics_edges"))  # one row each
+    one = of_edges.crossJoin(of_nodes).crossJoin(of_seeds).crossJoin(alone).crossJoin(multi_omics(edges).select("modalities", F.coalesce("omics_edges", F.lit(0)).alias("omics_edges")))  # one row each
     share = lambda part, whole, digits=4: F.round(part / F.greatest(F.lit(1), whole), digits)
     edge, node = F.col("edges"), F.col("nodes")
     return one.select(

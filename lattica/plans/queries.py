@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules
@@ -693,10 +693,9 @@ ASKED = ("SELECT DISTINCT 'sample::C' || conv_id AS cell, (CASE WHEN conv_id % 3
          " JOIN (SELECT g, row_number() OVER (ORDER BY g) - 1 AS k, count(*) OVER () AS n FROM seed) ON k = (conv_id + turn) % n WHERE role = 'user'")
 
 
-def _prediction_sql(asked: str, k: int) -> str:
+def _prediction_sql(asked: str, k: int, floor: float = graph.MIN_SCORE) -> str:
     """CTEs q_genes, q_paths and q_prots: the whole prediction for the pairs of ``asked`` (cell, perturbation). On these
     tables every pair with a gene has a pathway, labels are names, and the last fallback has no row; it isn't here."""
-    floor = predict.graph.MIN_SCORE
     key = "cell, perturbation"
     first = "ORDER BY score DESC, hops, node"
 
@@ -706,7 +705,7 @@ def _prediction_sql(asked: str, k: int) -> str:
 
     def links(own: str, other: str, limit: int) -> str:
         near = "(SELECT head AS node, tail AS other, weight, confidence FROM net UNION ALL SELECT tail, head, weight, confidence FROM net)"
-        return (f"(SELECT node, other, signal FROM (SELECT node, other, max({SIGNAL}) AS signal FROM {near} WHERE node LIKE '{own}::%' AND other LIKE '{other}::%' AND NOT regexp_matches(other, '^pathway::(perturbation|perturb_method)::') AND {SIGNAL} >= {floor / 2} GROUP BY node, other)"
+        return (f"(SELECT node, other, signal FROM (SELECT node, other, max({SIGNAL}) AS signal FROM {near} WHERE node LIKE '{own}::%' AND other LIKE '{other}::%' AND NOT regexp_matches(other, '^pathway::(perturbation|perturb_method)::') AND {SIGNAL} >= {max(0.005, floor / 2) if own == 'gene' else floor / 2} GROUP BY node, other)"
                 f" QUALIFY row_number() OVER (PARTITION BY node ORDER BY signal DESC, other) <= {limit})")
 
     bio = "node LIKE 'pathway::%' AND NOT regexp_matches(node, '^pathway::(perturbation|perturb_method)::')"
@@ -806,3 +805,43 @@ def r02_evidence(spark, sf):
     """What each sample's prediction could rest on: the edges within three hops."""
     e = edges(spark, sf)
     return graph.evidence_counts(e, e.filter(F.startswith("head", F.lit("sample::"))).select(F.col("head").alias("origin")).distinct())
+
+
+# --- questions
+
+def spelled(c: str) -> Column:
+    """Ids with their genes' numbers in letters: a word that ends in two digits counts as a cell line in a question."""
+    number = F.regexp_extract(c, r"(?:^gene::|_|^)P([0-9]+)$", 1)
+    return F.when(number == "", F.col(c)).otherwise(F.concat(F.regexp_replace(c, "P[0-9]+$", "GX"), F.translate(number, "0123456789", "ABCDEFGHIJ")))
+
+
+#: What each turn of a user asks: kind 0 names a cell, kind 3 a gene that the graph doesn't have, which every second time is
+#: asked of a cell that it doesn't have either, kind 4 no gene.
+TURNS = ("SELECT conv_id * 1000 + turn AS query_id, (conv_id + turn) % 5 AS kind, conv_id, turn, g FROM (SELECT DISTINCT conv_id, turn FROM conversations WHERE role = 'user')"
+         " JOIN (SELECT g, row_number() OVER (ORDER BY g) - 1 AS k, count(*) OVER () AS n FROM seed) ON k = (conv_id + turn) % n")
+NAMED = "(kind = 0 OR kind = 3 AND conv_id % 2 = 0)"
+TRIED = (f"SELECT query_id, {NAMED} AS named, CASE WHEN kind = 3 THEN 'KO_ZZZ' WHEN conv_id % 3 = 0 THEN 'OE_' || g ELSE 'KO_' || g END AS perturbation, unnest(CASE WHEN {NAMED} THEN ['Cell::cell-' || conv_id] ELSE ['sample::C10', 'sample::C11'] END) AS cell,"
+         f" unnest(CASE WHEN {NAMED} THEN [1] ELSE [1, 2] END) AS try FROM ({TURNS}) WHERE kind < 4")
+
+
+@kg(f", {_prediction_sql(f'SELECT DISTINCT cell, perturbation FROM ({TRIED})', predict.ANSWER_ROWS, predict.ANSWER_FLOOR * graph.MIN_SCORE)}, n_all AS ("
+    "SELECT cell, perturbation, 1 AS g, 0 AS p, 0 AS r FROM q_genes UNION ALL SELECT cell, perturbation, 0, 1, 0 FROM q_paths UNION ALL SELECT cell, perturbation, 0, 0, 1 FROM q_prots)"
+    ", n_pair AS (SELECT cell, perturbation, sum(g) AS genes, sum(p) AS pathways, sum(r) AS proteins FROM n_all GROUP BY ALL)"
+    f", told AS (SELECT t.*, genes, pathways, proteins FROM ({TRIED}) t JOIN n_pair USING (cell, perturbation) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY try) = 1)"
+    f" SELECT query_id, told.query_id IS NOT NULL AS predicted, cell, CASE WHEN perturbation = 'KO_ZZZ' THEN perturbation ELSE left(perturbation, 3) || 'GX' || translate(substr(perturbation, 5), '0123456789', 'ABCDEFGHIJ') END AS perturbation, told.query_id IS NOT NULL AND NOT named AS assumed,"
+    f" CAST(coalesce(genes, 0) AS BIGINT) AS genes, CAST(coalesce(pathways, 0) AS BIGINT) AS pathways, CAST(coalesce(proteins, 0) AS BIGINT) AS proteins FROM ({TURNS}) LEFT JOIN told USING (query_id)")
+def t05_answers(spark, sf):
+    """Every user's turn asks a question, and all are answered in one plan: predicted in the cell that is named or in the first of
+    two in which anything comes out, else by the documents' sentences."""
+    named = prediction_edges(spark, sf).withColumns({"head": spelled("head"), "tail": spelled("tail")})
+    genes = seeds(spark, sf).select(spelled("gene").alias("gene"))
+    numbered = seeds(spark, sf).distinct().agg(F.array_sort(F.collect_list("gene")).alias("genes"))  # the seeds of one brand
+    turns = table(spark, sf, "conversations").filter("role = 'user'").select("conv_id", "turn").distinct().crossJoin(F.broadcast(numbered)).filter(F.size("genes") > 0)
+    turns = turns.withColumn("g", F.element_at("genes", (F.pmod(F.col("conv_id") + F.col("turn"), F.size("genes")) + 1).cast("int"))).withColumn("g", spelled("g"))
+    kind = F.pmod(F.col("conv_id") + F.col("turn"), F.lit(5))
+    method = F.when(F.col("conv_id") % 3 == 0, F.lit("overexpression of ")).otherwise(F.lit("knockout of "))
+    where = F.when((kind == 0) | ((kind == 3) & (F.col("conv_id") % 2 == 0)), F.concat(F.lit("In cell-"), F.col("conv_id").cast("string"), F.lit(", what follows "))).otherwise(F.lit("What follows "))
+    ask = F.when(kind == 4, F.lit("Which report names the water level?")).otherwise(F.concat(where, F.when(kind == 3, F.lit("knockout of ZZZ")).otherwise(F.concat(method, "g")), F.lit("?")))
+    asked = turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), ask.alias("question"))
+    made = predict.answer_all(graph.cut(named), genes, table(spark, sf, "documents"), asked, ("sample::C10", "sample::C11")).answers
+    return made.select("query_id", (F.col("kind") == "prediction").alias("predicted"), "cell", "perturbation", "assumed", "genes", "pathways", "proteins")
