@@ -363,10 +363,16 @@ def p32_jaccard(spark, sf):
     return rounded(sets.select("l_orderkey", rules.jaccard(F.col("a"), F.col("b")).alias("jaccard")), "jaccard")
 
 
-@query("SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace('== ' || lang || ' == [[' || source || ']] {{x|y}} <b>' || n_chars || '</b>', '=+([^=]+)=+', '\\1', 'g'), '\\[\\[(.*?)\\]\\]', '\\1', 'g'), '\\{\\{(.*?)\\}\\}', '', 'g'), '<.*?>', '', 'g')) AS plain FROM documents")
+@query("WITH w AS (SELECT doc_id, '== ' || coalesce(lang, '') || ' == [[' || coalesce(source, '') || ']] {{x|y}} <b>' || n_chars || '</b> [[' || replace(coalesce(text, ''), chr(10), ']]' || chr(10) || '<i>[[') || ']] {{a' || chr(10) || 'b}} ' AS t FROM documents),"
+       " p AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '=+([^=]+)=+', '\\1', 'g'), '\\[\\[(.*?)\\]\\]', '\\1', 'g'), '\\{\\{(.*?)\\}\\}', '', 'g'), '<.*?>', '', 'g'), '^[ \\t\\n\\x0B\\f\\r]+|[ \\t\\n\\x0B\\f\\r]+$', '', 'g') AS plain FROM w)"
+       " SELECT doc_id, length(plain) AS chars, md5(plain) AS digest FROM p")
 def p25_wiki(spark, sf):
-    marked = F.concat(F.lit("== "), "lang", F.lit(" == [["), "source", F.lit("]] {{x|y}} <b>"), F.col("n_chars").cast("string"), F.lit("</b>"))
-    return table(spark, sf, "documents").select("doc_id", tx.strip_wiki(marked).alias("plain"))
+    """Whole texts as wiki pages, each line of them a link behind a tag, with a template over two lines that stays."""
+    some = lambda c: F.coalesce(c, F.lit(""))
+    lines = F.replace(some("text"), F.lit("\n"), F.lit("]]\n<i>[["))
+    marked = F.concat(F.lit("== "), some("lang"), F.lit(" == [["), some("source"), F.lit("]] {{x|y}} <b>"), F.col("n_chars").cast("string"), F.lit("</b> [["), lines, F.lit("]] {{a\nb}} "))
+    plain = table(spark, sf, "documents").select("doc_id", tx.strip_wiki(marked).alias("plain"))
+    return plain.select("doc_id", F.length("plain").cast("long").alias("chars"), F.md5("plain").alias("digest"))
 
 
 @query("SELECT c_custkey, '{{CellPerturbationPrediction|cell=' || CASE WHEN c_custkey % 5 = 0 THEN 'N/A' ELSE c_name END || '|perturbation=' || c_mktsegment || '|effects=a/' || c_nationkey || '; b|confidence=0.5}}' AS template FROM customer")

@@ -107,10 +107,13 @@ def s20_labels(spark, sf):
     return files.labels(spark, path)
 
 
-@query(r"SELECT DISTINCT 'hsa:' || p_partkey AS id FROM part WHERE p_size % 5 <> 0 AND regexp_matches(' ' || p_type || ' ', '(?i)[^A-Za-z0-9]steel[^A-Za-z0-9]')")
+@query(r"SELECT DISTINCT 'hsa:' || p_partkey AS id FROM part WHERE p_size % 5 <> 0 AND regexp_matches(CASE p_size % 3 WHEN 0 THEN lower(p_type) || '; kinase' WHEN 1 THEN 'X' || p_type ELSE 'akt1,' || p_type || '-like' END, '(?i)(^|[^A-Za-z0-9])promo([^A-Za-z0-9]|$)')")
 def s41_kegg_ids(spark, sf):
-    lines = table(spark, sf, "part").select(F.concat(F.when(F.col("p_size") % 5 == 0, F.lit("mmu:")).otherwise(F.lit("hsa:")), F.col("p_partkey").cast("string"), F.lit("\t"), "p_type").alias("value"))
-    return files.kegg_ids(lines.unionByName(lines), "Steel")
+    """Genes, each listed twice, whose description has the symbol as a word of its own."""
+    kind = F.col("p_size") % 3
+    told = F.when(kind == 0, F.concat(F.lower("p_type"), F.lit("; kinase"))).when(kind == 1, F.concat(F.lit("X"), "p_type")).otherwise(F.concat(F.lit("akt1,"), "p_type", F.lit("-like")))
+    lines = table(spark, sf, "part").select(F.concat(F.when(F.col("p_size") % 5 == 0, F.lit("mmu:")).otherwise(F.lit("hsa:")), F.col("p_partkey").cast("string"), F.lit("\t"), told).alias("value"))
+    return files.kegg_ids(lines.unionByName(lines), "Promo")
 
 
 @query("SELECT text AS content, CAST(doc_id AS VARCHAR) AS id, coalesce(lang, '') AS lang FROM documents WHERE text IS NOT NULL")

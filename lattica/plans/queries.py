@@ -693,8 +693,9 @@ ASKED = ("SELECT DISTINCT 'sample::C' || conv_id AS cell, (CASE WHEN conv_id % 3
          " JOIN (SELECT g, row_number() OVER (ORDER BY g) - 1 AS k, count(*) OVER () AS n FROM seed) ON k = (conv_id + turn) % n WHERE role = 'user'")
 
 
-def _prediction_sql(asked: str, k: int, floor: float = graph.MIN_SCORE) -> str:
-    """CTEs q_genes, q_paths and q_prots: the whole prediction for the pairs of ``asked`` (cell, perturbation). On these
+def _prediction_sql(asked: str, k: int, floor: float = graph.MIN_SCORE, targets: str | None = None) -> str:
+    """CTEs q_genes, q_paths and q_prots: the whole prediction for the pairs of ``asked`` (cell, perturbation), for the genes of
+    ``targets`` alone if it is given. On these
     tables every pair with a gene has a pathway, labels are names, and the last fallback has no row; it isn't here."""
     key = "cell, perturbation"
     first = "ORDER BY score DESC, hops, node"
@@ -729,11 +730,12 @@ def _prediction_sql(asked: str, k: int, floor: float = graph.MIN_SCORE) -> str:
         f" FROM (SELECT * FROM q_gene0 WHERE ({key}) NOT IN (SELECT {key} FROM q_path0) QUALIFY row_number() OVER (PARTITION BY {key} {first}) <= {min(12, max(4, k))}) t JOIN {links('gene', 'pathway', 20)} l ON l.node = t.node"
         f" QUALIFY row_number() OVER (PARTITION BY {key}, other ORDER BY s DESC, hops, t.node DESC) = 1))"
         f", q_mark AS (SELECT *, ({key}, node) IN (SELECT {key}, node FROM asked JOIN q_near ON origin = anchor) AS direct FROM q_gene0)"
-        f", q_gene1 AS (SELECT {key}, node, hops, raw_signal, (CASE WHEN direct THEN score * 1.35::DOUBLE ELSE score END) AS score, direction_sign, from_perturbation OR direct AS from_perturbation FROM q_mark QUALIFY direct OR sum(direct::INT) OVER (PARTITION BY {key}) < {max(8, k)})"
+        f", q_lift AS (SELECT {key}, node, hops, raw_signal, (CASE WHEN direct THEN score * 1.35::DOUBLE ELSE score END) AS score, direction_sign, from_perturbation OR direct AS from_perturbation FROM q_mark QUALIFY direct OR sum(direct::INT) OVER (PARTITION BY {key}) < {max(8, k)})"
+        f", q_gene1 AS (SELECT * FROM q_lift{f' WHERE node IN ({targets})' if targets else ''})"
         ", q_seen AS (SELECT tail AS node, count(*) AS n FROM net WHERE head LIKE 'sample::%' AND relation = 'expresses' GROUP BY tail)"
         f", q_boost AS (SELECT {key}, node, least(1.0::DOUBLE, 0.4::DOUBLE * (n / CAST(max(n) OVER (PARTITION BY {key}) AS DOUBLE))) AS boost FROM q_gene1 JOIN q_seen USING (node))"
         f", q_fallen AS (SELECT g.* REPLACE (score * (1 + 0.35::DOUBLE * coalesce(boost, 0.0::DOUBLE)) AS score) FROM q_gene1 g LEFT JOIN q_boost b USING (cell, perturbation, node))"
-        f", q_poor AS (SELECT * FROM q_path1 WHERE ({key}) NOT IN (SELECT {key} FROM q_fallen GROUP BY {key} HAVING count(*) >= {max(k, min(25, 2 * k))}) QUALIFY row_number() OVER (PARTITION BY {key} {first}) <= {max(3, k)})"
+        f", q_poor AS (SELECT * FROM q_path1 WHERE ({key}) NOT IN (SELECT {key} FROM q_fallen GROUP BY {key} HAVING count(*) >= {max(k, min(25, 2 * k))}){' AND false' if targets else ''} QUALIFY row_number() OVER (PARTITION BY {key} {first}) <= {max(3, k)})"
         f", q_more AS (SELECT {key}, other AS node, hops + 1 AS hops, signal AS raw_signal, round(score * signal * 0.9::DOUBLE, 6) AS score, direction_sign, from_perturbation FROM q_poor t JOIN {links('pathway', 'gene', 40)} l ON l.node = t.node"
         f" QUALIFY row_number() OVER (PARTITION BY {key}, other ORDER BY round(t.score * signal * 0.9::DOUBLE, 6) DESC, t.hops, t.node DESC) = 1)"
         f", q_gene2 AS (SELECT * FROM q_fallen UNION ALL SELECT * FROM q_more WHERE ({key}, node) NOT IN (SELECT {key}, node FROM q_gene1))"
@@ -762,6 +764,14 @@ def r_predictions(spark, sf):
     return rounded(out, "score")
 
 
+@kg(f", {_prediction_sql(ASKED, 5, targets="SELECT seed FROM seed")} SELECT cell, perturbation, node, hops, round(score, 6) AS score, from_perturbation, place, delta FROM q_genes")
+def r09_targets(spark, sf):
+    """What the pairs do to the seeds: no other gene counts, and none is filled in where they are few."""
+    wanted = [r["gene"].lower() for r in seeds(spark, sf).distinct().collect()]  # the seeds of one brand are the user's list
+    made = predict.predict_all(graph.cut(prediction_edges(spark, sf)), seeds(spark, sf), asked_pairs(spark, sf), wanted, top_k=5)
+    return rounded(made.genes.select("cell", "perturbation", "node", "hops", "score", "from_perturbation", "place", (F.col("delta") + F.lit(0.0)).alias("delta")), "score")
+
+
 TRUTH = "t AS (SELECT 'P' || CAST(p_partkey AS VARCHAR) AS entity, (p_size - 25) / 25.0::DOUBLE AS score FROM part)"
 #: Genes by the correlation of their expression with a seed's, zero where a sample has none.
 ALIKE = (f"{BOUGHT}, c_y AS (SELECT b.* FROM bought b JOIN (SELECT DISTINCT g FROM seed) ON b.entity = g),"
