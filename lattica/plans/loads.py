@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import rules
-from ..operators import build, evaluate, graph
+from ..operators import build, evaluate, graph, predict
 from ..sources import bootstrap, catalog, files, sinks
 from .formats import csv, line, on, raw_edges, text, tsv
-from .queries import INCIDENT, kg, query
+from .queries import INCIDENT, ORDER, kg, query, rounded
 from .views import EDGES_SQL, SEEDS_SQL, edges, nodes, seeds, table
 
 # --- manifests and catalogs
@@ -229,3 +229,33 @@ def e07_quality(spark, sf):
 def p30_report_texts(spark, sf):
     part = table(spark, sf, "part")
     return part.select(rules.suffix(on("a::gene::P", "p_partkey")).alias("token"), rules.percent(F.col("p_size") / 50).alias("share"), F.upper(F.trim("p_brand")).alias("seed"))
+
+
+# --- small ends of reads and predictions
+
+@kg(f", f AS (SELECT *, row_number() OVER (ORDER BY {ORDER}) AS seq FROM edges QUALIFY seq <= 200), ends AS (SELECT name, min(2 * seq + side) AS pos FROM (SELECT head AS name, seq, 0 AS side FROM f UNION ALL SELECT tail, seq, 1 FROM f) GROUP BY name),"
+    " adm AS (SELECT name FROM ends ORDER BY pos LIMIT 80) SELECT head, relation, tail, weight, confidence FROM f WHERE head IN (SELECT name FROM adm) AND tail IN (SELECT name FROM adm)")
+def g05_fallback(spark, sf):
+    """The first nodes by name are cells, conditions and genes, which have no edges among themselves: the first edges are shown."""
+    return graph.visualise(edges(spark, sf), nodes(spark, sf))
+
+
+@query("SELECT upper(p_type) AS protein, round(median((p_retailprice - 1500) / 500), 6) AS log2_fc, arg_min(p_brand, p_partkey) AS source FROM part GROUP BY 1")
+def k09_calibration(spark, sf):
+    """Medians written as a calibration table and read again."""
+    rows = table(spark, sf, "part").select(F.upper("p_type").alias("protein"), ((F.col("p_retailprice") - 1500) / 500).alias("log2_fc"), F.col("p_brand").alias("source"), F.col("p_partkey").alias("n"))
+    path = graph.scratch(spark, "calibration")
+    sinks.write_calibration(files.median_calibration(rows), path)
+    return rounded(files.calibration(spark, path), "log2_fc")
+
+
+@query("WITH c AS (SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN 0.0::DOUBLE ELSE s_acctbal / 2000 END AS fc FROM supplier WHERE s_suppkey % 4 <> 0),"
+       " r AS (SELECT l_orderkey, l_linenumber, l_suppkey, (CASE WHEN l_linenumber % 2 = 0 THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END) * (CASE WHEN l_returnflag = 'A' THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END) * (l_quantity / 50) * 0.15::DOUBLE AS raw FROM lineitem),"
+       " d AS (SELECT l_orderkey, l_linenumber, CASE WHEN fc IS NULL THEN raw ELSE (CASE WHEN fc <> 0 THEN sign(fc) * abs(raw) ELSE raw END) * greatest(0.7::DOUBLE, least(2.0::DOUBLE, 1.0::DOUBLE + 0.35::DOUBLE * abs(fc))) END AS delta FROM r LEFT JOIN c ON l_suppkey = s_suppkey)"
+       " SELECT l_orderkey, l_linenumber, round(delta, 4) + 0.0::DOUBLE AS delta, CASE WHEN delta > 0 THEN '增强' ELSE '抑制' END AS effect FROM d")
+def j17_calibrated(spark, sf):
+    """Every line's effect on its protein, by the prior of a protein that has one; a prior of 0 leaves the sign."""
+    rows = line(spark, sf).select("l_orderkey", "l_linenumber", on("protein::S", "l_suppkey").alias("node"), F.when(F.col("l_returnflag") == "A", -1.0).otherwise(1.0).alias("direction_sign"), (F.col("l_quantity") / 50).alias("score"), F.when(F.col("l_linenumber") % 2 == 0, F.lit("KO_x")).otherwise(F.lit("OE_x")).alias("perturbation"))
+    prior = table(spark, sf, "supplier").filter("s_suppkey % 4 <> 0").select(on("S", "s_suppkey").alias("protein"), F.when(F.col("s_suppkey") % 3 == 0, F.lit(0.0)).otherwise(F.col("s_acctbal") / 2000).alias("log2_fc"))
+    made = predict.deltas(rows, F.col("perturbation"), predict.DELTA_PROTEIN, prior)
+    return made.select("l_orderkey", "l_linenumber", (F.col("delta") + F.lit(0.0)).alias("delta"), "effect")
