@@ -331,6 +331,10 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", id_
 
     Texts themselves are never shuffled; their numbers are, once. Extra columns are ignored, repeated rows are encoded
     each, an empty table gives an empty result.
+
+    ``docs`` must be a table at rest (files), whose partitions hold the same rows in the same order when a task runs
+    again: chunks are numbered by them, and after the loss of an executor one made anew has to be the one that was lost.
+    Write the result of a shuffle first, as the pipeline does after each of its stages.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
 
