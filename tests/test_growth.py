@@ -3,8 +3,10 @@
 import random
 from itertools import combinations
 
+import duckdb
 import pytest
 from lattica.operators import graph
+from lattica.plans import queries
 
 
 @pytest.fixture
@@ -54,3 +56,11 @@ def test_clustering_pairs_no_chains(spark, joins_shuffled):
     got, rows = shuffled_rows(spark, lambda: graph.clustering(edges).collect())
     assert len(got) == 180 and not any(r["clustering"] for r in got)
     assert rows < 4 * len(chain)  # its pairs of edges are over 10 times as many
+
+
+def test_path_lengths_of_many(spark, tmp_path):
+    """More suppliers than the graph statistics take: all pairs of them, as in SQL."""
+    spark.range(5_001).selectExpr("id + 1 AS s_suppkey").coalesce(1).write.parquet(str(tmp_path / "supplier.parquet"))
+    sql = queries.ORACLE_SQL["g12_path_lengths"].replace("FROM supplier", f"FROM '{tmp_path}/supplier.parquet/*.parquet'")
+    got = queries.g12_path_lengths(spark, str(tmp_path)).first()
+    assert tuple(got) == duckdb.sql(sql).fetchall()[0] and got["diameter"] > 10
