@@ -6,7 +6,7 @@ from itertools import combinations
 import duckdb
 import pytest
 from lattica.operators import graph
-from lattica.plans import queries
+from lattica.plans import formats, queries
 
 
 @pytest.fixture
@@ -64,3 +64,12 @@ def test_path_lengths_of_many(spark, tmp_path):
     sql = queries.ORACLE_SQL["g12_path_lengths"].replace("FROM supplier", f"FROM '{tmp_path}/supplier.parquet/*.parquet'")
     got = queries.g12_path_lengths(spark, str(tmp_path)).first()
     assert tuple(got) == duckdb.sql(sql).fetchall()[0] and got["diameter"] > 10
+
+
+def test_stream_files(spark, tmp_path):
+    """A batch of a stream has a file for each of its share of the tasks, and a key lies in one of them."""
+    path = str(tmp_path / "in")
+    rows = spark.range(400).selectExpr("concat('h', id % 40) AS head", "id")
+    assert formats.dealt(rows, 2, path, "head") == 2
+    placed = spark.read.parquet(path).selectExpr("head", "input_file_name() AS f").distinct()
+    assert placed.count() == 40 and placed.select("f").distinct().count() == 4
