@@ -66,6 +66,21 @@ def test_path_lengths_of_many(spark, tmp_path):
     assert tuple(got) == duckdb.sql(sql).fetchall()[0] and got["diameter"] > 10
 
 
+def layers(spark):
+    """40 samples that all have 30 genes, each of which acts on 40 proteins of one cell."""
+    pairs = [(f"sample::{s}", f"gene::{g}") for s in range(40) for g in range(30)] + [(f"gene::{g}", f"protein::{p}") for g in range(30) for p in range(40)] + [(f"protein::{p}", "Cell::c") for p in range(40)]
+    edges = graph.cut(spark.createDataFrame([(h, t, 1.0, 0.5 + i % 7 / 20, 0.0) for i, (h, t) in enumerate(pairs)], "head string, tail string, weight double, confidence double, effect_sign double"))
+    return edges, graph.cut(edges.filter("head like 'sample::%'").selectExpr("head AS origin").distinct())
+
+
+def test_evidence_sends_lists(spark, joins_shuffled):
+    """48,000 walks reach the proteins; what is shuffled are lists of them."""
+    edges, origins = layers(spark)
+    got, rows = shuffled_rows(spark, lambda: graph.evidence_counts(edges, origins).collect())
+    assert len(got) == 40 and {r["evidence"] for r in got} == {30 + 30 * 40 + 40}
+    assert rows < 15_000
+
+
 def test_stream_files(spark, tmp_path):
     """A batch of a stream has a file for each of its share of the tasks, and a key lies in one of them."""
     path = str(tmp_path / "in")
