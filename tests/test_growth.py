@@ -1,12 +1,14 @@
 """What queries send between tasks and which sizes they take."""
 
+import math
 import random
 from itertools import combinations
 
 import duckdb
 import pytest
-from lattica.operators import graph
+from lattica.operators import build, graph
 from lattica.plans import formats, queries
+from pyspark.sql import functions as F
 
 
 @pytest.fixture
@@ -88,3 +90,25 @@ def test_stream_files(spark, tmp_path):
     assert formats.dealt(rows, 2, path, "head") == 2
     placed = spark.read.parquet(path).selectExpr("head", "input_file_name() AS f").distinct()
     assert placed.count() == 40 and placed.select("f").distinct().count() == 4
+
+
+def test_shared_pathways_meet_the_strongest(spark, joins_shuffled):
+    """Seeds and members of one pathway: each seed's best by hand, equal scores by name, without all pairs being made."""
+    rng = random.Random(5)
+    strength = {f"gene::G{i}": rng.choice((0.5, 0.6, 0.6 + 1e-16, 0.7, 0.9)) for i in range(900)}
+    other = {g: rng.random() for g in list(strength)[::3]}
+    rows = [(g, p, s) for p, of in (("pathway::a", strength), ("pathway::b", other)) for g, s in of.items()]
+    edges = graph.cut(spark.createDataFrame([(g, "participates", p, s, s) for g, p, s in rows], "head string, relation string, tail string, weight double, confidence double"))
+    seeds = spark.createDataFrame([(g,) for g in list(strength)[:300]], "seed string")
+    got, rows = shuffled_rows(spark, lambda: build.shared_pathway(edges, seeds, cap=7).collect())
+    found = {}
+    for r in got:
+        found.setdefault(r["seed"], []).append((r["place"], r["other"], r["pathway"]))
+    for seed in list(strength)[:300:23]:
+        best = []
+        for g in strength:
+            mine = [(math.sqrt(of[seed] * of[g]), p) for p, of in (("pathway::a", strength), ("pathway::b", other)) if seed in of and g in of and min(of[seed], of[g]) >= 0.45]
+            if g != seed and mine and max(mine)[0] >= 0.5:
+                best.append((-max(mine)[0], g, max(mine)[1]))
+        assert sorted(found[seed]) == [(i, g, p) for i, (_, g, p) in enumerate(sorted(best)[:7], 1)]
+    assert rows < 20_000  # pairs are over 300,000
