@@ -112,3 +112,12 @@ def test_shared_pathways_meet_the_strongest(spark, joins_shuffled):
                 best.append((-max(mine)[0], g, max(mine)[1]))
         assert sorted(found[seed]) == [(i, g, p) for i, (_, g, p) in enumerate(sorted(best)[:7], 1)]
     assert rows < 20_000  # pairs are over 300,000
+
+
+def test_components_shuffle_few_rows(spark, joins_shuffled):
+    """Dense graphs side by side, null and lone names among them: components by hand, edges shuffled about twice."""
+    pairs = [(f"{c}{i:02}", f"{c}{j:02}") for c in "abc" for i in range(60) for j in range(60)] + [("a00", "x"), ("y", "y"), ("z", None), ("q", "p")]
+    edges = graph.cut(spark.createDataFrame(pairs, "head string, tail string"))
+    got, rows = shuffled_rows(spark, lambda: {r["name"]: r["component"] for r in graph.components(edges).collect()})
+    assert got == {n: f"{n[0]}00" for n in {x for p in pairs for x in p if x and x[0] in "abc"}} | {"x": "a00", "y": "y", "z": "z", "p": "p", "q": "p", None: None}
+    assert rows < 2 * len(pairs)  # every round shuffled all of them
