@@ -17,11 +17,18 @@ TRIPLE_KEY = ("head", "relation", "tail", "source", "version")
 def dedup_triples(triples: DataFrame, order: Sequence[str | Column], canonical: bool = False) -> DataFrame:
     """The first triple, in ``order``, of each (head, relation, tail, source, version); ``canonical`` compares canonical relations.
 
-    min_by over a struct is an aggregate with a map-side part, so hot keys shrink before the shuffle.
+    min_by over a struct is an aggregate with a map-side part, so hot keys shrink before the shuffle. A row that meets
+    others holds no column twice: the key's are left to the key, and an order by all others is the row itself.
     """
     key = {c: F.col(c) for c in TRIPLE_KEY} | ({"relation": rules.canonical_relation(F.col("relation"))} if canonical else {})
-    rows = triples.select(*(v.alias(f"_{k}") for k, v in key.items()), F.struct(*order).alias("_o"), F.struct(*triples.columns).alias("_r"))
-    return rows.groupBy(*(f"_{k}" for k in TRIPLE_KEY)).agg(F.min_by("_r", "_o").alias("r")).select("r.*")
+    held = [c for c in triples.columns if c not in TRIPLE_KEY or (canonical and c == "relation")]
+    named = [c for c in order if isinstance(c, str)]
+    if len(named) == len(order) and set(named) == set(held):  # the least row is the least of one struct
+        least = F.min(F.struct(*named))
+    else:
+        least = F.min_by(F.struct(*held), F.struct(*order))
+    rows = triples.withColumns({f"_{k}": v for k, v in key.items()}).groupBy(*(f"_{k}" for k in TRIPLE_KEY)).agg(least.alias("_r"))
+    return rows.select(*(F.col(f"_r.{c}") if c in held else F.col(f"_{c}").alias(c) for c in triples.columns))
 
 
 def gene_dictionary(triples: DataFrame, seeds: DataFrame, from_ids: bool = True) -> DataFrame:

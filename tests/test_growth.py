@@ -121,3 +121,13 @@ def test_components_shuffle_few_rows(spark, joins_shuffled):
     got, rows = shuffled_rows(spark, lambda: {r["name"]: r["component"] for r in graph.components(edges).collect()})
     assert got == {n: f"{n[0]}00" for n in {x for p in pairs for x in p if x and x[0] in "abc"}} | {"x": "a00", "y": "y", "z": "z", "p": "p", "q": "p", None: None}
     assert rows < 2 * len(pairs)  # every round shuffled all of them
+
+
+def test_dedup_sends_columns_once(spark, joins_shuffled):
+    """What meets by key has the key once and the other columns once."""
+    rows = spark.range(20_000).selectExpr("concat('gene::', id) AS head", "'acts' AS relation", "concat('protein::', id) AS tail", "'s' AS source", "'v1' AS version", "rand(1) AS weight", "0.5D AS confidence")
+    rows = graph.cut(rows.unionByName(rows.withColumn("weight", F.col("weight") + 1)))
+    made = build.dedup_triples(rows, ["weight", "confidence"])
+    assert made.columns == rows.columns and made.count() == 20_000 and made.agg(F.max("weight")).first()[0] < 1
+    aggregates = [line for line in made._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Aggregate" in line]
+    assert len(aggregates) == 1 and "min_by" not in aggregates[0] and "version" not in aggregates[0].split("AS _r")[0].split("min(")[1]
