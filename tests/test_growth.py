@@ -6,7 +6,7 @@ from itertools import combinations
 
 import duckdb
 import pytest
-from lattica.operators import build, graph
+from lattica.operators import build, evaluate, graph
 from lattica.plans import formats, queries
 from pyspark.sql import functions as F
 
@@ -131,3 +131,14 @@ def test_dedup_sends_columns_once(spark, joins_shuffled):
     assert made.columns == rows.columns and made.count() == 20_000 and made.agg(F.max("weight")).first()[0] < 1
     aggregates = [line for line in made._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Aggregate" in line]
     assert len(aggregates) == 1 and "min_by" not in aggregates[0] and "version" not in aggregates[0].split("AS _r")[0].split("min(")[1]
+
+
+def test_pathway_baseline_shuffles_no_pairs(spark, joins_shuffled):
+    """Every seed with every gene that it shares pathways with, by hand; 130,000 pairs come out and none is shuffled."""
+    of = {f"g{i}": {"a"} | ({"b"} if i % 3 == 0 else set()) | ({f"own{i}"} if i % 50 == 0 else set()) for i in range(1_300)} | {"lone": {"c"}}
+    edges = graph.cut(spark.createDataFrame([(g, "participates", p) for g, own in of.items() for p in own] * 2, "head string, relation string, tail string"))
+    seeds = [f"g{i}" for i in range(0, 1_300, 13)] + ["lone", "none"]
+    got, rows = shuffled_rows(spark, lambda: evaluate.pathway_baseline(edges, spark.createDataFrame([(s,) for s in seeds], "seed string")).collect())
+    want = {(s, g): len(of[s] & of[g]) for s in seeds if s in of for g in of if s != g and of[s] & of[g]}
+    assert len(got) == len(want) and {(r["seed"], r["gene"]): r["common"] for r in got} == want
+    assert rows < 30_000
