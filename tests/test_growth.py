@@ -142,3 +142,16 @@ def test_pathway_baseline_shuffles_no_pairs(spark, joins_shuffled):
     want = {(s, g): len(of[s] & of[g]) for s in seeds if s in of for g in of if s != g and of[s] & of[g]}
     assert len(got) == len(want) and {(r["seed"], r["gene"]): r["common"] for r in got} == want
     assert rows < 30_000
+
+
+def test_walks_end_as_lists(spark, joins_shuffled, monkeypatch):
+    """Walks to a node that leads nowhere are shuffled as lists and not one by one, and long lists are cut without loss."""
+    arcs = [(f"sample::{s}", f"gene::{g}", 1.0) for s in range(30) for g in range(30)] + [(f"gene::{g}", f"protein::{g}_{p}", (p + 1) / 60) for g in range(30) for p in range(60)]
+    edges = graph.cut(spark.createDataFrame(arcs, "head string, tail string, weight double").withColumns({"confidence": F.lit(1.0), "effect_sign": F.lit(-1.0)}))
+    origins = spark.createDataFrame([(f"sample::{s}",) for s in range(30)], "origin string")
+    want = {(f"sample::{s}", n): (h, w, d) for s in range(30) for g in range(30) for n, h, w, d in [(f"gene::{g}", 1, 1.0, -1.0)] + [(f"protein::{g}_{p}", 2, (p + 1) / 60, 1.0) for p in range(60) if 0.78 * (p + 1) / 60 >= 0.1]}
+    for stretch in (1024, 7):
+        monkeypatch.setattr(graph, "STRETCH", stretch, raising=False)
+        got, rows = shuffled_rows(spark, lambda: graph.ranked_candidates(edges, origins, min_score=0.1).collect())
+        assert {(r["origin"], r["node"]): (r["hops"], r["raw_signal"], r["direction_sign"]) for r in got} == want and len(got) == len(want)
+        assert rows < len(want)  # twice as many before
