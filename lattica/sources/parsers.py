@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.rules import as_gene, as_pathway, as_protein, contains_any, entity_from_type, evidence, normalize_entity
+from ..functions.rules import as_gene, as_pathway, as_protein, contains_any, evidence, normalize_entity, typed_entity
 
 HUMAN = "9606"
 
@@ -21,10 +21,16 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
     return read_lines(spark, path)
 
 
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` and these columns, made once a row: a filter on a plain column would be pushed below it and make it again for
+    each time that the filter names it."""
+    return df.select("*", F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
+
+
 def fields(spark: SparkSession, path: str, least: int, sep: str = r"\t") -> DataFrame:
     """(value, f): lines of at least ``least`` fields; surrounding quotes of a field are dropped."""
-    f = F.transform(F.split("value", sep), lambda x: F.regexp_replace(x, '^"(.*)"$', "$1"))
-    return lines(spark, path).select("value", f.alias("f")).filter(F.size("f") >= least)
+    f = F.transform(F.split("value", sep), lambda x: F.when(F.startswith(x, F.lit('"')), F.regexp_replace(x, '^"(.*)"$', "$1")).otherwise(x))
+    return once(lines(spark, path).select("value"), f=f).filter(F.size("f") >= least)
 
 
 def table(spark: SparkSession, path: str, skip: int = 0) -> DataFrame:
@@ -166,12 +172,13 @@ def biogrid(spark, path, source="BioGRID", version="v1", max_rows=None) -> DataF
 def signor(spark, path, source="SIGNOR", version="v1", max_rows=None) -> DataFrame:
     """Positional columns without a header; the effect decides the relation, a PubMed id the confidence."""
     raw = lambda i: F.trim(F.coalesce(F.get("f", F.lit(i)), F.lit("")))
-    df = fields(spark, path, 9).withColumns({"h": entity_from_type(raw(0), F.lower(raw(1))), "t": entity_from_type(raw(4), F.lower(raw(5))), "e": F.lower(at(8)), "o": raw(11), "pmid": raw(17)})
-    df = df.filter(F.col("o").isin("", HUMAN) & (F.col("h") != "") & (F.col("t") != ""))
+    df = fields(spark, path, 9).filter(raw(11).isin("", HUMAN))
+    low = lambda i: F.lower(normalize_entity(raw(i)))
+    df = once(df, a=normalize_entity(raw(0)), x=low(1), b=normalize_entity(raw(4)), y=low(5), e=F.lower(at(8)), pmid=raw(17)).filter("a <> '' and b <> ''")
     up, down = contains_any(F.col("e"), ("up-regulates", "upregulates", "activat", "stimul", "expression")), contains_any(F.col("e"), ("down-regulates", "downregulates", "inhibit", "repress", "suppress"))
     rel = F.when(up, F.lit("activates")).when(down, F.lit("inhibits")).otherwise(F.lit("associated_with"))
     conf = F.when(up | down, F.when(F.col("pmid") != "", 0.9).otherwise(0.8)).otherwise(0.72)
-    return made(df, F.col("h"), rel, F.col("t"), source, version, evidence(F.substring(F.array_join(F.slice("f", 1, 10), "\t"), 1, 500), effect=F.col("e"), pmid=F.col("pmid")), F.when(up | down, 0.88).otherwise(0.7), conf, max_rows)
+    return made(df, typed_entity(F.col("a"), F.col("x")), rel, typed_entity(F.col("b"), F.col("y")), source, version, evidence(F.substring(F.array_join(F.slice("f", 1, 10), "\t"), 1, 500), effect=F.col("e"), pmid=F.col("pmid")), F.when(up | down, 0.88).otherwise(0.7), conf, max_rows)
 
 
 def omnipath(spark, path, source="OmniPath", version="v1", max_rows=None) -> DataFrame:
