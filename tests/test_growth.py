@@ -2,11 +2,12 @@
 
 import math
 import random
+from collections import Counter
 from itertools import combinations
 
 import duckdb
 import pytest
-from lattica.operators import build, evaluate, graph
+from lattica.operators import build, evaluate, graph, retrieval
 from lattica.plans import formats, queries
 from pyspark.sql import functions as F
 
@@ -155,3 +156,32 @@ def test_walks_end_as_lists(spark, joins_shuffled, monkeypatch):
         got, rows = shuffled_rows(spark, lambda: graph.ranked_candidates(edges, origins, min_score=0.1).collect())
         assert {(r["origin"], r["node"]): (r["hops"], r["raw_signal"], r["direction_sign"]) for r in got} == want and len(got) == len(want)
         assert rows < len(want)  # twice as many before
+
+
+def test_counts_stay_with_documents(spark, monkeypatch):
+    """Terms are counted and weighed where a document lies, rare ones joined by term; an id of two rows is one document."""
+    rng = random.Random(8)
+    texts = [(i, " ".join(f"w{min(int(rng.expovariate(0.02)), 400)}" for _ in range(150))) for i in range(200)] + [(3, "w1 unseen")]
+    asked = [(q, " ".join(f"w{rng.randrange(300)}" for _ in range(12))) for q in range(6)]
+    count = lambda rows: {i: Counter(" ".join(t for j, t in rows if j == i).split()) for i, _ in rows}
+    tf = count(texts)
+    df = Counter(t for c in tf.values() for t in c)
+    idf = {t: math.log((1 + len(texts)) / (1 + n)) + 1 for t, n in df.items()}
+
+    def unit(c):
+        raw = {t: n * idf[t] for t, n in c.items() if t in idf}
+        norm = math.sqrt(sum(x * x for x in raw.values()))
+        return {t: x / norm for t, x in raw.items()}
+
+    weights = {i: unit(c) for i, c in tf.items()}
+    want = {(i, t): w for i, ws in weights.items() for t, w in ws.items()}
+    best = {(q, i): sum(x * weights[i].get(t, 0.0) for t, x in unit(c).items()) for q, c in count(asked).items() for i in weights}
+    top = {(q, i) for q, _ in asked for i in sorted(weights, key=lambda i: (-round(best[q, i], 9), -i))[:5]}
+    docs, queries = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(asked, "query_id long, query string")
+    for known in (100_000, 40):
+        monkeypatch.setattr(retrieval, "MAX_KNOWN", known, raising=False)
+        got, rows = shuffled_rows(spark, lambda: retrieval.tfidf(docs).collect())
+        assert {(r["doc_id"], r["term"]): r["weight"] for r in got} == pytest.approx(want) and len(got) == len(want)
+        assert rows < len(want)  # each count was shuffled before
+        found, rows = shuffled_rows(spark, lambda: retrieval.search(docs, queries).collect())
+        assert {(r["query_id"], r["doc_id"]) for r in found} == top and rows < len(want)
