@@ -155,7 +155,7 @@ def test_walks_end_as_lists(spark, joins_shuffled, monkeypatch):
         monkeypatch.setattr(graph, "STRETCH", stretch, raising=False)
         got, rows = shuffled_rows(spark, lambda: graph.ranked_candidates(edges, origins, min_score=0.1).collect())
         assert {(r["origin"], r["node"]): (r["hops"], r["raw_signal"], r["direction_sign"]) for r in got} == want and len(got) == len(want)
-        assert rows < len(want)  # twice as many before
+        assert rows < len(want)  # each walk was a row before
 
 
 def test_counts_stay_with_documents(spark, monkeypatch):
