@@ -11,8 +11,10 @@ from . import graph
 
 #: Names that a search pushes into the scan of the edges; more of them are joined.
 MAX_PUSHED = 2_000
-#: Rows of a file of the index: small row groups are what a search skips.
+#: Rows of a file of the index, about: small files are what a search skips.
 ROWS_PER_FILE = 200_000
+#: Up to so many ranges Spark's defaults shuffle without sorting. Tables that would need more get larger files, of about ROWS_PER_TASK rows at most.
+MAX_RANGES, ROWS_PER_TASK = 200, 4_000_000
 GRAM = 3
 
 
@@ -24,27 +26,30 @@ def grams(name: Column) -> Column:
 
 @dataclass
 class NameIndex:
-    """Tables below ``path``: ``names`` (name, low), ``grams`` (gram, name, low) in the order of grams, ``frequency``
-    (gram, n), ``out`` and ``into`` (the edges with ``key``, the lower-case head or tail, in its order)."""
+    """Tables below ``path``: ``names`` (name, low), ``grams`` (gram, name, low), whose files are in the order of grams,
+    ``frequency`` (gram, n), ``out`` and ``into`` (the edges with ``key``, the lower-case head or tail, files in its order)."""
 
     spark: SparkSession
     path: str
 
     @classmethod
     def build(cls, edges: DataFrame, path: str) -> NameIndex:
-        """Write the index of ``edges``. Names are spelled out once, not once an edge, so the grams' table grows with the
-        nodes; every table is range-partitioned, so a frequent gram or a hub lies across files, not in one task."""
+        """Write the index of ``edges``, which are made once and written; all else is read from that and from the index.
+        Names come from the edges laid out, where equal ones lie together, and are spelled out once, not once an edge, so
+        the grams' table grows with the nodes; every table is range-partitioned, so a frequent gram or a hub lies across
+        files, not in one task."""
         spark = edges.sparkSession
-        names = edges.select(F.explode(F.array("head", "tail")).alias("name")).distinct().withColumn("low", F.lower("name"))
-        names.write.parquet(f"{path}/names")
+        edges = graph.cut(edges)
+        n = edges.count()  # from the files' footers
+        for table, end in (("out", "head"), ("into", "tail")):
+            _lay_out(edges, n, f"{path}/{table}", "key", F.lower(end))
+        ends = [spark.read.parquet(f"{path}/{table}").select(F.col(end).alias("name")) for table, end in (("out", "head"), ("into", "tail"))]
+        ends[0].unionByName(ends[1]).distinct().withColumn("low", F.lower("name")).write.parquet(f"{path}/names")
         names = spark.read.parquet(f"{path}/names")
-        spread = names.select(F.explode(grams(F.col("low"))).alias("gram"), "name", "low")
-        _ordered(spread, "gram", "low").write.option("maxRecordsPerFile", ROWS_PER_FILE).parquet(f"{path}/grams")
+        n = names.agg(F.sum(F.greatest(F.length("low") - GRAM + 1, F.lit(0)))).first()[0] or 0  # repeats in a name counted, so rather too many
+        _lay_out(names.select(F.explode(grams(F.col("low"))).alias("gram"), "name", "low"), n, f"{path}/grams", "gram", F.col("gram"))
         frequency = spark.read.parquet(f"{path}/grams").groupBy("gram").agg(F.count("*").alias("n"))
-        _ordered(frequency, "gram").write.parquet(f"{path}/frequency")
-        for table, end in (("out", "head"), ("into", "tail")):
-            keyed = edges.select(F.lower(end).alias("key"), *edges.columns)
-            _ordered(keyed, "key", *[c for c in graph.EDGE_ORDER if c in edges.columns]).write.option("maxRecordsPerFile", ROWS_PER_FILE).parquet(f"{path}/{table}")
+        frequency.repartitionByRange("gram").sortWithinPartitions("gram").write.parquet(f"{path}/frequency")
         return cls(spark, path)
 
     def table(self, name: str) -> DataFrame:
@@ -93,5 +98,10 @@ class NameIndex:
         return graph.hit_counts(self.match(node, relation, mode))
 
 
-def _ordered(df: DataFrame, *columns: str) -> DataFrame:
-    return df.repartitionByRange(*columns).sortWithinPartitions(*columns)
+def _lay_out(df: DataFrame, rows: int, path: str, name: str, key: Column) -> None:
+    """Write ``df`` of about ``rows`` rows, with ``key`` as column ``name``, in its order from file to file. A range is a file,
+    so its bounds are narrow without sorting by key; in it rows are sorted by a number, which only brings equal keys
+    together. Rows of one key are spread by their other columns."""
+    ranges = min(rows // ROWS_PER_FILE + 1, max(MAX_RANGES, rows // ROWS_PER_TASK + 1))
+    laid = df.repartitionByRange(ranges, key, F.xxhash64(*df.columns)).select(key.alias(name), *[c for c in df.columns if c != name])
+    laid.sortWithinPartitions(F.xxhash64(name)).write.parquet(path)

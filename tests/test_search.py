@@ -5,6 +5,7 @@ import re
 
 import pytest
 from lattica.operators import graph, search
+from pyspark.sql import functions as F
 
 
 @pytest.fixture(scope="module")
@@ -67,3 +68,36 @@ def test_reads_are_pruned(spark, tmp_path, monkeypatch):
     found = index.match("g00123")
     assert found.count() == 1 and rows_read(index.match("g00123")) < 20_000 * 2 / 10
     assert index.names("g00123").count() == 1
+
+
+def test_edges_are_made_once(spark, edges, tmp_path):
+    """Building reads the edges' own plan once, however many tables and ranges come from them."""
+    made = spark.sparkContext.accumulator(0)
+
+    def seen(head):
+        made.add(1)
+        return head
+
+    counted = edges.withColumn("head", F.udf(seen, "string").asNondeterministic()("head"))
+    search.NameIndex.build(counted, str(tmp_path / "names"))
+    assert made.value == edges.count()
+
+
+def test_hub_lies_across_files(spark, tmp_path, monkeypatch):
+    """Files stay small and hold narrow ranges, but the edges of one name aren't one task's, and ranges are bounded in number."""
+    rows = [("gene::HUB" if i % 2 else f"gene::G{i:05d}", "activates", f"protein::Q{i:05d}", "s", "v", 1.0, 0.5, 0.0) for i in range(8_000)]
+    edges = spark.createDataFrame(rows, "head string, relation string, tail string, source string, version string, weight double, confidence double, effect_sign double")
+    monkeypatch.setattr(search, "ROWS_PER_FILE", 500)
+    for ranges in (200, 4):
+        monkeypatch.setattr(search, "MAX_RANGES", ranges)
+        index = search.NameIndex.build(edges, str(tmp_path / f"names{ranges}"))
+        of_file = index.table("out").groupBy(F.input_file_name().alias("f")).agg(F.count("*").alias("n"), F.min("key").alias("low"), F.max("key").alias("high"), F.count_if(F.col("key") == "gene::hub").alias("hub")).orderBy("low", "high").collect()
+        assert len(of_file) == min(ranges, 17) and sum(r["n"] for r in of_file) == 8_000
+        assert max(r["hub"] for r in of_file) < 3_000
+        assert all(a["high"] <= b["low"] for a, b in zip(of_file, of_file[1:]))
+        assert shown(index.match("hub")) == shown(graph.keyword_match(edges, "hub"))
+
+
+def test_no_edges(edges, tmp_path):
+    index = search.NameIndex.build(edges.limit(0), str(tmp_path / "names"))
+    assert index.match("ab1").count() == index.match("a").count() == index.names("ab1").count() == 0
