@@ -7,7 +7,7 @@ from itertools import combinations
 
 import duckdb
 import pytest
-from lattica.operators import build, evaluate, graph, retrieval
+from lattica.operators import build, evaluate, graph, predict, retrieval
 from lattica.plans import formats, queries
 from pyspark.sql import functions as F
 
@@ -185,3 +185,29 @@ def test_counts_stay_with_documents(spark, monkeypatch):
         assert rows < len(want)  # each count was shuffled before
         found, rows = shuffled_rows(spark, lambda: retrieval.search(docs, queries).collect())
         assert {(r["query_id"], r["doc_id"]) for r in found} == top and rows < len(want)
+
+
+def test_predictions_shuffle_their_own_part(spark):
+    """A pair's prediction shuffles what its two anchors come to, not the rest of the graph; labels of numbers still look both ways."""
+    near = [("sample::S1", "expresses", "gene::ABCD"), ("sample::S1", "expresses", "gene::7157"), ("gene::ABCD", "activates", "protein::P1"),
+            ("gene::ABCD", "participates", "pathway::W"), ("pathway::perturbation::KO_ABCD", "targets_gene", "gene::ABCD"), ("gene::TPX", "inhibits", "gene::7157")]
+    far = [(f"sample::F{i}", "expresses", f"gene::G{i % 97}X") for i in range(3_000)] + [(f"gene::G{i % 97}X", "activates", f"protein::Q{i}") for i in range(3_000)]
+    rows = [(*e, 0.9, 0.9, 1.0) for e in near + far]
+    edges = graph.cut(spark.createDataFrame(rows, "head string, relation string, tail string, weight double, confidence double, effect_sign double"))
+    seeds = spark.createDataFrame([("ABCD",)], "gene string")
+    made, sent = shuffled_rows(spark, lambda: (lambda p: (p.genes.collect(), p.pathways.collect(), p.proteins.collect()))(predict.predict(edges, seeds, "sample::S1", "KO_ABCD")))
+    assert {r["label"] for r in made[0]} == {"ABCD", "TPX"}
+    assert [r["node"] for r in made[1]] == ["pathway::W"] and [r["node"] for r in made[2]] == ["protein::P1"]
+    assert sent < 1_000  # far more edges lie elsewhere
+
+
+def test_around(spark):
+    """Walks of a graph with cycles and nulls are the same over the part that they can take."""
+    rng = random.Random(5)
+    arcs = [(f"gene::{rng.randrange(60)}", f"gene::{rng.randrange(60)}", rng.random(), 1.0, rng.choice((-1.0, 1.0))) for _ in range(90)] + [(None, "gene::1", 1.0, 1.0, 1.0), ("gene::1", None, 1.0, 1.0, 1.0)]
+    edges = spark.createDataFrame(arcs, "head string, tail string, weight double, confidence double, effect_sign double")
+    origins = spark.createDataFrame([("gene::1",), ("gene::2",), (None,)], "origin string")
+    for hops in (1, 2, 3):
+        part = graph.around(edges, origins, hops)
+        walks = lambda e, hops=hops: sorted(map(tuple, graph.ranked_candidates(e, origins.dropna(), hops, 0.001).collect()))
+        assert walks(part) == walks(edges) and part.count() < edges.count()
