@@ -211,3 +211,18 @@ def test_around(spark):
         part = graph.around(edges, origins, hops)
         walks = lambda e, hops=hops: sorted(map(tuple, graph.ranked_candidates(e, origins.dropna(), hops, 0.001).collect()))
         assert walks(part) == walks(edges) and part.count() < edges.count()
+
+
+def test_equal_queries_are_searched_once(spark, joins_shuffled):
+    """Queries that differ only in terms that no document has meet the documents once, and all get the same hits."""
+    docs = spark.createDataFrame([(i, "alpha beta " + "gamma " * (i % 7)) for i in range(200)], "doc_id long, text string")
+    asked = [(q, f"alpha gamma unknown{q}" if q % 2 else "beta") for q in range(300)] + [(300, "alpha alpha gamma"), (301, "nothing")]
+    found, sent = shuffled_rows(spark, lambda: retrieval.search(docs, spark.createDataFrame(asked, "query_id long, query string"), 3).collect())
+    hits = {}
+    for r in sorted(found, key=lambda r: r["place"]):
+        hits.setdefault(r["query_id"], []).append((r["doc_id"], r["similarity"]))
+    assert set(hits) == set(range(302)) and all(len(h) == 3 for h in hits.values())
+    assert all(hits[q] == hits[q % 2] for q in range(300)) and hits[300] != hits[1] and hits[301] == [(199, 0.0), (198, 0.0), (197, 0.0)]
+    alone = retrieval.search(docs, spark.createDataFrame([asked[1]], "query_id long, query string"), 3).collect()
+    assert hits[1] == [(r["doc_id"], r["similarity"]) for r in sorted(alone, key=lambda r: r["place"])]
+    assert sent < 15_000  # 300 queries of 200 documents are 60,000 pairs
