@@ -326,23 +326,29 @@ def gene_means(long: DataFrame) -> DataFrame:
 
 
 #: Genes of a class that one task pairs with a seed.
-CLASS_PART = 1_000
+CLASS_PART = 250
+#: Tasks that make the pairs, at most.
+MAX_PARTS = 2_000
 
 
 def pathway_baseline(edges: DataFrame, seed_nodes: DataFrame) -> DataFrame:
     """(seed, gene, common): pathways that a gene shares with a seed.
 
     Genes of equal pathways are a class; pathways in common are counted once a pair of classes. As many rows as there are
-    pairs of a seed and a gene come out, none of them shuffled: seeds are sent to each part of a class of genes.
+    pairs of a seed and a gene come out, none of them shuffled: seeds are sent to each part of a class of genes. There are as
+    many tasks as parts, since what is sent is small for what is made of it.
     """
     p = edges.filter("relation = 'participates'").select(F.col("head").alias("gene"), F.col("tail").alias("pathway")).distinct()
     sets = graph.cut(p.groupBy("gene").agg(F.sort_array(F.collect_list("pathway")).alias("own")))
     mine = graph.cut(sets.join(seed_nodes.select(F.col("seed").alias("gene")), "gene", "left_semi").select(F.col("gene").alias("seed"), F.col("own").alias("of_seed")))
     classes = sets.groupBy("own").agg(F.ceil(F.count("*") / CLASS_PART).cast("int").alias("parts"))
     ours = mine.select("of_seed").distinct().select("of_seed", F.explode("of_seed").alias("pathway"))
-    common = ours.join(classes.select("own", "parts", F.explode("own").alias("pathway")), "pathway").groupBy("of_seed", "own", "parts").agg(F.count("*").alias("common"))
+    common = graph.cut(ours.join(classes.select("own", "parts", F.explode("own").alias("pathway")), "pathway").groupBy("of_seed", "own", "parts").agg(F.count("*").alias("common")))
+    met = graph.cut(common.select("own", "parts").distinct())
+    tasks = max(1, min(MAX_PARTS, met.agg(F.coalesce(F.sum("parts"), F.lit(0))).first()[0]))
     sent = mine.join(common, "of_seed").select("seed", "own", "common", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    members = sets.join(classes, "own").select("own", "gene", F.pmod(F.xxhash64("gene"), F.col("parts")).cast("int").alias("part"))
+    members = sets.join(met, "own").select("own", "gene", F.pmod(F.xxhash64("gene"), F.col("parts")).cast("int").alias("part")).repartition(tasks, "own", "part")
+    sent = sent.repartition(tasks, "own", "part")  # either side may be broadcast, the other is dealt out
     return sent.join(members, ["own", "part"]).filter("seed <> gene").select("seed", "gene", "common")
 
 

@@ -226,3 +226,14 @@ def test_equal_queries_are_searched_once(spark, joins_shuffled):
     alone = retrieval.search(docs, spark.createDataFrame([asked[1]], "query_id long, query string"), 3).collect()
     assert hits[1] == [(r["doc_id"], r["similarity"]) for r in sorted(alone, key=lambda r: r["place"])]
     assert sent < 15_000  # 300 queries of 200 documents are 60,000 pairs
+
+
+def test_pathway_baseline_is_dealt_out(spark):
+    """Few genes of a pathway make many pairs: not one task makes them all, and none is lost."""
+    edges = spark.createDataFrame([(f"gene::{g}", "participates", f"pathway::{p}") for g in range(2_000) for p in {0, g % 3}], "head string, relation string, tail string")
+    seeds = spark.createDataFrame([(f"gene::{g}",) for g in range(0, 40)], "seed string")
+    made = evaluate.pathway_baseline(edges, seeds)
+    got = Counter(r["common"] for r in made.collect())
+    both = sum(1 for s in range(40) for g in range(2_000) if s != g and s % 3 and s % 3 == g % 3)
+    assert sum(got.values()) == 40 * 1_999 and got[2] == both
+    assert made.select(F.spark_partition_id().alias("task"), "common").groupBy("task").count().count() >= 4
