@@ -237,3 +237,16 @@ def test_pathway_baseline_is_dealt_out(spark):
     both = sum(1 for s in range(40) for g in range(2_000) if s != g and s % 3 and s % 3 == g % 3)
     assert sum(got.values()) == 40 * 1_999 and got[2] == both
     assert made.select(F.spark_partition_id().alias("task"), "common").groupBy("task").count().count() >= 4
+
+
+def test_walks_are_dealt_by_their_number(spark, monkeypatch):
+    """Many walks go to more tasks than there are shuffle partitions, with the same result."""
+    rng = random.Random(8)
+    arcs = [(f"sample::{rng.randrange(40)}", f"gene::{rng.randrange(30)}") for _ in range(300)] + [(f"gene::{g}", f"protein::{rng.randrange(50)}") for g in range(30) for _ in range(20)]
+    edges = graph.cut(spark.createDataFrame([(*a, rng.random(), 1.0, rng.choice((-1.0, 1.0))) for a in arcs], "head string, tail string, weight double, confidence double, effect_sign double"))
+    origins = edges.select(F.col("head").alias("origin")).distinct()
+    plain = sorted(map(tuple, graph.ranked_candidates(edges, origins).collect()))
+    monkeypatch.setattr(graph, "WALKS", 100)
+    made = graph.ranked_candidates(edges, origins)
+    assert sorted(map(tuple, made.collect())) == plain
+    assert made.select(F.spark_partition_id().alias("task")).distinct().count() > int(spark.conf.get("spark.sql.shuffle.partitions"))
